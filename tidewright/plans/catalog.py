@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import importlib
+
 from tidewright.plans.registry import ORACLES, QUERIES
 
-import tidewright.plans.relational  # noqa: E402,F401  isort: skip
-import tidewright.plans.windows  # noqa: E402,F401  isort: skip
+for _module in ("storage", "relational", "windows", "scalars", "changes"):
+    importlib.import_module(f"tidewright.plans.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]
