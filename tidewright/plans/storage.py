@@ -83,7 +83,8 @@ def w06(spark, sf):
     # One folder per language, lines as written; every file is read back as one text.
     path = scratch_path(spark, "texts")
     flat = F.replace("text", F.lit("\n"), F.lit("\x1f"))
-    table(spark, sf, "documents").select("lang", flat.alias("value")).write.partitionBy("lang").text(path)
+    rows = table(spark, sf, "documents").select("lang", flat.alias("value"))
+    rows.write.partitionBy("lang").option("maxRecordsPerFile", 10_000).text(path)
     lang = F.regexp_extract(F.col("_metadata.file_path"), "lang=([^/]+)", 1)
     texts = spark.read.text(path + "/*", wholetext=True).select(lang.alias("lang"), F.col("value").alias("text"))
     lines = texts.select("lang", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line") != "")

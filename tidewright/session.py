@@ -65,3 +65,26 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give every core a part of an input that arrives in few partitions, such as one small file.
+
+    For work that is heavy per row. A large table already has more partitions than cores and
+    is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+_stored: dict[tuple[str, ...], str] = {}
+
+
+def stored_once(df_of, spark: SparkSession, *key: str) -> DataFrame:
+    """A derived table written once per application and read by every query that needs it."""
+    full_key = (spark.sparkContext.applicationId, *key)
+    if full_key not in _stored:
+        path = scratch_path(spark, key[0])
+        spread(df_of()).write.parquet(path)
+        _stored[full_key] = path
+    return spark.read.parquet(_stored[full_key])
