@@ -11,6 +11,7 @@ from tidewright.functions.python_check import python_syntax
 from tidewright.operators import ordered as o
 from tidewright.operators.ranking import top_n_per_group
 from tidewright.operators.scripts import lookup, tables_read
+from tidewright.session import cut_lineage
 
 CATEGORIES = ("syntax_error", "missing_dataframe_ops", "low_semantic_alignment")
 
@@ -124,7 +125,7 @@ def rolling_rate(results: DataFrame, key: str, order: str, width: int = 20, flag
     """
     ones = results.select(key, order, F.col(flag).cast("long").alias("_one"))
     measures = {"_place": o.row_number(), "_total": o.running_sum("_one")}
-    totals = o.ordered_measures(ones, [key], [order], [], measures).drop("_one")
+    totals = cut_lineage(o.ordered_measures(ones, [key], [order], [], measures).drop("_one"), "rolling")
     earlier = totals.select(key, (F.col("_place") + width).alias("_place"), F.col("_total").alias("_before"))
     joined = totals.join(earlier, [key, "_place"], "left")
     passed = F.col("_total") - F.coalesce("_before", F.lit(0))

@@ -258,14 +258,10 @@ def parse_answer(rows: DataFrame, raw: str = "raw") -> DataFrame:
         text = F.regexp_replace(text, pattern, marker)
     marked = rows.withColumn("_text", text)
 
+    any_marker = "===(?:" + "|".join(SECTIONS) + ")==="
+
     def section(name):
-        start = F.lit(f"==={name}===")
-        after = F.when(
-            F.contains("_text", start), F.substr("_text", F.locate(f"==={name}===", F.col("_text")) + len(f"==={name}==="))
-        ).otherwise("")
-        for other in SECTIONS:
-            after = F.substring_index(after, f"==={other}===", 1)
-        return rules.strip(after)
+        return rules.strip(F.regexp_extract("_text", rf"(?s)==={name}===(.*?)(?:{any_marker}|\z)", 1))
 
     def unfenced(body):
         body = F.regexp_replace(body, r"^```\w*\n?", "")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidewright.functions import legacy
+from tidewright.operators.ranking import bounded_lists
 from tidewright.plans.registry import query
 from tidewright.session import table
 
@@ -234,11 +235,14 @@ def w97_lateral(spark, sf):
     )
 
 
+ARRAY_LIMIT = 100
+
+
 def _customer_orders(spark, sf):
-    """Per customer an array of large pending orders; customers without any get NULL."""
+    """Per customer arrays of large pending orders; customers without any get NULL."""
     keep = (F.col("o_orderstatus") == "P") & (F.col("o_totalprice") > 400000)
-    lists = table(spark, sf, "orders").filter(keep).groupBy(F.col("o_custkey").alias("c_custkey"))
-    arrays = lists.agg(F.sort_array(F.collect_list("o_orderkey")).alias("order_keys"))
+    large = table(spark, sf, "orders").filter(keep).select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    arrays = bounded_lists(large, ["c_custkey"], "o_orderkey", ["o_orderkey"], ARRAY_LIMIT)
     return table(spark, sf, "customer").select("c_custkey").join(arrays, "c_custkey", "left")
 
 
@@ -248,7 +252,7 @@ def _customer_orders(spark, sf):
        (SELECT * FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 400000) ON c_custkey = o_custkey""",
 )
 def w98(spark, sf):
-    return _customer_orders(spark, sf).select("c_custkey", F.explode_outer("order_keys").alias("order_key"))
+    return _customer_orders(spark, sf).select("c_custkey", F.explode_outer("values").alias("order_key"))
 
 
 @query(
@@ -257,11 +261,12 @@ def w98(spark, sf):
        WHERE o_totalprice > 300000 GROUP BY ALL""",
 )
 def w99(spark, sf):
-    lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_linenumber").alias("lines"))
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber")
+    lists = bounded_lists(lines, ["l_orderkey"], "l_linenumber", ["l_linenumber"], ARRAY_LIMIT)
     dear = table(spark, sf, "orders").filter(F.col("o_totalprice") > 300000)
-    orders = dear.join(lines, dear["o_orderkey"] == lines["l_orderkey"])
+    orders = dear.join(lists, dear["o_orderkey"] == lists["l_orderkey"])
     # The order's array sits in a struct of the customer's array: two levels to unpack.
-    nested = orders.select("o_custkey", F.array(F.struct("o_orderkey", "lines")).alias("orders"))
+    nested = orders.select("o_custkey", F.array(F.struct("o_orderkey", F.col("values").alias("lines"))).alias("orders"))
     level1 = nested.select("o_custkey", F.explode("orders").alias("o"))
     level2 = level1.select("o_custkey", F.col("o.o_orderkey").alias("order_key"), F.explode("o.lines").alias("line"))
     return level2.groupBy("o_custkey", "order_key", "line").agg(F.count(F.lit(1)).alias("n"))
@@ -269,15 +274,14 @@ def w99(spark, sf):
 
 @query(
     "w100_array_columns",
-    """SELECT l_orderkey, CAST(count(*) AS INTEGER) AS lines, array_to_string(list_sort(list(l_partkey)), ',') AS parts FROM lineitem GROUP BY 1""",
+    """SELECT l_orderkey, (rn - 1) // 100 AS piece, CAST(count(*) AS INTEGER) AS lines, string_agg(l_partkey, ',' ORDER BY rn) AS parts FROM
+       (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) AS rn FROM lineitem) GROUP BY ALL""",
 )
 def w100(spark, sf):
-    arrays = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("p"))
-    return arrays.select(
-        "l_orderkey",
-        F.size("p").alias("lines"),
-        F.array_join(F.transform(F.sort_array("p"), lambda x: x.cast("string")), ",").alias("parts"),
-    )
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
+    arrays = bounded_lists(lines, ["l_orderkey"], "l_partkey", ["l_partkey"], ARRAY_LIMIT)
+    parts = F.array_join(F.transform("values", lambda x: x.cast("string")), ",")
+    return arrays.select("l_orderkey", "piece", F.size("values").alias("lines"), parts.alias("parts"))
 
 
 @query(

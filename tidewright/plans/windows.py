@@ -147,7 +147,7 @@ def w65(spark, sf):
 )
 def w66(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
-    best = best_rows_with_ties(orders, ["o_custkey"], [F.asc("o_orderpriority")])
+    best = best_rows_with_ties(orders, ["o_custkey"], ["o_orderpriority"])
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
     joined = best.join(customers, best["o_custkey"] == customers["c_custkey"])
     return joined.select("c_custkey", "c_mktsegment", "o_orderkey", "o_orderpriority", "rnk")

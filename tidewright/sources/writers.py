@@ -19,17 +19,13 @@ def append_table(df: DataFrame, name: str, path: str) -> None:
     df.write.mode("append").format("parquet").option("path", path).saveAsTable(name)
 
 
-def write_partitioned(df: DataFrame, path: str, columns: list[str], spread_by: str | None = None, parts: int = 8) -> None:
+def write_partitioned(df: DataFrame, path: str, columns: list[str]) -> None:
     """Directory-partitioned write.
 
-    Rows are first brought together by partition value, so a value is not scattered over as
-    many files as there are tasks; ``spread_by`` splits each value over ``parts`` tasks for
-    tables in which one value holds much of the data.
+    Rows are brought together by partition value, so a value is not scattered over as many
+    files as there are tasks; the rebalance lets AQE split a value that holds much of the data.
     """
-    layout = [F.col(c) for c in columns]
-    if spread_by:
-        layout.append(F.pmod(F.xxhash64(spread_by), F.lit(parts)))
-    df.repartition(*layout).write.mode("overwrite").partitionBy(*columns).parquet(path)
+    df.hint("rebalance", *columns).write.mode("overwrite").partitionBy(*columns).parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, columns: list[str]) -> None:
