@@ -7,8 +7,9 @@ import warnings
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructType
 
-RESULT = "ok boolean, line int, message string"
+RESULT = StructType().add("ok", BooleanType()).add("line", IntegerType()).add("message", StringType())
 
 
 def parse_result(code: str | None) -> tuple[bool | None, int | None, str | None]:

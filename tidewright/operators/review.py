@@ -13,7 +13,7 @@ from tidewright.functions import fixed_values as fv
 from tidewright.functions import masks, rules
 from tidewright.functions.python_check import python_syntax
 
-CODE = F.col("pyspark_code")
+CODE = "pyspark_code"
 
 
 def _weight(condition: Column, weight: float) -> Column:
@@ -32,16 +32,16 @@ def tables_covered(tables: str, code: Column, share: float = 0.5) -> Column:
 
 def with_validation(rows: DataFrame) -> DataFrame:
     """Five checks, a weighted score, the issues found and the verdict."""
-    blank = rules.is_blank(CODE)
+    blank = rules.is_blank(F.col(CODE))
     flagged = F.size("procedural_flags") > 0
-    checked = rows.withColumn("_syntax", python_syntax(F.when(~blank, CODE)))
+    checked = rows.withColumn("_syntax", python_syntax(F.when(~blank, F.col(CODE))))
     checked = checked.withColumns(
         {
             "syntax_valid": F.coalesce(F.col("_syntax.ok"), F.lit(False)),
-            "has_session": ~blank & rules.any_match(CODE, fv.SESSION_PATTERNS, rules.AS_WRITTEN),
-            "has_operations": ~blank & rules.any_match(CODE, fv.REVIEW_OPERATIONS, rules.AS_WRITTEN),
-            "tables_match": ~blank & tables_covered("tables", CODE),
-            "flags_surfaced": ~blank & (~flagged | rules.any_match(CODE, fv.REVIEW_MARKERS, "(?i)")),
+            "has_session": ~blank & rules.any_match(F.col(CODE), fv.SESSION_PATTERNS, rules.AS_WRITTEN),
+            "has_operations": ~blank & rules.any_match(F.col(CODE), fv.REVIEW_OPERATIONS, rules.AS_WRITTEN),
+            "tables_match": ~blank & tables_covered("tables", F.col(CODE)),
+            "flags_surfaced": ~blank & (~flagged | rules.any_match(F.col(CODE), fv.REVIEW_MARKERS, "(?i)")),
         }
     )
     last = F.when(flagged, _weight(F.col("flags_surfaced"), 0.10)).otherwise(_weight(F.col("tables_match"), 0.10))
@@ -94,13 +94,13 @@ def expected_blocks() -> Column:
 
 def with_semantics(rows: DataFrame) -> DataFrame:
     """How much of the script's meaning the code carries over, 1.0 minus deductions."""
-    blank = rules.is_blank(CODE)
-    missing = F.size("tables") - _mentioned("tables", CODE)
-    no_join = (F.size("joins") > 0) & ~F.contains(CODE, F.lit(".join("))
-    no_window = (F.size("window_functions") > 0) & ~F.contains(CODE, F.lit("Window")) & ~F.contains(CODE, F.lit(".over("))
+    blank = rules.is_blank(F.col(CODE))
+    missing = F.size("tables") - _mentioned("tables", F.col(CODE))
+    no_join = (F.size("joins") > 0) & ~F.contains(F.col(CODE), F.lit(".join("))
+    no_window = (F.size("window_functions") > 0) & ~F.contains(F.col(CODE), F.lit("Window")) & ~F.contains(F.col(CODE), F.lit(".over("))
     procedural = F.col("source_language").isin(*fv.PROCEDURAL_LANGUAGES) & (F.size("procedural_flags") > 0)
-    no_blocks = procedural & (expected_blocks() > 2) & (dataframe_chains(CODE) < 2)
-    no_import = ~F.contains(CODE, F.lit("import"))
+    no_blocks = procedural & (expected_blocks() > 2) & (dataframe_chains(F.col(CODE)) < 2)
+    no_import = ~F.contains(F.col(CODE), F.lit("import"))
     score = (
         F.lit(1.0)
         - F.lit(0.15) * missing
@@ -109,7 +109,7 @@ def with_semantics(rows: DataFrame) -> DataFrame:
         - _weight(no_blocks, 0.15)
         - _weight(no_import, 0.05)
     )
-    absent = F.filter("tables", lambda t: ~F.contains(F.lower(CODE), F.lower(t)))
+    absent = F.filter("tables", lambda t: ~F.contains(F.lower(F.col(CODE)), F.lower(t)))
     issues = F.when(blank, F.array(F.lit("Empty PySpark code — nothing to review"))).otherwise(
         F.array_compact(
             F.array(
@@ -122,7 +122,7 @@ def with_semantics(rows: DataFrame) -> DataFrame:
                         F.lit("Missing transformation blocks — parser found ~"),
                         expected_blocks().cast("string"),
                         F.lit(" SQL blocks but PySpark only has "),
-                        dataframe_chains(CODE).cast("string"),
+                        dataframe_chains(F.col(CODE)).cast("string"),
                         F.lit(" DataFrame chain(s)"),
                     ),
                 ),
@@ -134,7 +134,7 @@ def with_semantics(rows: DataFrame) -> DataFrame:
         {
             "semantic_score": F.when(blank, 0.0).otherwise(F.greatest(F.lit(0.0), F.round(score, 3))),
             "semantic_issues": issues,
-            "tables_covered": F.when(blank, 0).otherwise(_mentioned("tables", CODE)),
+            "tables_covered": F.when(blank, 0).otherwise(_mentioned("tables", F.col(CODE))),
             "total_tables": F.size("tables"),
         }
     )
@@ -153,8 +153,8 @@ def lint_findings(code: Column) -> Column:
 
 
 def with_lint(rows: DataFrame) -> DataFrame:
-    blank = rules.is_blank(CODE)
-    found = rows.withColumn("lint", lint_findings(CODE))
+    blank = rules.is_blank(F.col(CODE))
+    found = rows.withColumn("lint", lint_findings(F.col(CODE)))
 
     def count(severity):
         return F.size(F.filter("lint", lambda f: f["severity"] == severity))
@@ -163,7 +163,7 @@ def with_lint(rows: DataFrame) -> DataFrame:
     return found.withColumns(
         {
             "lint_suggestions": F.when(blank, F.array().cast("array<string>")).otherwise(
-                rules.hits(CODE, fv.LINT_SUGGESTIONS, rules.DOTALL)
+                rules.hits(F.col(CODE), fv.LINT_SUGGESTIONS, rules.DOTALL)
             ),
             "lint_score": F.greatest(F.lit(0.0), F.round(F.lit(1.0) - penalty, 3)),
             "lint_count": F.size("lint"),
@@ -181,7 +181,7 @@ def cost_weight(code: Column) -> Column:
 
 def with_risk(rows: DataFrame) -> DataFrame:
     """Sensitive columns, cost flags, null-safety warnings and the combined risk score."""
-    unchecked = rules.matches(CODE, fv.JOIN_CALL, rules.AS_WRITTEN) & ~rules.any_match(CODE, fv.NULL_CHECKS, rules.AS_WRITTEN)
+    unchecked = rules.matches(F.col(CODE), fv.JOIN_CALL, rules.AS_WRITTEN) & ~rules.any_match(F.col(CODE), fv.NULL_CHECKS, rules.AS_WRITTEN)
 
     def warn(j):
         return F.concat(
@@ -196,7 +196,7 @@ def with_risk(rows: DataFrame) -> DataFrame:
     found = rows.withColumns(
         {
             "pii_columns": F.array_sort(F.array_distinct(F.concat(named, masks.sensitive_words(F.col("raw_source"))))),
-            "cost_flags": rules.hits(CODE, fv.COST_RULES, rules.DOTALL),
+            "cost_flags": rules.hits(F.col(CODE), fv.COST_RULES, rules.DOTALL),
             "null_warnings": F.when(unchecked, F.transform("joins", warn)).otherwise(F.array().cast("array<string>")),
         }
     )
@@ -204,7 +204,7 @@ def with_risk(rows: DataFrame) -> DataFrame:
     procedural = F.col("source_language").isin(*fv.PROCEDURAL_LANGUAGES)
     score = (
         F.size("pii_columns") * 1.5
-        + cost_weight(CODE)
+        + cost_weight(F.col(CODE))
         + F.size("null_warnings") * 0.5
         + F.when(procedural, flags * 0.5).otherwise(0.0)
     )
