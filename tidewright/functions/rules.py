@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANYWHERE = "(?is)"  # ignore case, dot matches newline
@@ -58,3 +58,12 @@ def is_blank(text: Column) -> Column:
 
 def contains_lower(text: Column, word: Column) -> Column:
     return F.contains(F.lower(text), F.lower(word))
+
+
+def unnest(rows: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """One row per array element, NULL elements and empty arrays left out.
+
+    A plain explode lets the optimizer add a not-empty filter below it, which evaluates an
+    expensive array expression a second time; the outer form does not.
+    """
+    return rows.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())

@@ -83,7 +83,7 @@ def failure_labels() -> Column:
 
 def failure_categories(results: DataFrame) -> DataFrame:
     """Failure labels per language with their share of the language's labels."""
-    labels = results.filter(~F.col("overall")).select("source_language", F.explode(failure_labels()).alias("category"))
+    labels = rules.unnest(results.filter(~F.col("overall")), ["source_language"], failure_labels(), "category")
     counts = labels.groupBy("source_language", "category").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("source_language").agg(F.sum("n").alias("_all"))
     # Both sides are one row per language and label.

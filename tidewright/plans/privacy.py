@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions import fixed_values as fv
-from tidewright.functions import masks
+from tidewright.functions import masks, rules
 from tidewright.plans import corpus
 from tidewright.plans.registry import query, quote
 from tidewright.session import spread, table
@@ -19,7 +19,7 @@ _WORDS = rf"\b(?:{'|'.join(fv.SENSITIVE_NAMES)})\b"
         SELECT name, count(*) AS scripts FROM w GROUP BY 1""",
 )
 def j01(spark, sf):
-    words = corpus.scripts(spark, sf).select(F.explode(masks.sensitive_words(F.col("source"))).alias("name"))
+    words = rules.unnest(corpus.scripts(spark, sf), [], masks.sensitive_words(F.col("source")), "name")
     return words.groupBy("name").agg(F.count(F.lit(1)).alias("scripts"))
 
 

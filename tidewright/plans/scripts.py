@@ -119,7 +119,7 @@ def _flag_rows(rule_rows, lang):
 
 def _flag_counts(spark, sf, lang, rule_rows):
     chosen = labelled(spark, sf).filter(F.col("source_language") == lang)
-    flags = chosen.select(F.explode(rules.hits(F.col("source"), rule_rows)).alias("flag"))
+    flags = rules.unnest(chosen, [], rules.hits(F.col("source"), rule_rows), "flag")
     return flags.groupBy("flag").agg(F.count(F.lit(1)).alias("scripts"))
 
 
@@ -166,7 +166,7 @@ def j10(spark, sf):
         F.transform(F.split(listed, ","), lambda c: rules.strip(F.lower(c))),
     )
     named = hive.select("script_id", slots.alias("slots"), sc.hive_columns(source).alias("found"))
-    rows = named.select("script_id", "slots", F.explode("found").alias("col"))
+    rows = rules.unnest(named, ["script_id", "slots"], F.col("found"), "col")
     return rows.select("script_id", "col", F.array_position("slots", F.col("col")).alias("pos"))
 
 
@@ -179,7 +179,7 @@ def j10(spark, sf):
 )
 def j11(spark, sf):
     chosen = labelled(spark, sf).filter(F.col("source_language") == "stored_procedure")
-    listed = chosen.select("script_id", F.explode(sc.parameters(F.col("source"))).alias("p"))
+    listed = rules.unnest(chosen, ["script_id"], sc.parameters(F.col("source")), "p")
     return listed.select("script_id", "p.name", "p.type", "p.direction")
 
 
@@ -190,7 +190,7 @@ def j11(spark, sf):
 )
 def j12(spark, sf):
     chosen = labelled(spark, sf).filter(F.col("source_language") == "stored_procedure")
-    return chosen.select("script_id", F.explode(sc.temp_tables(F.col("source"))).alias("temp_table"))
+    return rules.unnest(chosen, ["script_id"], sc.temp_tables(F.col("source")), "temp_table")
 
 
 @query(
@@ -207,7 +207,7 @@ def j13(spark, sf):
 def j14(spark, sf):
     text, lang = F.col("source"), F.col("source_language")
     chosen = labelled(spark, sf).filter(lang.isin(*fv.PROCEDURAL_LANGUAGES))
-    return chosen.select("script_id", F.explode(sc.blocks_of(text, lang)).alias("block"))
+    return rules.unnest(chosen, ["script_id"], sc.blocks_of(text, lang), "block")
 
 
 @query(
@@ -216,7 +216,7 @@ def j14(spark, sf):
         SELECT t AS table_name, count(*) AS scripts FROM e GROUP BY 1""",
 )
 def j15(spark, sf):
-    edges = corpus.scripts(spark, sf).select("script_id", F.explode(sc.tables_read(F.col("source"))).alias("table_name"))
+    edges = rules.unnest(corpus.scripts(spark, sf), ["script_id"], sc.tables_read(F.col("source")), "table_name")
     return edges.groupBy("table_name").agg(F.count(F.lit(1)).alias("scripts"))
 
 
@@ -338,5 +338,5 @@ def j21_constructs(spark, sf):
         F.transform("aggregations", lambda a: F.concat(F.lit("aggregate "), a)),
         F.transform("window_functions", lambda w: F.concat(F.lit("window "), w)),
     )
-    rows = ir(spark, sf).select("source_language", F.explode(named).alias("construct"))
+    rows = rules.unnest(ir(spark, sf), ["source_language"], named, "construct")
     return rows.groupBy("source_language", "construct").agg(F.count(F.lit(1)).alias("scripts"))
