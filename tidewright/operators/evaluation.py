@@ -86,8 +86,7 @@ def failure_categories(results: DataFrame) -> DataFrame:
     labels = rules.unnest(results.filter(~F.col("overall")), ["source_language"], failure_labels(), "category")
     counts = labels.groupBy("source_language", "category").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy("source_language").agg(F.sum("n").alias("_all"))
-    # Both sides are one row per language and label.
-    joined = counts.join(F.broadcast(totals), "source_language")
+    joined = counts.join(totals, "source_language")
     return joined.select("source_language", "category", "n", (F.col("n") / F.col("_all")).alias("share"))
 
 
@@ -99,7 +98,7 @@ def main_failure(results: DataFrame) -> DataFrame:
     ranked = counts.withColumn("_order", order)
     top = top_n_per_group(ranked, ["source_language"], [F.desc("n"), F.asc("_order")], 1)
     advice = lookup(fv.FAILURE_ADVICE, F.col("category"), "Review training data quality for this language.")
-    joined = top.join(F.broadcast(failed), "source_language")
+    joined = top.join(failed, "source_language")
     return joined.select(
         "source_language", "category", "n", "failed", (F.col("n") / F.col("failed")).alias("share"), advice.alias("advice")
     )

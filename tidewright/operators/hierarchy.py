@@ -5,29 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.session import cut_lineage, fresh_name
+from tidewright.session import cut_lineage
 
 
 def descend(nodes: DataFrame, key: str, parent: str, max_depth: int) -> DataFrame:
-    """Depth and root of every node, by a recursive CTE bounded at ``max_depth`` levels.
+    """Depth and root of every node; roots are the nodes without a parent.
 
-    Roots are the nodes without a parent.
+    One join per level instead of a recursive CTE: the CTE stops at a fixed number of rows
+    (a million by default) and keeps its levels in executor memory.
     """
-    spark = nodes.sparkSession
-    view = fresh_name("tree")
-    nodes.select(F.col(key).alias("id"), F.col(parent).alias("up")).createOrReplaceTempView(view)
-    return spark.sql(
-        f"""
-        WITH RECURSIVE walk(id, root, depth) MAX RECURSION LEVEL {max_depth + 2} AS (
-            SELECT id, id, 0 FROM {view} WHERE up IS NULL
-            UNION ALL
-            SELECT c.id, w.root, w.depth + 1
-            FROM walk w JOIN {view} c ON c.up = w.id
-            WHERE w.depth < {max_depth}
-        )
-        SELECT id AS {key}, root, depth FROM walk
-        """
-    )
+    tree = nodes.select(F.col(key).alias("_id"), F.col(parent).alias("_up"))
+    edges = tree.filter(F.col("_up").isNotNull())
+    roots = tree.filter(F.col("_up").isNull()).select("_id", F.col("_id").alias("root"), F.lit(0).alias("depth"))
+    level = cut_lineage(roots, "level")
+    found = level
+    for _ in range(max_depth):
+        above = level.select(F.col("_id").alias("_up"), "root", "depth")
+        below = edges.join(above, "_up").select("_id", "root", (F.col("depth") + 1).alias("depth"))
+        level = cut_lineage(below, "level")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+    return found.withColumnRenamed("_id", key)
 
 
 def reach(edges: DataFrame, start: DataFrame, max_steps: int) -> DataFrame:

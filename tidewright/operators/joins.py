@@ -61,6 +61,17 @@ def null_guarded_join(left: DataFrame, right: DataFrame, key: str, how: str = "i
     raise ValueError(f"no null guard for a {how} join")
 
 
+def full_join_by_parts(big: DataFrame, other: DataFrame, key: str) -> DataFrame:
+    """Full outer join as a left join plus the unmatched rest.
+
+    AQE splits the rows of a hot key in a left join, but not in a full one. The rest needs only
+    the distinct keys of the big side.
+    """
+    matched = big.join(other, key, "left")
+    rest = other.join(big.select(key).distinct(), key, "left_anti")
+    return matched.unionByName(rest, allowMissingColumns=True)
+
+
 def write_bucketed(df: DataFrame, label: str, key: str, buckets: int) -> str:
     """Save ``df`` as a table bucketed and sorted by ``key``; returns its name."""
     name = fresh_name(label)

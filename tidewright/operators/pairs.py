@@ -298,9 +298,8 @@ def pick_examples(requests: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
     fine_sizes, fine = numbered(["source_language", "difficulty"])
     wide_sizes, wide = numbered(["source_language"])
     asked = requests.select("pair_id", "source_language", "difficulty", drawn.alias("_draw"))
-    # The size tables have one row per language and difficulty.
-    sized = asked.join(F.broadcast(fine_sizes.withColumnRenamed("_size", "_fine")), ["source_language", "difficulty"], "left")
-    sized = sized.join(F.broadcast(wide_sizes.withColumnRenamed("_size", "_wide")), "source_language", "left")
+    sized = asked.join(fine_sizes.withColumnRenamed("_size", "_fine"), ["source_language", "difficulty"], "left")
+    sized = sized.join(wide_sizes.withColumnRenamed("_size", "_wide"), "source_language", "left")
     placed = sized.withColumn("_place", F.col("_draw") % F.coalesce("_fine", "_wide") + 1)
     exact = placed.filter(F.col("_fine").isNotNull()).join(fine, ["source_language", "difficulty", "_place"])
     near = placed.filter(F.col("_fine").isNull() & F.col("_wide").isNotNull()).join(wide, ["source_language", "_place"])

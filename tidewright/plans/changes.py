@@ -126,7 +126,7 @@ def w110(spark, sf):
 @query(
     "w111_scd_type_2",
     """WITH d AS (SELECT c_custkey, c_nationkey, c_mktsegment, '2020-01-01' AS valid_from, CAST(NULL AS VARCHAR) AS valid_to, true AS is_current
-                 FROM customer WHERE c_custkey % 10 <> 0),
+                 FROM customer WHERE c_acctbal <= 8000),
        n AS (SELECT c_custkey, c_nationkey, CASE WHEN c_acctbal < 1000 THEN 'MOVED' ELSE c_mktsegment END AS c_mktsegment FROM customer)
        SELECT d.c_custkey, d.c_nationkey, d.c_mktsegment, d.valid_from, CASE WHEN d.c_mktsegment <> n.c_mktsegment THEN '2024-06-01' END AS valid_to,
               d.c_mktsegment = n.c_mktsegment AS is_current FROM d JOIN n ON d.c_custkey = n.c_custkey
@@ -135,7 +135,7 @@ def w110(spark, sf):
 )
 def w111(spark, sf):
     customers = table(spark, sf, "customer")
-    first = customers.filter(F.col("c_custkey") % 10 != 0).select(
+    first = customers.filter(F.col("c_acctbal") <= 8000).select(
         "c_custkey",
         "c_nationkey",
         "c_mktsegment",

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewright.plans.registry import quoted_list
-from tidewright.session import stored_once, table
+from tidewright.session import spread, stored_once, table
 
 TABLE_NAMES = ("orders", "payments", "accounts", "branches", "ledger", "invoices", "claims")
 COLUMN_NAMES = ("amount", "pan_number", "email", "status", "card_no", "balance")
@@ -140,7 +140,7 @@ def scripts(spark: SparkSession, sf: str) -> DataFrame:
 
 def _scripts(spark: SparkSession, sf: str) -> DataFrame:
     template = F.col("o_orderkey") % len(SCRIPTS)
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).select(
         F.col("o_orderkey").alias("script_id"),
         template.cast("int").alias("template_id"),
         _fill(_pick(SCRIPTS, template)).alias("source"),
@@ -155,7 +155,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     template = F.col("o_orderkey") % len(SCRIPTS)
     code = F.floor(F.col("o_orderkey") / len(SCRIPTS)) % len(CODES)
-    return table(spark, sf, "orders").select(
+    return spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey")).select(
         F.col("o_orderkey").alias("pair_id"),
         template.cast("int").alias("template_id"),
         code.cast("int").alias("code_id"),

@@ -201,14 +201,12 @@ def w33(spark, sf):
        (SELECT * FROM orders WHERE o_orderstatus = 'P' AND year(o_orderdate) = 1998) ON c_custkey = o_custkey""",
 )
 def w34(spark, sf):
-    pending = _pending_1998(spark, sf)
-    rich = table(spark, sf, "customer").filter(F.col("c_acctbal") > 5000)
-    on = F.col("c_custkey") == F.col("o_custkey")
-    sides = [
-        rich.join(pending, on, kind).select(F.lit(kind).alias("kind"), "c_custkey", "o_orderkey")
-        for kind in ("right", "full")
-    ]
-    return sides[0].unionAll(sides[1])
+    # The order side may hold a hot customer, so it stays on the splittable side of both joins.
+    pending = _pending_1998(spark, sf).withColumn("k", F.col("o_custkey"))
+    rich = table(spark, sf, "customer").filter(F.col("c_acctbal") > 5000).withColumn("k", F.col("c_custkey"))
+    right = rich.join(pending, "k", "right").select(F.lit("right").alias("kind"), "c_custkey", "o_orderkey")
+    full = joins.full_join_by_parts(pending, rich, "k").select(F.lit("full").alias("kind"), "c_custkey", "o_orderkey")
+    return right.unionAll(full)
 
 
 @query(

@@ -68,9 +68,9 @@ def cut_lineage(df: DataFrame, label: str = "cut") -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give every core a part of an input that arrives in few partitions, such as one small file.
+    """Give every core a part of a scan that arrives in few partitions, such as one small file.
 
-    For work that is heavy per row. A large table already has more partitions than cores and
+    For scans that feed work heavy per row; asking a frame with shuffles would run them. A large table already has more partitions than cores and
     is left as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -85,6 +85,6 @@ def stored_once(df_of, spark: SparkSession, *key: str) -> DataFrame:
     full_key = (spark.sparkContext.applicationId, *key)
     if full_key not in _stored:
         path = scratch_path(spark, key[0])
-        spread(df_of()).write.parquet(path)
+        df_of().write.parquet(path)
         _stored[full_key] = path
     return spark.read.parquet(_stored[full_key])
