@@ -96,13 +96,13 @@ def validate_lines(lines: DataFrame) -> DataFrame:
         _invalid("source_language", fv.LANGUAGES),
         _invalid("difficulty", fv.DIFFICULTIES),
         _invalid("generated_by", fv.ORIGINS),
-        wrong_type("features", "ARRAY", "features must be a list"),
-        wrong_type("source_code", "STRING", "source_code must be a string"),
-        wrong_type("pyspark_code", "STRING", "pyspark_code must be a string"),
+        wrong_type("features", "ARRAY", fv.REASON_FEATURES),
+        wrong_type("source_code", "STRING", fv.REASON_SOURCE),
+        wrong_type("pyspark_code", "STRING", fv.REASON_CODE),
     )
     early = F.coalesce(
         F.when(~F.col("is_json"), _finding("invalid_json", "not a JSON document")),
-        F.when(F.size(missing) > 0, _finding("required_fields", F.concat(F.lit("Missing fields: "), F.array_join(missing, ", ")))),
+        F.when(F.size(missing) > 0, _finding("required_fields", F.concat(F.lit(fv.REASON_FIELDS), F.array_join(missing, ", ")))),
         F.when(value_problem.isNotNull(), _finding("field_values", value_problem)),
         too_short("source_code", source_chars, fv.MIN_SOURCE_CHARS),
         too_short("pyspark_code", code_chars, fv.MIN_CODE_CHARS),
@@ -111,27 +111,27 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     first = first.withColumn("_syntax", python_syntax(F.when(F.col("_early").isNull(), F.col("pyspark_code"))))
     code, source = F.col("pyspark_code"), F.col("source_code")
     at_line = F.concat(
-        F.lit("PySpark syntax error: line "), F.col("_syntax.line").cast("string"), F.lit(": "), F.col("_syntax.message")
+        F.lit(fv.REASON_SYNTAX_LINE), F.col("_syntax.line").cast("string"), F.lit(": "), F.col("_syntax.message")
     )
     marker = placeholder_found(code, source)
     share = alignment(source, code)
     low = F.concat(
-        F.lit("Low alignment between source and pyspark ("),
+        F.lit(fv.REASON_ALIGNMENT[0]),
         F.round(share * 100).cast("int").cast("string"),
-        F.lit("% of source tokens found in output)"),
+        F.lit(fv.REASON_ALIGNMENT[1]),
     )
     verdict = F.coalesce(
         F.col("_early"),
         F.when(~F.col("_syntax.ok"), _finding("pyspark_syntax", F.coalesce(at_line, F.col("_syntax.message")))),
         F.when(
             ~rules.any_match(code, fv.DATASET_OPERATIONS, rules.AS_WRITTEN),
-            _finding("dataframe_operations", "No DataFrame operations found in pyspark_code"),
+            _finding("dataframe_operations", fv.REASON_OPERATIONS),
         ),
         F.when(
             marker.isNotNull(),
-            _finding("no_placeholder_text", F.concat(F.lit("Placeholder text found: '"), marker, F.lit("'"))),
+            _finding("no_placeholder_text", F.concat(F.lit(fv.REASON_PLACEHOLDER), marker, F.lit("'"))),
         ),
-        F.when(cut_off(code), _finding("no_placeholder_text", "PySpark code appears truncated (ends mid-expression)")),
+        F.when(cut_off(code), _finding("no_placeholder_text", fv.REASON_CUT_OFF)),
         F.when(share < fv.MIN_ALIGNMENT, _finding("source_pyspark_alignment", low)),
     )
     judged = first.withColumn("_verdict", verdict)
@@ -207,58 +207,47 @@ def train_eval(rows: DataFrame, seed: str, row_id: str, share: float = fv.EVAL_S
 
 
 def prompt_text(lang: Column, difficulty: Column, source: Column, notes: Column | None = None) -> Column:
-    """Instruction prompt. The section headings and their order."""
+    """Instruction prompt of a pair, up to the response."""
     return F.concat(
-        F.lit("### Instruction:\nConvert the following "),
+        F.lit(fv.PROMPT_START),
         F.upper(lang),
-        F.lit(" code to PySpark.\nDifficulty: "),
+        F.lit(fv.PROMPT_DIFFICULTY),
         difficulty,
         F.lit("\n"),
         F.lit("") if notes is None else notes,
-        F.lit("\n### Input:\n"),
+        F.lit(fv.PROMPT_INPUT),
         source,
-        F.lit("\n\n### Response:\n"),
+        F.lit(fv.PROMPT_RESPONSE),
     )
 
 
 def training_text(lang: Column, difficulty: Column, source: Column, code: Column) -> Column:
-    return F.concat(prompt_text(lang, difficulty, source), code, F.lit("\n### End"))
+    return F.concat(prompt_text(lang, difficulty, source), code, F.lit(fv.PROMPT_END))
 
 
 def prompt_notes(flags: Column, context: Column) -> Column:
-    """Review note for at most five flags, then at most three context texts. The wording."""
+    """Review note for at most five flags, then at most three context texts."""
     listed = F.array_join(F.transform(F.slice(flags, 1, 5), lambda f: F.concat(F.lit("- "), f)), "\n")
     flag_note = F.concat(
-        F.lit("\nNote: The following procedural constructs require manual review:\n"),
+        F.lit(fv.PROMPT_FLAGS[0]),
         listed,
-        F.lit("\nAdd a # NOTE comment in your PySpark code for each flagged construct.\n"),
+        F.lit(fv.PROMPT_FLAGS[1]),
     )
-    hints = F.concat(F.lit("\nReference PySpark patterns:\n"), F.array_join(F.slice(context, 1, 3), "\n\n"), F.lit("\n"))
+    hints = F.concat(F.lit(fv.PROMPT_CONTEXT), F.array_join(F.slice(context, 1, 3), "\n\n"), F.lit("\n"))
     return F.concat(
         F.when(F.size(flags) > 0, flag_note).otherwise(""),
         F.when(F.size(context) > 0, hints).otherwise(""),
     )
 
 
-# Section markers of a generated answer and the headings read as such.
-SECTIONS = ("FEATURES", "SOURCE_CODE", "PYSPARK_CODE", "END")
-HEADINGS = (
-    (r"(?i)#{1,4}\s*FEATURES\s*:?", "===FEATURES==="),
-    (r"(?i)#{1,4}\s*SOURCE\s*CODE\s*:?", "===SOURCE_CODE==="),
-    (r"(?i)#{1,4}\s*PYSPARK[_\s]*CODE\s*:?", "===PYSPARK_CODE==="),
-    (r"(?i)#{1,4}\s*END\s*", "===END==="),
-)
-MIN_SECTION_CHARS = 10
-
-
 def parse_answer(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """Features, source and code out of delimited answers; incomplete or too short ones are dropped."""
     text = rules.strip(F.col(raw))
-    for pattern, marker in HEADINGS:
+    for pattern, marker in fv.ANSWER_HEADINGS:
         text = F.regexp_replace(text, pattern, marker)
     marked = rows.withColumn("_text", text)
 
-    any_marker = "===(?:" + "|".join(SECTIONS) + ")==="
+    any_marker = "===(?:" + "|".join(fv.ANSWER_SECTIONS) + ")==="
 
     def section(name):
         return rules.strip(F.regexp_extract("_text", rf"(?s)==={name}===(.*?)(?:{any_marker}|\z)", 1))
@@ -277,7 +266,7 @@ def parse_answer(rows: DataFrame, raw: str = "raw") -> DataFrame:
             "features": F.filter(features, lambda f: f != ""),
         }
     )
-    long_enough = (F.length("source_code") >= MIN_SECTION_CHARS) & (F.length("pyspark_code") >= MIN_SECTION_CHARS)
+    long_enough = (F.length("source_code") >= fv.MIN_SECTION_CHARS) & (F.length("pyspark_code") >= fv.MIN_SECTION_CHARS)
     return out.filter(long_enough).drop("_text")
 
 

@@ -53,22 +53,21 @@ def with_validation(rows: DataFrame) -> DataFrame:
         + last
     )
     error = F.concat(
-        F.lit("SyntaxError at line "), F.col("_syntax.line").cast("string"), F.lit(": "), F.col("_syntax.message")
+        F.lit(fv.ISSUE_SYNTAX_LINE), F.col("_syntax.line").cast("string"), F.lit(": "), F.col("_syntax.message")
     )
-    issues = F.when(blank, F.array(F.lit("Empty PySpark code returned"))).otherwise(
+    issues = F.when(blank, F.array(F.lit(fv.ISSUE_EMPTY))).otherwise(
         F.array_compact(
             F.array(
-                F.when(~F.col("syntax_valid"), F.concat(F.lit("Syntax error: "), F.coalesce(error, F.col("_syntax.message")))),
-                F.when(~F.col("has_session"), "No SparkSession (spark) or DataFrame (df) reference found"),
-                F.when(~F.col("has_operations"), "No DataFrame operations found (.select, .filter, .groupBy, etc.)"),
+                F.when(~F.col("syntax_valid"), F.concat(F.lit(fv.ISSUE_SYNTAX), F.coalesce(error, F.col("_syntax.message")))),
+                F.when(~F.col("has_session"), fv.ISSUE_SESSION),
+                F.when(~F.col("has_operations"), fv.ISSUE_OPERATIONS),
                 F.when(
                     ~F.col("tables_match"),
-                    F.concat(F.lit("Tables from IR not found in PySpark code: "), F.array_join("tables", ", ")),
+                    F.concat(F.lit(fv.ISSUE_TABLES), F.array_join("tables", ", ")),
                 ),
                 F.when(
                     flagged & ~F.col("flags_surfaced"),
-                    "Procedural flags not surfaced as comments in PySpark code — "
-                    "add # NOTE or # TODO comments for manual review items",
+                    fv.ISSUE_FLAGS,
                 ),
             )
         )
@@ -110,23 +109,23 @@ def with_semantics(rows: DataFrame) -> DataFrame:
         - _weight(no_import, 0.05)
     )
     absent = F.filter("tables", lambda t: ~F.contains(F.lower(F.col(CODE)), F.lower(t)))
-    issues = F.when(blank, F.array(F.lit("Empty PySpark code — nothing to review"))).otherwise(
+    issues = F.when(blank, F.array(F.lit(fv.SEMANTIC_EMPTY))).otherwise(
         F.array_compact(
             F.array(
-                F.when(missing > 0, F.concat(F.lit("Tables not referenced: "), F.array_join(absent, ", "))),
-                F.when(no_join, "IR has JOINs but no .join() found in PySpark code"),
-                F.when(no_window, "IR has window functions but no Window spec found in PySpark code"),
+                F.when(missing > 0, F.concat(F.lit(fv.SEMANTIC_TABLES), F.array_join(absent, ", "))),
+                F.when(no_join, fv.SEMANTIC_JOINS),
+                F.when(no_window, fv.SEMANTIC_WINDOWS),
                 F.when(
                     no_blocks,
                     F.concat(
-                        F.lit("Missing transformation blocks — parser found ~"),
+                        F.lit(fv.SEMANTIC_BLOCKS[0]),
                         expected_blocks().cast("string"),
-                        F.lit(" SQL blocks but PySpark only has "),
+                        F.lit(fv.SEMANTIC_BLOCKS[1]),
                         dataframe_chains(F.col(CODE)).cast("string"),
-                        F.lit(" DataFrame chain(s)"),
+                        F.lit(fv.SEMANTIC_BLOCKS[2]),
                     ),
                 ),
-                F.when(no_import, "No imports found — add 'import pyspark.sql.functions as F'"),
+                F.when(no_import, fv.SEMANTIC_IMPORTS),
             )
         )
     )
@@ -184,13 +183,7 @@ def with_risk(rows: DataFrame) -> DataFrame:
     unchecked = rules.matches(F.col(CODE), fv.JOIN_CALL, rules.AS_WRITTEN) & ~rules.any_match(F.col(CODE), fv.NULL_CHECKS, rules.AS_WRITTEN)
 
     def warn(j):
-        return F.concat(
-            F.lit("JOIN on "),
-            j["table"],
-            F.lit(
-                " — no null safety check detected. Add .filter(F.col('join_key').isNotNull()) before join"
-            ),
-        )
+        return F.concat(F.lit(fv.NULL_WARNING[0]), j["table"], F.lit(fv.NULL_WARNING[1]))
 
     named = F.filter("columns", lambda c: F.size(masks.sensitive_words(c)) > 0)
     found = rows.withColumns(
@@ -209,13 +202,9 @@ def with_risk(rows: DataFrame) -> DataFrame:
         + F.when(procedural, flags * 0.5).otherwise(0.0)
     )
     note = F.concat(
-        F.lit("PII columns detected: "),
-        F.array_join("pii_columns", ", "),
-        F.lit(" — apply masking before writing to non-secure storage"),
-    )
-    procedural_note = F.lit(
-        "Procedural migration — manual review of flagged constructs required before production deployment"
+        F.lit(fv.COMPLIANCE_PII[0]), F.array_join("pii_columns", ", "), F.lit(fv.COMPLIANCE_PII[1])
     )
+    procedural_note = F.lit(fv.COMPLIANCE_PROCEDURAL)
     compliance = F.concat(
         F.array_compact(F.array(F.when(F.size("pii_columns") > 0, note))),
         F.col("cost_flags"),
@@ -249,10 +238,13 @@ def clean_output(raw: Column) -> Column:
     def cut(text, marker):
         return F.when(F.contains(text, F.lit(marker)), rules.strip(F.substring_index(text, marker, 1))).otherwise(text)
 
-    text = rules.strip(cut(cut(raw, "### Instruction:"), "### Input:"))
+    text = raw
+    for marker in fv.ECHO_MARKERS:
+        text = cut(text, marker)
+    text = rules.strip(text)
     text = F.regexp_replace(text, r"^(?:```python)?(?:```)?", "")
     text = F.regexp_replace(text, r"```\z", "")
-    for marker in ("### End", "###End", "### Difficulty", "### Instruction"):
+    for marker in fv.TAIL_MARKERS:
         text = cut(text, marker)
     return rules.strip(text)
 

@@ -222,10 +222,6 @@ def lookup(table: dict[str, object], key: Column, default=None) -> Column:
     return out.otherwise(F.lit(default))
 
 
-def _phrase(condition: Column, text: Column) -> Column:
-    return F.when(condition, text)
-
-
 def join_types() -> Column:
     return _distinct_sorted(F.transform("joins", lambda j: j["type"]))
 
@@ -240,31 +236,31 @@ def with_analysis(ir: DataFrame) -> DataFrame:
 
     features = F.array_compact(
         F.array(
-            _phrase(n_joins > 0, F.concat(n_joins.cast("string"), F.lit(" JOIN(s): "), F.array_join(join_types(), ", "))),
-            _phrase(F.size("aggregations") > 0, F.concat(F.lit("Aggregations: "), listed("aggregations"))),
-            _phrase(F.size("window_functions") > 0, F.concat(F.lit("Window functions: "), listed("window_functions"))),
-            _phrase(F.size("ctes") > 0, F.concat(F.lit("CTEs: "), listed("ctes"))),
-            _phrase(F.col("subquery_depth") > 0, F.concat(F.lit("Subquery depth: "), F.col("subquery_depth").cast("string"))),
-            _phrase(F.col("has_udf"), F.lit("UDF detected")),
-            _phrase(F.size("tables") > 0, F.concat(F.lit("Tables: "), listed("tables"))),
-            _phrase(n_flags > 0, F.concat(n_flags.cast("string"), F.lit(" procedural construct(s) flagged"))),
+            F.when(n_joins > 0, F.concat(n_joins.cast("string"), F.lit(fv.FEATURE_JOINS), F.array_join(join_types(), ", "))),
+            F.when(F.size("aggregations") > 0, F.concat(F.lit(fv.FEATURE_AGGREGATES), listed("aggregations"))),
+            F.when(F.size("window_functions") > 0, F.concat(F.lit(fv.FEATURE_WINDOWS), listed("window_functions"))),
+            F.when(F.size("ctes") > 0, F.concat(F.lit(fv.FEATURE_CTES), listed("ctes"))),
+            F.when(F.col("subquery_depth") > 0, F.concat(F.lit(fv.FEATURE_DEPTH), F.col("subquery_depth").cast("string"))),
+            F.when(F.col("has_udf"), F.lit(fv.FEATURE_UDF)),
+            F.when(F.size("tables") > 0, F.concat(F.lit(fv.FEATURE_TABLES), listed("tables"))),
+            F.when(n_flags > 0, F.concat(n_flags.cast("string"), F.lit(fv.FEATURE_FLAGS))),
         )
     )
     risks = F.concat(
         F.array_compact(
             F.array(
-                _phrase(F.size("window_functions") > 0, F.lit("Window functions detected — verify PARTITION BY logic")),
-                _phrase(F.col("subquery_depth") > 1, F.lit("Deep subquery nesting — review restructuring")),
-                _phrase(F.col("has_udf"), F.lit("UDF detected — may need custom PySpark implementation")),
-                _phrase(n_joins > 3, F.lit("Multiple JOINs — verify join order and broadcast hints")),
-                _phrase(F.size("ctes") > 0, F.lit("CTE detected — converts to intermediate DataFrames")),
+                F.when(F.size("window_functions") > 0, F.lit(fv.RISK_WINDOWS)),
+                F.when(F.col("subquery_depth") > 1, F.lit(fv.RISK_DEPTH)),
+                F.when(F.col("has_udf"), F.lit(fv.RISK_UDF)),
+                F.when(n_joins > 3, F.lit(fv.RISK_JOINS)),
+                F.when(F.size("ctes") > 0, F.lit(fv.RISK_CTES)),
             )
         ),
         F.col("procedural_flags"),
     )
     review = F.concat(
-        lookup(fv.REVIEW_TIME, label, "approximately 15 min"),
-        F.when(n_flags > 0, " plus manual review of flagged constructs").otherwise(""),
+        lookup(fv.REVIEW_TIME, label, fv.REVIEW_TIME_UNKNOWN),
+        F.when(n_flags > 0, fv.REVIEW_TIME_FLAGGED).otherwise(""),
     )
     query_text = F.concat_ws(
         " ",
@@ -339,7 +335,7 @@ def complete_ir(ir: DataFrame) -> DataFrame:
     present = set(ir.columns)
     notes, filled = [], {}
     for name, kind in IR_DEFAULTS.items():
-        missing = F.lit(f"Missing required IR field: {name}")
+        missing = F.lit(fv.MISSING_FIELD + name)
         if name not in present:
             notes.append(missing)
             filled[name] = _empty(kind)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewright.functions import fixed_values as fv
 from tidewright.plans.registry import quoted_list
 from tidewright.session import spread, stored_once, table
 
@@ -117,7 +118,7 @@ PAIRS_SQL = (
     + _fill_sql(quoted_list(SCRIPTS) + "[o_orderkey % 24 + 1]")
     + " AS source_code, "
     + _fill_sql(quoted_list(c for c, _ in CODES) + "[(o_orderkey // 24) % 13 + 1]")
-    + " AS pyspark_code, CASE WHEN o_custkey % 3 = 0 THEN 'claude-seed' ELSE 'ollama-bulk' END AS generated_by FROM orders"
+    + f" AS pyspark_code, CASE WHEN o_custkey % 3 = 0 THEN '{fv.ORIGINS[0]}' ELSE '{fv.ORIGINS[1]}' END AS generated_by FROM orders"
 )
 VALID_CODE_SQL = "[" + ", ".join("true" if v else "false" for v in VALID_CODES) + "]"
 
@@ -164,5 +165,5 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
         _fill(_pick(SCRIPTS, template)).alias("source_code"),
         _fill(_pick([c for c, _ in CODES], code)).alias("pyspark_code"),
         F.array(F.lit("feature_a"), F.concat(F.lit("f"), F.col("o_custkey") % 5)).alias("features"),
-        F.when(F.col("o_custkey") % 3 == 0, "claude-seed").otherwise("ollama-bulk").alias("generated_by"),
+        F.when(F.col("o_custkey") % 3 == 0, fv.ORIGINS[0]).otherwise(fv.ORIGINS[1]).alias("generated_by"),
     )

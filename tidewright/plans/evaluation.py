@@ -196,9 +196,9 @@ def j71_first(spark, sf):
 
 @query(
     "j72_scripts_by_prefix",
-    f"""WITH {_RESULTS}, k AS (SELECT substr(source_code, 1, 80) AS key, max(pair_id) AS script_id FROM pr WHERE generated_by = 'claude-seed' GROUP BY 1)
+    f"""WITH {_RESULTS}, k AS (SELECT substr(source_code, 1, 80) AS key, max(pair_id) AS script_id FROM pr WHERE generated_by = '{fv.ORIGINS[0]}' GROUP BY 1)
         SELECT pair_id, script_id FROM results LEFT JOIN k ON substr(source_code, 1, 80) = key""",
 )
 def j72(spark, sf):
-    seeds = corpus.pairs(spark, sf).filter(F.col("generated_by") == "claude-seed")
+    seeds = corpus.pairs(spark, sf).filter(F.col("generated_by") == fv.ORIGINS[0])
     return ev.attach_scripts(results(spark, sf), seeds, "pair_id").select("pair_id", "script_id")

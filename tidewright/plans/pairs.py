@@ -247,11 +247,11 @@ def j47(spark, sf):
 
 @query(
     "j48_example_choice",
-    f"""WITH {_PAIRS}, pool AS (SELECT pair_id AS example_id, source_language, difficulty FROM pr WHERE generated_by = 'claude-seed'
+    f"""WITH {_PAIRS}, pool AS (SELECT pair_id AS example_id, source_language, difficulty FROM pr WHERE generated_by = '{fv.ORIGINS[0]}'
             AND NOT (source_language = 'sql' AND difficulty = 'expert')),
         fine AS (SELECT *, row_number() OVER (PARTITION BY source_language, difficulty ORDER BY example_id) AS place, count(*) OVER (PARTITION BY source_language, difficulty) AS size FROM pool),
         wide AS (SELECT *, row_number() OVER (PARTITION BY source_language ORDER BY example_id) AS place, count(*) OVER (PARTITION BY source_language) AS size FROM pool),
-        req AS (SELECT pair_id, source_language, difficulty, CAST('0x' || substr(md5('x3|' || pair_id), 1, 8) AS BIGINT) AS draw FROM pr WHERE generated_by = 'ollama-bulk')
+        req AS (SELECT pair_id, source_language, difficulty, CAST('0x' || substr(md5('x3|' || pair_id), 1, 8) AS BIGINT) AS draw FROM pr WHERE generated_by = '{fv.ORIGINS[1]}')
         SELECT pair_id, r.source_language, r.difficulty, example_id, true AS same_difficulty FROM req r JOIN fine f
           ON r.source_language = f.source_language AND r.difficulty = f.difficulty AND draw % size + 1 = place
         UNION ALL SELECT pair_id, r.source_language, r.difficulty, example_id, false FROM req r JOIN wide w
@@ -259,9 +259,9 @@ def j47(spark, sf):
 )
 def j48(spark, sf):
     pairs = corpus.pairs(spark, sf)
-    seeds = pairs.filter(F.col("generated_by") == "claude-seed")
+    seeds = pairs.filter(F.col("generated_by") == fv.ORIGINS[0])
     pool = seeds.filter(~((F.col("source_language") == "sql") & (F.col("difficulty") == "expert")))
-    return pr.pick_examples(pairs.filter(F.col("generated_by") == "ollama-bulk"), pool, "x3")
+    return pr.pick_examples(pairs.filter(F.col("generated_by") == fv.ORIGINS[1]), pool, "x3")
 
 
 @query(
