@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidewright.session import cut_lineage
 
 GROUP_LIMIT = 5_000_000
+GROUP_LIMIT_SETTING = "spark.tidewright.groupLimit"
 
 
 @dataclass(frozen=True)
@@ -79,15 +80,18 @@ def ordered_measures(
     order: list[str],
     tie_break: list[str],
     measures: dict[str, Measure],
-    group_limit: int = GROUP_LIMIT,
+    group_limit: int | None = None,
     slices: int | None = None,
 ) -> DataFrame:
     """Add ``measures`` evaluated per ``keys`` group in ``order``.
 
     Ranks and distributions look at ``order`` only, so ties share a value; positional
     measures use ``order`` followed by ``tie_break``, which must make the order total.
-    Both are column names; a leading ``-`` means descending.
+    Both are column names; a leading ``-`` means descending. ``group_limit`` defaults to the
+    session setting ``spark.tidewright.groupLimit``, else five million rows.
     """
+    if group_limit is None:
+        group_limit = int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING, str(GROUP_LIMIT)))
     hot = _hot_groups(df, keys, group_limit)
     if hot is None:
         return _plain(df, keys, order, tie_break, measures)

@@ -11,6 +11,7 @@ from tidewright.functions import fixed_values as fv
 from tidewright.functions import rules
 from tidewright.functions.python_check import python_syntax
 from tidewright.operators import ordered as o
+from tidewright.operators.joins import broadcast_if_small
 from tidewright.operators.ranking import first_per_key
 from tidewright.operators.sampling import hash_order, in_share, quota_sample
 
@@ -184,10 +185,14 @@ def merge_by_priority(rows: DataFrame, text: str, row_id: str, priority: Column)
 
 
 def train_without(rows: DataFrame, test: DataFrame, row_id: str, text: str) -> DataFrame:
-    """All rows that are neither in ``test`` nor share a text start with one of its rows."""
+    """All rows that are neither in ``test`` nor share a text start with one of its rows.
+
+    A test split of the usual size is broadcast, so the training rows are not shuffled at all.
+    """
     keyed = rows.withColumn("_key", source_key(F.col(text)))
     test_keys = test.select(source_key(F.col(text)).alias("_key")).distinct()
-    kept = keyed.join(test.select(row_id), row_id, "left_anti").join(test_keys, "_key", "left_anti")
+    kept = keyed.join(broadcast_if_small(test.select(row_id)), row_id, "left_anti")
+    kept = kept.join(broadcast_if_small(test_keys), "_key", "left_anti")
     return kept.drop("_key")
 
 

@@ -178,6 +178,21 @@ def cost_weight(code: Column) -> Column:
     return total
 
 
+def guidance_flags(code: Column) -> Column:
+    """Two more cost findings, advice only: they carry no weight.
+
+    A frame counts as reused when one assigned name is read at least three times more.
+    """
+    names = F.array_distinct(F.regexp_extract_all(code, F.lit(r"(?m)^\s*(\w+)\s*=\s*.*spark\.(?:read|table|sql)"), F.lit(1)))
+    words = F.regexp_extract_all(code, F.lit(r"\w+"), F.lit(0))
+    reused = F.exists(names, lambda n: F.size(F.filter(words, lambda w: w == n)) > 3)
+    kept = rules.any_match(code, (r"\.cache\(", r"\.persist\("), rules.AS_WRITTEN)
+    writes = rules.matches(code, r"\.write\.", rules.AS_WRITTEN) & ~F.contains(code, F.lit("partitionBy("))
+    return F.array_compact(
+        F.array(F.when(writes, fv.GUIDANCE_UNPARTITIONED_WRITE), F.when(reused & ~kept, fv.GUIDANCE_UNCACHED_REUSE))
+    )
+
+
 def with_risk(rows: DataFrame) -> DataFrame:
     """Sensitive columns, cost flags, null-safety warnings and the combined risk score."""
     unchecked = rules.matches(F.col(CODE), fv.JOIN_CALL, rules.AS_WRITTEN) & ~rules.any_match(F.col(CODE), fv.NULL_CHECKS, rules.AS_WRITTEN)

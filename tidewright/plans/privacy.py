@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.functions import fixed_values as fv
-from tidewright.functions import masks, rules
+from tidewright.functions import masks, rules, sql_functions
 from tidewright.plans import corpus
 from tidewright.plans.registry import query, quote
 from tidewright.session import spread, table
@@ -100,6 +100,21 @@ def j03_columns(spark, sf):
     )
 
 
+@query(
+    "j03_sql_functions",
+    """SELECT c_custkey, '****-****-****-' || right(lpad(CAST(c_custkey AS VARCHAR), 12, '0'), 4) AS card, '****@mail.example.com' AS email,
+       '****' || right(c_name, 4) AS phone, sha256(CAST(c_custkey AS VARCHAR)) AS id_hash, upper(c_mktsegment) AS label FROM customer""",
+)
+def j03_sql(spark, sf):
+    sql_functions.register(spark)
+    return spark.sql(
+        """SELECT c_custkey, mask_card('4111' || lpad(c_custkey, 12, '0')) AS card, mask_email('user' || c_custkey || '@mail.example.com') AS email,
+                  mask_phone(c_name) AS phone, hash_id(CAST(c_custkey AS STRING)) AS id_hash, flag_label(c_mktsegment || ' loop') AS label
+           FROM {customer}""",
+        customer=table(spark, sf, "customer"),
+    )
+
+
 @query(
     "j04_hashed_join",
     """SELECT sha256('s7' || c_custkey) AS customer_hash, c_mktsegment, count(*) AS orders FROM orders JOIN customer ON o_custkey = c_custkey

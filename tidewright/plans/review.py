@@ -153,6 +153,22 @@ def j30(spark, sf):
     return corpus.pairs(spark, sf).select("pair_id", flags.alias("cost_flags"), rv.cost_weight(code).alias("cost"))
 
 
+@query(
+    "j30_guidance_flags",
+    rf"""WITH {_PAIRS}, n AS (SELECT pair_id, pyspark_code AS code, list_distinct(regexp_extract_all(pyspark_code, '(?m)^\s*(\w+)\s*=\s*.*spark\.(?:read|table|sql)', 1)) AS names,
+          regexp_extract_all(pyspark_code, '\w+') AS words FROM pr)
+        SELECT pair_id, regexp_matches(code, '\.write\.') AND NOT contains(code, 'partitionBy(') AS unpartitioned,
+          len(list_filter(names, lambda x: len(list_filter(words, lambda w: w = x)) > 3)) > 0 AND NOT regexp_matches(code, '\.cache\(|\.persist\(') AS uncached FROM n""",
+)
+def j30_guidance(spark, sf):
+    flags = corpus.pairs(spark, sf).select("pair_id", rv.guidance_flags(F.col("pyspark_code")).alias("f"))
+    return flags.select(
+        "pair_id",
+        F.array_contains("f", fv.GUIDANCE_UNPARTITIONED_WRITE).alias("unpartitioned"),
+        F.array_contains("f", fv.GUIDANCE_UNCACHED_REUSE).alias("uncached"),
+    )
+
+
 _WORDS = rf"\b(?:{'|'.join(fv.SENSITIVE_NAMES)})\b"
 _RISK = f"""{_SEMANTIC}, r0 AS (SELECT *, CASE WHEN regexp_matches(code, {quote(fv.JOIN_CALL)}) AND NOT {sql_any('code', fv.NULL_CHECKS, '')} THEN len(joins) ELSE 0 END AS warnings,
     list_sort(list_distinct(regexp_extract_all(lower(source_code), {quote(_WORDS)}))) AS pii FROM s),
