@@ -69,9 +69,14 @@ def source_identifiers(source: Column) -> Column:
 def alignment(source: Column, code: Column) -> Column:
     """Share of the source's identifiers that occur in the code; NULL when there are none."""
     lowered = F.lower(code)
-    words = source_identifiers(source)
-    hits = F.size(F.filter(words, lambda w: F.contains(lowered, w)))
-    return F.when(F.size(words) > 0, hits / F.size(words))
+
+    def count(state, word):
+        hit = F.contains(lowered, word).cast("int")
+        return F.struct((state["n"] + 1).alias("n"), (state["hits"] + hit).alias("hits"))
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("hits"))
+    share = lambda s: F.when(s["n"] > 0, s["hits"] / s["n"])
+    return F.aggregate(source_identifiers(source), start, count, share)
 
 
 def validate_lines(lines: DataFrame) -> DataFrame:

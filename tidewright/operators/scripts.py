@@ -89,12 +89,19 @@ def statement_blocks(source: Column, patterns) -> Column:
     found = F.flatten(F.array(*[rules.all_matches(source, p) for p in patterns]))
     blocks = F.filter(F.transform(found, rules.strip), lambda b: F.length(b) > fv.BLOCK_MIN_CHARS)
 
-    def key(b):
-        return F.substring(b, 1, fv.BLOCK_KEY_CHARS)
+    none = F.array().cast("array<string>")
+
+    # A fold reads the block list once; a filter that looks back at the list would rebuild it
+    # for every block, there being no shared subexpressions inside a lambda.
+    def keep_first(state, block):
+        key = F.substring(block, 1, fv.BLOCK_KEY_CHARS)
+        more = F.struct(
+            F.array_append(state["kept"], block).alias("kept"), F.array_append(state["keys"], key).alias("keys")
+        )
+        return F.when(F.array_contains(state["keys"], key), state).otherwise(more)
 
-    # Keeping position i iff its key first occurs at i is a per-row step; no window over blocks.
-    keys = F.transform(blocks, key)
-    return F.filter(blocks, lambda b, i: F.array_position(keys, key(b)) == i + 1)
+    start = F.struct(none.alias("kept"), none.alias("keys"))
+    return F.aggregate(blocks, start, keep_first, lambda s: s["kept"])
 
 
 def blocks_of(source: Column, lang: Column) -> Column:

@@ -19,16 +19,19 @@ TOP_K = 5
 FETCH_K = 3 * TOP_K
 LABELS = 10
 
+_indexes: dict[tuple[str, str], rt.KeywordIndex] = {}
+
 
 def _documents(spark, sf):
     return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def keyword_index(spark, sf):
-    """The index of the documents; its postings are stored once and shared by the queries below."""
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    stored = stored_once(lambda: rt.postings(spread(docs), "doc_id"), spark, "postings", sf)
-    return rt.keyword_index(docs, "doc_id", stored)
+    """The index of the documents, built once and shared by the queries below."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _indexes:
+        _indexes[key] = rt.keyword_index(_documents(spark, sf), "doc_id")
+    return _indexes[key]
 
 
 @query(
