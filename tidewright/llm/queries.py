@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import exact_dedup
+from tidewright.llm import exact_dedup, packing, token_records
 from tidewright.llm.common import LOWER, UPPER
 from tidewright.session import table
 
@@ -37,3 +37,21 @@ LOWERED = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
 )
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copy_groups(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file; the operators themselves take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), end_id=0)
+
+
+@query("op6_token_records")
+def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = token_records.write_records(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
+    return token_records.digests(token_records.read_records(spark, root), token_records.record_starts(spark, root))
