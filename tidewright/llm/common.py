@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyarrow import fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.session import cut_lineage, scratch_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -104,3 +111,34 @@ def in_filter(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the 64-bit hashes may be in the set."""
     bit = hashes & np.uint64(len(filled) * 64 - 1)
     return (filled[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
+
+
+def chunked(df: DataFrame, columns: dict[str, Column], rows: int) -> DataFrame:
+    """``columns`` of ``df`` and chunk: a name for at most ``rows`` rows of one input file.
+
+    The name follows from where a row is stored, so it is the same in every scan, however splits are cut. What isn't a plain scan
+    of files is written first.
+    """
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = cut_lineage(df.select(*[c.alias(name) for name, c in columns.items()]), "rows")
+        columns = {name: F.col(name) for name in columns}
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    return df.select(*[c.alias(name) for name, c in columns.items()], F.concat_ws("-", F.md5(path), F.floor(row / rows).cast("string")).alias("chunk"))
+
+
+def write_by_chunk(df: DataFrame, label: str) -> str:
+    """Write ``df`` as a folder for each value of chunk under the shared folder; returns the root."""
+    root = scratch_path(df.sparkSession, label)
+    df.repartition("chunk").write.partitionBy("chunk").parquet(root)
+    return root
+
+
+def read_chunk(root: str, chunk: str) -> Iterator[pa.Table]:
+    """In a task: the tables of one chunk, none if it has no rows."""
+    system, path = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+    for info in system.get_file_info(fs.FileSelector(f"{path}/chunk={chunk}", allow_not_found=True)):
+        if info.base_name.endswith(".parquet"):
+            with system.open_input_file(info.path) as source:
+                yield pq.read_table(source)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import exact_dedup, packing, token_records
+from tidewright.llm import byte_bpe, exact_dedup, packing, token_records
 from tidewright.llm.common import LOWER, UPPER
 from tidewright.session import table
 
@@ -55,3 +55,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = token_records.write_records(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), end_id=1)
     return token_records.digests(token_records.read_records(spark, root), token_records.record_starts(spark, root))
+
+
+@query("op8_byte_bpe")
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.encode(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
