@@ -95,9 +95,9 @@ def bit_filter(hashes: DataFrame, column: str, log2_bits: int = 27) -> np.ndarra
     It only ever lets too much through, so callers use it to leave work out before a shuffle and decide exactly
     afterwards. A fuller filter costs time, not rows. The rows fetched are at most ``2**log2_bits / 64`` words.
     """
-    bit = F.col(column).bitwiseAND(F.lit((1 << log2_bits) - 1))
+    bit = f"(`{column}` & {(1 << log2_bits) - 1}L)"
     words = (
-        hashes.select(F.shiftrightunsigned(bit, 6).alias("word"), F.shiftleft(F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int")).alias("bits"))
+        hashes.selectExpr(f"shiftrightunsigned({bit}, 6) AS word", f"shiftleft(1L, CAST({bit} & 63L AS INT)) AS bits")
         .groupBy("word")
         .agg(F.bit_or("bits").alias("bits"))
     )

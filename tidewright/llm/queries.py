@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import byte_bpe, exact_dedup, license_scan, packing, quality, token_records
+from tidewright.llm import byte_bpe, exact_dedup, jaccard_join, license_scan, packing, quality, token_records
 from tidewright.llm.common import LOWER, UPPER
 from tidewright.session import table
 
@@ -73,3 +73,8 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"))
