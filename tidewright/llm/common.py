@@ -114,9 +114,9 @@ def in_filter(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def chunked(df: DataFrame, columns: dict[str, Column], rows: int) -> DataFrame:
-    """``columns`` of ``df`` and chunk: a name for at most ``rows`` rows of one input file.
+    """``columns`` of ``df``, chunk (a name for at most ``rows`` rows of one input file) and row (the place in that file).
 
-    The name follows from where a row is stored, so it is the same in every scan, however splits are cut. What isn't a plain scan
+    Both follow from where a row is stored, so they are the same in every scan, however splits are cut. What isn't a plain scan
     of files is written first.
     """
     try:
@@ -125,7 +125,8 @@ def chunked(df: DataFrame, columns: dict[str, Column], rows: int) -> DataFrame:
         df = cut_lineage(df.select(*[c.alias(name) for name, c in columns.items()]), "rows")
         columns = {name: F.col(name) for name in columns}
     path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-    return df.select(*[c.alias(name) for name, c in columns.items()], F.concat_ws("-", F.md5(path), F.floor(row / rows).cast("string")).alias("chunk"))
+    chunk = F.concat_ws("-", F.md5(path), F.floor(row / rows).cast("string"))
+    return df.select(*[c.alias(name) for name, c in columns.items()], chunk.alias("chunk"), row.alias("row"))
 
 
 def write_by_chunk(df: DataFrame, label: str) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import byte_bpe, exact_dedup, jaccard_join, license_scan, packing, quality, token_records
+from tidewright.llm import byte_bpe, exact_dedup, jaccard_join, license_scan, packing, quality, substring_dedup, token_records
 from tidewright.llm.common import LOWER, UPPER
 from tidewright.session import table
 
@@ -78,3 +78,8 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.near_components(table(spark, sf_dir, "documents"))
+
+
+@query("op10_substring_dedup")
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.removal_digests(table(spark, sf_dir, "documents"))
