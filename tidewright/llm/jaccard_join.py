@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHashes, bit_filter, byte_texts, gram_hashes, in_filter, pieces_of
+from tidewright.llm.common import WordHashes, ascii_lower, bit_filter, byte_texts, gram_hashes, in_filter, pieces_of, whole_text
 from tidewright.llm.graph import components
 from tidewright.session import cut_lineage
 
@@ -240,22 +240,30 @@ def linked_classes(df: DataFrame, counts: np.ndarray, text_col: str = "text", n:
     return components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """One row per row of ``df``: id_col, n_shingles, component_id (smallest id that links reach)."""
+def placed_documents(df: DataFrame, id_col: str, text_col: str, n: int, percent: int) -> DataFrame:
+    """id, cid, n_shingles and low (the smallest id that links reach, or the id itself of a set without words)."""
     rows = cut_lineage(classes(df, id_col, text_col, n), "classes")
     docs = rows.filter(F.col("block").isNull()).select("id", "cid", "n_shingles")
     parts = linked_classes(df, gram_counts(rows.filter(F.col("block").isNotNull())), text_col, n, percent)
-    placed = docs.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("id", "n_shingles", F.coalesce("component", "cid").alias("c"))
+    placed = docs.join(parts.withColumnRenamed("node", "cid"), "cid", "left").select("id", "cid", "n_shingles", F.coalesce("component", "cid").alias("c"))
     placed = cut_lineage(placed, "placed")
     least = placed.filter(F.col("n_shingles") > 0).groupBy("c").agg(F.min("id").alias("low"))
-    return placed.join(least, "c", "left").select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("id")).alias("component_id"))
+    return placed.join(least, "c", "left").select("id", "cid", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("low")).otherwise(F.col("id")).alias("low"))
+
+
+def near_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
+    """One row per row of ``df``: id_col, n_shingles, component_id (smallest id that links reach)."""
+    placed = placed_documents(df, id_col, text_col, n, percent)
+    return placed.select(F.col("id").alias(id_col), "n_shingles", F.col("low").alias("component_id"))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns: those whose id is their component's smallest, of repeated ids all.
+    """The rows of ``df`` that stay, with all their columns: of each component the row with the smallest id, and every text without words.
 
-    Ids must not be null where texts link: a null id stays only if no other id is in its component.
+    A null id stays where no other id is in its component. Rows that repeat an id and its words share the decision.
     """
-    found = near_components(df, id_col, text_col, n, percent)
-    gone = found.filter(~F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__gone")).distinct()
-    return df.join(gone, df[id_col].eqNullSafe(F.col("__gone")), "left_anti")
+    placed = placed_documents(df, id_col, text_col, n, percent)
+    gone = placed.filter(~F.col("id").eqNullSafe(F.col("low"))).select(F.col("id").alias("__id"), F.lower(F.hex("cid")).alias("__class")).distinct()
+    words = F.trim(F.regexp_replace(ascii_lower(whole_text(text_col)), r"[\x20\x09-\x0D]+", " "))  # the words as ``class_of`` joins them
+    same = df[id_col].eqNullSafe(F.col("__id")) & (F.md5(words) == F.col("__class"))
+    return df.join(gone, same, "left_anti")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import byte_bpe, exact_dedup, jaccard_join, license_scan, packing, quality, substring_dedup, token_records
+from tidewright.llm import byte_bpe, exact_dedup, fingerprints, jaccard_join, license_scan, packing, quality, substring_dedup, token_records
 from tidewright.llm.common import LOWER, UPPER
 from tidewright.session import table
 
@@ -83,3 +83,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_substring_dedup")
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.removal_digests(table(spark, sf_dir, "documents"))
+
+
+@query("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
