@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewright.llm import byte_bpe, exact_dedup, fingerprints, jaccard_join, license_scan, packing, quality, substring_dedup, token_records
+from tidewright.llm import (
+    byte_bpe,
+    exact_dedup,
+    fingerprints,
+    jaccard_join,
+    license_scan,
+    packing,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    token_records,
+)
 from tidewright.llm.common import LOWER, UPPER
 from tidewright.session import table
 
@@ -88,3 +99,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_fingerprints")
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op7_suffix_dedup")
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
