@@ -145,3 +145,28 @@ def test_bad_cast_is_null_only_with_try(spark):
     assert [r[0] for r in df.select(F.col("s").try_cast("int")).collect()] == [12, None]
     with pytest.raises(Exception):
         df.select(F.col("s").cast("int")).collect()
+
+
+def test_keep_share_is_exact_at_the_ends(spark):
+    from tidewright.operators import sampling
+
+    df = spark.range(20_000)
+    assert sampling.keep_share(df, 1.0, "s", "id").count() == 20_000
+    assert sampling.keep_share(df, 0.0, "s", "id").count() == 0
+    assert abs(sampling.keep_share(df, 0.5, "s", "id").count() - 10_000) < 300
+    assert sampling.keep_share(spark.range(2_000_000), 1e-5, "s", "id").count() > 0
+    with pytest.raises(ValueError):
+        sampling.keep_share(df, 1.5, "s", "id")
+
+
+def test_hierarchies_end_only_when_nothing_is_left(spark):
+    chain = spark.range(30).selectExpr("id", "CASE WHEN id > 0 THEN id - 1 END AS up")
+    assert hierarchy.descend(chain, "id", "up").count() == 30
+    edges = chain.filter("up IS NOT NULL").selectExpr("up AS src", "id AS dst")
+    start = spark.createDataFrame([(0,)], "node long")
+    assert hierarchy.reach(edges, start).count() == 30
+    with pytest.raises(ValueError):
+        hierarchy.descend(chain, "id", "up", 3)
+    with pytest.raises(ValueError):
+        hierarchy.reach(edges, start, 3)
+    assert hierarchy.descend(chain, "id", "up", 29).count() == 30

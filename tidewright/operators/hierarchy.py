@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewright.session import cut_lineage
 
 
-def descend(nodes: DataFrame, key: str, parent: str, max_depth: int) -> DataFrame:
+def descend(nodes: DataFrame, key: str, parent: str, max_depth: int | None = None) -> DataFrame:
     """Depth and root of every node; roots are the nodes without a parent.
 
+    Goes on until a level is empty. A tree deeper than ``max_depth``, if given, is an error, never a shorter result.
     One join per level instead of a recursive CTE: the CTE stops at a fixed number of rows
     (a million by default) and keeps its levels in executor memory.
     """
@@ -19,26 +22,29 @@ def descend(nodes: DataFrame, key: str, parent: str, max_depth: int) -> DataFram
     roots = tree.filter(F.col("_up").isNull()).select("_id", F.col("_id").alias("root"), F.lit(0).alias("depth"))
     level = cut_lineage(roots, "level")
     found = level
-    for _ in range(max_depth):
+    for depth in count(1):
         above = level.select(F.col("_id").alias("_up"), "root", "depth")
         below = edges.join(above, "_up").select("_id", "root", (F.col("depth") + 1).alias("depth"))
         level = cut_lineage(below, "level")
         if level.isEmpty():
             break
+        if max_depth is not None and depth > max_depth:
+            raise ValueError(f"the tree is deeper than {max_depth}")
         found = found.unionByName(level)
     return found.withColumnRenamed("_id", key)
 
 
-def reach(edges: DataFrame, start: DataFrame, max_steps: int) -> DataFrame:
+def reach(edges: DataFrame, start: DataFrame, max_steps: int | None = None) -> DataFrame:
     """Fewest steps from any start node to every node that can be reached.
 
+    Goes on until nothing new is reached; if that takes more than ``max_steps``, when given, it is an error.
     ``edges(src, dst)``, ``start(node)``. One join per step; the frontier is written to shared
     storage each time, so the plan stays short and a lost executor costs one step at most.
     """
     edges = edges.select("src", "dst").distinct()
     frontier = cut_lineage(start.select("node").distinct().withColumn("step", F.lit(0)), "frontier")
     seen = frontier
-    for step in range(1, max_steps + 1):
+    for step in count(1):
         next_nodes = (
             frontier.join(edges, frontier["node"] == edges["src"])
             .select(F.col("dst").alias("node"))
@@ -49,5 +55,7 @@ def reach(edges: DataFrame, start: DataFrame, max_steps: int) -> DataFrame:
         frontier = cut_lineage(next_nodes, "frontier")
         if frontier.isEmpty():
             break
+        if max_steps is not None and step > max_steps:
+            raise ValueError(f"some nodes are more than {max_steps} steps away")
         seen = seen.unionByName(frontier)
     return seen

@@ -281,7 +281,7 @@ def parse_answer(rows: DataFrame, raw: str = "raw") -> DataFrame:
 
 
 def pick_examples(requests: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
-    """One example per request: of its language and difficulty, else of its language.
+    """One example per request: of its language and difficulty, else of its language, else null.
 
     Each pool is numbered once and a request draws a number from its own hash, so a request
     meets a single example instead of the whole pool.
@@ -303,6 +303,6 @@ def pick_examples(requests: DataFrame, pool: DataFrame, seed: str) -> DataFrame:
     exact = placed.filter(F.col("_fine").isNotNull()).join(fine, ["source_language", "difficulty", "_place"])
     near = placed.filter(F.col("_fine").isNull() & F.col("_wide").isNotNull()).join(wide, ["source_language", "_place"])
     columns = ["pair_id", "source_language", "difficulty", "example_id"]
-    return exact.select(*columns, F.lit(True).alias("same_difficulty")).unionByName(
-        near.select(*columns, F.lit(False).alias("same_difficulty"))
-    )
+    none = placed.filter(F.col("_fine").isNull() & F.col("_wide").isNull()).withColumn("example_id", F.lit(None).cast(pool.schema["example_id"].dataType))
+    parts = [part.select(*columns, F.lit(same).cast("boolean").alias("same_difficulty")) for part, same in ((exact, True), (near, False), (none, None))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -13,12 +13,15 @@ def hash_order(seed: str, id_column: str) -> Column:
 
 
 def keep_share(df: DataFrame, fraction: float, seed: str, id_column: str) -> DataFrame:
-    """Rows whose hash falls in the first ``fraction`` of the range (steps of 1/65536)."""
+    """Rows whose hash falls in the first ``fraction`` of its range (steps of 2**-60): 0 keeps none, 1 keeps all."""
     return df.filter(in_share(fraction, seed, id_column))
 
 
 def in_share(fraction: float, seed: str, id_column: str) -> Column:
-    return F.substring(hash_order(seed, id_column), 1, 4) < F.lit(f"{int(fraction * 65536):04x}")
+    if not 0 <= fraction <= 1:
+        raise ValueError(f"a fraction is between 0 and 1, not {fraction}")
+    place = F.conv(F.substring(F.coalesce(hash_order(seed, id_column), F.md5(F.lit(seed))), 1, 15), 16, 10).cast("long")
+    return place < F.lit(int(fraction * 2**60))
 
 
 def quota_sample(df: DataFrame, strata: list[str], quotas: DataFrame, seed: str, id_column: str) -> DataFrame:

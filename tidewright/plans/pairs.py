@@ -205,7 +205,7 @@ def j44(spark, sf):
 
 @query(
     "j45_train_eval",
-    "SELECT doc_id, CASE WHEN substr(md5('e5|' || doc_id), 1, 4) < '0ccc' THEN 'eval' ELSE 'train' END AS part FROM documents",
+    "SELECT doc_id, CASE WHEN CAST('0x' || substr(md5('e5|' || doc_id), 1, 15) AS BIGINT) < " + str(int(fv.EVAL_SHARE * 2**60)) + " THEN 'eval' ELSE 'train' END AS part FROM documents",
 )
 def j45(spark, sf):
     return pr.train_eval(table(spark, sf, "documents").select("doc_id"), "e5", "doc_id").select("doc_id", "part")
@@ -248,19 +248,20 @@ def j47(spark, sf):
 @query(
     "j48_example_choice",
     f"""WITH {_PAIRS}, pool AS (SELECT pair_id AS example_id, source_language, difficulty FROM pr WHERE generated_by = '{fv.ORIGINS[0]}'
-            AND NOT (source_language = 'sql' AND difficulty = 'expert')),
+            AND NOT (source_language = 'sql' AND difficulty = 'expert') AND source_language <> 'plsql'),
         fine AS (SELECT *, row_number() OVER (PARTITION BY source_language, difficulty ORDER BY example_id) AS place, count(*) OVER (PARTITION BY source_language, difficulty) AS size FROM pool),
         wide AS (SELECT *, row_number() OVER (PARTITION BY source_language ORDER BY example_id) AS place, count(*) OVER (PARTITION BY source_language) AS size FROM pool),
         req AS (SELECT pair_id, source_language, difficulty, CAST('0x' || substr(md5('x3|' || pair_id), 1, 8) AS BIGINT) AS draw FROM pr WHERE generated_by = '{fv.ORIGINS[1]}')
         SELECT pair_id, r.source_language, r.difficulty, example_id, true AS same_difficulty FROM req r JOIN fine f
           ON r.source_language = f.source_language AND r.difficulty = f.difficulty AND draw % size + 1 = place
         UNION ALL SELECT pair_id, r.source_language, r.difficulty, example_id, false FROM req r JOIN wide w
-          ON r.source_language = w.source_language AND draw % size + 1 = place WHERE r.source_language = 'sql' AND r.difficulty = 'expert'""",
+          ON r.source_language = w.source_language AND draw % size + 1 = place WHERE r.source_language = 'sql' AND r.difficulty = 'expert'
+        UNION ALL SELECT pair_id, source_language, difficulty, NULL, NULL FROM req WHERE source_language = 'plsql'""",
 )
 def j48(spark, sf):
     pairs = corpus.pairs(spark, sf)
     seeds = pairs.filter(F.col("generated_by") == fv.ORIGINS[0])
-    pool = seeds.filter(~((F.col("source_language") == "sql") & (F.col("difficulty") == "expert")))
+    pool = seeds.filter(~((F.col("source_language") == "sql") & (F.col("difficulty") == "expert")) & (F.col("source_language") != "plsql"))
     return pr.pick_examples(pairs.filter(F.col("generated_by") == fv.ORIGINS[1]), pool, "x3")
 
 

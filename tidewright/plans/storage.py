@@ -222,9 +222,9 @@ def w117(spark, sf):
     return reduce(DataFrame.unionAll, counts)
 
 
-@query("w118_create_as_select", "SELECT o_orderstatus, count(*) AS orders FROM orders WHERE o_totalprice > 100000 GROUP BY 1")
+@query("w118_create_as_select", "SELECT o_orderstatus, count(*) AS orders FROM orders GROUP BY 1")
 def w118(spark, sf):
-    name = writers.create_table_as(_orders(spark, sf).filter("o_totalprice > 100000"), "large_orders")
+    name = writers.create_table_as(_orders(spark, sf), "order_copy")
     view = fresh_name("status_counts")
     spark.table(name).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders")).createOrReplaceTempView(view)
     return spark.table(view)
