@@ -112,3 +112,27 @@ def test_hive_notes_need_single_spaces(spark):
     df = spark.createDataFrame([("a distribute  by x",), ("a distribute by x",)], "s string")
     found = [r[0] for r in df.select(rules.keyword_hits(F.col("s"), fv.HIVE_NOTES)).collect()]
     assert found == [[], [fv.HIVE_NOTES[0][1]]]
+
+
+@pytest.mark.parametrize(
+    "script, tables",
+    [
+        ("SELECT o.id FROM sales.orders o LEFT SEMI JOIN crm.customers c ON o.cid = c.id", ["customers", "orders"]),
+        ('SELECT id FROM "Orders" JOIN [dbo].[Lines] ON 1 = 1', ["lines", "orders"]),
+        ("SELECT a.x FROM a, s.b AS y , c WHERE a.x IN (1, 2)", ["a", "b", "c"]),
+        ("SELECT EXTRACT(YEAR FROM d), TRIM(BOTH FROM n) FROM t -- from nowhere", ["t"]),
+        ("SELECT 'copied from x' FROM t /* from y */ ORDER BY p, q", ["t"]),
+    ],
+)
+def test_table_names_of_ordinary_sql(spark, script, tables):
+    df = spark.createDataFrame([(1, script)], "script_id int, source string")
+    assert sc.with_features(df).first().tables == tables
+
+
+def test_nested_window_arguments_and_built_ins(spark):
+    sql = "SELECT SUM(COALESCE(a, ABS(b))) OVER (PARTITION BY c), CONCAT(x, REPLACE(y, 'a', 'b')), EXTRACT(YEAR FROM d) FROM t"
+    row = sc.with_features(spark.createDataFrame([(1, sql)], "script_id int, source string")).first()
+    assert row.window_functions == ["SUM"] and not row.has_udf and row.complexity_label == "complex"
+    odd = "SELECT my_score(a) FROM s.t NATURAL JOIN u"
+    row = sc.with_features(spark.createDataFrame([(1, odd)], "script_id int, source string")).first()
+    assert row.has_udf and [(j["type"], j["table"]) for j in row.joins] == [("NATURAL", "u")]

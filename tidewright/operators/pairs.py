@@ -123,7 +123,7 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     share = alignment(source, code)
     low = F.concat(
         F.lit(fv.REASON_ALIGNMENT[0]),
-        F.round(share * 100).cast("int").cast("string"),
+        F.bround(share * 100).cast("int").cast("string"),  # half to even
         F.lit(fv.REASON_ALIGNMENT[1]),
     )
     verdict = F.coalesce(

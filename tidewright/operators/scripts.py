@@ -12,20 +12,40 @@ from pyspark.sql import functions as F
 from tidewright.functions import fixed_values as fv
 from tidewright.functions import rules
 
+# A table name: the last part of a dotted path, each part plain or in one of the dialects' quotes.
+NAME_PATH = r"""(?:["`\[]?\w+["`\]]?\s*\.\s*)*["`\[]?([A-Za-z_]\w*)["`\]]?"""
+_NAME = NAME_PATH.replace("([A-Za-z_]\\w*)", "[A-Za-z_]\\w*")
+FROM_LIST = rf"\bFROM\s+({_NAME}(?:\s+(?:AS\s+)?\w+)?(?:\s*,\s*{_NAME}(?:\s+(?:AS\s+)?\w+)?)*)"
+JOINED = r"\bJOIN\s+" + NAME_PATH
+# Comments, string literals, and calls whose arguments are set apart by FROM.
+NOISE = r"--[^\n]*|/\*.*?\*/|'[^']*'|\b(?:EXTRACT|TRIM|SUBSTRING|OVERLAY)\s*\([^()]*\)"
 JOIN_PATTERN = (
-    r"\b(?:((?:LEFT|RIGHT|FULL)(?:\s+OUTER)?|INNER|CROSS)\s+)?JOIN\s+([A-Za-z_]\w*)"
+    r"\b(?:((?:NATURAL\s+)?(?:LEFT|RIGHT|FULL)(?:\s+(?:OUTER|SEMI|ANTI))?|INNER|CROSS|NATURAL|SEMI|ANTI)\s+)?JOIN\s+" + NAME_PATH +
     r"(?:(?:\s+(?:AS\s+)?[A-Za-z_]\w*)?\s+ON\s+\(?([\w.]+\s*=\s*[\w.]+))?"
 )
 CTE_PATTERN = r"\b([A-Za-z_]\w*)\s+AS\s*\(\s*(?:SELECT|WITH)\b"
 CALL_PATTERN = r"\b([A-Za-z_]\w*)\s*\("
 QUALIFIED_PATTERN = r"\b[A-Za-z_]\w*\.([A-Za-z_]\w*)"
-WINDOW_PATTERN = r"\b(" + "|".join(fv.WINDOW_FUNCTIONS + fv.AGGREGATES) + r")\s*\([^()]*\)\s*OVER\b"
+# Arguments may hold calls, three levels deep.
+ARGUMENTS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
+WINDOW_PATTERN = r"\b(" + "|".join(fv.WINDOW_FUNCTIONS + fv.AGGREGATES) + rf")\s*{ARGUMENTS}\s*OVER\b"
 AGGREGATE_PATTERN = r"\b(" + "|".join(fv.AGGREGATES) + r")\s*\("
 NOT_CALLS = (
     "in", "values", "and", "or", "on", "as", "over", "from", "where", "exists", "not", "when", "then", "else", "by",
     "table", "explode", "transform", "tablesample", "using", "varchar", "varchar2", "nvarchar", "number", "decimal",
     "char", "varray", "openrowset", "raiserror", "is",
 )
+# Public built-in functions of the four dialects that the common list leaves out.
+BUILT_IN = (
+    "concat", "concat_ws", "replace", "greatest", "least", "power", "sqrt", "exp", "ln", "log", "mod", "sign", "ceiling",
+    "ltrim", "rtrim", "lpad", "rpad", "instr", "position", "reverse", "repeat", "left", "right", "len", "initcap", "ascii",
+    "extract", "year", "month", "day", "hour", "minute", "second", "date_add", "date_sub", "add_months", "months_between",
+    "last_day", "to_char", "to_number", "to_timestamp", "sysdate", "getdate", "current_timestamp", "trunc", "nvl", "nvl2",
+    "decode", "if", "iif", "isnull", "case", "try_cast", "stddev", "variance", "median", "string_agg", "listagg",
+    "group_concat", "collect_list", "collect_set", "array_agg", "percent_rank", "cume_dist", "nth_value", "regexp_replace",
+    "regexp_extract", "regexp_like", "split", "size", "map", "array", "struct", "named_struct", "unix_timestamp",
+    "from_unixtime", "date_format", "get_json_object", "grouping", "approx_count_distinct", "percentile", "rand", "hash", "md5",
+)
 PAREN_TOKEN = r"(?:\b(?:AS|EXISTS)\s*\(\s*(?:SELECT|WITH)\b|\(\s*SELECT\b|\(|\))"
 
 
@@ -84,6 +104,18 @@ def tables_read(source: Column) -> Column:
     return F.array_distinct(rules.all_matches(F.lower(source), fv.TABLE_READ, flags=rules.AS_WRITTEN))
 
 
+def without_noise(text: Column) -> Column:
+    """Text without comments, string literals and calls that use FROM between their arguments."""
+    return F.regexp_replace(text, rules.ANYWHERE + NOISE, " ")
+
+
+def table_names(text: Column) -> Column:
+    """Lower-case names after FROM (comma lists too) and JOIN, without schema and quotes."""
+    lists = rules.all_matches(text, FROM_LIST)
+    listed = F.flatten(F.transform(lists, lambda names: F.transform(F.split(names, ","), lambda n: F.regexp_extract(n, r"^\s*" + NAME_PATH, 1))))
+    return F.transform(F.concat(listed, rules.all_matches(text, JOINED)), F.lower)
+
+
 def statement_blocks(source: Column, patterns) -> Column:
     """Embedded statements in pattern order; the first of those sharing a 50-character start stays."""
     found = F.flatten(F.array(*[rules.all_matches(source, p) for p in patterns]))
@@ -134,7 +166,7 @@ def calls_unknown(text: Column) -> Column:
     """True if a function that is neither built in nor a keyword is called."""
     bare = F.regexp_replace(text, r"(?i)\b(?:INTO|TABLE|PROCEDURE|FUNCTION)\s+\w+\s*\(|\)\s*\w+\s*\(", " ")
     names = F.transform(rules.all_matches(bare, CALL_PATTERN), F.lower)
-    known = F.array(*[F.lit(n) for n in fv.KNOWN_FUNCTIONS + NOT_CALLS])
+    known = F.array(*[F.lit(n) for n in fv.KNOWN_FUNCTIONS + NOT_CALLS + BUILT_IN])
     return F.size(F.array_except(names, known)) > 0
 
 
@@ -174,11 +206,11 @@ def with_features(scripts: DataFrame, source: str = "source") -> DataFrame:
     units = labelled.withColumns(
         {
             "procedural_flags": procedural_flags(text, lang),
-            "units": blocks_of(text, lang),
+            "units": F.transform(blocks_of(text, lang), without_noise),
             "temp_tables": F.when(lang == "stored_procedure", temp_tables(text)).otherwise(F.array().cast("array<string>")),
         }
     )
-    read = _over_units(lambda u: rules.all_matches(F.lower(u), fv.TABLE_READ, flags=rules.AS_WRITTEN))
+    read = _over_units(table_names)
     cte_names = _over_units(lambda u: F.transform(rules.all_matches(u, CTE_PATTERN), F.lower))
     featured = units.withColumns(
         {

@@ -65,7 +65,7 @@ _VERDICT_SQL = f"""{_PAIRS}, b AS (SELECT pair_id, pair_id % 23 AS kind, code_id
      WHEN NOT {sql_any('code', fv.DATASET_OPERATIONS, '')} THEN ['dataframe_operations', 'No DataFrame operations found in pyspark_code']
      WHEN {_MARKER} IS NOT NULL THEN ['no_placeholder_text', 'Placeholder text found: ''' || {_MARKER} || '''']
      WHEN {_CUT} THEN ['no_placeholder_text', 'PySpark code appears truncated (ends mid-expression)']
-     WHEN {_ALIGN} < 0.15 THEN ['source_pyspark_alignment', 'Low alignment between source and pyspark (' || CAST(round({_ALIGN} * 100) AS INTEGER) || '% of source tokens found in output)']
+     WHEN {_ALIGN} < 0.15 THEN ['source_pyspark_alignment', 'Low alignment between source and pyspark (' || CAST(round_even({_ALIGN} * 100, 0) AS INTEGER) || '% of source tokens found in output)']
      END AS verdict FROM b)"""
 
 

@@ -61,10 +61,11 @@ _BLOCKS = f"""blk AS (SELECT script_id, unnest(b) AS block, generate_subscripts(
   firsts AS (SELECT script_id, block, pos FROM (SELECT *, row_number() OVER (PARTITION BY script_id, substr(block, 1, 50) ORDER BY pos) AS rn FROM blk)
     WHERE rn = 1)"""
 _UNITS = f"""{_LABELLED}, {_BLOCKS},
-  units AS (SELECT script_id, source AS unit FROM labelled WHERE source_language IN ('sql', 'hiveql') UNION ALL SELECT script_id, block FROM firsts)"""
+  units AS (SELECT script_id, regexp_replace(unit, {quote('(?is)' + sc.NOISE)}, ' ', 'g') AS unit FROM
+    (SELECT script_id, source AS unit FROM labelled WHERE source_language IN ('sql', 'hiveql') UNION ALL SELECT script_id, block FROM firsts))"""
 
 _BARE = r"regexp_replace(unit, '(?i)\b(?:INTO|TABLE|PROCEDURE|FUNCTION)\s+\w+\s*\(|\)\s*\w+\s*\(', ' ', 'g')"
-_KNOWN = "[" + ", ".join(quote(n) for n in fv.KNOWN_FUNCTIONS + sc.NOT_CALLS) + "]"
+_KNOWN = "[" + ", ".join(quote(n) for n in fv.KNOWN_FUNCTIONS + sc.NOT_CALLS + sc.BUILT_IN) + "]"
 # Nesting depth is fixed by the script text: stated per text, not computed a second time.
 _DEPTHS = "[0,0,0,0,3,0, 0,0,0,0,0,0, 0,0,0,0,0,0, 0,0,0,0,0,0]"
 
@@ -75,7 +76,8 @@ def _sql_list(name: str, element: str) -> str:
 
 _IR = f"""{_UNITS},
   per_unit AS (SELECT script_id,
-    {sql_all('lower(unit)', fv.TABLE_READ, flags='')} AS t, list_transform({sql_all('unit', sc.CTE_PATTERN)}, lambda x: lower(x)) AS c,
+    list_transform(list_concat(flatten(list_transform({sql_all('unit', sc.FROM_LIST)}, lambda names: list_transform(string_split(names, ','),
+      lambda n: regexp_extract(n, {quote(chr(94) + chr(92) + 's*' + sc.NAME_PATH)}, 1)))), {sql_all('unit', sc.JOINED)}), lambda x: lower(x)) AS t, list_transform({sql_all('unit', sc.CTE_PATTERN)}, lambda x: lower(x)) AS c,
     list_transform({sql_all('unit', sc.AGGREGATE_PATTERN)}, lambda x: upper(x)) AS a, list_transform({sql_all('unit', sc.WINDOW_PATTERN)}, lambda x: upper(x)) AS w,
     list_transform(list_zip({sql_all('unit', sc.JOIN_PATTERN, 1)}, {sql_all('unit', sc.JOIN_PATTERN, 2)}, {sql_all('unit', sc.JOIN_PATTERN, 3)}),
       lambda j: CASE WHEN coalesce(j[1], '') = '' THEN 'JOIN' ELSE upper(regexp_replace(j[1], '\\s+', ' ', 'g')) END || '>' || lower(j[2]) || '>' || coalesce(j[3], '')) AS j,
