@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 BUCKETS = 1 << 17
 DIM = 8
-EPOCHS = 6
+#: Documents that learning steps through, however many are labelled: few are gone through more often.
+STEPS = 15_000
 RATE = 0.5
 #: Most labelled rows that are learned from.
 SAMPLE = 3000
@@ -84,7 +85,7 @@ class Model:
         return float(self.bias[1] - self.bias[0])
 
 
-def train(documents: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, seed: int = 1) -> Model:
+def train(documents: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BUCKETS, dim: int = DIM, steps: int = STEPS, rate: float = RATE, seed: int = 1) -> Model:
     """documents: distinct buckets, their counts and the label of each."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
@@ -93,22 +94,23 @@ def train(documents: list[tuple[np.ndarray, np.ndarray, int]], buckets: int = BU
     if len(set(labels)) < 2:
         share = min(max(sum(labels) / len(labels), 1e-6), 1 - 1e-6) if labels else 0.5
         return Model(np.zeros_like(vectors), layer, np.array([0, math.log(share / (1 - share))], np.float32))
-    steps, done = epochs * len(documents), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(documents)):
-            ids, counts, label = documents[i]
-            step = rate * (1 - done / steps)
-            done += 1
-            weights = (counts / max(counts.sum(), 1)).astype(np.float32)
-            mean = weights @ vectors[ids]
-            logits = mean @ layer + bias
-            chance = np.exp(logits - logits.max())
-            wrong = chance / chance.sum()
-            wrong[label] -= 1
-            back = layer @ wrong
-            layer -= step * np.outer(mean, wrong)
-            bias -= step * wrong
-            vectors[ids] -= step * len(ids) ** 0.5 * np.outer(weights, back)
+    order = np.empty(0, np.int64)
+    for done in range(steps):
+        if not len(order):
+            order = rng.permutation(len(documents))
+        ids, counts, label = documents[order[0]]
+        order = order[1:]
+        step = rate * (1 - done / steps)
+        weights = (counts / max(counts.sum(), 1)).astype(np.float32)
+        mean = weights @ vectors[ids]
+        logits = mean @ layer + bias
+        chance = np.exp(logits - logits.max())
+        wrong = chance / chance.sum()
+        wrong[label] -= 1
+        back = layer @ wrong
+        layer -= step * np.outer(mean, wrong)
+        bias -= step * wrong
+        vectors[ids] -= step * len(ids) ** 0.5 * np.outer(weights, back)
     return Model(vectors, layer, bias)
 
 
