@@ -85,7 +85,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
         used = [b for b in range(len(counters) // BLOCK) if counters[b * BLOCK : (b + 1) * BLOCK].any()]
         for b in used:
             counts = counters[b * BLOCK : (b + 1) * BLOCK]
-            width = "u1" if counts.max() < 256 else "<u4"
+            width = "<u2" if counts.max() < 1 << 16 else "<u4"
             yield pa.RecordBatch.from_arrays(
                 [pa.nulls(1, kind), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([b], pa.int32()), pa.array([counts.astype(width).tobytes()], pa.binary())],
                 names=["id", "cid", "n_shingles", "block", "counts"],
@@ -102,14 +102,14 @@ def gram_counts(blocks: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(counts, "u1" if len(counts) == BLOCK else "<u4")
+                own = np.frombuffer(counts, "<u2" if len(counts) == 2 * BLOCK else "<u4")
                 sums[block] = sums.get(block, np.zeros(BLOCK, np.uint64)) + own
-        yield pa.RecordBatch.from_pydict({"block": pa.array(sums.keys(), pa.int32()), "counts": pa.array([s.tobytes() for s in sums.values()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"block": pa.array(sums.keys(), pa.int32()), "counts": pa.array([np.minimum(s, 0xFFFFFFFF).astype("<u4").tobytes() for s in sums.values()], pa.binary())})
 
-    total = np.zeros(1 << LOG2_COUNTERS, np.uint64)
+    total = np.zeros(1 << LOG2_COUNTERS, np.uint32)
     for row in blocks.select("block", "counts").repartition("block").mapInArrow(add, "block int, counts binary").toArrow().to_pylist():
-        total[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] += np.frombuffer(row["counts"], np.uint64)
-    return np.minimum(total, np.iinfo(np.uint32).max).astype(np.uint32)
+        total[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = np.frombuffer(row["counts"], "<u4")
+    return total
 
 
 def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -229,9 +229,10 @@ def linked_classes(df: DataFrame, counts: np.ndarray, text_col: str = "text", n:
     parts = cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
 
     # Entries of lists that still hold more than one component.
-    labelled = met.select("gram", "x", F.col("x.cid").alias("node")).join(parts, "node", "left").select("gram", "x", F.coalesce("component", "node").alias("c")).distinct()
+    entry = met.select("gram", F.col("x.cid").alias("node"), F.struct("x.cid", "x.size", "x.pos").alias("x"))
+    labelled = entry.join(parts, "node", "left").select("gram", "x", F.coalesce("component", "node").alias("c"))
     open_grams = labelled.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("low") != F.col("high")).select("gram")
-    left = labelled.join(open_grams, "gram")
+    left = cut_lineage(labelled.join(open_grams, "gram", "left_semi").distinct(), "open")
     right = left.select("gram", F.col("x").alias("y"), F.col("c").alias("d"))
     second = left.join(right, "gram").filter((F.col("c") < F.col("d")) & may_link("x", "y", percent))
     second = second.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
