@@ -11,12 +11,13 @@ SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from tidewright.session import local_session
+    from tidewright.session import clear_scratch, local_session
 
     session = local_session("4", "tidewright-tests")
     session.sparkContext.setLogLevel("ERROR")
     session.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-ckpt-"))
     yield session
+    clear_scratch(session)
     session.stop()
 
 

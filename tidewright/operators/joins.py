@@ -8,16 +8,19 @@ from pyspark.sql import functions as F
 from tidewright.session import fresh_name, scratch_path
 
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``limit`` rows; reads no more than limit + 1 of them."""
-    return df.limit(limit + 1).count() <= limit
+def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when ``df`` has at most ``limit`` rows and ``limit_bytes`` (written as JSON); reads no more than limit + 1 rows."""
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    rows, written = df.limit(limit + 1).agg(F.count(F.lit(1)), size).first()
+    return rows <= limit and (written or 0) <= limit_bytes
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after a row check; a larger side keeps the shuffle join."""
-    return F.broadcast(df) if small_enough(df, limit) else df
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint after a check of rows and bytes; a larger side keeps the shuffle join."""
+    return F.broadcast(df) if small_enough(df, limit, limit_bytes) else df
 
 
 def small_cross_join(left: DataFrame, right: DataFrame, limit: int = 10_000) -> DataFrame:

@@ -95,7 +95,10 @@ def ordered_measures(
     hot = _hot_groups(df, keys, group_limit)
     if hot is None:
         return _plain(df, keys, order, tie_break, measures)
-    slices = slices or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    if slices is None:  # no slice is planned above the limit, however large the hot groups are
+        rows = hot.agg(F.sum("_n")).first()[0]
+        slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2, -(-rows // group_limit))
+    hot = hot.drop("_n")
     if not keys:
         return _sliced(df, keys, order, tie_break, measures, slices)
     same_group = [F.col(f"l.{k}").eqNullSafe(F.col(f"h.{k}")) for k in keys]
@@ -110,9 +113,8 @@ def ordered_measures(
 
 
 def _hot_groups(df: DataFrame, keys: list[str], group_limit: int) -> DataFrame | None:
-    """Keys holding more than ``group_limit`` rows, or None when there are none."""
+    """Keys holding more than ``group_limit`` rows and their count ``_n``, or None when there are none."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > group_limit)
-    counts = counts.select(*keys) if keys else counts
     return None if counts.isEmpty() else cut_lineage(counts, "hot-groups")
 
 

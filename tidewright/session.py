@@ -77,6 +77,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that this package wrote under the scratch root, when no result that reads it is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tidewright")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
+        del _stored[key]
+
+
 _stored: dict[tuple[str, ...], str] = {}
 
 
