@@ -60,7 +60,7 @@ _VERDICT_SQL = f"""{_PAIRS}, b AS (SELECT pair_id, pair_id % 23 AS kind, code_id
      WHEN kind = 6 THEN ['field_values', 'source_code must be a string'] WHEN kind = 7 THEN ['field_values', 'pyspark_code must be a string']
      WHEN length({sql_strip('src')}) < 15 THEN ['minimum_length', 'source_code too short (' || length({sql_strip('src')}) || ' chars)']
      WHEN length({sql_strip('code')}) < 20 THEN ['minimum_length', 'pyspark_code too short (' || length({sql_strip('code')}) || ' chars)']
-     WHEN NOT {corpus.VALID_CODE_SQL}[code_id + 1] THEN ['pyspark_syntax', CASE code_id WHEN 5 THEN 'PySpark syntax error: line 1: invalid syntax. Perhaps you forgot a comma?'
+     WHEN NOT {corpus.VALID_CODE_SQL}[code_id + 1] THEN ['pyspark_syntax', CASE code_id WHEN 5 THEN 'PySpark syntax error: line 2: ''['' was never closed'
        ELSE 'PySpark syntax error: line 1: invalid syntax' END]
      WHEN NOT {sql_any('code', fv.DATASET_OPERATIONS, '')} THEN ['dataframe_operations', 'No DataFrame operations found in pyspark_code']
      WHEN {_MARKER} IS NOT NULL THEN ['no_placeholder_text', 'Placeholder text found: ''' || {_MARKER} || '''']
