@@ -89,8 +89,8 @@ def pieces_of(texts: list, size_of, limit: int):
         yield slice(start, len(texts))
 
 
-def bit_filter(hashes: DataFrame, column: str, log2_bits: int = 27) -> np.ndarray:
-    """A bit set of fixed size (16 MB for 27) with the bit of every hash in ``column`` set.
+def bit_filter(hashes: DataFrame, column: str, log2_bits: int = 26) -> np.ndarray:
+    """A bit set of fixed size (8 MB for 26) with the bit of every hash in ``column`` set.
 
     It only ever lets too much through, so callers use it to leave work out before a shuffle and decide exactly
     afterwards. A fuller filter costs time, not rows. The rows fetched are at most ``2**log2_bits / 64`` words.

@@ -34,7 +34,7 @@ from tidewright.session import cut_lineage
 N = 5
 #: Links need ``PERCENT`` * union <= 100 * intersection.
 PERCENT = 80
-LOG2_COUNTERS = 22
+LOG2_COUNTERS = 21
 BLOCK = 1 << 16
 #: Documents compared with one leader in a task.
 SLICE = 2000
