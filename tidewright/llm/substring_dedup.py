@@ -107,17 +107,19 @@ def repeated_windows(strings: list[tuple[bytes, int]], window: int) -> dict[byte
 
 
 def count_buckets(kmers: DataFrame, window: int, limit: int) -> DataFrame:
-    """Rows of two kinds: packed null: chunk, doc, start, stop (words) of a repeated span; else windows of a bucket beyond the limit."""
-    names = ["chunk", "doc", "start", "stop", "bucket", "packed"]
-    kinds = (pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    """Rows of two kinds: packed null: a repeated span, words first to stop after each of starts in docs; else windows of a bucket beyond the limit.
+
+    The places of a string stay together in one row, so a passage of very many documents gives few rows.
+    """
+    names = ["chunk", "docs", "starts", "first", "stop", "bucket", "packed"]
+    kinds = (pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), pa.int32(), pa.int64(), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
 
         def spans(packed: bytes, at: tuple, found) -> None:
             chunk, docs, starts = at
-            for first, last in found:
-                out.extend((chunk, d, s + first, s + last + window, None, None) for d, s in zip(docs, starts, strict=True))
+            out.extend((chunk, docs, starts, first, last + window, None, None) for first, last in found)
 
         held: list[tuple[bytes, tuple]] = []
         bucket, overflow = None, False
@@ -135,7 +137,7 @@ def count_buckets(kmers: DataFrame, window: int, limit: int) -> DataFrame:
             words = packed.split(b" ")
             for i in range(len(words) - window + 1):
                 w = b" ".join(words[i : i + window])
-                out.extend((at[0], d, s + i, s + i + window, as_long(w), w) for d, s in zip(at[1], at[2], strict=True))
+                out.append((at[0], at[1], [s + i for s in at[2]], 0, window, as_long(w), w))
 
         for batch in batches:
             columns = [batch.column(i).to_pylist() for i in range(5)]
@@ -172,18 +174,19 @@ def count_buckets(kmers: DataFrame, window: int, limit: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     ordered = kmers.repartition("bucket").sortWithinPartitions("bucket", "packed")
-    return ordered.mapInArrow(run, "chunk string, doc long, start int, stop int, bucket long, packed binary")
+    return ordered.mapInArrow(run, "chunk string, docs array<long>, starts array<int>, first int, stop int, bucket long, packed binary")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, limit: int = HOT) -> DataFrame:
-    """chunk, doc, start, stop: spans of words covered by repeated windows; they may overlap."""
+    """chunk, docs, starts, first, stop: spans of words covered by repeated windows, by the places they share; they may overlap."""
     first = cut_lineage(count_buckets(super_kmers(docs, window, gram, limit), window, limit), "spans")
-    spans = first.filter(F.col("packed").isNull()).select("chunk", "doc", "start", "stop")
+    names = ("chunk", "docs", "starts", "first", "stop")
+    spans = first.filter(F.col("packed").isNull()).select(*names)
     again = first.filter(F.col("packed").isNotNull())
     if again.isEmpty():
         return spans
-    single = again.select("bucket", "packed", "chunk", F.array("doc").alias("docs"), F.array("start").alias("starts"))
-    return spans.unionByName(count_buckets(single, window, limit).select("chunk", "doc", "start", "stop"))
+    single = again.select("bucket", "packed", "chunk", "docs", "starts")
+    return spans.unionByName(count_buckets(single, window, limit).select(*names))
 
 
 class Spans:
@@ -197,8 +200,9 @@ class Spans:
         if chunk != self.chunk:
             self.chunk, self.rows = chunk, {}
             for table in read_chunk(self.root, chunk):
-                for d, start, stop in zip(*(table.column(c).to_pylist() for c in ("doc", "start", "stop")), strict=True):
-                    self.rows.setdefault(d, []).append((start, stop))
+                for docs, starts, first, stop in zip(*(table.column(c).to_pylist() for c in ("docs", "starts", "first", "stop")), strict=True):
+                    for d, s in zip(docs, starts, strict=True):
+                        self.rows.setdefault(d, []).append((s + first, s + stop))
         if doc not in self.rows:
             return None
         stays = np.ones(words, bool)
