@@ -1,7 +1,8 @@
 """Token ids of whole texts by a tokenizer file, with a bounded memory of words seen before.
 
 Both vocabularies used here split a text into words that are encoded on their own, so a word needs encoding once per
-worker. That holds for texts of ASCII and common Latin letters; any other text goes to the library as a whole.
+worker, by the library's model. That holds for texts of ASCII and common Latin letters; any other text goes to the library
+as a whole.
 """
 
 from __future__ import annotations
@@ -17,6 +18,14 @@ import numpy as np
 UNUSUAL = re.compile("[^\t-\r -~\xc0-\xd6\xd8-\xf6\xf8-įı-ɏ]")
 #: The public byte-level split, written for the characters above.
 BYTE_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+")
+#: The split of the lower-casing vocabulary, likewise.
+WORD_LEVEL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:_|[^\s\w])+")
+
+
+def byte_characters() -> dict[int, int]:
+    """The public byte-level alphabet: visible Latin-1 characters stand for themselves, the other bytes for those from 256 on."""
+    others = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b)]
+    return {b: 256 + i for i, b in enumerate(others)}
 
 
 class Encoder:
@@ -31,28 +40,35 @@ class Encoder:
         self.dtype = np.dtype(f"<u{self.width}")
         # Lower-casing tokenizers drop white space too: there words are what white space separates.
         self.by_space = self.tokenizer.encode("A B", add_special_tokens=False).ids == self.tokenizer.encode("a\nb", add_special_tokens=False).ids
+        self.split = WORD_LEVEL.findall if self.by_space else BYTE_LEVEL.findall
+        self.model, self.alphabet = self.tokenizer.model, byte_characters()
         self.known: dict[str, bytes] = {}
         self.limit = limit
 
     def packed(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
-    def words(self, text: str) -> list[str]:
+    def word(self, word: str) -> bytes:
+        """ids of one word of the split, by the library's model."""
+        found = self.known.get(word)
+        if found is None:
+            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
+            found = self.known[word] = self.packed([t.id for t in tokens])
+        return found
+
+    def pieces(self, text: str) -> list[str]:
         return text.lower().split() if self.by_space else BYTE_LEVEL.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [None if UNUSUAL.search(t) else self.words(t) for t in texts]
-        known = self.known
-        missing = list(set().union(*(w for w in words if w is not None)).difference(known))
-        if len(known) + len(missing) > self.limit:
+        pieces = [None if UNUSUAL.search(t) else self.pieces(t) for t in texts]
+        known, distinct = self.known, set().union(*(p for p in pieces if p is not None))
+        if len(known) > self.limit:
             known.clear()
-            missing = list(set().union(*(w for w in words if w is not None)))
-        if missing:
-            for w, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                known[w] = self.packed(e.ids)
+        for piece in distinct.difference(known):
+            known[piece] = b"".join(map(self.word, self.split(piece)))
         return [
-            self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if w is None else b"".join(map(known.__getitem__, w))
-            for t, w in zip(texts, words, strict=True)
+            self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if p is None else b"".join(map(known.__getitem__, p))
+            for t, p in zip(texts, pieces, strict=True)
         ]
 
 
