@@ -3,8 +3,8 @@
 1. Words by chunk. A chunk is a run of rows of one input file, so it names the same rows in every scan. Each chunk gives its
    distinct words.
 2. ``fold`` merges the bytes of each distinct word of the corpus by rank with higher-order functions: while any neighbouring pair has a rank, the
-   lowest (leftmost if tied) is merged. The ranks are a literal: a hash table of the pairs whose concatenation has a
-   rank, two places a pair.
+   lowest (leftmost if tied) is merged. The ranks are a literal: a table of the pairs whose concatenation has a rank, where one
+   look finds a pair.
 3. The words' ids go back to the chunks that hold them, as files by chunk in the shared folder. A task reads the words of its chunks only,
    so what it holds is bounded by a chunk, and texts are never shuffled. A word that is missing there would be merged by the task
    itself, so results do not depend on chunks being cut alike.
@@ -32,7 +32,6 @@ from tidewright.llm.tokens import BYTE_LEVEL, UNUSUAL
 
 LONG_WORD = 64
 CHUNK_ROWS = 10_000
-LOG2_SLOTS = 18
 
 
 def rank_table(path: str) -> dict[bytes, int]:
@@ -51,46 +50,45 @@ def rank_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return pairs
 
 
-#: Factors of the two places a pair may have in the table: any odd numbers will do.
-PLACES = ((40503, 60493), (104729, 31337))
+def displaced_pairs(pairs: dict[tuple[int, int], int], ids: int) -> tuple[list[int], list[int]]:
+    """The pairs in one table without collisions: pair (left, right) is at shift[left] + right, as left << 20 | rank; -1 is empty.
 
+    Each left takes a random shift at which all of its rights fall on empty places, those with most rights first, while the table is
+    emptiest.
+    """
+    rights: dict[int, list[int]] = {}
+    for left, right in pairs:
+        rights.setdefault(left, []).append(right)
+    rng, size = np.random.default_rng(8), 4 * max(len(pairs), 1) + ids
+    taken, slots, shift = np.zeros(size, bool), np.full(size, -1), [0] * ids
+    for left, own in sorted(rights.items(), key=lambda x: (-len(x[1]), x[0])):
+        places = np.array(own)
+        fits = np.empty(0, np.int64)
+        while not len(fits):
+            tries = rng.integers(0, size - ids, 64)
+            fits = tries[~taken[tries[:, None] + places].any(axis=1)]
+        shift[left] = int(fits[0])
+        taken[shift[left] + places] = True
+        slots[shift[left] + places] = [left << 20 | pairs[left, right] for right in own]
+    return shift, slots.tolist()
 
-def hashed_pairs(pairs: dict[tuple[int, int], int], log2_slots: int = LOG2_SLOTS) -> list[int]:
-    """Table with each pair in one of its two places, as left << 40 | right << 20 | rank; -1 is empty."""
-    mask = (1 << log2_slots) - 1
-    table = [-1] * (mask + 1)
 
-    def places(entry: int) -> list[int]:
-        left, right = entry >> 40, entry >> 20 & 0xFFFFF
-        return [(left * x + right * y) % 1_000_003 & mask if i else left * x + right * y & mask for i, (x, y) in enumerate(PLACES)]
+def numbers(values: list[int], kind: str = "int") -> Column:
+    """A literal array; as one string it is a single value for the planner."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-    for (left, right), rank in pairs.items():
-        entry, place = left << 40 | right << 20 | rank, None
-        for _ in range(500):
-            first, second = places(entry)
-            place = second if place == first else first
-            entry, table[place] = table[place], entry
-            if entry < 0:
-                break
-        else:
-            raise ValueError("the rank table needs more slots")
-    return table
 
-
-def fold(word_bytes: Column, ranks: dict[bytes, int], log2_slots: int = LOG2_SLOTS) -> Column:
+def fold(word_bytes: Column, ranks: dict[bytes, int]) -> Column:
     """ids (array<int>) of a word given as the array of its bytes (0 to 255)."""
-    table = F.split(F.lit(",".join(map(str, hashed_pairs(rank_pairs(ranks), log2_slots)))), ",").cast("array<bigint>")
-    of_byte = F.split(F.lit(",".join(str(ranks[bytes([b])]) for b in range(256))), ",").cast("array<bigint>")
-    mask = F.lit((1 << log2_slots) - 1)
+    shift, slots = displaced_pairs(rank_pairs(ranks), max(ranks.values()) + 1)
+    tables = F.struct(numbers(shift).alias("shift"), numbers(slots, "bigint").alias("slots"))
+    of_byte = numbers([ranks[bytes([b])] for b in range(256)])
     none = F.lit(1 << 20)
 
-    def merged(slots: Column, left: Column, right: Column) -> Column:
+    def merged(tables: Column, left: Column, right: Column) -> Column:
         """Rank of the pair, or ``none``."""
-        key = F.shiftleft(left, 20) + right
-        one = F.get(slots, (left * PLACES[0][0] + right * PLACES[0][1]).bitwiseAND(mask).cast("int"))
-        two = F.get(slots, ((left * PLACES[1][0] + right * PLACES[1][1]) % 1_000_003).bitwiseAND(mask).cast("int"))
-        low = F.lit((1 << 20) - 1)
-        return F.when(F.shiftright(one, 20) == key, one.bitwiseAND(low)).when(F.shiftright(two, 20) == key, two.bitwiseAND(low)).otherwise(none)
+        slot = F.get(tables["slots"], F.get(tables["shift"], left) + right)
+        return F.when(F.shiftright(slot, 20) == left, slot.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")).otherwise(none)
 
     def between(slots: Column, parts: Column) -> Column:
         """Rank of each neighbouring pair; there are at least two parts."""
@@ -98,8 +96,8 @@ def fold(word_bytes: Column, ranks: dict[bytes, int], log2_slots: int = LOG2_SLO
 
     def merge_at(slots: Column, parts: Column, low: Column, at: Column, pairs: Column) -> Column:
         n = F.size(parts)
-        before = F.when(at > 1, F.array(merged(slots, F.element_at(parts, at - 1), low))).otherwise(F.array().cast("array<bigint>"))
-        after = F.when(at + 2 <= n, F.array(merged(slots, low, F.element_at(parts, at + 2)))).otherwise(F.array().cast("array<bigint>"))
+        before = F.when(at > 1, F.array(merged(slots, F.element_at(parts, at - 1), low))).otherwise(F.array().cast("array<int>"))
+        after = F.when(at + 2 <= n, F.array(merged(slots, low, F.element_at(parts, at + 2)))).otherwise(F.array().cast("array<int>"))
         return F.struct(
             F.concat(F.slice(parts, 1, at - 1), F.array(low), F.slice(parts, at + 2, n)).alias("parts"),
             F.concat(F.slice(pairs, 1, F.greatest(at - 2, F.lit(0))), before, after, F.slice(pairs, at + 2, n)).alias("pairs"),
@@ -119,13 +117,13 @@ def fold(word_bytes: Column, ranks: dict[bytes, int], log2_slots: int = LOG2_SLO
         return F.aggregate(steps, F.element_at(begun, 1), lambda state, _: step(slots, state), lambda state: state["parts"])
 
     # Bound once by a lambda, the table is in the plan once.
-    many = F.element_at(F.transform(F.array(table), word), 1)
+    many = F.element_at(F.transform(F.array(tables), word), 1)
     return F.when(F.size(word_bytes) > 1, many).otherwise(F.transform(word_bytes, lambda b: F.get(of_byte, b))).cast("array<int>")
 
 
 def bytes_of(word: Column) -> Column:
     """The bytes of a binary column as numbers."""
-    return F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.ascii(c).cast("bigint"))
+    return F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), F.ascii)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -195,14 +193,13 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """One row per row of ``df``: id_col, n_tokens, ids_sha256, decoded_sha256; with ``keep`` also ids (array) and decoded (binary)."""
     spark, ranks = df.sparkSession, rank_table(ranks_path)
     docs = chunked(df, {"id": F.col(id_col), "text": F.col(text_col)}, CHUNK_ROWS)
-    root = write_by_chunk(word_ids(docs, ranks, pattern).select(F.explode("chunks").alias("chunk"), "word", "ids"), "words")
+    root = write_by_chunk(word_ids(docs, ranks, pattern).select(F.explode("chunks").alias("chunk"), "word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids")), "words")
     schema = f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep
     shared = spark.sparkContext.broadcast(ranks)  # a fixed file of 50,000 ranks
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, splitter = shared.value, Splitter(pattern)
-        pieces = {rank: token for token, rank in ranks.items()}
-        digits = {rank: str(rank) for rank in pieces}
+        pieces = {str(rank): token for token, rank in ranks.items()}
         known, current = None, None
         for batch in batches:
             docs, chunks, texts = (batch.column(k).to_pylist() for k in ("id", "chunk", "text"))
@@ -211,13 +208,14 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                 for chunk, text in zip(chunks[part], texts[part], strict=True):
                     if chunk != current:
                         known, current = WordIds(root, chunk, ranks), chunk
-                    ids = np.frombuffer(b"".join(map(known.__getitem__, splitter.words(text or ""))), "<u4").tolist()
+                    decimal = " ".join(map(known.__getitem__, splitter.words(text or "")))
+                    ids = decimal.split()
                     decoded = b"".join(map(pieces.__getitem__, ids))
                     counts.append(len(ids))
-                    shas.append(hashlib.sha256(" ".join(map(digits.__getitem__, ids)).encode()).hexdigest())
+                    shas.append(hashlib.sha256(decimal.encode()).hexdigest())
                     decoded_shas.append(hashlib.sha256(decoded).hexdigest())
                     if keep:
-                        all_ids.append(ids)
+                        all_ids.append(list(map(int, ids)))
                         all_decoded.append(decoded)
                 columns = {
                     "id": pa.array(docs[part], batch.column("id").type),
@@ -233,19 +231,16 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
 
 
 class WordIds(dict):
-    """word -> its ids as packed numbers, for one chunk; other words are merged when they come."""
+    """word -> its ids in decimal, one blank apart, for one chunk; other words are merged when they come."""
 
     def __init__(self, root: str, chunk: str, ranks: dict[bytes, int]):
         super().__init__()
         self.ranks = ranks
         for table in read_chunk(root, chunk):
-            lists = table.column("ids").combine_chunks()
-            flat, ends = lists.flatten().to_numpy().astype("<u4").tobytes(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()) * 4
-            for word, a, b in zip(table.column("word").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                self[word.decode()] = flat[a:b]
+            self.update(zip(table.column("word").cast(pa.string()).to_pylist(), table.column("ids").to_pylist(), strict=True))
 
-    def __missing__(self, word: str) -> bytes:
-        return np.array(merge_long(word.encode(), self.ranks), "<u4").tobytes()
+    def __missing__(self, word: str) -> str:
+        return " ".join(map(str, merge_long(word.encode(), self.ranks)))
 
 
 def decode(ids: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
