@@ -44,6 +44,24 @@ def test_edges(spark):
     assert [tuple(r) for r in suffix_dedup.repeated_passages(alone).collect()] == [(2, 0, 120, 120)]
 
 
+def test_common_ends(spark):
+    """Passages of two documents whose last words are those of hundreds of others."""
+    rng = random.Random(23)
+    word = lambda: f"w{rng.randrange(50_000)}"
+    texts = []
+    for size, tail, others in ((55, 30, 300), (52, 30, 400), (55, 35, 400), (60, 25, 300), (52, 44, 300), (70, 40, 300)) * 3:
+        end = [word() for _ in range(tail)]
+        passage = [word() for _ in range(size - tail)] + end
+        for own in [end] * others + [passage] * 2:
+            texts.append(" ".join([word() for _ in range(30)] + own + [word() for _ in range(rng.randrange(30))]))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = brute_force(rows)
+    assert len(found) == 36
+    assert sorted(map(tuple, suffix_dedup.repeated_passages(df).collect()), key=str) == found
+
+
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.QUERIES["op7_suffix_dedup"](spark, sf).collect()), key=str) == brute_force(rows)
