@@ -70,6 +70,24 @@ def test_license_scan_equals_sql(spark):
     assert license_scan.scan(df.limit(0)).count() == 0
 
 
+def wrapped(text, width):
+    words = text.split()
+    return "\n".join(" ".join(words[i : i + width]) for i in range(0, len(words), width))
+
+
+def test_license_scan_of_wrapped_notices(spark):
+    around = "some words of a text\n" * 5
+    rows = [(text, label, around + wrapped(text.upper(), width) + "\n" + around) for text, label in license_scan.TEMPLATES for width in (1, 3, 5)]
+    part = "Licensed under the Apache\nLicense"  # too little of its template, here and with the words far apart
+    apart = "this work is licensed under the gnu general\n" + "other words\n" * 40 + "public license version 3"
+    inserted = "# redistribution and use in source and\n# binary forms with or extra without\r\n# modification are permitted"
+    rows += [(None, "", part), (None, "", apart), (None, "bsd", inserted), (None, "", "")]
+    df = spark.createDataFrame([(i, text) for i, (_, _, text) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(df).collect()}
+    for i, (template, label, _) in enumerate(rows):
+        assert label in got[i].labels.split(",") and got[i].score == (1.0 if label else 0.0), (template, label, got[i])
+
+
 def test_quality_on_held_out_rows(spark, sf):
     found = queries.QUERIES["op3_quality"](spark, sf.replace("sf0.001", "sf0.01"))
     labels = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/labels.parquet")

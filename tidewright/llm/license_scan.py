@@ -1,10 +1,16 @@
-"""License scan: an exact set-similarity join of the lines of all texts with license templates.
+"""License scan: an exact set-similarity join of the blocks of all texts with license templates.
 
-The tokens of the templates are put in one order, rarest in the corpus first. A template of n tokens asks a line for ``need = ceil(threshold * n)`` of
-them. Such a line holds one of the template's ``n - need + 1`` first tokens (prefix filter), has at least ``need`` template
+A block is a line, or a run of consecutive words wherever lines end, for a template of m words ``ceil(m / threshold)`` of them: so a notice
+that is wrapped over lines is found too.
+
+The tokens of the templates are put in one order, rarest in the corpus first. A template of n tokens asks a block for ``need = ceil(threshold * n)`` of
+them. Such a block holds one of the template's ``n - need + 1`` first tokens (prefix filter), has at least ``need`` template
 tokens (length filter), and from the first token they share on, both have enough tokens left (positional filter). What passes is counted exactly.
 
-The templates are a fixed list, so the join needs no shuffle: each line looks its tokens up in a literal index. Phrases are
+No block holds more of a template than the whole text, so a text's blocks are taken only if its distinct words pass the filters. The runs of words are then
+those that start with a token of a template that passed.
+
+The templates are a fixed list, so the join needs no shuffle: each block looks its tokens up in a literal index. Phrases are
 counted besides, by word position. All of it is column expressions.
 
 Defined results: a null text counts as empty; a text without words has 0 words, null positions, no labels and score 0; rows are
@@ -69,8 +75,18 @@ def line_share(block: Column, template: list[str], threshold: float) -> Column:
     return F.when(passes, F.when(left >= need, F.when(F.size(shared) >= need, F.size(shared) / n))).otherwise(F.lit(0.0))
 
 
+def run_share(words: Column, template: list[str], length: int, threshold: float) -> Column:
+    """Largest share of ``template`` that ``length`` consecutive words hold; 0 below the threshold. A run can as well start with its first token."""
+    n = len(template)
+    tokens = literal(template)
+    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(tokens, F.element_at(words, i)))
+    most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(F.slice(words, i, length), tokens))))
+    return F.when(most >= math.ceil(threshold * n - 1e-9), most / n).otherwise(F.lit(0.0))
+
+
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``df``: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    lengths = [math.ceil(len(text.split()) / threshold - 1e-9) for text, _ in templates]
     sets = [(sorted(set(text.split())), label) for text, label in templates]
     order = token_order(df, sorted({t for tokens, _ in sets for t in tokens}), text_col)
     sets = [(sorted(tokens, key=order.index), label) for tokens, label in sets]
@@ -94,6 +110,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases:
     counted = spaced.select(
         "id",
         "text",
+        "words",
         n_words.alias("n_words"),
         sum(counts[1:], counts[0]).cast("long").alias("n_base"),
         F.least(*firsts).cast("long").alias("first_word"),
@@ -108,7 +125,15 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases:
     blocks = F.transform(F.split("text", "\n"), lambda line: F.array_intersect(ordered, F.split(line, NOT_WORD)))
     shares = F.transform(F.filter(blocks, lambda b: F.size(b) > 0), lambda b: F.array(*[line_share(b, tokens, threshold) for tokens, _ in sets]))
     best = F.aggregate(shares, literal([0.0] * len(sets)), lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
-    matched = counted.withColumn("shares", F.when(possible, best).otherwise(literal([0.0] * len(sets))))
+    listed_words = F.when(possible, F.split(F.trim("words"), " "))
+    whole = counted.withColumn("word_list", listed_words).withColumn("held", F.array_intersect(ordered, F.col("word_list")))
+    passing = whole.withColumn("passing", F.array(*[F.coalesce(line_share(F.col("held"), tokens, threshold), F.lit(0.0)) > 0 for tokens, _ in sets]))
+    runs = [
+        F.when(F.get("passing", F.lit(i)), run_share(F.col("word_list"), tokens, length, threshold)).otherwise(F.lit(0.0))
+        for i, ((tokens, _), length) in enumerate(zip(sets, lengths, strict=True))
+    ]
+    either = F.zip_with(best, F.array(*runs), lambda x, y: F.greatest(x, y))
+    matched = passing.withColumn("shares", F.when(F.array_contains("passing", True), either).otherwise(literal([0.0] * len(sets))))
     found = F.array_compact(F.array(*[F.when(F.get("shares", F.lit(i)) > 0, F.lit(label)) for i, (_, label) in enumerate(sets)]))
     listed = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
     return matched.select(
@@ -124,7 +149,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases:
 
 
 def sql(table: str = "documents") -> str:
-    """The same in DuckDB SQL, without order, filters or index."""
+    """The same in DuckDB SQL, without order, filters or index, for texts whose notices stand in one line each: its blocks are lines only."""
     values = ", ".join(f"(string_split('{text}', ' '), '{label}')" for text, label in TEMPLATES)
     phrases = ", ".join(f"(string_split('{phrase}', ' '), '{label}')" for phrase, label in PHRASES.items())
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
