@@ -83,3 +83,68 @@ def test_edits_stay_near(spark):
     hits = sum(found[i] == found[i + 12] for i in range(12))
     assert hits >= 9 and found[24] == found[0] and found[25] == found[1]
     assert len({found[i] for i in range(12)}) == 12
+
+
+def brute_classes(prints, least):
+    """Smallest member of each component of the pairs that share a band and reach ``least``."""
+    own = [fingerprints.from_text(p) for p in prints]
+    keys = [set(fingerprints.bands(*p)) for p in own]
+    part = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if part[i] != part[j] and keys[i] & keys[j] and fingerprints.likeness(*own[i], *own[j]) >= least:
+                low, high = sorted((part[i], part[j]))
+                part = [low if x == high else x for x in part]
+    return dict(enumerate(part))
+
+
+def test_classes_equal_brute_force(spark, monkeypatch):
+    """Near pairs whose bands all have another, smaller fingerprint that is near to neither; one band is held by many."""
+    rng = np.random.default_rng(3)
+    octaves, size, width = fingerprints.OCTAVES, fingerprints.SAMPLES, fingerprints.BAND
+    made = lambda: rng.integers(2, 16, (octaves, size)).astype(np.uint8)
+    hot = made()[3, :width]
+    prints = []
+    for i in range(30):
+        a = made()
+        a[0, 0] = 9
+        if i < 10:
+            a[3, :width] = hot
+        b, leader = a.copy(), made()
+        for k in range(octaves):
+            for at in range(0, size, width):
+                if (k, at) in ((3, 0), (2, 8)):
+                    leader[k, at : at + width] = a[k, at : at + width]
+                else:
+                    b[k, at + 1] = a[k, at + 1] % 15 + 1
+        leader[0, 0] = 1
+        prints += [a, b, leader]
+    for _ in range(120):
+        prints.append(made())
+        prints[-1][3, :width] = hot
+    prints = [fingerprints.as_text(9, p) for p in prints]
+    wanted = brute_classes(prints, 0.8)
+    assert sum(k != v for k, v in wanted.items()) == 30
+    df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
+    for most in (1000, 25):
+        monkeypatch.setattr(fingerprints, "SLICE", most)
+        assert {r.doc_id: r.class_id for r in fingerprints.near_classes(df).collect()} == wanted
+
+
+def test_likeness_of_many():
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdef gh") for _ in range(900))
+    texts = ["", "a", base[:20], base, base[:300] + base[310:], base[:450], base * 20, base * 20 + "end", base[5:] * 9]
+    last, samples = fingerprints.fingerprints(texts)
+    for x, own in zip(last.tolist(), samples, strict=True):
+        assert fingerprints.likeness_to(x, own, last, samples).tolist() == [fingerprints.likeness(x, own, y, other) for y, other in zip(last.tolist(), samples, strict=True)]
+
+
+def test_query_classes(spark, sf):
+    got = sorted(queries.QUERIES["op4_fingerprints"](spark, sf).collect(), key=lambda r: r.doc_id)
+    wanted = brute_classes([r.fingerprint for r in got], 0.8)
+    alone = {}  # equal fingerprints without a band
+    for i, r in enumerate(got):
+        first = alone.setdefault(r.fingerprint, i)
+        wanted[i] = min(wanted[i], wanted[first])
+    assert [r.class_id for r in got] == [got[wanted[i]].doc_id for i in range(len(got))]

@@ -21,10 +21,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import pieces_of, whole_text
+from tidewright.llm.common import bit_filter, in_filter, pieces_of, whole_text
 from tidewright.llm.graph import components
 from tidewright.session import cut_lineage
 
@@ -37,6 +38,8 @@ BAND = 8
 #: Rows of one range of ids, and most ranges (their bounds are literals).
 RANGE_ROWS = 2000
 MAX_RANGES = 1024
+#: Rows of a band that are compared with as many in a task.
+SLICE = 1000
 
 
 @functools.cache
@@ -223,29 +226,121 @@ def compared(pairs: list[tuple[tuple, tuple]], kind: pa.DataType) -> pa.RecordBa
     return pa.RecordBatch.from_pydict(columns)
 
 
-def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
-    """id_col and class_id (smallest id) of rows with a fingerprint column: bands make candidates, likeness of at least ``least`` verifies them.
+def likeness_to(last: int, samples: np.ndarray, lasts: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """``likeness`` of one fingerprint to each of many."""
+    out = np.ones(len(lasts))
+    none = np.zeros(SAMPLES, np.uint8)
+    for other in np.unique(lasts).tolist():
+        mine = np.flatnonzero(lasts == other)
+        agree, total = np.zeros(len(mine)), np.zeros(len(mine))
+        top = max(last, other)
+        for octave in range(max(BASE, top - OCTAVES + 1), top + 1):
+            k, m = octave - last + OCTAVES - 1, octave - other + OCTAVES - 1
+            if k < 0 or m < 0:
+                continue
+            x = samples[k] if k < OCTAVES else none
+            y = others[mine, m] if m < OCTAVES else np.broadcast_to(none, (len(mine), SAMPLES))
+            weight = float(1 << max(octave - BASE - 1, 0))
+            agree += weight * np.count_nonzero((x == y) & (x > 0), axis=1)
+            total += weight * np.count_nonzero((x > 0) | (y > 0), axis=1)
+        out[mine] = np.where(total > 0, agree / np.maximum(total, 1), 1.0)
+    return out
+
+
+def links_across(nodes: list[bytes], prints: list[bytes], parts: list[bytes], least: float) -> list[tuple[bytes, bytes]]:
+    """Pairs of nodes in different parts whose likeness is at least ``least``."""
+    places = [from_text(p.hex()) for p in prints]
+    lasts, samples = np.array([last for last, _ in places]), np.stack([s for _, s in places])
+    part = np.unique(parts, return_inverse=True)[1]
+    links = []
+    for i in range(len(nodes) - 1):
+        later = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
+        if len(later):
+            near = later[likeness_to(*places[i], lasts[later], samples[later]) >= least]
+            links += [(nodes[i], nodes[j]) for j in near.tolist()]
+    return links
 
-    Equal fingerprints are one class from the start. In each band all are compared with its smallest member, so a band of n rows gives n - 1
-    pairs; links between the others are found through other bands and components.
+
+def linked_prints(prints: DataFrame, least: float) -> DataFrame:
+    """node (md5 of a fingerprint), component of the fingerprints that are near another, of stored rows (fingerprint).
+
+    Pairs come in two rounds: all of a band with its smallest node, so a band of n rows gives n - 1 pairs; then, in bands that still hold several
+    components, all pairs of different ones. A band of more than ``SLICE`` rows is split, and each two of its slices meet in a task. A pair
+    inside a component cannot change the classes. A bit set of the bands held twice leaves the others out before the shuffle.
     """
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keys(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = batch.column(0).to_pylist()
-            own = [(p, b) for p in prints for b in bands(*from_text(p))]
-            yield pa.RecordBatch.from_pydict({"fingerprint": pa.array([p for p, _ in own], pa.string()), "band": pa.array([b for _, b in own], pa.string())})
+            own = {p: np.array([xxhash.xxh3_64_intdigest(b) for b in bands(*from_text(p))], np.uint64) for p in set(batch.column(0).to_pylist())}
+            if bits is not None:
+                own = {p: b[in_filter(bits, b)] for p, b in own.items()}
+            nodes = [hashlib.md5(p.encode()).digest() for p, b in own.items() for _ in range(len(b))]
+            held = np.concatenate([*own.values(), np.empty(0, np.uint64)])
+            yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "band": pa.array(held.view(np.int64))})
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            near = [likeness(*from_text(u), *from_text(v)) >= least for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield batch.filter(pa.array(near, pa.bool_()))
-
-    own = cut_lineage(prints.select(F.col(id_col).alias("id"), "fingerprint"), "prints")
-    banded = own.select("fingerprint").distinct().mapInArrow(keys, "fingerprint string, band string")
-    leaders = banded.groupBy("band").agg(F.min("fingerprint").alias("leader"))
-    pairs = banded.join(leaders, "band").filter(F.col("fingerprint") != F.col("leader")).select(F.col("fingerprint").alias("u"), F.col("leader").alias("v")).distinct()
-    parts = components(pairs.mapInArrow(verify, "u string, v string")).withColumnRenamed("node", "fingerprint")
-    placed = own.join(parts, "fingerprint", "left").select("id", F.coalesce("component", "fingerprint").alias("c"))
-    least_id = placed.groupBy("c").agg(F.min("id").alias("class_id"))
-    return placed.join(least_id, "c").select(F.col("id").alias(id_col), "class_id")
+            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
+            near = [likeness(*from_text(x.hex()), *from_text(y.hex())) >= least for x, y in both]
+            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links() -> pa.RecordBatch:
+            found = links_across(*map(list, zip(*own, strict=True)), least)
+            return pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
+
+        group, own = None, []
+        for batch in batches:
+            for band, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (band, i, j) != group:
+                    if own:
+                        yield links()
+                    group, own = (band, i, j), []
+                own.append(member)
+        if own:
+            yield links()
+
+    texts = prints.select("fingerprint")
+    by_band = texts.mapInArrow(lambda batches: keys(batches, None), "node binary, band long").groupBy("band")
+    shared = cut_lineage(by_band.agg(F.min("node").alias("leader"), F.max("node").alias("high")).filter(F.col("leader") != F.col("high")).select("band", "leader"), "bands")
+    bits = prints.sparkSession.sparkContext.broadcast(bit_filter(shared, "band"))  # of fixed size
+    held = texts.mapInArrow(lambda batches: keys(batches, bits.value), "node binary, band long").distinct()
+    entries = cut_lineage(held.join(shared, "band"), "entries")
+    print_of = texts.select(node_of().alias("node"), F.unhex("fingerprint").alias("print")).dropDuplicates(["node"])
+
+    pairs = entries.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
+    pairs = pairs.join(print_of.select(F.col("node").alias("u"), F.col("print").alias("x")), "u").join(print_of.select(F.col("node").alias("v"), F.col("print").alias("y")), "v")
+    first = cut_lineage(pairs.mapInArrow(verify, "u binary, v binary"), "links")
+    labelled = entries.select("band", "node").join(components(first), "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
+    labelled = cut_lineage(labelled, "labelled")
+    still_open = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    members = labelled.join(still_open.filter(F.col("low") != F.col("high")).select("band", "slices"), "band").join(print_of, "node")
+    mine = F.pmod(F.xxhash64("node"), "slices").cast("int")
+    met = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    met = met.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "print", "c")
+    second = met.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(across, "u binary, v binary").distinct()
+    return components(first.unionByName(second))
+
+
+def node_of() -> Column:
+    return F.unhex(F.md5("fingerprint"))
+
+
+def with_class(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """The stored rows of ``prints`` and class_id, the smallest id of the fingerprints that links reach: bands make candidates, likeness of at least
+    ``least`` verifies them. Equal fingerprints are one class; a null id is the smallest of none."""
+    parts = linked_prints(prints, least)
+    named = prints.select(F.col(id_col).alias("i"), node_of().alias("node")).groupBy("node").agg(F.min("i").alias("i"))
+    named = cut_lineage(named.join(parts, "node", "left").select("node", "i", F.coalesce("component", "node").alias("c")), "classes")
+    classes = named.select("node", "c").join(named.groupBy("c").agg(F.min("i").alias("class_id")), "c").select("node", "class_id")
+    return prints.withColumn("node", node_of()).join(classes, "node").drop("node")
+
+
+def near_classes(prints: DataFrame, least: float = 0.8, id_col: str = "doc_id") -> DataFrame:
+    """id_col and class_id of rows with a fingerprint column (see ``with_class``)."""
+    return with_class(cut_lineage(prints.select(id_col, "fingerprint"), "prints"), least, id_col).select(id_col, "class_id")
+
+
+def classed_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
+    """``edited_fingerprints`` and class_id of each text."""
+    return with_class(cut_lineage(edited_fingerprints(df, id_col, text_col), "prints"), least, id_col)

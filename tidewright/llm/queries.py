@@ -98,7 +98,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_fingerprints")
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints.classed_fingerprints(table(spark, sf_dir, "documents"))
 
 
 @query("op7_suffix_dedup")
