@@ -121,15 +121,17 @@ def each_class(batches: Iterator[pa.RecordBatch], counts: np.ndarray, n: int, pe
     """class, words, size and prefix of each text of a task, equal texts mostly once (the last 100,000 classes are remembered)."""
     hashes, seen = WordHashes(), set()
     for batch in batches:
-        for words in word_lists(byte_texts(batch)):
-            cid = class_of(words)
-            if not words or cid in seen:
-                continue
-            if len(seen) >= 100_000:
-                seen.clear()
-            seen.add(cid)
-            grams = shingles(hashes, words, n)
-            yield cid, words, len(grams), rare_first(grams, counts)[: prefix_length(len(grams), percent)]
+        texts = byte_texts(batch)
+        for part in pieces_of(texts, len, 2_000_000):
+            for words in word_lists(texts[part]):
+                cid = class_of(words)
+                if not words or cid in seen:
+                    continue
+                if len(seen) >= 100_000:
+                    seen.clear()
+                seen.add(cid)
+                grams = shingles(hashes, words, n)
+                yield cid, words, len(grams), rare_first(grams, counts)[: prefix_length(len(grams), percent)]
 
 
 def overlap_needed(a: Column, b: Column, percent: int) -> Column:

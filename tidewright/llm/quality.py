@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewright.llm.common import pieces_of
+
 BUCKETS = 1 << 17
 DIM = 8
 #: Documents that learning steps through, however many are labelled: few are gone through more often.
@@ -169,8 +171,10 @@ def text_scores(model: Model):
         shares = WordShares(contributions)
 
         def score(texts: list[str | None]) -> list[float]:
-            words = [(t or "").split() for t in texts]
-            totals = [sum(map(shares.__getitem__, w), repeats(w) * same + PRIOR * end) for w in words]
+            totals = []
+            for part in pieces_of(texts, lambda t: len(t or ""), 2_000_000):
+                words = [(t or "").split() for t in texts[part]]
+                totals += [sum(map(shares.__getitem__, w), repeats(w) * same + PRIOR * end) for w in words]
             return [1 / (1 + math.exp(-min(max(z.real / z.imag + offset, -700), 700))) for z in totals]
 
         return score
