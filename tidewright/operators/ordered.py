@@ -88,7 +88,8 @@ def ordered_measures(
     Ranks and distributions look at ``order`` only, so ties share a value; positional
     measures use ``order`` followed by ``tie_break``, which must make the order total.
     Both are column names; a leading ``-`` means descending. ``group_limit`` defaults to the
-    session setting ``spark.tidewright.groupLimit``, else five million rows.
+    session setting ``spark.tidewright.groupLimit``, else five million rows; 0 cuts every group
+    into slices, of at most five million rows.
     """
     if group_limit is None:
         group_limit = int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING, str(GROUP_LIMIT)))
@@ -97,7 +98,7 @@ def ordered_measures(
         return _plain(df, keys, order, tie_break, measures)
     if slices is None:  # no slice is planned above the limit, however large the hot groups are
         rows = hot.agg(F.sum("_n")).first()[0]
-        slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2, -(-rows // group_limit))
+        slices = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2, -(-rows // (group_limit or GROUP_LIMIT)))
     hot = hot.drop("_n")
     if not keys:
         return _sliced(df, keys, order, tie_break, measures, slices)
