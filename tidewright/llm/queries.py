@@ -14,6 +14,7 @@ from tidewright.llm import (
     license_scan,
     packing,
     quality,
+    simhash_dedup,
     substring_dedup,
     suffix_dedup,
     token_records,
@@ -104,3 +105,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_suffix_dedup")
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query("op12_simhash_dedup")
+def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_components(table(spark, sf_dir, "documents"))
