@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewright.llm import (
     byte_bpe,
+    collocations,
+    conversation_repair,
     exact_dedup,
     fingerprints,
     jaccard_join,
@@ -107,6 +109,16 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query("op11_collocations", collocations.sql())
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 @query("op12_simhash_dedup")
 def op12_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_components(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.damaged_and_repaired(table(spark, sf_dir, "conversations"))
