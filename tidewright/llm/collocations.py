@@ -440,7 +440,7 @@ def sql(least: int = LEAST, top: int = TOP) -> str:
     """The same by plain counting."""
     return f"""
     WITH pieces AS (
-        SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), w -> w <> '') AS ws
+        SELECT lang, list_filter(string_split_regex(piece, '[ \\t]+'), lambda w: w <> '') AS ws
         FROM (SELECT coalesce(lang, '{NO_GROUP}') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)
     ), places AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM pieces),
     grams AS (
