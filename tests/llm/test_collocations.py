@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tidewright.llm import collocations as co
@@ -70,13 +71,22 @@ def test_nothing_to_find(spark):
 
 def test_many_held_phrases(spark, monkeypatch):
     monkeypatch.setattr(co, "HELD", 20)
+    monkeypatch.setattr(co, "HASHES", 50)
     rows = texts(9, 120)
     df = spark.createDataFrame(rows, "text string, lang string")
-    shards = co.shard_automata(co.named(df, "text", "lang"), 1, [(b"en", b"new")])
+    everything = spark.sparkContext.broadcast(np.full(1 << 20, 2**64 - 1, np.uint64))
+    shards = co.shard_automata(co.named(df, "text", "lang"), [everything], [(b"en", b"new")])
     assert shards.filter("data IS NOT NULL").count() > 1
     assert found(df, least=4, top=50) == brute_force(rows, 4, 50)
 
 
+def test_full_bit_sets_change_nothing(spark, monkeypatch):
+    """A bit set that lets everything through costs work, not rows."""
+    rows = texts(12, 150)
+    monkeypatch.setattr(co, "bit_filter", lambda *_: np.full(1 << 20, 2**64 - 1, np.uint64))
+    assert found(spark.createDataFrame(rows, "text string, lang string"), least=5, top=40) == brute_force(rows, 5, 40)
+
+
 def test_automata():
     rng = random.Random(3)
     keys = {tuple(rng.choice("abcd") for _ in range(rng.randrange(1, 6))): rng.randrange(1, 50) for _ in range(600)}

@@ -2,10 +2,11 @@
 
 Texts are lowered (A-Z), split into pieces at punctuation and line ends, and pieces into words. All counts are by group (a language).
 
-1. Phrases are counted length by length, 1 to ``MOST_WORDS``. A phrase can reach ``least`` occurrences only if the phrases without its last and without its first word do; a bit
-   set of fixed size with those that did leaves the others out (it lets too much through, never too little).
-2. A task sorts what it has counted and adds it, in order, to acyclic automata over words (:class:`Builder`): a path is a phrase, the weights on it add up to its
-   count, states with the same continuations are one. It makes an automaton for each range of phrases, from bounds that are the same for all tasks.
+1. Length by length, 1 to ``MOST_WORDS``, 64-bit hashes of phrases are counted. A phrase can reach ``least`` occurrences only if the phrases without its last and without its
+   first word do, so only such are counted. The hashes that reach ``least`` go into a bit set of fixed size for each length (it lets too much through, never too little).
+2. Then each task spells out and counts, exactly, the phrases that the bit sets let through, sorts them and adds them, in order, to acyclic automata over words (:class:`Builder`): a path is
+   a phrase, the weights on it add up to its count, states with the same continuations are one. It makes an automaton for each range of phrases, from bounds that
+   are the same for all tasks.
 3. The automata of a range meet in one task, which adds them up and makes one automaton of the phrases that reach ``least``.
 4. Each way of cutting a phrase in two asks the automata of the ranges its parts lie in for their counts. Ranges with very many questions are asked in slices.
 5. The rest is columns: the score of each cut by exact integers, the lowest of a phrase, phrases that a longer one of the same count covers go, the best of
@@ -39,8 +40,8 @@ NO_GROUP = "und"
 SAMPLE_ROWS, SAMPLE_WORDS, SAMPLE_KEYS = 2000, 8, 20_000
 #: Ranges for each shuffle partition.
 RANGES = 2
-#: Phrases that a task holds before it makes automata of them.
-HELD = 400_000
+#: Hashes, and phrases, that a task holds before it passes them on.
+HASHES, HELD = 3_000_000, 400_000
 #: Questions to one range that meet in one task.
 SLICE = 100_000
 BREAK = b"\n"
@@ -205,21 +206,54 @@ def phrase_hashes(columns: list[np.ndarray], group: np.ndarray | np.uint64) -> n
     return mix(total ^ group)
 
 
-def count_phrases(numbers: np.ndarray, hashes: np.ndarray, k: int, group: np.uint64, kept: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The distinct runs of k words whose first and last k - 1 words may be frequent, as columns of word numbers, and their counts."""
-    none = [np.empty(0, np.int64)] * k, np.empty(0, np.int64)
-    size = len(numbers) - k + 1
-    if size <= 0:
-        return none
-    shorter = size + 1
-    likely = in_filter(kept, phrase_hashes([hashes[j : j + shorter] for j in range(k - 1)], group))
-    for j in range(k - 1):
-        likely &= numbers[j : j + shorter] > 1
-    at = np.flatnonzero(likely[:-1] & likely[1:])
+class Words:
+    """The words of texts as numbers, remembered from piece to piece up to a limit, and their hashes."""
+
+    def __init__(self, limit: int = 400_000):
+        self.limit, self.hashes = limit, WordHashes()
+        self.numbers, self.of_number = WordNumbers(), np.zeros(0, np.uint64)
+
+    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words of all texts, with breaks between texts, and their hashes."""
+        if len(self.numbers) > self.limit:
+            self.numbers, self.of_number = WordNumbers(), np.zeros(0, np.uint64)
+        words = split_words(BREAK.join(texts))
+        found = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
+        found = found[found > 0]
+        names = self.numbers.names
+        if len(self.of_number) < len(names):
+            self.of_number = np.concatenate([self.of_number, self.hashes.of(names[len(self.of_number) :])])
+        return found, self.of_number[found]
+
+
+def runs(numbers: np.ndarray, hashes: np.ndarray, k: int, group: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """At each place: the hash of the run of k words that starts there, and whether no break lies in it."""
+    size = max(len(numbers) - k + 1, 0)
+    whole = np.ones(size, bool)
+    for j in range(k):
+        whole &= numbers[j : j + size] > 1
+    return phrase_hashes([hashes[j : j + size] for j in range(k)], group), whole
+
+
+def likely_runs(numbers: np.ndarray, hashes: np.ndarray, k: int, group: np.uint64, kept) -> np.ndarray:
+    """Places of the runs of k words whose first and last k - 1 words may be frequent."""
+    if k == 1:
+        return np.flatnonzero(numbers > 1)
+    found, whole = runs(numbers, hashes, k - 1, group)
+    likely = whole & in_filter(kept, found)
+    return np.flatnonzero(likely[:-1] & likely[1:])
+
+
+def counted_runs(numbers: np.ndarray, hashes: np.ndarray, k: int, group: np.uint64, kept) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct runs of k words that may be frequent, as columns of word numbers, and their counts.
+
+    Equal phrases have equal hashes; phrases are told apart by their words, so a chance meeting of hashes only splits a count.
+    """
+    found, whole = runs(numbers, hashes, k, group)
+    at = np.flatnonzero(whole & in_filter(kept, found))
     if not len(at):
-        return none
-    # Equal phrases have equal hashes; phrases are told apart by their words, so a chance meeting of hashes only splits a count.
-    at = at[np.argsort(phrase_hashes([hashes[at + j] for j in range(k)], group))]
+        return [at] * k, at
+    at = at[np.argsort(found[at])]
     columns = [numbers[at + j] for j in range(k)]
     starts = np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)]))
     return [c[starts] for c in columns], np.diff(np.append(starts, len(at)))
@@ -250,12 +284,40 @@ def range_bounds(texts: DataFrame, ranges: int) -> list[tuple]:
     return sorted({keys[len(keys) * r // ranges] for r in range(1, ranges)} if keys else set())
 
 
-def shard_automata(texts: DataFrame, k: int, bounds: list[tuple], kept=None) -> DataFrame:
-    """range, data (an automaton) of what each task has counted of the phrases of k words; group and words (their number) in rows of their own for k = 1."""
+def often_hashes(texts: DataFrame, k: int, kept, least: int) -> DataFrame:
+    """hash of the phrases of k words with ``least`` occurrences or more (and of any that share a hash); ``kept`` is the bit set of k - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, hashes = WordNumbers(), WordHashes()
-        of_number = np.zeros(0, np.uint64)
+        words, held, size = Words(), [], 0
+
+        def flush() -> pa.RecordBatch:
+            found = np.sort(np.concatenate(held))
+            starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+            return pa.RecordBatch.from_pydict({"hash": pa.array(found[starts].view(np.int64)), "n": pa.array(np.diff(np.append(starts, len(found))))})
+
+        for batch in batches:
+            for group, own in grouped_texts(batch):
+                code = group_hash(group)
+                numbers, hashes = words.read(own)
+                at = likely_runs(numbers, hashes, k, code, None if k == 1 else kept.value)
+                if len(at):
+                    held.append(phrase_hashes([hashes[at + j] for j in range(k)], code))
+                    size += len(at)
+                if size > HASHES:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    counted = texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return cut_lineage(counted.filter(F.col("n") >= least).select("hash"), f"often-{k}")
+
+
+def shard_automata(texts: DataFrame, kept: list, bounds: list[tuple]) -> DataFrame:
+    """range, data (an automaton) of the phrases that each task has counted, of 1 to len(kept) words; group and words (their number) in rows of their own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         held: dict[tuple, int] = {}
         totals: dict[bytes, int] = {}
 
@@ -266,25 +328,14 @@ def shard_automata(texts: DataFrame, k: int, bounds: list[tuple], kept=None) ->
 
         for batch in batches:
             for group, own in grouped_texts(batch):
-                if len(numbers) > HELD:
-                    numbers, of_number = WordNumbers(), np.zeros(0, np.uint64)
-                words = split_words(b"\n".join(own))
-                found = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-                del words
-                found = found[found > 0]
-                names = numbers.names
-                if k == 1:
-                    which, counts = np.unique(found[found > 1], return_counts=True)
-                    columns = [which]
-                    totals[group] = totals.get(group, 0) + int(counts.sum())
-                else:
-                    if len(of_number) < len(names):
-                        of_number = np.concatenate([of_number, hashes.of(names[len(of_number) :])])
-                    columns, counts = count_phrases(found, of_number[found], k, group_hash(group), kept.value)
-                spelled = [[names[i] for i in c.tolist()] for c in columns]
-                for *phrase, n in zip(*spelled, counts.tolist(), strict=True):
-                    key = (group, *phrase)
-                    held[key] = held.get(key, 0) + n
+                numbers, hashes = words.read(own)
+                totals[group] = totals.get(group, 0) + int((numbers > 1).sum())
+                for k, bits in enumerate(kept, 1):
+                    columns, counts = counted_runs(numbers, hashes, k, group_hash(group), bits.value)
+                    spelled = [[words.numbers.names[i] for i in c.tolist()] for c in columns]
+                    for *phrase, n in zip(*spelled, counts.tolist(), strict=True):
+                        key = (group, *phrase)
+                        held[key] = held.get(key, 0) + n
                 if len(held) > HELD:
                     yield from flush()
         yield from flush()
@@ -294,15 +345,14 @@ def shard_automata(texts: DataFrame, k: int, bounds: list[tuple], kept=None) ->
     return texts.mapInArrow(run, "range int, data binary, name binary, words long")
 
 
-def united(shards: DataFrame, k: int, least: int) -> DataFrame:
-    """The automaton of each range (range, data), the phrases in it (name, phrase, a, hash) and the word totals of groups (name, words)."""
-    fields = {"range": pa.int32(), "data": pa.binary(), "name": pa.binary(), "phrase": pa.binary(), "a": pa.int64(), "hash": pa.int64(), "words": pa.int64()}
+def united(shards: DataFrame, least: int) -> DataFrame:
+    """The automaton of each range (range, data), the phrases in it (name, phrase, k, a) and the word totals of groups (name, words)."""
+    fields = {"range": pa.int32(), "data": pa.binary(), "name": pa.binary(), "phrase": pa.binary(), "k": pa.int32(), "a": pa.int64(), "words": pa.int64()}
 
     def rows(n: int, **known) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(known[f], t) if f in known else pa.nulls(n, t) for f, t in fields.items()], names=list(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_hashes = WordHashes()
         held: dict[tuple, int] = {}
         own = None
 
@@ -311,12 +361,9 @@ def united(shards: DataFrame, k: int, least: int) -> DataFrame:
             if often:
                 yield rows(1, range=[own], data=[automaton_of(often)])
                 keys = sorted(often)
-                columns = [word_hashes.of([key[1 + j] for key in keys]) for j in range(k)]
-                groups = np.fromiter((group_hash(key[0]) for key in keys), np.uint64, len(keys))
-                found = phrase_hashes(columns, groups).view(np.int64)
                 for at in range(0, len(keys), 10_000):
                     part = keys[at : at + 10_000]
-                    yield rows(len(part), name=[key[0] for key in part], phrase=[b" ".join(key[1:]) for key in part], a=[often[key] for key in part], hash=found[at : at + 10_000])
+                    yield rows(len(part), name=[key[0] for key in part], phrase=[b" ".join(key[1:]) for key in part], k=[len(key) - 1 for key in part], a=[often[key] for key in part])
 
         for batch in batches:
             for r, data, name, words in zip(*(batch.column(c).to_pylist() for c in ("range", "data", "name", "words")), strict=True):
@@ -331,7 +378,7 @@ def united(shards: DataFrame, k: int, least: int) -> DataFrame:
         yield from finish()
 
     met = shards.repartition("range").sortWithinPartitions("range")
-    return met.mapInArrow(run, "range int, data binary, name binary, phrase binary, a long, hash long, words long")
+    return met.mapInArrow(run, "range int, data binary, name binary, phrase binary, k int, a long, words long")
 
 
 # --- scoring
@@ -388,24 +435,17 @@ def collocations(df: DataFrame, text_col: str = "text", group_col: str = "lang",
     if least < 1:
         raise ValueError("least must be 1 or more")
     spark, texts = df.sparkSession, named(df, text_col, group_col)
-    bounds = range_bounds(texts, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    levels, kept = [], None
+    kept = []
     for k in range(1, MOST_WORDS + 1):
-        level = cut_lineage(united(shard_automata(texts, k, bounds, kept), k, least), f"phrases-{k}")
-        levels.append(level)
-        often = level.filter(F.col("hash").isNotNull())
-        if k == MOST_WORDS or often.isEmpty():
+        often = often_hashes(texts, k, kept[-1] if kept else None, least)
+        if often.isEmpty():
             break
-        kept = spark.sparkContext.broadcast(bit_filter(often, "hash"))  # of fixed size
-    totals = levels[0].filter(F.col("words").isNotNull()).groupBy("name").agg(F.sum("words").alias("n"))
-
-    counted = None
-    for k, level in enumerate(levels, 1):
-        own = level.filter(F.col("phrase").isNotNull()).select("name", "phrase", "a", F.lit(k).alias("k"))
-        counted = own if counted is None else counted.unionByName(own)
-    automata = levels[0].filter(F.col("data").isNotNull()).select("range", "data")
-    for level in levels[1:]:
-        automata = automata.unionByName(level.filter(F.col("data").isNotNull()).select("range", "data"))
+        kept.append(spark.sparkContext.broadcast(bit_filter(often, "hash")))  # of fixed size
+    bounds = range_bounds(texts, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = cut_lineage(united(shard_automata(texts, kept, bounds), least), "phrases")
+    totals = found.filter(F.col("words").isNotNull()).groupBy("name").agg(F.sum("words").alias("n"))
+    automata = found.filter(F.col("data").isNotNull()).select("range", "data")
+    counted = found.filter(F.col("phrase").isNotNull()).select("name", "phrase", "k", "a")
     phrases = counted.filter(F.col("k") > 1)
 
     # A longer phrase that covers one with the same count does so through the phrases between them: one word more is enough.
