@@ -28,3 +28,8 @@ def sf():
 
 def rows(df):
     return sorted([tuple(r) for r in df.collect()], key=repr)
+
+
+def formatted_plan(df):
+    """The physical plan with whole file scans; the short form cuts their details."""
+    return df.sparkSession._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")

@@ -170,3 +170,43 @@ def test_hierarchies_end_only_when_nothing_is_left(spark):
     with pytest.raises(ValueError):
         hierarchy.reach(edges, start, 3)
     assert hierarchy.descend(chain, "id", "up", 29).count() == 30
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_key_join_equals_plain(skewed, how):
+    big, small = skewed
+    gaps = big.withColumn("k", F.when(F.col("id") % 7 != 0, F.col("k")))
+    assert rows(joins.hot_key_join(gaps, small, "k", ["id"], 50, how).select("id")) == rows(gaps.join(small, "k", how).select("id"))
+    with pytest.raises(ValueError):
+        joins.hot_key_join(big, small, "k", ["id"], how="full")
+
+
+def test_only_hot_keys_are_repeated(spark, skewed):
+    big, small = skewed
+    hot = joins.hot_keys(big, "k", 50)
+    assert rows(hot) == [(1, 250 + big.filter("id >= 250 AND id % 20 = 1").count())]
+    joined = joins.hot_key_join(big, small, "k", ["id"], 50)
+    assert joined.count() == big.join(small, "k").count()
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1  # the other side only, and there only a key with salts has more than one
+    names = spark.createDataFrame([("x",)] * 40 + [("y",), (None,)], "name string")
+    assert rows(joins.hot_keys(names, "name", 10)) == [("x", 40)]
+    assert joins.hot_keys(names.limit(0), "name", 10).count() == 0
+
+
+def test_rooted_reports_orphans_and_cycles(spark):
+    edges = [(1, None), (2, 1), (3, 2), (4, None), (10, 99), (11, 10), (12, 11), (20, 21), (21, 22), (22, 20), (23, 22), (24, 23), (30, 30)]
+    nodes = spark.createDataFrame(edges, "id long, up long")
+    lost = [(k, None, None, "missing parent") for k in (10, 11, 12)] + [(k, None, None, "cycle") for k in (20, 21, 22, 23, 24, 30)]
+    assert rows(hierarchy.rooted(nodes, "id", "up")) == sorted([(1, 1, 0, None), (2, 1, 1, None), (3, 1, 2, None), (4, 4, 0, None), *lost], key=repr)
+    assert hierarchy.rooted(nodes.limit(0), "id", "up").count() == 0
+
+
+def test_a_deep_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = hierarchy.cut_lineage
+    monkeypatch.setattr(hierarchy, "cut_lineage", lambda df, label: (rounds.append(label), cut(df, label))[1])
+    chain = spark.range(10_000).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("up"))
+    deepest = hierarchy.rooted(chain, "id", "up").agg(F.max("depth"), F.count_if("problem IS NULL")).first()
+    assert tuple(deepest) == (9_999, 10_000)
+    assert len(rounds) < 20

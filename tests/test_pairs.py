@@ -14,9 +14,9 @@ from tidewright.plans import corpus
 GOOD = {
     "source_language": "sql",
     "difficulty": "easy",
-    "source_code": "SELECT berth, MAX(draught) AS deepest FROM vessels GROUP BY berth",
-    "pyspark_code": "vessels = spark.read.table('vessels')\ndeepest = vessels.groupBy('berth').agg(F.max('draught'))",
-    "features": ["aggregation"],
+    "source_code": "DELETE FROM parcels WHERE weight IS NULL AND depot NOT IN (SELECT depot FROM open_depots)",
+    "pyspark_code": "kept = spark.table('parcels').filter('weight is not null').unionByName(late)\nkept.join(spark.table('open_depots'), 'depot', 'left_semi').write.save(out)",
+    "features": ["delete", "anti join"],
     "generated_by": fv.ORIGINS[0],
 }
 CASES = {
@@ -26,13 +26,13 @@ CASES = {
     "features": (json.dumps({**GOOD, "features": "x"}), "field_values"),
     "null code": (json.dumps({**GOOD, "pyspark_code": None}), "field_values"),
     "number code": (json.dumps({**GOOD, "pyspark_code": 5}), "field_values"),
-    "short": (json.dumps({**GOOD, "pyspark_code": "df.show()"}), "minimum_length"),
-    "syntax": (json.dumps({**GOOD, "pyspark_code": "vessels = spark.read.table('vessels')\ndeepest = vessels.select(['berth'"}), "pyspark_syntax"),
-    "no ops": (json.dumps({**GOOD, "pyspark_code": "tides = [3, 1, 4]\nprint('sorted by hand:', sorted(tides))"}), "dataframe_operations"),
-    "todo": (json.dumps({**GOOD, "pyspark_code": GOOD["pyspark_code"] + "\n# TODO: implement the rest"}), "no_placeholder_text"),
-    "suffix": (json.dumps({**GOOD, "pyspark_code": GOOD["pyspark_code"] + "\ncolor"}), "no_placeholder_text"),
+    "short": (json.dumps({**GOOD, "pyspark_code": "df.count()"}), "minimum_length"),
+    "syntax": (json.dumps({**GOOD, "pyspark_code": "spark.table('parcels') drop duplicates on depot"}), "pyspark_syntax"),
+    "no ops": (json.dumps({**GOOD, "pyspark_code": "def weigh(parcel):\n    return parcel.weight or 0"}), "dataframe_operations"),
+    "todo": (json.dumps({**GOOD, "pyspark_code": GOOD["pyspark_code"] + "\n# FIXME: add the other depots"}), "no_placeholder_text"),
+    "suffix": (json.dumps({**GOOD, "pyspark_code": GOOD["pyspark_code"] + "\noperand"}), "no_placeholder_text"),
     "unrelated": (
-        json.dumps({**GOOD, "source_code": "SELECT barometer_qx7 FROM lighthouse_readings_kk", "pyspark_code": "df = spark.read.table('j')\nr = df.select('v')"}),
+        json.dumps({**GOOD, "source_code": "SELECT barometer_qx7 FROM lighthouse_readings_kk", "pyspark_code": "spark.range(9).distinct().show()"}),
         "source_pyspark_alignment",
     ),
     "broken": (json.dumps(GOOD)[:-4], "invalid_json"),
@@ -54,8 +54,8 @@ def test_first_failed_check(verdicts, case):
 def test_blank_lines_and_reasons(verdicts):
     assert "blank" not in verdicts
     assert verdicts["missing"]["reason"] == "Missing fields: pyspark_code"
-    assert verdicts["short"]["reason"] == "pyspark_code too short (9 chars)"
-    assert verdicts["todo"]["reason"] == "Placeholder text found: 'TODO: implement'"
+    assert verdicts["short"]["reason"] == "pyspark_code too short (10 chars)"
+    assert verdicts["todo"]["reason"] == "Placeholder text found: 'FIXME: add'"
     assert verdicts["unrelated"]["reason"].startswith("Low alignment between source and pyspark (0%")
 
 
@@ -79,6 +79,35 @@ def test_short_stratum_gives_all_it_has(spark):
     assert rows(got) == [("a", 2), ("b", 2)]
 
 
+@pytest.mark.parametrize("aim, spare", [(1.5, 4), (0.05, 0)])
+def test_quota_sample_is_the_start_of_the_hash_order(spark, monkeypatch, aim, spare):
+    monkeypatch.setattr(sampling, "AIM", aim)  # the second draw is short of rows at first
+    monkeypatch.setattr(sampling, "SPARE", spare)
+    df = spark.range(6000).withColumn("s", F.when(F.col("id") % 3 == 0, "a").when(F.col("id") < 40, "b").otherwise("c"))
+    quotas = spark.createDataFrame([("a", 50), ("b", 30), ("c", 9)], "s string, quota int")
+    want = {s: sorted(hashed)[:n] for s, n in (("a", 50), ("b", 30), ("c", 9)) for hashed in [[(r.h, r.id) for r in df.filter(F.col("s") == s).withColumn("h", sampling.hash_order("z", "id")).collect()]]}
+    got = sampling.quota_sample(df, ["s"], quotas, "z", "id")
+    assert got.columns == df.columns
+    assert rows(got) == sorted(((i, s) for s, picked in want.items() for _, i in picked), key=repr)
+
+
+def test_few_rows_are_ranked(spark):
+    df = spark.range(50_000).withColumn("s", F.col("id") % 2)
+    wanted = spark.createDataFrame([(0, 400, 25_000, 400), (1, 400, 25_000, 400)], "s long, quota int, _size long, _wanted long")
+    near = df.join(wanted, "s").filter(sampling.place_of("z", "id") < ((sampling.AIM * F.col("quota") + sampling.SPARE) / F.col("_size") * float(2**60)).cast("long"))
+    assert near.count() <= 2 * 800
+
+
+def test_requests_without_a_pool_get_no_example(spark):
+    rows_of = [(1, "sql", "easy"), (2, "sql", "hard"), (3, "plsql", "easy")]
+    requests = spark.createDataFrame(rows_of, "pair_id long, source_language string, difficulty string")
+    pool = spark.createDataFrame([(10, "sql", "easy"), (11, "sql", "easy"), (12, "hiveql", "easy")], "pair_id long, source_language string, difficulty string")
+    got = {r.pair_id: (r.example_id, r.same_difficulty) for r in pr.pick_examples(requests, pool, "s").collect()}
+    assert got[1][0] in (10, 11) and got[1][1] is True
+    assert got[2][0] in (10, 11) and got[2][1] is False
+    assert got[3] == (None, None)
+
+
 def test_merge_prefers_seeds_and_drops_blanks(spark):
     text = "x" * 100
     df = spark.createDataFrame([(1, "bulk", text + "1"), (2, "seed", "  " + text + "2"), (3, "bulk", "   "), (4, "bulk", "other")], "id long, origin string, text string")

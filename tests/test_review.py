@@ -8,15 +8,13 @@ from tidewright.functions.python_check import parse_result
 from tidewright.operators import review as rv
 from tidewright.operators import scripts as sc
 
-GOOD = """
-import pyspark.sql.functions as F
-tides = spark.read.table('tides')
-pilots = spark.read.table('pilots')
-hours = tides.join(pilots, tides.pilot == pilots.pilot, 'inner').groupBy(pilots.licence).agg(F.count(tides.height))
-hours.write.mode('append').saveAsTable('hours_by_licence')
+GOOD = """from pyspark.sql import Window, functions as F
+w = Window.partitionBy('line').orderBy('opened')
+valves = spark.sql('SELECT valve, line, opened FROM valves')
+valves.join(spark.table('lines'), on='line').withColumn('nth', F.row_number().over(w)).where('nth = 1').write.orc('/out/first_valves')
 """
-BAD = "seen = df.collect()\nfor tide in seen:\n    print(tide)\n"
-SQL = "SELECT p.licence, COUNT(t.height) FROM tides t JOIN pilots p ON t.pilot = p.pilot GROUP BY p.licence"
+BAD = "readings = []\nwhile more:\n    readings.extend(source.limit(100).collect())\n"
+SQL = "SELECT valve, ROW_NUMBER() OVER (PARTITION BY line ORDER BY opened) AS nth FROM valves JOIN lines USING (line)"
 
 
 def review(spark, source, code):
@@ -29,7 +27,7 @@ def test_good_code_passes(spark):
     assert row["passed"] and row["validation_score"] == 1.0 and row["semantic_score"] == 1.0
     assert row["lint_score"] == 1.0 and row["status"] == "success" and row["issues"] == []
     assert row["null_warnings"] == [
-        "JOIN on pilots — no null safety check detected. Add .filter(F.col('join_key').isNotNull()) before join"
+        "JOIN on lines — no null safety check detected. Add .filter(F.col('join_key').isNotNull()) before join"
     ]
     assert (row["risk_score"], row["risk_level"], row["manual_review"]) == (0.5, "medium", False)
 
@@ -50,7 +48,7 @@ def test_empty_code(spark, code):
 
 
 def test_syntax_messages():
-    assert parse_result("def foo(:\n    pass")[0] is False
+    assert parse_result("return while")[0] is False
     assert parse_result("x = 1") == (True, None, None)
     assert parse_result("a\0b")[0] is False
     assert parse_result(None) == (None, None, None)

@@ -7,33 +7,28 @@ from tidewright.functions import fixed_values as fv
 from tidewright.functions import rules
 from tidewright.operators import scripts as sc
 
-WINDOW_SQL = """
-    SELECT h.harbour, NTILE(4) OVER (PARTITION BY h.coast ORDER BY h.depth) AS quarter
-    FROM harbours h LEFT JOIN pilots p ON p.harbour = h.harbour"""
-HIVE = """SELECT vessel, cargo FROM manifests LATERAL VIEW EXPLODE(cargo_list) c AS cargo
-    DISTRIBUTE BY vessel SORT BY cargo"""
-PLSQL = """DECLARE draught NUMBER; BEGIN SELECT depth, tide INTO draught FROM harbours; DBMS_OUTPUT.PUT_LINE('sounded');
-    EXCEPTION WHEN NO_DATA_FOUND THEN NULL; END;"""
+HIVE = "SELECT route, halt, minutes FROM timetable LATERAL VIEW OUTER EXPLODE(halts) hs AS halt CLUSTER BY route"
+PLSQL = "BEGIN UPDATE boilers SET pressure = 0 WHERE pressure < 0; DBMS_LOCK.SLEEP(5); DELETE FROM boiler_alarms WHERE cleared = 1; END;"
 
 
 @pytest.fixture(scope="module")
 def features(spark):
     cases = {
-        "simple": "SELECT harbour, coast FROM harbours",
-        "join": "SELECT h.harbour, p.licence FROM harbours h INNER JOIN pilots p ON p.harbour = h.harbour",
-        "window": WINDOW_SQL,
-        "aggregates": "SELECT p.licence, MIN(t.height), SUM(t.hours) FROM tides t JOIN pilots p ON t.pilot = p.pilot GROUP BY p.licence",
+        "simple": "SELECT DISTINCT gauge FROM boilers WHERE pressure >= 9 ORDER BY gauge",
+        "join": "SELECT gauge FROM boilers CROSS JOIN shifts RIGHT OUTER JOIN fitters f ON f.badge = fitter_badge",
+        "window": "SELECT badge, LEAD(started) OVER (ORDER BY started) - started AS gap FROM shifts",
+        "aggregates": "SELECT AVG(pressure), MAX(pressure) FROM boilers HAVING MAX(pressure) > 3",
         "garbage": "%% half a thought, no statement ??",
         "hive": HIVE,
-        "distribute": "SELECT vessel FROM manifests DISTRIBUTE BY berth",
-        "procedure": "CREATE PROCEDURE CloseHarbour AS BEGIN SELECT 2 END",
+        "distribute": "SELECT gauge FROM boilers TABLESAMPLE(5 ROWS) b",
+        "procedure": "ALTER PROCEDURE vent_all AS UPDATE boilers SET pressure = 1",
         "plsql": PLSQL,
         "empty": "",
         "blank": " \n\t ",
-        "nested": "SELECT a FROM (SELECT b FROM (SELECT c FROM t) x) y",
-        "cte": "WITH r AS (SELECT id FROM t) SELECT id FROM r WHERE EXISTS (SELECT 1 FROM u)",
-        "udf": "SELECT my_score(x) FROM t WHERE id IN (1, 2)",
-        "assignment": "x := 1",
+        "nested": "SELECT gauge FROM boilers WHERE pressure > (SELECT AVG(p) FROM (SELECT pressure AS p FROM old_boilers) o)",
+        "cte": "WITH hot AS (SELECT gauge FROM boilers) SELECT gauge FROM hot WHERE EXISTS (SELECT 1 FROM fitters)",
+        "udf": "SELECT to_bar(pressure) FROM boilers WHERE gauge IN (1, 2)",
+        "assignment": "pressure := 1",
     }
     df = spark.createDataFrame(list(cases.items()), "case string, source string")
     return {r["case"]: r for r in sc.with_analysis(sc.with_features(df)).collect()}
@@ -67,13 +62,13 @@ def test_language_and_complexity(features, case, language, score):
 
 def test_features(features):
     join = features["join"]["joins"]
-    assert [(j["type"], j["table"], j["on"]) for j in join] == [("INNER", "pilots", "p.harbour = h.harbour")]
-    assert features["window"]["window_functions"] == ["NTILE"]
-    assert features["aggregates"]["aggregations"] == ["MIN", "SUM"]
-    assert features["aggregates"]["tables"] == ["pilots", "tides"]
-    assert features["nested"]["subquery_depth"] == 2
-    assert features["cte"]["subquery_depth"] == 0 and features["cte"]["ctes"] == ["r"]
-    assert features["hive"]["columns"] == ["cargo", "cargo_list", "vessel"]
+    assert [(j["type"], j["table"], j["on"]) for j in join] == [("CROSS", "shifts", ""), ("RIGHT OUTER", "fitters", "f.badge = fitter_badge")]
+    assert features["window"]["window_functions"] == ["LEAD"]
+    assert features["aggregates"]["aggregations"] == ["AVG", "MAX"]
+    assert features["join"]["tables"] == ["boilers", "fitters", "shifts"]
+    assert features["nested"]["subquery_depth"] == 2 and features["nested"]["tables"] == ["boilers", "old_boilers"]
+    assert features["cte"]["subquery_depth"] == 0 and features["cte"]["ctes"] == ["hot"]
+    assert features["plsql"]["procedural_flags"] == ["DBMS package detected — no direct PySpark equivalent, manual review required"]
 
 
 def test_analysis(features):
@@ -81,7 +76,7 @@ def test_analysis(features):
     assert plsql["needs_procedural_context"]
     assert plsql["review_time"] == "approximately 60 min plus manual review of flagged constructs"
     assert "Window functions detected — verify PARTITION BY logic" in features["window"]["risk_notes"]
-    assert features["simple"]["query_text"] == "migrate sql to pyspark Tables: harbours complexity simple"
+    assert features["simple"]["query_text"] == "migrate sql to pyspark Tables: boilers complexity simple"
 
 
 def test_parameters_and_blocks(spark):
@@ -125,6 +120,21 @@ def test_table_names_of_ordinary_sql(spark, script, tables):
     assert sc.with_features(df).first().tables == tables
 
 
+@pytest.mark.parametrize(
+    "script, columns",
+    [
+        ("SELECT b.gauge FROM plant.boilers b LEFT SEMI JOIN plant.fitters f ON b.badge = f.badge", ["badge", "gauge"]),
+        ("SELECT serial, cost FROM spares", ["cost", "serial"]),
+        ('SELECT "Gauge" AS g, [Cost] c, b.`Part No`, 7, NULL FROM `my plant`.`the boilers` b', ["cost", "gauge"]),
+        ("SELECT max(pressure), round(cost, 2) AS r, count(DISTINCT badge), count(*), tools.scale(x) FROM plant.spares", ["badge", "cost", "pressure", "x"]),
+        ("SELECT gauge FROM boilers WHERE badge IN (SELECT ALL holder FROM badges, plant.keys)", ["gauge", "holder"]),
+    ],
+)
+def test_columns_of_ordinary_sql(spark, script, columns):
+    df = spark.createDataFrame([(1, script)], "script_id int, source string")
+    assert sc.with_features(df).first()["columns"] == columns
+
+
 def test_nested_window_arguments_and_built_ins(spark):
     sql = "SELECT SUM(COALESCE(a, ABS(b))) OVER (PARTITION BY c), CONCAT(x, REPLACE(y, 'a', 'b')), EXTRACT(YEAR FROM d) FROM t"
     row = sc.with_features(spark.createDataFrame([(1, sql)], "script_id int, source string")).first()

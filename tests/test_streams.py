@@ -10,6 +10,7 @@ from tidewright.plans import streams as ps
 from tidewright.session import fresh_name, scratch_path
 from tidewright.streaming import jobs
 from tidewright.streaming import metrics as m
+from tidewright.streaming import totals
 
 SCHEMA = "ts timestamp, source_language string, status string, stage string, duration double, risk_score double, validation_score double, flag_text string"
 
@@ -77,3 +78,49 @@ def test_audit_rows_leave_with_their_base_rows(spark):
     assert rows(written.filter("kind = 'base'").select("id")) == rows(spark.range(6))
     audit = written.filter("kind = 'audit'").select(F.col("audit_key").cast("long").alias("id"))
     assert rows(audit) == rows(spark.range(6))
+
+
+def counted_files(spark, arrivals):
+    stream = jobs.file_stream(spark, arrivals, spark.createDataFrame([], SCHEMA).schema, files_per_batch=1)
+    return m.running_totals(stream)
+
+
+def test_totals_survive_stops_repeated_batches_and_compaction(spark):
+    arrivals, base, state = (scratch_path(spark, x) for x in ("arrivals", "totals", "state"))
+    keys, seen = ["source_language", "status"], []
+    for part in range(4):
+        new = [event(k, source_language=f"l{(k + part) % 3}", status="failed" if k % 5 == 0 else "success") for k in range(part * 10, part * 10 + 10)]
+        seen += new
+        spark.createDataFrame(new, SCHEMA).repartition(3).write.mode("append").parquet(arrivals)
+        counted = counted_files(spark, arrivals)
+        totals.keep_totals(counted, keys, base, state, every=4)
+        want = rows(m.running_totals(spark.createDataFrame(seen, SCHEMA)))
+        assert rows(totals.read_totals(spark, base, keys, counted.schema)) == want
+    whole, changes = totals._folders(spark, f"{base}/whole", "upto"), totals._folders(spark, f"{base}/changes", "batch")
+    assert max(whole) == 11 and len(whole) == 2 and min(changes) > min(whole) - 4
+    # A batch that Spark runs again writes the same folder.
+    last = max(changes)
+    again = spark.read.parquet(changes[last])
+    spark.createDataFrame(again.collect(), again.schema).write.mode("overwrite").parquet(changes[last])
+    assert rows(totals.read_totals(spark, base, keys, counted.schema)) == want
+    # Totals go with the checkpoint that made them.
+    with pytest.raises(ValueError):
+        totals.keep_totals(counted_files(spark, arrivals), keys, base, scratch_path(spark, "other"))
+    assert totals.read_totals(spark, scratch_path(spark, "none"), keys, counted.schema).count() == 0
+
+
+def test_a_failed_batch_counts_once(spark, monkeypatch):
+    arrivals, base, state = (scratch_path(spark, x) for x in ("arrivals", "totals", "state"))
+    keys = ["source_language", "status"]
+    spark.createDataFrame([event(k) for k in range(6)], SCHEMA).coalesce(1).write.parquet(arrivals)
+
+    def fails(*_):
+        raise RuntimeError("lost after the write")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(totals, "read_totals", fails)
+        with pytest.raises(Exception, match="lost after the write"):
+            totals.keep_totals(counted_files(spark, arrivals), keys, base, state, every=1)
+    counted = counted_files(spark, arrivals)
+    totals.keep_totals(counted, keys, base, state, every=1)
+    assert rows(totals.read_totals(spark, base, keys, counted.schema)) == [("sql", "success", 6)]

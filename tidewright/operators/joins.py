@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewright.session import fresh_name, scratch_path
+from tidewright.session import cut_lineage, fresh_name, scratch_path
 
 BROADCAST_ROWS = 200_000
 BROADCAST_BYTES = 64 << 20
+#: Rows of one key that a task takes; most keys that are salted; items a sketch tracks.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 1_000
+SKETCH_ITEMS = 10_000
 
 
 def small_enough(df: DataFrame, limit: int = BROADCAST_ROWS, limit_bytes: int = BROADCAST_BYTES) -> bool:
@@ -48,6 +52,35 @@ def salted_join(
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def hot_keys(df: DataFrame, key: str, limit: int, most: int = HOT_KEYS) -> DataFrame:
+    """Keys with more than ``limit`` rows and their exact count: ``(key, n)``, at most ``most`` rows, nulls left out.
+
+    A sketch of fixed size per task names the candidates, so no row is shuffled to find them; only the candidates are counted. The sketch misses no key with more than
+    about a thousandth of the rows at the default size; a key it misses stays an ordinary one.
+    """
+    sketch = df.filter(F.col(key).isNotNull()).agg(F.expr(f"approx_top_k(`{key}`, {most}, {SKETCH_ITEMS})").alias("top"))
+    likely = sketch.select(F.explode("top").alias("t")).filter(F.col("t.count") > limit).select(F.col("t.item").alias(key))
+    counted = df.select(key).join(F.broadcast(likely), key).groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counted.filter(F.col("n") > limit)
+
+
+def hot_key_join(big: DataFrame, other: DataFrame, key: str, row_id: list[str], limit: int = HOT_ROWS, how: str = "inner") -> DataFrame:
+    """Join on ``key`` in which only the keys with more than ``limit`` rows on the big side are salted.
+
+    Each gets as many salts as its count asks for, so its rows come in parts of about ``limit``, and only its rows of ``other`` are repeated, once per salt. All other rows
+    are joined as they are. Meant for hot keys that ``other`` holds few rows of; inner, left, semi and anti joins only.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"salting does not preserve a {how} join")
+    hot = cut_lineage(hot_keys(big, key, limit), "hot-keys")  # at most HOT_KEYS rows
+    salts = F.broadcast(hot.select(key, F.ceil(F.col("n") / limit).cast("int").alias("_salts")))
+    drawn = F.pmod(F.xxhash64(*row_id), F.col("_salts")).cast("int")
+    left = big.join(salts, key, "left").withColumn("_salt", F.coalesce(drawn, F.lit(0))).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    right = other.join(salts, key, "left").withColumn("_salt", copies).drop("_salts")
+    return left.join(right, [key, "_salt"], how).drop("_salt")
+
+
 def null_guarded_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Equi-join whose null keys never reach the shuffle.
 

@@ -25,7 +25,15 @@ JOIN_PATTERN = (
 )
 CTE_PATTERN = r"\b([A-Za-z_]\w*)\s+AS\s*\(\s*(?:SELECT|WITH)\b"
 CALL_PATTERN = r"\b([A-Za-z_]\w*)\s*\("
-QUALIFIED_PATTERN = r"\b[A-Za-z_]\w*\.([A-Za-z_]\w*)"
+# A dotted name and the bracket that makes it a call; what a FROM or JOIN names is taken out before.
+QUALIFIED_PATTERN = r"\b[A-Za-z_]\w*\.([A-Za-z_]\w*)(\s*\()?"
+SOURCES = rf"\b(?:FROM|JOIN)\s+{_NAME}(?:(?:\s+(?:AS\s+)?\w+)?\s*,\s*{_NAME})*"
+SELECT_LIST = r"\bSELECT\s+(?:DISTINCT\s+|ALL\s+)?(.*?)\s+(?:FROM|INTO)\b"
+# An item of a select list that is a column, with or without another name.
+LISTED_COLUMN = r"""^\s*(?:["`\[]?\w+["`\]]?\s*\.\s*)*["`\[]?([A-Za-z_]\w*)["`\]]?(?:\s+(?:AS\s+)?["`\[]?\w+["`\]]?)?\s*$"""
+# A column as the first argument of a call.
+ARGUMENT_COLUMN = r"\w\s*\(\s*(?:DISTINCT\s+)?([A-Za-z_]\w*)\s*[,)]"
+NOT_COLUMNS = ("null", "true", "false", "select", "from", "case", "current_date", "current_timestamp", "sysdate")
 # Arguments may hold calls, three levels deep.
 ARGUMENTS = r"\((?:[^()]|\((?:[^()]|\([^()]*\))*\))*\)"
 WINDOW_PATTERN = r"\b(" + "|".join(fv.WINDOW_FUNCTIONS + fv.AGGREGATES) + rf")\s*{ARGUMENTS}\s*OVER\b"
@@ -116,6 +124,20 @@ def table_names(text: Column) -> Column:
     return F.transform(F.concat(listed, rules.all_matches(text, JOINED)), F.lower)
 
 
+def columns_read(text: Column) -> Column:
+    """Lower-case columns of a statement: those with an alias in front anywhere, and those that a select list names alone or as the first argument of a call."""
+    body = F.regexp_replace(text, rules.ANYWHERE + SOURCES, " FROM ")
+    dotted = F.arrays_zip(rules.all_matches(body, QUALIFIED_PATTERN, 1).alias("name"), rules.all_matches(body, QUALIFIED_PATTERN, 2).alias("call"))
+    qualified = F.transform(F.filter(dotted, lambda d: F.coalesce(d["call"], F.lit("")) == ""), lambda d: d["name"])
+    lists = rules.all_matches(body, SELECT_LIST)
+    # Arguments go before the list is cut at its commas.
+    items = F.flatten(F.transform(lists, lambda l: F.split(F.regexp_replace(l, ARGUMENTS, "()"), ",")))
+    listed = F.transform(items, lambda i: F.regexp_extract(i, rules.ANYWHERE + LISTED_COLUMN, 1))
+    arguments = F.flatten(F.transform(lists, lambda l: rules.all_matches(l, ARGUMENT_COLUMN)))
+    found = F.transform(F.concat(qualified, listed, arguments), F.lower)
+    return F.filter(found, lambda c: (c != "") & ~c.isin(*NOT_COLUMNS))
+
+
 def statement_blocks(source: Column, patterns) -> Column:
     """Embedded statements in pattern order; the first of those sharing a 50-character start stays."""
     found = F.flatten(F.array(*[rules.all_matches(source, p) for p in patterns]))
@@ -218,7 +240,7 @@ def with_features(scripts: DataFrame, source: str = "source") -> DataFrame:
             "tables": _distinct_sorted(F.concat(read, F.col("temp_tables"))),
             "columns": _distinct_sorted(
                 F.concat(
-                    _over_units(lambda u: F.transform(rules.all_matches(u, QUALIFIED_PATTERN), F.lower)),
+                    _over_units(columns_read),
                     F.when(lang == "hiveql", hive_columns(text)).otherwise(F.array().cast("array<string>")),
                 )
             ),

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidewright.operators import changes
+from tidewright.operators import stored_changes as stored
 from tidewright.operators.aggregates import money
-from tidewright.plans.registry import query
-from tidewright.session import cut_lineage, fresh_name, table
+from tidewright.plans.registry import ORACLES, query
+from tidewright.session import cut_lineage, fresh_name, scratch_path, table
 
 
 def _orders(spark, sf):
@@ -98,6 +99,35 @@ def w108(spark, sf):
     return changes.upsert(_orders(spark, sf), _change_set(spark, sf), ["o_orderkey"])
 
 
+def _stored_orders(spark, sf):
+    """Orders in partitions of a thousand keys; changed rows keep their place, new ones have places of their own."""
+    place = F.floor(F.col("o_orderkey") / 1000).cast("int").alias("part")
+    return stored.store(_orders(spark, sf).select("*", place), scratch_path(spark, "orders"), "part")
+
+
+@query("w108_merge_stored", _MERGE_SQL)
+def w108_stored(spark, sf):
+    target = _stored_orders(spark, sf)
+    place = F.floor(F.col("o_orderkey") / 1000).cast("int").alias("part")
+    stored.merge_into(target, _change_set(spark, sf).select("*", place), ["o_orderkey"])
+    return target.rows().drop("part")
+
+
+@query(
+    "w107_delete_stored",
+    """SELECT count(*) FILTER (o_orderdate < '1994-01-01' AND o_totalprice < 50000) AS deleted,
+       count(*) FILTER (NOT (o_orderdate < '1994-01-01' AND o_totalprice < 50000)) AS remaining,
+       CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) FILTER (NOT (o_orderdate < '1994-01-01' AND o_totalprice < 50000)) AS DOUBLE) AS value FROM orders""",
+)
+def w107_stored(spark, sf):
+    # The count comes with the write; partitions of later years are not read.
+    target = stored.store(_orders(spark, sf).withColumn("year", F.year("o_orderdate")), scratch_path(spark, "orders"), "year")
+    old = F.col("o_orderdate") < F.lit("1994-01-01").cast("timestamp_ntz")
+    counts = stored.delete_from(target, old & (F.col("o_totalprice") < 50000) & (F.col("year") < 1994))
+    left = target.rows().agg(F.count(F.lit(1)).alias("remaining"), F.sum(money("o_totalprice")).cast("double").alias("value"))
+    return left.select(F.lit(counts["deleted"]).cast("long").alias("deleted"), "remaining", "value")
+
+
 @query(
     "w109_update_else_insert",
     """SELECT c_custkey, CASE WHEN m.nation IS NOT NULL THEN m.nation ELSE c.c_nationkey END AS c_nationkey FROM customer c LEFT JOIN
@@ -134,6 +164,11 @@ def w110(spark, sf):
        WHERE d.c_custkey IS NULL OR d.c_mktsegment <> n.c_mktsegment""",
 )
 def w111(spark, sf):
+    first, incoming = _dimension(spark, sf)
+    return changes.scd2(first, incoming, "c_custkey", ["c_nationkey", "c_mktsegment"], F.lit("2024-06-01"))
+
+
+def _dimension(spark, sf):
     customers = table(spark, sf, "customer")
     first = customers.filter(F.col("c_acctbal") <= 8000).select(
         "c_custkey",
@@ -144,8 +179,16 @@ def w111(spark, sf):
         F.lit(True).alias("is_current"),
     )
     segment = F.when(F.col("c_acctbal") < 1000, "MOVED").otherwise(F.col("c_mktsegment"))
-    incoming = customers.select("c_custkey", "c_nationkey", segment.alias("c_mktsegment"))
-    return changes.scd2(first, incoming, "c_custkey", ["c_nationkey", "c_mktsegment"], F.lit("2024-06-01"))
+    return first, customers.select("c_custkey", "c_nationkey", segment.alias("c_mktsegment"))
+
+
+@query("w111_scd_type_2_stored", ORACLES["w111_scd_type_2"])
+def w111_stored(spark, sf):
+    first, incoming = _dimension(spark, sf)
+    place = lambda key: F.pmod(key, F.lit(16)).cast("int")
+    target = stored.store(first.withColumn("slot", place(F.col("c_custkey"))), scratch_path(spark, "dimension"), "slot")
+    stored.scd2_into(target, incoming, "c_custkey", ["c_nationkey", "c_mktsegment"], F.lit("2024-06-01"), place)
+    return target.rows().drop("slot")
 
 
 @query(

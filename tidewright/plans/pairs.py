@@ -8,6 +8,7 @@ from tidewright.functions import fixed_values as fv
 from tidewright.functions import rules
 from tidewright.operators import pairs as pr
 from tidewright.operators import sampling
+from tidewright.operators.shared import write_outputs
 from tidewright.plans import corpus
 from tidewright.plans.registry import query, quote, quoted_list
 from tidewright.plans.scripts import sql_any, sql_strip
@@ -60,8 +61,7 @@ _VERDICT_SQL = f"""{_PAIRS}, b AS (SELECT pair_id, pair_id % 23 AS kind, code_id
      WHEN kind = 6 THEN ['field_values', 'source_code must be a string'] WHEN kind = 7 THEN ['field_values', 'pyspark_code must be a string']
      WHEN length({sql_strip('src')}) < 15 THEN ['minimum_length', 'source_code too short (' || length({sql_strip('src')}) || ' chars)']
      WHEN length({sql_strip('code')}) < 20 THEN ['minimum_length', 'pyspark_code too short (' || length({sql_strip('code')}) || ' chars)']
-     WHEN NOT {corpus.VALID_CODE_SQL}[code_id + 1] THEN ['pyspark_syntax', CASE code_id WHEN 5 THEN 'PySpark syntax error: line 2: ''['' was never closed'
-       ELSE 'PySpark syntax error: line 1: invalid syntax' END]
+     WHEN NOT {corpus.VALID_CODE_SQL}[code_id + 1] THEN ['pyspark_syntax', 'PySpark syntax error: ' || {corpus.FAULT_SQL}[code_id + 1]]
      WHEN NOT {sql_any('code', fv.DATASET_OPERATIONS, '')} THEN ['dataframe_operations', 'No DataFrame operations found in pyspark_code']
      WHEN {_MARKER} IS NOT NULL THEN ['no_placeholder_text', 'Placeholder text found: ''' || {_MARKER} || '''']
      WHEN {_CUT} THEN ['no_placeholder_text', 'PySpark code appears truncated (ends mid-expression)']
@@ -97,6 +97,30 @@ def w16(spark, sf):
     )
 
 
+@query(
+    "w74_shared_outputs",
+    f"""WITH {_VERDICT_SQL} SELECT 'accepted' AS output, count(*) AS n, CAST(sum(pair_id) AS BIGINT) AS checksum FROM j WHERE verdict IS NULL
+        UNION ALL SELECT 'rejected', count(*), CAST(sum(length(verdict[2])) AS BIGINT) FROM j WHERE verdict IS NOT NULL
+        UNION ALL SELECT 'summary', count(DISTINCT coalesce(verdict[1], '-')), count(*) FROM j""",
+)
+def w74(spark, sf):
+    """Accepted rows, rejected rows and the summary of one validation, which is evaluated once and leaves nothing behind."""
+    judged = verdicts(spark, sf).select("pair_id", "valid", "failed_check", "reason", "source_language", "generated_by")
+    outputs = {
+        "accepted": lambda df: df.filter("valid").select("pair_id"),
+        "rejected": lambda df: df.filter("NOT valid").select("failed_check", "reason"),
+        "summary": pr.validation_summary,
+    }
+    paths = write_outputs(judged, outputs)
+    sizes = {
+        "accepted": (F.count(F.lit(1)), F.sum("pair_id")),
+        "rejected": (F.count(F.lit(1)), F.sum(F.length("reason"))),
+        "summary": (F.count_if(F.col("facet") == "failed_check"), F.max(F.when(F.col("facet") == "all", F.col("total")))),
+    }
+    parts = [spark.read.parquet(paths[name]).agg(F.lit(name).alias("output"), n.alias("n"), total.cast("long").alias("checksum")) for name, (n, total) in sizes.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query(
     "j37_minimum_length",
     f"""SELECT doc_id, length({sql_strip('text')}) >= 15 AS source_ok, length({sql_strip('text')}) >= 20 AS code_ok, length({sql_strip('text')}) AS chars FROM documents""",
@@ -247,21 +271,21 @@ def j47(spark, sf):
 
 @query(
     "j48_example_choice",
-    f"""WITH {_PAIRS}, pool AS (SELECT pair_id AS example_id, source_language, difficulty FROM pr WHERE generated_by = '{fv.ORIGINS[0]}'
-            AND NOT (source_language = 'sql' AND difficulty = 'expert') AND source_language <> 'plsql'),
+    f"""WITH {_PAIRS}, pool AS (SELECT pair_id AS example_id, source_language, difficulty FROM pr WHERE generated_by = '{fv.ORIGINS[0]}'),
         fine AS (SELECT *, row_number() OVER (PARTITION BY source_language, difficulty ORDER BY example_id) AS place, count(*) OVER (PARTITION BY source_language, difficulty) AS size FROM pool),
         wide AS (SELECT *, row_number() OVER (PARTITION BY source_language ORDER BY example_id) AS place, count(*) OVER (PARTITION BY source_language) AS size FROM pool),
         req AS (SELECT pair_id, source_language, difficulty, CAST('0x' || substr(md5('x3|' || pair_id), 1, 8) AS BIGINT) AS draw FROM pr WHERE generated_by = '{fv.ORIGINS[1]}')
         SELECT pair_id, r.source_language, r.difficulty, example_id, true AS same_difficulty FROM req r JOIN fine f
           ON r.source_language = f.source_language AND r.difficulty = f.difficulty AND draw % size + 1 = place
         UNION ALL SELECT pair_id, r.source_language, r.difficulty, example_id, false FROM req r JOIN wide w
-          ON r.source_language = w.source_language AND draw % size + 1 = place WHERE r.source_language = 'sql' AND r.difficulty = 'expert'
-        UNION ALL SELECT pair_id, source_language, difficulty, NULL, NULL FROM req WHERE source_language = 'plsql'""",
+          ON r.source_language = w.source_language AND draw % size + 1 = place
+          WHERE NOT EXISTS (SELECT 1 FROM fine f WHERE f.source_language = r.source_language AND f.difficulty = r.difficulty)
+        UNION ALL SELECT pair_id, source_language, difficulty, NULL, NULL FROM req WHERE source_language NOT IN (SELECT source_language FROM pool)""",
 )
 def j48(spark, sf):
     pairs = corpus.pairs(spark, sf)
     seeds = pairs.filter(F.col("generated_by") == fv.ORIGINS[0])
-    pool = seeds.filter(~((F.col("source_language") == "sql") & (F.col("difficulty") == "expert")) & (F.col("source_language") != "plsql"))
+    pool = seeds
     return pr.pick_examples(pairs.filter(F.col("generated_by") == fv.ORIGINS[1]), pool, "x3")
 
 

@@ -388,6 +388,19 @@ def w43(spark, sf):
     return joined.groupBy("l_orderkey", "l_linenumber", "p_brand").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "w43_hot_key_join",
+    """SELECT l_returnflag, l_linestatus, name, count(*) AS n FROM lineitem JOIN (VALUES ('A', 'back'), ('R', 'returned'), ('N', 'kept')) f(flag, name)
+       ON l_returnflag = flag GROUP BY ALL""",
+)
+def w43_hot(spark, sf):
+    # Three keys hold all rows: each is salted by its own count, and three rows are repeated.
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    names = spark.createDataFrame([("A", "back"), ("R", "returned"), ("N", "kept")], "l_returnflag string, name string")
+    joined = joins.hot_key_join(lines, names, "l_returnflag", ["l_orderkey", "l_linenumber"], limit=5_000)
+    return joined.groupBy("l_returnflag", "l_linestatus", "name").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "w44_bucketed_join",
     """SELECT c_mktsegment, count(*) AS orders, CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS total
@@ -688,6 +701,30 @@ def w81(spark, sf):
     return hierarchy.descend(nodes, "p_partkey", "parent_part")
 
 
+@query(
+    "w81_broken_hierarchy",
+    """WITH RECURSIVE node AS (SELECT p_partkey AS id, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey % 50 = 7 THEN p_partkey + 1000000000
+           WHEN p_partkey % 50 = 8 THEN p_partkey + 1 WHEN p_partkey % 50 = 9 THEN p_partkey - 1 ELSE p_partkey // 10 END AS up FROM part),
+       walk AS (SELECT id, id AS root, 0 AS depth FROM node WHERE up IS NULL UNION ALL SELECT c.id, w.root, w.depth + 1 FROM walk w JOIN node c ON c.up = w.id),
+       lost AS (SELECT id FROM node WHERE up IS NOT NULL AND up NOT IN (SELECT id FROM node) UNION ALL SELECT c.id FROM lost w JOIN node c ON c.up = w.id)
+       SELECT n.id AS p_partkey, w.root, CAST(w.depth AS BIGINT) AS depth,
+           CASE WHEN w.id IS NULL THEN CASE WHEN n.id IN (SELECT id FROM lost) THEN 'missing parent' ELSE 'cycle' END END AS problem
+       FROM node n LEFT JOIN walk w ON w.id = n.id""",
+)
+def w81_broken(spark, sf):
+    key = F.col("p_partkey")
+    odd = F.when(key % 50 == 7, key + 1000000000).when(key % 50 == 8, key + 1).when(key % 50 == 9, key - 1)
+    parent = F.when(key > 0, F.coalesce(odd, F.floor(key / 10)))
+    return hierarchy.rooted(table(spark, sf, "part").select("p_partkey", parent.alias("parent_part")), "p_partkey", "parent_part")
+
+
+@query("w81_deep_chain", "SELECT c_custkey, 0 AS root, c_custkey AS depth, CAST(NULL AS VARCHAR) AS problem FROM customer")
+def w81_deep(spark, sf):
+    # Every customer hangs below the one before: as deep as the table is long.
+    parent = F.when(F.col("c_custkey") > 0, F.col("c_custkey") - 1)
+    return hierarchy.rooted(table(spark, sf, "customer").select("c_custkey", parent.alias("above")), "c_custkey", "above")
+
+
 @query(
     "w82_graph_reach",
     """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation

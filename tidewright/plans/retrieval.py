@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from tidewright.operators import retrieval as rt
 from tidewright.operators import scripts as sc
+from tidewright.operators import term_index as ti
+from tidewright.operators import vector_index as vi
 from tidewright.plans.registry import query
 from tidewright.plans.scripts import _JOIN_TYPES, IR_SQL, ir, sql_strip
 from tidewright.session import scratch_path, spread, stored_once, table
@@ -110,6 +112,84 @@ def j55(spark, sf):
     return vector_hits(spark, sf)
 
 
+_term_indexes: dict[tuple[str, str], str] = {}
+
+
+def term_index(spark, sf):
+    """The term-ordered index of the documents, written once and opened by its path."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _term_indexes:
+        base = scratch_path(spark, "term-index")
+        ti.build_index(_documents(spark, sf), "doc_id", base)
+        _term_indexes[key] = base
+    return ti.open_index(spark, _term_indexes[key])
+
+
+@query("j54_indexed_top_k", f"WITH {_BM25} SELECT item_id, doc_id, score, rank FROM kw WHERE rank <= {TOP_K}")
+def j54_indexed(spark, sf):
+    return ti.indexed_top_k(term_index(spark, sf), "doc_id", table(spark, sf, "benchmark"), "item_id", TOP_K)
+
+
+@query(
+    "j53_term_index",
+    f"""WITH w AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM documents), p AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY ALL)
+        SELECT term, count(*) AS documents, sum(tf)::BIGINT AS occurrences, md5(string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id)) AS digest FROM p GROUP BY 1""",
+)
+def j53_term_index(spark, sf):
+    """What the blocks hold, opened by another session than the one that wrote them."""
+    blocks = ti.entries(term_index(spark, sf).blocks, "term")
+    cells = F.array_sort(F.collect_list(F.struct("doc", "tf")))
+    spelled = F.array_join(F.transform(cells, lambda c: F.concat(c["doc"].cast("string"), F.lit(":"), c["tf"].cast("string"))), ",")
+    return blocks.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("occurrences"), F.md5(spelled).alias("digest"))
+
+
+_vector_indexes: dict[tuple[str, str], str] = {}
+
+
+def vector_index(spark, sf):
+    """The bucket tables of the vectors, written once and opened by the queries below."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _vector_indexes:
+        base = scratch_path(spark, "vector-index")
+        vi.build_index(table(spark, sf, "embeddings"), "vec_id", base)
+        _vector_indexes[key] = base
+    return vi.open_index(spark, _vector_indexes[key])
+
+
+def bucketed_hits(spark, sf, k=FETCH_K):
+    centres = rt.mean_vectors(table(spark, sf, "embeddings"), "label")
+    return vi.probed_top_k(vector_index(spark, sf), centres, "label", k, doc_id="vec_id")
+
+
+# The same buckets by plain sums: a side is the sign of a sum of whole numbers.
+_BUCKETS = f"""pl AS (SELECT t, b, i, CASE WHEN substr(md5(t || ':' || b || ':' || (i - 1)), 1, 1) < '8' THEN -1 ELSE 1 END AS s
+    FROM (SELECT unnest(range({vi.TABLES})) AS t), (SELECT unnest(range({vi.BITS})) AS b), (SELECT unnest(range(1, 1 + (SELECT max(len(embedding)) FROM embeddings))) AS i)),
+  cv AS (SELECT vec_id, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  vm AS (SELECT vec_id, t, b, sum(s * CAST(floor(CAST(x AS DOUBLE) * {vi.SCALE}) AS BIGINT)) AS m FROM cv JOIN pl USING (i) GROUP BY ALL),
+  vb AS (SELECT vec_id, t, CAST(sum(CASE WHEN m >= 0 THEN 1 << b ELSE 0 END) AS INTEGER) AS bucket FROM vm GROUP BY ALL),
+  qm AS (SELECT label, t, b, sum(s * CAST(floor(m * {vi.SCALE}) AS BIGINT)) AS m FROM c JOIN pl USING (i) GROUP BY ALL),
+  qe AS (SELECT label, t, mask, CAST(sum(CASE WHEN m >= 0 THEN 1 << b ELSE 0 END) AS INTEGER) AS own, sum(CASE WHEN (mask >> b) & 1 = 1 THEN abs(m) ELSE 0 END) AS effort
+         FROM qm, (SELECT CAST(unnest(range({1 << vi.BITS})) AS INTEGER) AS mask) GROUP BY ALL),
+  qp AS (SELECT label, t, xor(own, mask) AS bucket FROM qe QUALIFY row_number() OVER (PARTITION BY label, t ORDER BY effort, mask) <= {vi.PROBES}),
+  met AS (SELECT DISTINCT label, vec_id FROM qp JOIN vb USING (t, bucket)),
+  bt AS (SELECT label, vec_id, round(vs.score, 4) AS score, row_number() OVER (PARTITION BY label ORDER BY vs.score DESC, vec_id) AS rank
+         FROM met JOIN vs USING (label, vec_id) QUALIFY rank <= {FETCH_K})"""
+
+
+@query("j55_bucketed", f"WITH {_COSINE}, {_BUCKETS} SELECT label, vec_id, score, rank FROM bt")
+def j55_bucketed(spark, sf):
+    return bucketed_hits(spark, sf)
+
+
+@query(
+    "j55_bucketed_recall",
+    f"""WITH {_COSINE}, {_BUCKETS} SELECT count(*) AS asked, count(bt.vec_id) AS hits, round(count(bt.vec_id) / count(*), 6) AS recall
+        FROM vt LEFT JOIN bt USING (label, vec_id)""",
+)
+def j55_bucketed_recall(spark, sf):
+    return vi.recall(bucketed_hits(spark, sf), vector_hits(spark, sf), "label", "vec_id")
+
+
 def _hit_lists(spark, sf):
     """The two ranked lists with the texts they point at, stored once for the queries below."""
 

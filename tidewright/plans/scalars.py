@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidewright.functions import legacy
@@ -311,3 +312,29 @@ def _parse_props(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def w102(spark, sf):
     events = table(spark, sf, "events").select("event_id", "event_type", "props")
     return events.mapInPandas(_parse_props, "event_id long, event_type string, k long")
+
+
+@F.udtf(returnType="o_custkey bigint, o_orderkey bigint, above double", useArrow=False)
+class RecordOrders:
+    """A pipelined function: the orders of a customer, in the order they come, that are larger than all before, and by how much. Holds one number for a customer."""
+
+    def __init__(self):
+        self._most = None
+
+    def eval(self, row: Row):
+        price = row["o_totalprice"]
+        if self._most is None or price > self._most:
+            yield row["o_custkey"], row["o_orderkey"], None if self._most is None else round(price - self._most, 2)
+            self._most = price
+
+
+@query(
+    "w102_pipelined_function",
+    """SELECT o_custkey, o_orderkey, round(o_totalprice - most, 2) AS above FROM (SELECT *, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM orders) WHERE most IS NULL OR o_totalprice > most""",
+)
+def w102_pipelined(spark, sf):
+    # The rows of a customer stream through one instance, sorted by the engine; nothing is collected.
+    spark.udtf.register("record_orders", RecordOrders)
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
+    return spark.sql("SELECT * FROM record_orders(TABLE(SELECT * FROM {orders}) PARTITION BY o_custkey ORDER BY (o_orderdate, o_orderkey))", orders=orders)

@@ -8,7 +8,7 @@ from tidewright.functions import fixed_values as fv
 from tidewright.functions import rules
 from tidewright.operators import scripts as sc
 from tidewright.plans import corpus
-from tidewright.plans.registry import query, quote
+from tidewright.plans.registry import query, quote, quoted_list
 
 # ---- SQL fragments for the checking engine
 
@@ -66,8 +66,8 @@ _UNITS = f"""{_LABELLED}, {_BLOCKS},
 
 _BARE = r"regexp_replace(unit, '(?i)\b(?:INTO|TABLE|PROCEDURE|FUNCTION)\s+\w+\s*\(|\)\s*\w+\s*\(', ' ', 'g')"
 _KNOWN = "[" + ", ".join(quote(n) for n in fv.KNOWN_FUNCTIONS + sc.NOT_CALLS + sc.BUILT_IN) + "]"
-# Nesting depth is fixed by the script text: stated per text, not computed a second time.
-_DEPTHS = "[0,0,0,0,3,0, 0,0,0,0,0,0, 0,0,0,0,0,0, 0,0,0,0,0,0]"
+# Nesting depth is fixed by the script text: stated with each text, not computed a second time.
+_DEPTHS = corpus.DEPTH_SQL
 
 
 def _sql_list(name: str, element: str) -> str:
@@ -238,6 +238,24 @@ def j16(spark, sf):
     )
 
 
+_BODY = f"regexp_replace(unit, {quote('(?is)' + sc.SOURCES)}, ' FROM ', 'g')"
+
+
+@query(
+    "j16_columns",
+    f"""WITH {_UNITS}, b AS (SELECT script_id, {_BODY} AS body FROM units), l AS (SELECT script_id, body, {sql_all('body', sc.SELECT_LIST)} AS lists FROM b),
+      c AS (SELECT script_id, lower(unnest(
+          list_transform(list_filter(list_zip({sql_all('body', sc.QUALIFIED_PATTERN, 1)}, {sql_all('body', sc.QUALIFIED_PATTERN, 2)}), lambda d: coalesce(d[2], '') = ''), lambda d: d[1])
+          || list_transform(flatten(list_transform(lists, lambda l: string_split(regexp_replace(l, {quote(sc.ARGUMENTS)}, '()', 'g'), ','))), lambda i: regexp_extract(i, {quote('(?is)' + sc.LISTED_COLUMN)}, 1))
+          || flatten(list_transform(lists, lambda l: {sql_all('l', sc.ARGUMENT_COLUMN)})))) AS col FROM l
+        UNION ALL SELECT script_id, unnest([lower(regexp_extract(source, {quote('(?is)' + fv.LATERAL_VIEW)}, 1)), lower(regexp_extract(source, {quote('(?is)' + fv.LATERAL_VIEW)}, 2))]
+          || list_transform(string_split(regexp_extract(source, {quote('(?is)' + fv.DISTRIBUTE_BY)}, 1), ','), lambda x: {sql_strip('lower(x)')})) FROM labelled WHERE source_language = 'hiveql')
+      SELECT DISTINCT script_id, col FROM c WHERE col <> '' AND NOT list_contains({quoted_list(sc.NOT_COLUMNS)}, col)""",
+)
+def j16_columns(spark, sf):
+    return rules.unnest(ir(spark, sf), ["script_id"], F.col("columns"), "col")
+
+
 @query(
     "j17_complexity",
     f"WITH {_IR} SELECT template_id, source_language, complexity_score, complexity_label, count(*) AS scripts FROM ir GROUP BY ALL",

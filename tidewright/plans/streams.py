@@ -14,6 +14,7 @@ from tidewright.plans.review import j35  # noqa: F401  registers the report this
 from tidewright.session import scratch_path, table
 from tidewright.streaming import jobs
 from tidewright.streaming import metrics as m
+from tidewright.streaming import totals
 
 STAGES = ("route", "analyze", "retrieve", "migrate", "validate")
 FLAGS = ("cursor loop", "Trigger body", "", "temp table seen")
@@ -82,11 +83,17 @@ def j74(spark, sf):
     return m.success_rate(batch(spark, sf))
 
 
-def _quantile_sql(q: float, bounds, keys: str) -> str:
+def _closed(minutes: int) -> str:
+    """Windows that append mode has given out: the watermark, ten minutes behind the newest event, has passed their end."""
+    end = f"time_bucket(INTERVAL '{minutes} minutes', ts) + INTERVAL '{minutes} minutes'"
+    return f"{end} <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"
+
+
+def _quantile_sql(q: float, bounds, keys: str, where: str = "true") -> str:
     counts = "[" + ", ".join(f"count(*) FILTER (duration <= {b})" for b in bounds) + "]"
     uppers = "[" + ", ".join(f"{float(b)}::DOUBLE" for b in bounds) + "]"
     names = ", ".join(k.split(" AS ")[-1] for k in keys.split("; "))
-    return f"""WITH {_EV}, h AS (SELECT {keys.replace('; ', ', ')}, count(*) * {q}::DOUBLE AS want, {counts} AS c, {uppers} AS u FROM e GROUP BY {names}),
+    return f"""WITH {_EV}, h AS (SELECT {keys.replace('; ', ', ')}, count(*) * {q}::DOUBLE AS want, {counts} AS c, {uppers} AS u FROM e WHERE {where} GROUP BY {names}),
       p AS (SELECT *, list_position(list_transform(c, lambda x: x >= want), true) AS at_pos FROM h)
       SELECT {names}, round(CASE WHEN coalesce(at_pos, 0) = 0 THEN u[len(u)] WHEN at_pos = 1 THEN u[1] * (want / c[1])
         ELSE u[at_pos - 1] + (u[at_pos] - u[at_pos - 1]) * ((want - c[at_pos - 1]) / (c[at_pos] - c[at_pos - 1])) END, 6) AS seconds FROM p"""
@@ -102,9 +109,15 @@ def j76(spark, sf):
     return m.stage_median(batch(spark, sf))
 
 
-def _distribution_sql(column: str, bounds) -> str:
-    parts = [f"SELECT {_bucket_start(15)} AS start, '{b}' AS le, count(*) FILTER ({column} <= {b}) AS hits FROM e GROUP BY 1" for b in bounds]
-    parts.append(f"SELECT {_bucket_start(15)}, '+Inf', count(*) FROM e GROUP BY 1")
+# The quantile needs a whole window's counters, which append mode has when it gives the window out.
+@query("j76_stage_median_stream", _quantile_sql(0.5, fv.STAGE_BOUNDS, f"{_bucket_start(5)} AS start; stage AS stage", _closed(5)))
+def j76_stream(spark, sf):
+    return spark.read.parquet(jobs.drain(m.stage_median(stream(spark, sf))))
+
+
+def _distribution_sql(column: str, bounds, where: str = "true") -> str:
+    parts = [f"SELECT {_bucket_start(15)} AS start, '{b}' AS le, count(*) FILTER ({column} <= {b}) AS hits FROM e WHERE {where} GROUP BY 1" for b in bounds]
+    parts.append(f"SELECT {_bucket_start(15)}, '+Inf', count(*) FROM e WHERE {where} GROUP BY 1")
     return f"WITH {_EV} " + " UNION ALL ".join(parts)
 
 
@@ -113,24 +126,58 @@ def j77(spark, sf):
     return m.score_distribution(batch(spark, sf), "risk_score", fv.RISK_BOUNDS)
 
 
+@query("j77_risk_distribution_stream", _distribution_sql("risk_score", fv.RISK_BOUNDS, _closed(15)))
+def j77_stream(spark, sf):
+    return spark.read.parquet(jobs.drain(m.score_distribution(stream(spark, sf), "risk_score", fv.RISK_BOUNDS)))
+
+
+@query("j78_validation_distribution_stream", _distribution_sql("validation_score", fv.VALIDATION_BOUNDS, _closed(15)))
+def j78_stream(spark, sf):
+    return spark.read.parquet(jobs.drain(m.score_distribution(stream(spark, sf), "validation_score", fv.VALIDATION_BOUNDS)))
+
+
 @query("j78_validation_distribution", _distribution_sql("validation_score", fv.VALIDATION_BOUNDS))
 def j78(spark, sf):
     return m.score_distribution(batch(spark, sf), "validation_score", fv.VALIDATION_BOUNDS)
 
 
-@query("j79_running_totals", f"WITH {_EV} SELECT source_language, status, count(*) AS runs FROM e GROUP BY ALL")
+_TOTALS_SQL = f"WITH {_EV} SELECT source_language, status, count(*) AS runs FROM e GROUP BY ALL"
+_FLAGS_SQL = f"""WITH {_EV} SELECT CASE WHEN flag_text = '' THEN 'UNKNOWN' ELSE upper(string_split(flag_text, ' ')[1]) END AS flag_type, count(*) AS flags FROM e GROUP BY 1"""
+
+
+@query("j79_running_totals", _TOTALS_SQL)
 def j79(spark, sf):
     return m.running_totals(batch(spark, sf))
 
 
-@query(
-    "j80_flag_totals",
-    f"""WITH {_EV} SELECT CASE WHEN flag_text = '' THEN 'UNKNOWN' ELSE upper(string_split(flag_text, ' ')[1]) END AS flag_type, count(*) AS flags FROM e GROUP BY 1""",
-)
+@query("j80_flag_totals", _FLAGS_SQL)
 def j80(spark, sf):
     return m.flag_totals(batch(spark, sf))
 
 
+def kept_totals(spark, sf, metric, keys):
+    """Totals kept by a stream over events that arrive in three parts; it is stopped after each and resumed with the next."""
+    arrivals, base, checkpoint = (scratch_path(spark, x) for x in ("arrivals", "totals", "totals-state"))
+    events = table(spark, sf, "events")
+    found = None
+    for part in range(3):
+        events.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).write.mode("append").parquet(arrivals)
+        counted = metric(run_events(jobs.file_stream(spark, arrivals, events.schema)))
+        totals.keep_totals(counted, keys, base, checkpoint, every=2)
+        found = counted.schema
+    return totals.read_totals(spark, base, keys, found)
+
+
+@query("j79_running_totals_stream", _TOTALS_SQL)
+def j79_stream(spark, sf):
+    return kept_totals(spark, sf, m.running_totals, ["source_language", "status"])
+
+
+@query("j80_flag_totals_stream", _FLAGS_SQL)
+def j80_stream(spark, sf):
+    return kept_totals(spark, sf, m.flag_totals, ["flag_type"])
+
+
 def scored(pairs):
     """The stateless review of one frame of pairs, static or streaming."""
     rows = pairs.withColumn("raw_source", F.col("source_code"))
