@@ -2,7 +2,8 @@
 
 Texts are lowered (A-Z), split into pieces at punctuation and line ends, and pieces into words. All counts are by group (a language).
 
-1. Length by length, 1 to ``MOST_WORDS``, 64-bit hashes of phrases are counted. A phrase can reach ``least`` occurrences only if the phrases without its last and without its
+0. Texts are split into words once and stored as 32-bit word codes; a code that two words share lets more through in the next step, never less.
+1. Length by length, 1 to ``MOST_WORDS``, 64-bit hashes of phrases (made of the codes) are counted. A phrase can reach ``least`` occurrences only if the phrases without its last and without its
    first word do, so only such are counted. The hashes that reach ``least`` go into a bit set of fixed size for each length (it lets too much through, never too little).
 2. Then each task spells out and counts, exactly, the phrases that the bit sets let through, sorts them and adds them, in order, to acyclic automata over words (:class:`Builder`): a path is
    a phrase, the weights on it add up to its count, states with the same continuations are one. It makes an automaton for each range of phrases, from bounds that
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import LOWER, UPPER, WordHashes, bit_filter, byte_texts, in_filter, mix, multipliers, pieces_of
+from tidewright.llm.common import LOWER, UPPER, bit_filter, byte_texts, in_filter, mix, multipliers, pieces_of
 from tidewright.session import cut_lineage
 
 MOST_WORDS = 5
@@ -166,6 +167,21 @@ def by_range(weights: dict[tuple, int], bounds: list[tuple]) -> Iterator[tuple[i
 # --- words
 
 
+class WordCodes(dict):
+    """word -> 32-bit code: 0 for nothing, 1 for a break, else of the word's hash; remembered for up to ``limit`` words at a time."""
+
+    def __init__(self, limit: int = 400_000):
+        super().__init__({b"": 0, BREAK: 1})
+        self.limit = limit
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.limit:
+            self.clear()
+            self.update({b"": 0, BREAK: 1})
+        code = self[word] = max(xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF, 2)
+        return code
+
+
 class WordNumbers(dict):
     """word -> number: 0 for nothing, 1 for a break, then as they come."""
 
@@ -207,49 +223,50 @@ def phrase_hashes(columns: list[np.ndarray], group: np.ndarray | np.uint64) -> n
 
 
 class Words:
-    """The words of texts as numbers, remembered from piece to piece up to a limit, and their hashes."""
+    """The words of texts as numbers, remembered from piece to piece up to a limit, and their codes."""
 
     def __init__(self, limit: int = 400_000):
-        self.limit, self.hashes = limit, WordHashes()
-        self.numbers, self.of_number = WordNumbers(), np.zeros(0, np.uint64)
+        self.limit, self.codes = limit, WordCodes()
+        self.numbers, self.of_number = WordNumbers(), np.zeros(0, np.uint32)
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words of all texts, with breaks between texts, and their hashes."""
+        """Numbers of the words of all texts, with breaks between texts, and their codes."""
         if len(self.numbers) > self.limit:
-            self.numbers, self.of_number = WordNumbers(), np.zeros(0, np.uint64)
+            self.numbers, self.of_number = WordNumbers(), np.zeros(0, np.uint32)
         words = split_words(BREAK.join(texts))
         found = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         found = found[found > 0]
         names = self.numbers.names
         if len(self.of_number) < len(names):
-            self.of_number = np.concatenate([self.of_number, self.hashes.of(names[len(self.of_number) :])])
+            fresh = names[len(self.of_number) :]
+            self.of_number = np.concatenate([self.of_number, np.fromiter(map(self.codes.__getitem__, fresh), np.uint32, len(fresh))])
         return found, self.of_number[found]
 
 
-def runs(numbers: np.ndarray, hashes: np.ndarray, k: int, group: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+def runs(codes: np.ndarray, k: int, group: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """At each place: the hash of the run of k words that starts there, and whether no break lies in it."""
-    size = max(len(numbers) - k + 1, 0)
+    size = max(len(codes) - k + 1, 0)
     whole = np.ones(size, bool)
     for j in range(k):
-        whole &= numbers[j : j + size] > 1
-    return phrase_hashes([hashes[j : j + size] for j in range(k)], group), whole
+        whole &= codes[j : j + size] > 1
+    return phrase_hashes([codes[j : j + size] for j in range(k)], group), whole
 
 
-def likely_runs(numbers: np.ndarray, hashes: np.ndarray, k: int, group: np.uint64, kept) -> np.ndarray:
+def likely_runs(codes: np.ndarray, k: int, group: np.uint64, kept) -> np.ndarray:
     """Places of the runs of k words whose first and last k - 1 words may be frequent."""
     if k == 1:
-        return np.flatnonzero(numbers > 1)
-    found, whole = runs(numbers, hashes, k - 1, group)
+        return np.flatnonzero(codes > 1)
+    found, whole = runs(codes, k - 1, group)
     likely = whole & in_filter(kept, found)
     return np.flatnonzero(likely[:-1] & likely[1:])
 
 
-def counted_runs(numbers: np.ndarray, hashes: np.ndarray, k: int, group: np.uint64, kept) -> tuple[list[np.ndarray], np.ndarray]:
+def counted_runs(numbers: np.ndarray, codes: np.ndarray, k: int, group: np.uint64, kept) -> tuple[list[np.ndarray], np.ndarray]:
     """The distinct runs of k words that may be frequent, as columns of word numbers, and their counts.
 
     Equal phrases have equal hashes; phrases are told apart by their words, so a chance meeting of hashes only splits a count.
     """
-    found, whole = runs(numbers, hashes, k, group)
+    found, whole = runs(codes, k, group)
     at = np.flatnonzero(whole & in_filter(kept, found))
     if not len(at):
         return [at] * k, at
@@ -284,11 +301,26 @@ def range_bounds(texts: DataFrame, ranges: int) -> list[tuple]:
     return sorted({keys[len(keys) * r // ranges] for r in range(1, ranges)} if keys else set())
 
 
-def often_hashes(texts: DataFrame, k: int, kept, least: int) -> DataFrame:
+def coded(texts: DataFrame) -> DataFrame:
+    """name, codes (of the words of some texts of the group, with breaks, four bytes a word) and their number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordCodes()
+        for batch in batches:
+            for group, own in grouped_texts(batch, 1_000_000):
+                words = split_words(BREAK.join(own))
+                codes = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+                codes = codes[codes > 0]
+                yield pa.RecordBatch.from_pydict({"name": pa.array([group], pa.binary()), "codes": pa.array([codes.astype("<u4").tobytes()], pa.binary()), "words": pa.array([int((codes > 1).sum())], pa.int64())})
+
+    return cut_lineage(texts.mapInArrow(run, "name binary, codes binary, words long"), "words")
+
+
+def often_hashes(words: DataFrame, k: int, kept, least: int) -> DataFrame:
     """hash of the phrases of k words with ``least`` occurrences or more (and of any that share a hash); ``kept`` is the bit set of k - 1 words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held, size = Words(), [], 0
+        held, size = [], 0
 
         def flush() -> pa.RecordBatch:
             found = np.sort(np.concatenate(held))
@@ -296,12 +328,11 @@ def often_hashes(texts: DataFrame, k: int, kept, least: int) -> DataFrame:
             return pa.RecordBatch.from_pydict({"hash": pa.array(found[starts].view(np.int64)), "n": pa.array(np.diff(np.append(starts, len(found))))})
 
         for batch in batches:
-            for group, own in grouped_texts(batch):
-                code = group_hash(group)
-                numbers, hashes = words.read(own)
-                at = likely_runs(numbers, hashes, k, code, None if k == 1 else kept.value)
+            for group, data in zip(batch.column(0), batch.column(1), strict=True):
+                code, codes = group_hash(group.as_py()), np.frombuffer(data.as_buffer(), "<u4")
+                at = likely_runs(codes, k, code, None if k == 1 else kept.value)
                 if len(at):
-                    held.append(phrase_hashes([hashes[at + j] for j in range(k)], code))
+                    held.append(phrase_hashes([codes[at + j] for j in range(k)], code))
                     size += len(at)
                 if size > HASHES:
                     yield flush()
@@ -309,29 +340,27 @@ def often_hashes(texts: DataFrame, k: int, kept, least: int) -> DataFrame:
         if size:
             yield flush()
 
-    counted = texts.mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counted = words.select("name", "codes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     return cut_lineage(counted.filter(F.col("n") >= least).select("hash"), f"often-{k}")
 
 
 def shard_automata(texts: DataFrame, kept: list, bounds: list[tuple]) -> DataFrame:
-    """range, data (an automaton) of the phrases that each task has counted, of 1 to len(kept) words; group and words (their number) in rows of their own."""
+    """range, data (an automaton) of the phrases that each task has counted, of 1 to len(kept) words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         held: dict[tuple, int] = {}
-        totals: dict[bytes, int] = {}
 
         def flush():
             for r, data in by_range(held, bounds):
-                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "data": pa.array([data], pa.binary()), "name": pa.nulls(1, pa.binary()), "words": pa.nulls(1, pa.int64())})
+                yield pa.RecordBatch.from_pydict({"range": pa.array([r], pa.int32()), "data": pa.array([data], pa.binary())})
             held.clear()
 
         for batch in batches:
             for group, own in grouped_texts(batch):
-                numbers, hashes = words.read(own)
-                totals[group] = totals.get(group, 0) + int((numbers > 1).sum())
+                numbers, codes = words.read(own)
                 for k, bits in enumerate(kept, 1):
-                    columns, counts = counted_runs(numbers, hashes, k, group_hash(group), bits.value)
+                    columns, counts = counted_runs(numbers, codes, k, group_hash(group), bits.value)
                     spelled = [[words.numbers.names[i] for i in c.tolist()] for c in columns]
                     for *phrase, n in zip(*spelled, counts.tolist(), strict=True):
                         key = (group, *phrase)
@@ -339,15 +368,13 @@ def shard_automata(texts: DataFrame, kept: list, bounds: list[tuple]) -> DataFra
                 if len(held) > HELD:
                     yield from flush()
         yield from flush()
-        if totals:
-            yield pa.RecordBatch.from_pydict({"range": pa.nulls(len(totals), pa.int32()), "data": pa.nulls(len(totals), pa.binary()), "name": pa.array(totals.keys(), pa.binary()), "words": pa.array(totals.values(), pa.int64())})
 
-    return texts.mapInArrow(run, "range int, data binary, name binary, words long")
+    return texts.mapInArrow(run, "range int, data binary")
 
 
 def united(shards: DataFrame, least: int) -> DataFrame:
-    """The automaton of each range (range, data), the phrases in it (name, phrase, k, a) and the word totals of groups (name, words)."""
-    fields = {"range": pa.int32(), "data": pa.binary(), "name": pa.binary(), "phrase": pa.binary(), "k": pa.int32(), "a": pa.int64(), "words": pa.int64()}
+    """The automaton of each range (range, data) and the phrases in it (name, phrase, k, a)."""
+    fields = {"range": pa.int32(), "data": pa.binary(), "name": pa.binary(), "phrase": pa.binary(), "k": pa.int32(), "a": pa.int64()}
 
     def rows(n: int, **known) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(known[f], t) if f in known else pa.nulls(n, t) for f, t in fields.items()], names=list(fields))
@@ -366,10 +393,7 @@ def united(shards: DataFrame, least: int) -> DataFrame:
                     yield rows(len(part), name=[key[0] for key in part], phrase=[b" ".join(key[1:]) for key in part], k=[len(key) - 1 for key in part], a=[often[key] for key in part])
 
         for batch in batches:
-            for r, data, name, words in zip(*(batch.column(c).to_pylist() for c in ("range", "data", "name", "words")), strict=True):
-                if data is None:
-                    yield rows(1, name=[name], words=[words])
-                    continue
+            for r, data in zip(batch.column("range").to_pylist(), batch.column("data").to_pylist(), strict=True):
                 if r != own:
                     yield from finish()
                     held, own = {}, r
@@ -378,7 +402,7 @@ def united(shards: DataFrame, least: int) -> DataFrame:
         yield from finish()
 
     met = shards.repartition("range").sortWithinPartitions("range")
-    return met.mapInArrow(run, "range int, data binary, name binary, phrase binary, k int, a long, words long")
+    return met.mapInArrow(run, "range int, data binary, name binary, phrase binary, k int, a long")
 
 
 # --- scoring
@@ -435,23 +459,23 @@ def collocations(df: DataFrame, text_col: str = "text", group_col: str = "lang",
     if least < 1:
         raise ValueError("least must be 1 or more")
     spark, texts = df.sparkSession, named(df, text_col, group_col)
-    kept = []
+    words, kept = coded(texts), []
     for k in range(1, MOST_WORDS + 1):
-        often = often_hashes(texts, k, kept[-1] if kept else None, least)
+        often = often_hashes(words, k, kept[-1] if kept else None, least)
         if often.isEmpty():
             break
         kept.append(spark.sparkContext.broadcast(bit_filter(often, "hash")))  # of fixed size
     bounds = range_bounds(texts, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = cut_lineage(united(shard_automata(texts, kept, bounds), least), "phrases")
-    totals = found.filter(F.col("words").isNotNull()).groupBy("name").agg(F.sum("words").alias("n"))
+    totals = words.groupBy("name").agg(F.sum("words").alias("n"))
     automata = found.filter(F.col("data").isNotNull()).select("range", "data")
     counted = found.filter(F.col("phrase").isNotNull()).select("name", "phrase", "k", "a")
     phrases = counted.filter(F.col("k") > 1)
 
     # A longer phrase that covers one with the same count does so through the phrases between them: one word more is enough.
-    spelled, words = F.col("phrase").cast("string"), F.col("k")
+    spelled = F.col("phrase").cast("string")
     ends = F.array(F.expr("substring_index(CAST(phrase AS STRING), ' ', k - 1)"), F.substring(spelled, F.locate(" ", spelled) + 1, F.length(spelled)))
-    covers = counted.filter(words > 2).select("name", F.explode(ends).alias("inner"), "a").groupBy("name", "inner").agg(F.max("a").alias("covered"))
+    covers = counted.filter(F.col("k") > 2).select("name", F.explode(ends).alias("inner"), "a").groupBy("name", "inner").agg(F.max("a").alias("covered"))
     covers = covers.select("name", F.col("inner").cast("binary").alias("phrase"), "covered")
     open_phrases = phrases.join(covers, ["name", "phrase"], "left").filter(F.col("covered").isNull() | (F.col("covered") < F.col("a"))).select("name", "phrase", "a")
 
