@@ -1,6 +1,7 @@
 """Packing, token records: against the library, document by document."""
 
 import functools
+import random
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from tidewright.llm import packing, queries, token_records
-from tidewright.llm.tokens import encoder
+from tidewright.llm.tokens import Encoder, encoder
 
 TEXTS = ["", None, "Hello  world's 42 tests.\n\n A", "a" * 3000, "x y " * 2500, "Ça ÉTÉ déjà Öl  nbsp 中文 ½ İ", "<|endoftext|> it's", "same", "same"]
 SCHEMA = "doc_id long, text string, start string, id string"
@@ -38,6 +39,16 @@ def test_encoder_equals_library(spark, sf, name):
         assert np.frombuffer(packed, enc.dtype).tolist() == library(name, text)
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_white_space_and_borders(name):
+    rng = random.Random(4)
+    parts = [" ", " ", "  ", "   ", "\n", "\t", "\r\n", "\x0b", "word", "Word's", "don't", "'s", "9", "42", "é", "Ö1", "_", "--", "?!", "a.b", "x,", "\u00a0", "中"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(4000)]
+    enc = Encoder(public_tokenizers.path(name), limit=50)
+    for text, packed in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(packed, enc.dtype).tolist() == library(name, text), repr(text)
+
+
 def check_packing(pieces, wanted):
     """Each id of each document in exactly one piece, sequences gapless and not too long. wanted: (id, ids) of the documents."""
     sequences, documents = {}, {}

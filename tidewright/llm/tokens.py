@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 
 import numpy as np
 
@@ -28,8 +29,26 @@ def byte_characters() -> dict[int, int]:
     return {b: 256 + i for i, b in enumerate(others)}
 
 
+class Remembered(dict):
+    """What ``make`` gives for a key, remembered for up to ``limit`` keys at a time."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit = make, limit
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
 class Encoder:
-    """ids of texts as little-endian bytes, ``width`` bytes an id."""
+    """ids of texts as little-endian bytes, ``width`` bytes an id.
+
+    A word is encoded once, and so is all that stands between two blanks: in the byte-level split a blank before a character that is no white space always starts a
+    word. Texts with several blanks in a row or white space at their end are split as a whole, as white space is put together there.
+    """
 
     def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
@@ -38,38 +57,44 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
+        self.letter = "H" if self.width == 2 else "I"
         # Lower-casing tokenizers drop white space too: there words are what white space separates.
         self.by_space = self.tokenizer.encode("A B", add_special_tokens=False).ids == self.tokenizer.encode("a\nb", add_special_tokens=False).ids
         self.split = WORD_LEVEL.findall if self.by_space else BYTE_LEVEL.findall
         self.model, self.alphabet = self.tokenizer.model, byte_characters()
-        self.known: dict[str, bytes] = {}
-        self.limit = limit
+        self.blank = chr(self.alphabet[32])
+        self.words = Remembered(self.word, limit)
+        self.pieces = Remembered(self.piece, limit)
+        self.after_blank = Remembered(lambda piece: self.piece(" " + piece), limit)
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def word(self, word: str) -> bytes:
         """ids of one word of the split, by the library's model."""
-        found = self.known.get(word)
-        if found is None:
-            tokens = self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))
-            found = self.known[word] = self.packed([t.id for t in tokens])
-        return found
-
-    def pieces(self, text: str) -> list[str]:
-        return text.lower().split() if self.by_space else BYTE_LEVEL.findall(text)
+        if word.isascii() and word.isprintable() and " " not in word[1:]:
+            shown = self.blank + word[1:] if word[0] == " " else word
+        else:
+            shown = word.encode().decode("latin-1").translate(self.alphabet)
+        return self.packed([t.id for t in self.model.tokenize(shown)])
+
+    def piece(self, piece: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.split(piece)))
+
+    def text(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if UNUSUAL.search(text):
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if self.by_space:
+            return b"".join(map(self.pieces.__getitem__, text.lower().split()))
+        if "  " in text or text[-1].isspace():
+            return self.piece(text)
+        first, *others = text.split(" ")
+        return self.pieces[first] + b"".join(map(self.after_blank.__getitem__, others))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        pieces = [None if UNUSUAL.search(t) else self.pieces(t) for t in texts]
-        known, distinct = self.known, set().union(*(p for p in pieces if p is not None))
-        if len(known) > self.limit:
-            known.clear()
-        for piece in distinct.difference(known):
-            known[piece] = b"".join(map(self.word, self.split(piece)))
-        return [
-            self.packed(self.tokenizer.encode(t, add_special_tokens=False).ids) if p is None else b"".join(map(known.__getitem__, p))
-            for t, p in zip(texts, pieces, strict=True)
-        ]
+        return [self.text(t) for t in texts]
 
 
 @functools.cache
