@@ -28,6 +28,7 @@ CASES = {
     "number code": (json.dumps({**GOOD, "pyspark_code": 5}), "field_values"),
     "short": (json.dumps({**GOOD, "pyspark_code": "df.count()"}), "minimum_length"),
     "syntax": (json.dumps({**GOOD, "pyspark_code": "spark.table('parcels') drop duplicates on depot"}), "pyspark_syntax"),
+    "null byte": (json.dumps({**GOOD, "pyspark_code": GOOD["pyspark_code"] + "\0"}), "pyspark_syntax"),
     "no ops": (json.dumps({**GOOD, "pyspark_code": "def weigh(parcel):\n    return parcel.weight or 0"}), "dataframe_operations"),
     "todo": (json.dumps({**GOOD, "pyspark_code": GOOD["pyspark_code"] + "\n# FIXME: add the other depots"}), "no_placeholder_text"),
     "suffix": (json.dumps({**GOOD, "pyspark_code": GOOD["pyspark_code"] + "\noperand"}), "no_placeholder_text"),
@@ -55,6 +56,7 @@ def test_blank_lines_and_reasons(verdicts):
     assert "blank" not in verdicts
     assert verdicts["missing"]["reason"] == "Missing fields: pyspark_code"
     assert verdicts["short"]["reason"] == "pyspark_code too short (10 chars)"
+    assert verdicts["null byte"]["reason"].startswith("Parse error: source code")
     assert verdicts["todo"]["reason"] == "Placeholder text found: 'FIXME: add'"
     assert verdicts["unrelated"]["reason"].startswith("Low alignment between source and pyspark (0%")
 

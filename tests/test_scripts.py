@@ -125,7 +125,7 @@ def test_table_names_of_ordinary_sql(spark, script, tables):
     [
         ("SELECT b.gauge FROM plant.boilers b LEFT SEMI JOIN plant.fitters f ON b.badge = f.badge", ["badge", "gauge"]),
         ("SELECT serial, cost FROM spares", ["cost", "serial"]),
-        ('SELECT "Gauge" AS g, [Cost] c, b.`Part No`, 7, NULL FROM `my plant`.`the boilers` b', ["cost", "gauge"]),
+        ('SELECT "Gauge" AS g, [Cost] c, b.`PartNo`, 7, NULL FROM `my plant`.`the boilers` b', ["cost", "gauge", "partno"]),
         ("SELECT max(pressure), round(cost, 2) AS r, count(DISTINCT badge), count(*), tools.scale(x) FROM plant.spares", ["badge", "cost", "pressure", "x"]),
         ("SELECT gauge FROM boilers WHERE badge IN (SELECT ALL holder FROM badges, plant.keys)", ["gauge", "holder"]),
     ],

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tidewright.operators.shared import SharedFrames, write_outputs
-from tidewright.session import scratch_root
+from tidewright.session import application_scratch
 
 
 def files_below(spark, label):
-    root = f"{scratch_root(spark)}/tidewright".removeprefix("file:")
+    root = application_scratch(spark).removeprefix("file:")
     return [d for d in os.listdir(root) if d.startswith(label)] if os.path.isdir(root) else []
 
 

@@ -128,7 +128,7 @@ def validate_lines(lines: DataFrame) -> DataFrame:
     )
     verdict = F.coalesce(
         F.col("_early"),
-        F.when(~F.col("_syntax.ok"), _finding("pyspark_syntax", F.coalesce(at_line, F.col("_syntax.message")))),
+        F.when(~F.col("_syntax.ok"), _finding("pyspark_syntax", F.coalesce(at_line, F.concat(F.lit(fv.REASON_PARSE), F.col("_syntax.message"))))),
         F.when(
             ~rules.any_match(code, fv.DATASET_OPERATIONS, rules.AS_WRITTEN),
             _finding("dataframe_operations", fv.REASON_OPERATIONS),

@@ -125,7 +125,8 @@ def table_names(text: Column) -> Column:
 
 
 def columns_read(text: Column) -> Column:
-    """Lower-case columns of a statement: those with an alias in front anywhere, and those that a select list names alone or as the first argument of a call."""
+    """Lower-case columns of a statement: those with an alias in front anywhere, and those that a select list names alone or as the first argument of a call.
+    Names with blanks in quotes are not read."""
     body = F.regexp_replace(text, rules.ANYWHERE + SOURCES, " FROM ")
     dotted = F.arrays_zip(rules.all_matches(body, QUALIFIED_PATTERN, 1).alias("name"), rules.all_matches(body, QUALIFIED_PATTERN, 2).alias("call"))
     qualified = F.transform(F.filter(dotted, lambda d: F.coalesce(d["call"], F.lit("")) == ""), lambda d: d["name"])

@@ -6,7 +6,7 @@ import importlib
 
 from tidewright.plans.registry import ORACLES, QUERIES
 
-for _module in ("storage", "relational", "windows", "scalars", "changes", "scripts", "privacy", "review", "pairs", "retrieval", "evaluation", "streams"):
+for _module in ("storage", "relational", "windows", "scalars", "changes", "scripts", "privacy", "review", "cards", "pairs", "retrieval", "evaluation", "streams"):
     importlib.import_module(f"tidewright.plans.{_module}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -10,8 +10,8 @@ from pyspark.sql.types import StructType
 
 from tidewright.operators.aggregates import money_sum
 from tidewright.plans.registry import query
-from tidewright.session import fresh_name, scratch_path, table
-from tidewright.sources import readers, writers
+from tidewright.session import fresh_name, scratch_path, spread, table
+from tidewright.sources import effects, readers, writers
 
 ALL_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -228,3 +228,16 @@ def w118(spark, sf):
     view = fresh_name("status_counts")
     spark.table(name).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("orders")).createOrReplaceTempView(view)
     return spark.table(view)
+
+
+@query(
+    "w19_committed_effects",
+    "SELECT event_id, user_id, 'alert for user ' || user_id AS note FROM events WHERE event_type = 'error'",
+)
+def w19(spark, sf):
+    """An alert for each failed event, sent by the tasks and made to count by one commit."""
+    failed = spread(table(spark, sf, "events").filter(F.col("event_type") == "error"))
+    alerts = failed.select("event_id", "user_id", F.concat(F.lit("alert for user "), F.col("user_id").cast("string")).alias("note"))
+    path = scratch_path(spark, "alerts")
+    effects.write_effects(alerts, path)
+    return effects.read_effects(spark, path, alerts.schema)

@@ -47,9 +47,14 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch[sc.applicationId]
 
 
+def application_scratch(spark: SparkSession) -> str:
+    """This application's own folder under the scratch root."""
+    return f"{scratch_root(spark)}/tidewright/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh, never reused path under the scratch root."""
-    return f"{scratch_root(spark)}/tidewright/{label}-{uuid.uuid4().hex[:12]}"
+    """A fresh, never reused path in this application's scratch folder."""
+    return f"{application_scratch(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def fresh_name(label: str) -> str:
@@ -78,8 +83,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def clear_scratch(spark: SparkSession) -> None:
-    """Remove all that this package wrote under the scratch root, when no result that reads it is needed any more."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tidewright")
+    """Remove all that this package wrote for this application, when no result that reads it is needed any more. Other applications' files stay."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(application_scratch(spark))
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
     for key in [k for k in _stored if k[0] == spark.sparkContext.applicationId]:
         del _stored[key]
