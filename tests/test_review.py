@@ -13,7 +13,7 @@ w = Window.partitionBy('line').orderBy('opened')
 valves = spark.sql('SELECT valve, line, opened FROM valves')
 valves.join(spark.table('lines'), on='line').withColumn('nth', F.row_number().over(w)).where('nth = 1').write.orc('/out/first_valves')
 """
-BAD = "readings = []\nwhile more:\n    readings.extend(source.collect())\n"
+BAD = "readings = []\nwhile pending(df):\n    readings.extend(df.collect())\n"
 SQL = "SELECT valve, ROW_NUMBER() OVER (PARTITION BY line ORDER BY opened) AS nth FROM valves JOIN lines USING (line)"
 
 
@@ -60,6 +60,12 @@ def test_sensitive_columns(spark):
     assert row["risk_level"] != "low" and row["manual_review"]
 
 
+def test_catalog_columns_count_too(spark):
+    df = spark.createDataFrame([("SELECT 1", "x = 1", ["Email", "amount"])], "raw_source string, pyspark_code string, known array<string>")
+    row = rv.with_risk(sc.with_features(df, "raw_source"), "known").first()
+    assert row["pii_columns"] == ["email"]
+
+
 def test_masks_leave_nothing_to_find(spark):
     text = "mail a.b@c.org card 4111-1111-1111-1234 phone 9876543210 id 234567890123 pan ABCDE1234F"
     masked = spark.createDataFrame([(text,)], "t string").select(masks.mask_text(F.col("t")).alias("t"))

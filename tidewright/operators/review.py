@@ -193,17 +193,23 @@ def guidance_flags(code: Column) -> Column:
     )
 
 
-def with_risk(rows: DataFrame) -> DataFrame:
-    """Sensitive columns, cost flags, null-safety warnings and the combined risk score."""
+def with_risk(rows: DataFrame, catalog: str | None = None) -> DataFrame:
+    """Sensitive columns, cost flags, null-safety warnings and the combined risk score.
+
+    Columns that a script names are words of its text, which is scanned as a whole; ``catalog`` names a list of further columns from elsewhere.
+    """
     unchecked = rules.matches(F.col(CODE), fv.JOIN_CALL, rules.AS_WRITTEN) & ~rules.any_match(F.col(CODE), fv.NULL_CHECKS, rules.AS_WRITTEN)
 
     def warn(j):
         return F.concat(F.lit(fv.NULL_WARNING[0]), j["table"], F.lit(fv.NULL_WARNING[1]))
 
-    named = F.filter("columns", lambda c: F.size(masks.sensitive_words(c)) > 0)
+    written = masks.sensitive_words(F.col("raw_source"))
+    if catalog is not None:
+        listed = F.filter(catalog, lambda c: F.size(masks.sensitive_words(c)) > 0)
+        written = F.array_sort(F.array_distinct(F.concat(written, F.transform(listed, F.lower))))
     found = rows.withColumns(
         {
-            "pii_columns": F.array_sort(F.array_distinct(F.concat(named, masks.sensitive_words(F.col("raw_source"))))),
+            "pii_columns": written,
             "cost_flags": rules.hits(F.col(CODE), fv.COST_RULES, rules.DOTALL),
             "null_warnings": F.when(unchecked, F.transform("joins", warn)).otherwise(F.array().cast("array<string>")),
         }
