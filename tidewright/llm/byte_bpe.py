@@ -5,10 +5,14 @@
 2. ``fold`` merges the bytes of each distinct word of the corpus by rank with higher-order functions: while any neighbouring pair has a rank, the
    lowest (leftmost if tied) is merged. The ranks are a literal: a table of the pairs whose concatenation has a rank, where one
    look finds a pair.
+   Spark also decodes them: the binary pieces of a word's ids one after another. What that gives is kept where it is not the word itself.
 3. The words' ids go back to the chunks that hold them, as files by chunk in the shared folder. A task reads the words of its chunks only,
    so what it holds is bounded by a chunk, and texts are never shuffled. A word that is missing there would be merged by the task
    itself, so results do not depend on chunks being cut alike.
 
+A blank before a character that is no white space always starts a word, so tasks split what stands between two blanks once for a chunk. Texts with several blanks in a
+row, white space at their end or unusual characters are split as a whole.
+
 Words of more than ``LONG_WORD`` bytes (runs of blanks, encoded data) would make the fold quadratic; tasks merge them with a heap.
 
 Defined results: a null or empty text has no ids; repeated rows are encoded each; the id is only carried along and may be null;
@@ -32,6 +36,8 @@ from tidewright.llm.tokens import BYTE_LEVEL, UNUSUAL
 
 LONG_WORD = 64
 CHUNK_ROWS = 10_000
+#: Names of chunks in one row, about.
+LISTED_CHUNKS = 50_000
 
 
 def rank_table(path: str) -> dict[bytes, int]:
@@ -164,58 +170,85 @@ class Splitter:
     def words(self, text: str) -> list[str]:
         return (self.pattern if UNUSUAL.search(text) else BYTE_LEVEL).findall(text)
 
+    @staticmethod
+    def pieces(text: str) -> list[str] | None:
+        """What stands between blanks; None for a text that is to be split as a whole."""
+        if "  " in text or text[-1:].isspace() or UNUSUAL.search(text):
+            return None
+        return text.split(" ")
+
 
 def word_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFrame:
-    """chunk, word (binary), ids of the distinct words of each chunk; long words are left out."""
+    """chunks, word (binary), ids and decoded (null where it is the word) of the distinct words of chunks; long words are left out.
+
+    A word that very many chunks hold comes in several rows, each with a bounded list of chunks.
+    """
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, seen, current = Splitter(pattern), set(), None
+        splitter, seen, pieces, current = Splitter(pattern), set(), set(), None
 
         def out() -> pa.RecordBatch:
+            for piece in pieces:
+                seen.update(BYTE_LEVEL.findall(" " + piece))
             words = [w for w in (w.encode() for w in seen) if len(w) <= LONG_WORD]
             return pa.RecordBatch.from_pydict({"chunk": pa.array([current] * len(words), pa.string()), "word": pa.array(words, pa.binary())})
 
         for batch in batches:
             for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if chunk != current and seen:
+                if chunk != current and (seen or pieces):
                     yield out()
-                    seen = set()
+                    seen, pieces = set(), set()
                 current = chunk
-                seen.update(splitter.words(text or ""))
-        if seen:
+                own = splitter.pieces(text or "")
+                if own is None:
+                    seen.update(splitter.words(text))
+                else:
+                    seen.update(BYTE_LEVEL.findall(own[0]))
+                    pieces.update(own[1:])
+        if seen or pieces:
             yield out()
 
     found = docs.select("chunk", "text").mapInArrow(distinct, "chunk string, word binary")
-    return found.groupBy("word").agg(F.collect_set("chunk").alias("chunks")).select("word", fold(bytes_of(F.col("word")), ranks).alias("ids"), "chunks")
+    blocks = -(-docs.agg(F.approx_count_distinct("chunk")).first()[0] // LISTED_CHUNKS) or 1
+    listed = found.groupBy("word", F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block")).agg(F.collect_set("chunk").alias("chunks"))
+    folded = listed.select("word", fold(bytes_of(F.col("word")), ranks).alias("ids"), "chunks")
+    decoded = joined_pieces("ids", ranks)
+    return folded.select("word", "ids", F.when(decoded != F.col("word"), decoded).alias("decoded"), "chunks")
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """One row per row of ``df``: id_col, n_tokens, ids_sha256, decoded_sha256; with ``keep`` also ids (array) and decoded (binary)."""
     spark, ranks = df.sparkSession, rank_table(ranks_path)
     docs = chunked(df, {"id": F.col(id_col), "text": F.col(text_col)}, CHUNK_ROWS)
-    root = write_by_chunk(word_ids(docs, ranks, pattern).select(F.explode("chunks").alias("chunk"), "word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids")), "words")
+    root = write_by_chunk(word_ids(docs, ranks, pattern).select(F.explode("chunks").alias("chunk"), "word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "decoded"), "words")
     schema = f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep
     shared = spark.sparkContext.broadcast(ranks)  # a fixed file of 50,000 ranks
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, splitter = shared.value, Splitter(pattern)
-        pieces = {str(rank): token for token, rank in ranks.items()}
-        known, current = None, None
+        pieces = {rank: token for token, rank in ranks.items()}
+        known, between, current = None, None, None
         for batch in batches:
             docs, chunks, texts = (batch.column(k).to_pylist() for k in ("id", "chunk", "text"))
             for part in pieces_of(docs, lambda _: 1, 2000):
                 counts, shas, decoded_shas, all_ids, all_decoded = [], [], [], [], []
                 for chunk, text in zip(chunks[part], texts[part], strict=True):
                     if chunk != current:
-                        known, current = WordIds(root, chunk, ranks), chunk
-                    decimal = " ".join(map(known.__getitem__, splitter.words(text or "")))
-                    ids = decimal.split()
-                    decoded = b"".join(map(pieces.__getitem__, ids))
-                    counts.append(len(ids))
+                        known = WordIds(root, chunk, ranks, pieces)
+                        between, current = PieceIds(known), chunk
+                    text = text or ""
+                    own = splitter.pieces(text)
+                    if own is None:
+                        found = known.joined(splitter.words(text), text)
+                    else:
+                        first = known.joined(BYTE_LEVEL.findall(own[0]), own[0])
+                        found = joined([first, *map(between.__getitem__, own[1:])], lambda k, own=own: " " * (k > 0) + own[k], text)
+                    decimal, decoded = found[0], text.encode() if found[1] is None else found[1]
+                    counts.append(decimal.count(" ") + 1 if decimal else 0)
                     shas.append(hashlib.sha256(decimal.encode()).hexdigest())
                     decoded_shas.append(hashlib.sha256(decoded).hexdigest())
                     if keep:
-                        all_ids.append(list(map(int, ids)))
+                        all_ids.append(list(map(int, decimal.split())))
                         all_decoded.append(decoded)
                 columns = {
                     "id": pa.array(docs[part], batch.column("id").type),
@@ -230,22 +263,53 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     return docs.mapInArrow(build, schema).withColumnRenamed("id", id_col)
 
 
+def joined(parts: list[tuple[str, bytes | None]], spelled, text: str) -> tuple[str, bytes | None]:
+    """(ids in decimal, decoded bytes or None where they are those of ``text``) of parts one after another; ``spelled(k)`` is the k-th part's own text."""
+    decimal = " ".join([ids for ids, _ in parts if ids])
+    if all(decoded is None for _, decoded in parts):
+        return decimal, None
+    decoded = b"".join(spelled(k).encode() if own is None else own for k, (_, own) in enumerate(parts))
+    return decimal, None if decoded == text.encode() else decoded
+
+
 class WordIds(dict):
-    """word -> its ids in decimal, one blank apart, for one chunk; other words are merged when they come."""
+    """word -> its ids in decimal, one blank apart, and its decoded bytes (None: those of the word), for one chunk; other words are merged when they come."""
 
-    def __init__(self, root: str, chunk: str, ranks: dict[bytes, int]):
+    def __init__(self, root: str, chunk: str, ranks: dict[bytes, int], pieces: dict[int, bytes]):
         super().__init__()
-        self.ranks = ranks
+        self.ranks, self.pieces = ranks, pieces
         for table in read_chunk(root, chunk):
-            self.update(zip(table.column("word").cast(pa.string()).to_pylist(), table.column("ids").to_pylist(), strict=True))
+            ids, decoded = table.column("ids").to_pylist(), table.column("decoded").to_pylist()
+            self.update(zip(table.column("word").cast(pa.string()).to_pylist(), zip(ids, decoded, strict=True), strict=True))
+
+    def __missing__(self, word: str) -> tuple[str, bytes | None]:
+        merged = merge_long(word.encode(), self.ranks)
+        decoded = b"".join(map(self.pieces.__getitem__, merged))
+        return " ".join(map(str, merged)), None if decoded == word.encode() else decoded
+
+    def joined(self, words: list[str], text: str) -> tuple[str, bytes | None]:
+        return joined([self[w] for w in words], words.__getitem__, text)
+
+
+class PieceIds(dict):
+    """What stands between two blanks -> ids and decoded bytes of its words, the blank in front among them."""
+
+    def __init__(self, words: WordIds):
+        super().__init__()
+        self.words = words
+
+    def __missing__(self, piece: str) -> tuple[str, bytes | None]:
+        found = self[piece] = self.words.joined(BYTE_LEVEL.findall(" " + piece), " " + piece)
+        return found
+
 
-    def __missing__(self, word: str) -> str:
-        return " ".join(map(str, merge_long(word.encode(), self.ranks)))
+def joined_pieces(ids_col: str, ranks: dict[bytes, int]) -> Column:
+    """The binary pieces of an array of ids one after another."""
+    pieces = F.split(F.lit(",".join(p.hex() for p, _ in sorted(ranks.items(), key=lambda x: x[1]))), ",")
+    spelled = F.transform(F.array(pieces), lambda p: F.array_join(F.transform(F.col(ids_col), lambda i: F.get(p, i)), ""))
+    return F.unhex(F.element_at(spelled, 1))
 
 
 def decode(ids: DataFrame, ranks_path: str, ids_col: str = "ids") -> DataFrame:
     """``ids`` with a column decoded (binary): the pieces of its ids one after another; null ids give null, no ids empty bytes."""
-    table = rank_table(ranks_path)
-    pieces = F.split(F.lit(",".join(p.hex() for p, _ in sorted(table.items(), key=lambda x: x[1]))), ",")
-    joined = F.transform(F.array(pieces), lambda p: F.array_join(F.transform(F.col(ids_col), lambda i: F.get(p, i)), ""))
-    return ids.withColumn("decoded", F.unhex(F.element_at(joined, 1)))
+    return ids.withColumn("decoded", joined_pieces(ids_col, rank_table(ranks_path)))
