@@ -23,8 +23,8 @@ def walk(text):
 def test_walks_agree():
     rng = random.Random(5)
     texts = ["", "q"] + ["".join(rng.choice("abc def") for _ in range(n)) for n in (5, 31, 32, 33, 64, 500, 3000)]
-    last, samples = fingerprints.fingerprints(texts)
-    for t, top, got in zip(texts, last, samples, strict=True):
+    last, samples, early = fingerprints.fingerprints(texts)
+    for t, top, got, before in zip(texts, last, samples, early, strict=True):
         out = walk(t)
         assert top == max(fingerprints.BASE, (len(out) - 1).bit_length() - 1 if len(out) > 1 else 0)
         for k in range(fingerprints.OCTAVES):
@@ -32,7 +32,41 @@ def test_walks_agree():
             if octave >= fingerprints.BASE:
                 wanted = [out[s] % 15 + 1 if s < len(out) else 0 for s in fingerprints.sampled_steps(octave)]
                 assert got[k].tolist() == wanted
-        assert fingerprints.from_text(fingerprints.as_text(top, got))[1].tolist() == got.tolist()
+        octaves = range(fingerprints.BASE, top - fingerprints.OCTAVES + 1)
+        for octave in octaves:
+            assert before[octave - fingerprints.BASE].tolist() == [out[s] % 15 + 1 for s in fingerprints.sampled_steps(octave)[::8]]
+        again = fingerprints.from_text(fingerprints.as_text(top, got, before))
+        assert again[0] == top and again[1].tolist() == got.tolist() and again[2].tolist() == before[: len(octaves)].tolist()
+
+
+def test_openings_tell_texts_apart():
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("abcdefgh ij") for _ in range(4000)) for _ in range(40)]
+    other = ["".join(rng.choice("abcdefgh ij") for _ in range(200)) + t[200:] for t in texts]
+    prints = [fingerprints.as_text(*p) for p in zip(*fingerprints.fingerprints(texts + other), strict=True)]
+    assert len(set(prints)) == 80
+
+
+def test_near_prints_share_a_band():
+    """Of the pairs that reach the threshold nearly all are candidates, on either side of an octave's border too; of texts with an edit for 200 characters
+    some seven in ten reach it."""
+    rng, near, met = random.Random(11), 0, 0
+    pairs = []
+    for _ in range(250):
+        one = [rng.choice("abcdefgh ijklmno") for _ in range(rng.randrange(300, 4000))]
+        other = list(one)
+        for _ in range(max(1, len(one) // 200)):
+            at = rng.randrange(len(other))
+            other[at : at + 1] = rng.choice([[], ["x"], ["q", other[at]]])
+        pairs += ["".join(one), "".join(other)]
+    order = sorted(range(len(pairs)), key=lambda i: len(pairs[i]))
+    found = dict(zip(order, zip(*fingerprints.fingerprints([pairs[i] for i in order]), strict=True), strict=True))
+    for i in range(0, len(pairs), 2):
+        a, b = found[i], found[i + 1]
+        if fingerprints.likeness(a, b) >= 0.8:
+            near += 1
+            met += bool(set(fingerprints.bands(*a[:2])) & set(fingerprints.bands(*b[:2])))
+    assert near >= 0.6 * 250 and met >= 0.95 * near
 
 
 def check(rows, got):
@@ -88,56 +122,81 @@ def test_edits_stay_near(spark):
 def brute_classes(prints, least):
     """Smallest member of each component of the pairs that share a band and reach ``least``."""
     own = [fingerprints.from_text(p) for p in prints]
-    keys = [set(fingerprints.bands(*p)) for p in own]
+    keys = [set(fingerprints.bands(*p[:2])) for p in own]
     part = list(range(len(prints)))
     for i in range(len(prints)):
         for j in range(i):
-            if part[i] != part[j] and keys[i] & keys[j] and fingerprints.likeness(*own[i], *own[j]) >= least:
+            if part[i] != part[j] and keys[i] & keys[j] and fingerprints.likeness(own[i], own[j]) >= least:
                 low, high = sorted((part[i], part[j]))
                 part = [low if x == high else x for x in part]
     return dict(enumerate(part))
 
 
 def test_classes_equal_brute_force(spark, monkeypatch):
-    """Near pairs whose bands all have another, smaller fingerprint that is near to neither; one band is held by many."""
+    """Near pairs among many prints that share one band; some of it reach the threshold only over a third print."""
     rng = np.random.default_rng(3)
-    octaves, size, width = fingerprints.OCTAVES, fingerprints.SAMPLES, fingerprints.BAND
-    made = lambda: rng.integers(2, 16, (octaves, size)).astype(np.uint8)
-    hot = made()[3, :width]
+    made = lambda: (rng.integers(2, 16, (fingerprints.OCTAVES, fingerprints.SAMPLES)).astype(np.uint8), rng.integers(2, 16, (1, fingerprints.EARLY)).astype(np.uint8))
+    octaves, places = (x[0] for x in fingerprints.band_places(9))
+    hot = rng.integers(2, 16, fingerprints.BAND).astype(np.uint8)
     prints = []
-    for i in range(30):
-        a = made()
-        a[0, 0] = 9
-        if i < 10:
-            a[3, :width] = hot
-        b, leader = a.copy(), made()
-        for k in range(octaves):
-            for at in range(0, size, width):
-                if (k, at) in ((3, 0), (2, 8)):
-                    leader[k, at : at + width] = a[k, at : at + width]
-                else:
-                    b[k, at + 1] = a[k, at + 1] % 15 + 1
-        leader[0, 0] = 1
-        prints += [a, b, leader]
+    for i in range(40):
+        samples, early = made()
+        if i < 15:
+            samples[octaves - 6, places] = hot
+        chain = [samples]
+        for _ in range(2):
+            changed = chain[-1].copy()
+            touched = rng.random(changed.shape) < 0.12
+            if i < 15:
+                touched[octaves - 6, places] = False
+            changed[touched] = changed[touched] % 15 + 1
+            chain.append(changed)
+        prints += [(x, early) for x in chain]
     for _ in range(120):
-        prints.append(made())
-        prints[-1][3, :width] = hot
-    prints = [fingerprints.as_text(9, p) for p in prints]
+        samples, early = made()
+        samples[octaves - 6, places] = hot
+        prints.append((samples, early))
+    prints = [fingerprints.as_text(9, *p) for p in prints]
     wanted = brute_classes(prints, 0.8)
-    assert sum(k != v for k, v in wanted.items()) == 30
+    assert sum(k != v for k, v in wanted.items()) >= 60
     df = spark.createDataFrame(list(enumerate(prints)), "doc_id long, fingerprint string")
     for most in (1000, 25):
         monkeypatch.setattr(fingerprints, "SLICE", most)
         assert {r.doc_id: r.class_id for r in fingerprints.near_classes(df).collect()} == wanted
 
 
+def test_links_are_a_forest():
+    _, samples, early = fingerprints.fingerprints(["same words in every text " * 40] * 30)
+    prints = [bytes.fromhex(fingerprints.as_text(10, s, e)) for s, e in zip(samples, early, strict=True)]
+    nodes = [bytes([i]) for i in range(30)]
+    assert len(fingerprints.links_across(nodes, prints, nodes, 0.8)) == 29
+
+
+def plain_likeness(a, b):
+    """Octave by octave: all samples where both keep them, else every eighth of those steps."""
+    top, agree, total = max(a[0], b[0]), 0.0, 0.0
+    for octave in range(5, top + 1):
+        rows = []
+        for last, samples, early in (a, b):
+            k = octave - last + 3
+            rows.append(early[octave - 5].tolist() if k < 0 else samples[k].tolist() if k < 4 else [0] * 64)
+        if octave <= top - 4:
+            rows = [r if len(r) == 8 else r[::8] for r in rows]
+        weight = 2.0 ** max(octave - 6, 0) * 64 / len(rows[0])
+        agree += weight * sum(x == y > 0 for x, y in zip(*rows, strict=True))
+        total += weight * sum(x > 0 or y > 0 for x, y in zip(*rows, strict=True))
+    return agree / total if total else 1.0
+
+
 def test_likeness_of_many():
     rng = random.Random(6)
     base = "".join(rng.choice("abcdef gh") for _ in range(900))
     texts = ["", "a", base[:20], base, base[:300] + base[310:], base[:450], base * 20, base * 20 + "end", base[5:] * 9]
-    last, samples = fingerprints.fingerprints(texts)
-    for x, own in zip(last.tolist(), samples, strict=True):
-        assert fingerprints.likeness_to(x, own, last, samples).tolist() == [fingerprints.likeness(x, own, y, other) for y, other in zip(last.tolist(), samples, strict=True)]
+    last, samples, early = fingerprints.fingerprints(texts)
+    each = list(zip(last.tolist(), samples, early, strict=True))
+    for one in each:
+        found = fingerprints.likeness_to(*one, last, samples, early).tolist()
+        assert found == [plain_likeness(one, other) for other in each] == [fingerprints.likeness(one, other) for other in each]
 
 
 def test_query_classes(spark, sf):

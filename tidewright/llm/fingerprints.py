@@ -4,9 +4,9 @@ The walk stands on a character of the text, writes it, and goes on to the next c
 this step and character. Texts that differ by an edit fall into step again, so their writings differ in few places. A text of n characters
 is written in about 2n steps.
 
-The fingerprint samples the writing at ``SAMPLES`` fixed random steps of each octave (steps 0 to 63, 64 to 127, 128 to 255, ...), keeping the last four
-octaves as 4-bit symbols, 0 beyond the end. Its likeness to another weighs each sample by its octave's length and is the share of samples that
-agree. Bands of sampled symbols make candidates of a search, which the likeness verifies.
+The fingerprint samples the writing at ``SAMPLES`` fixed random steps of each of its last four octaves (steps 0 to 63, 64 to 127, 128 to 255, ...) and at ``EARLY`` steps
+of each octave before, as 4-bit symbols, 0 beyond the end. Its likeness to another weighs each sample by the steps it stands for and is the share of samples that
+agree. Bands of symbols drawn at random from three octaves make candidates of a search, which the likeness verifies.
 
 Defined results: a null text counts as empty; two empty texts have likeness 1, an empty and another 0. Rows are in descending order of
 the id, nulls last, equal ids by a hash of the text; the next of the last row is the first; a single row is its own next. Other columns are ignored. An empty
@@ -34,7 +34,10 @@ OCTAVES = 4
 #: Octave 5 is steps 0 to 63, octave k > 5 is steps 2**k to 2**(k + 1) - 1.
 BASE = 5
 PERIOD = 4096
-BAND = 8
+#: Samples of an octave before the last four: every eighth of the others.
+EARLY = 8
+#: Symbols of a band, bands of a family, symbols of a band that must lie before the text's end.
+BAND, BANDS, WRITTEN = 8, 20, 6
 #: Rows of one range of ids, and most ranges (their bounds are literals).
 RANGE_ROWS = 2000
 MAX_RANGES = 1024
@@ -65,8 +68,8 @@ def symbols(text: str) -> np.ndarray:
     return out
 
 
-def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(last octave, OCTAVES x SAMPLES symbols) of each text. All texts walk at once, a step at a time."""
+def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """last octave, OCTAVES x SAMPLES symbols and those of the octaves before, of each text. All texts walk at once, a step at a time."""
     parts = [symbols(t) for t in texts]
     line = np.concatenate(parts) if parts else np.empty(0, np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
@@ -99,53 +102,91 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
                         break
                     char, move = char[: len(alive)], move[: len(alive)]
         written[octave] = rows
-        # Only the last octaves of a text are kept, and of finished texts nothing changes any more.
         octave += 1
     out = np.zeros((len(texts), OCTAVES, SAMPLES), np.uint8)
-    for k in range(OCTAVES):
-        for o, rows in written.items():
-            mine = np.flatnonzero(last - (OCTAVES - 1) + k == o)
-            kept = rows[:, mine].T
-            out[mine, k] = np.where(kept > 0, kept % 15 + 1, 0)
-    return last, out
+    early = np.zeros((len(texts), max(octave - OCTAVES - BASE, 0), EARLY), np.uint8)
+    for o, rows in written.items():
+        kept = np.where(rows > 0, rows % 15 + 1, 0).T
+        places = o - last + OCTAVES - 1
+        whole = np.flatnonzero((places >= 0) & (places < OCTAVES))
+        out[whole, places[whole]] = kept[whole]
+        before = np.flatnonzero(places < 0)
+        if len(before):
+            early[before, o - BASE] = kept[before, :: SAMPLES // EARLY]
+    return last, out, early
 
 
-def as_text(last: int, samples: np.ndarray) -> str:
-    """Two hexadecimal digits of the last octave, one of each sample."""
-    flat = samples.reshape(-1)
-    return f"{last:02x}" + (flat[0::2] << 4 | flat[1::2]).astype(np.uint8).tobytes().hex()
+def early_octaves(last: int) -> int:
+    return max(last - OCTAVES + 1 - BASE, 0)
 
 
-def from_text(fingerprint: str) -> tuple[int, np.ndarray]:
+def packed(symbols: np.ndarray) -> str:
+    flat = symbols.reshape(-1)
+    return (flat[0::2] << 4 | flat[1::2]).astype(np.uint8).tobytes().hex()
+
+
+def as_text(last: int, samples: np.ndarray, early: np.ndarray) -> str:
+    """Two hexadecimal digits of the last octave, one of each sample of the last four octaves, then those of the octaves before."""
+    return f"{last:02x}" + packed(samples) + packed(early[: early_octaves(last)])
+
+
+def from_text(fingerprint: str) -> tuple[int, np.ndarray, np.ndarray]:
     pairs = np.frombuffer(bytes.fromhex(fingerprint[2:]), np.uint8)
-    return int(fingerprint[:2], 16), np.stack([pairs >> 4, pairs & 15], axis=1).reshape(OCTAVES, SAMPLES)
+    flat, last = np.stack([pairs >> 4, pairs & 15], axis=1).reshape(-1), int(fingerprint[:2], 16)
+    return last, flat[: OCTAVES * SAMPLES].reshape(OCTAVES, SAMPLES), flat[OCTAVES * SAMPLES :].reshape(-1, EARLY)
+
+
+def octave_of(last: int, samples: np.ndarray, early: np.ndarray, octave: int, whole: bool) -> np.ndarray:
+    """The symbols of an octave, of one fingerprint or of many alike in ``last`` (their first axis); all samples of it if ``whole``, else the early ones."""
+    k = octave - last + OCTAVES - 1
+    if k < 0:
+        return early[..., octave - BASE, :]
+    if k >= OCTAVES:
+        return np.zeros((*samples.shape[:-2], SAMPLES if whole else EARLY), np.uint8)
+    return samples[..., k, :: 1 if whole else SAMPLES // EARLY]
+
+
+def likeness_to(last: int, samples: np.ndarray, early: np.ndarray, lasts: np.ndarray, others: np.ndarray, earlies: np.ndarray) -> np.ndarray:
+    """Share of agreeing samples, 0 to 1, weighed by the steps they stand for, of one fingerprint and each of many."""
+    out = np.ones(len(lasts))
+    for other in np.unique(lasts).tolist():
+        mine = np.flatnonzero(lasts == other)
+        theirs, before = others[mine], earlies[mine]
+        agree, total = np.zeros(len(mine)), np.zeros(len(mine))
+        for octave in range(BASE, max(last, other) + 1):
+            whole = octave > max(last, other) - OCTAVES
+            x, y = octave_of(last, samples, early, octave, whole), octave_of(other, theirs, before, octave, whole)
+            weight = float(1 << max(octave - BASE - 1, 0)) * (1 if whole else SAMPLES // EARLY)
+            agree += weight * np.count_nonzero((x == y) & (x > 0), axis=1)
+            total += weight * np.count_nonzero((x > 0) | (y > 0), axis=1)
+        out[mine] = np.where(total > 0, agree / np.maximum(total, 1), 1.0)
+    return out
 
 
-def likeness(last_a: int, a: np.ndarray, last_b: int, b: np.ndarray) -> float:
-    """Share of agreeing samples, 0 to 1, weighed by the steps they stand for."""
-    agree = total = 0.0
-    top = max(last_a, last_b)
-    for octave in range(max(BASE, top - OCTAVES + 1), top + 1):
-        k, m = octave - last_a + OCTAVES - 1, octave - last_b + OCTAVES - 1
-        if k < 0 or m < 0:
-            continue  # one keeps nothing so early
-        x = a[k] if k < OCTAVES else 0
-        y = b[m] if m < OCTAVES else 0
-        weight = float(1 << max(octave - BASE - 1, 0))
-        agree += weight * np.count_nonzero((x == y) & (x > 0))
-        total += weight * np.count_nonzero((x > 0) | (y > 0))
-    return agree / total if total else 1.0
+def likeness(a: tuple, b: tuple) -> float:
+    last, samples, early = b
+    return float(likeness_to(*a, np.array([last]), samples[None], early[None])[0])
+
+
+@functools.cache
+def band_places(top: int) -> np.ndarray:
+    """Octave and sample of each symbol of the family's bands: drawn from the octaves top - 2 to top."""
+    rng, first = np.random.default_rng([5, top]), max(BASE, top - 2)
+    drawn = np.array([rng.choice((top - first + 1) * SAMPLES, BAND, replace=False) for _ in range(BANDS)])
+    return np.stack([first + drawn // SAMPLES, drawn % SAMPLES])
 
 
 def bands(last: int, samples: np.ndarray) -> list[str]:
-    """Keys of the bands: BAND neighbouring samples of a whole octave each; short texts use what they have."""
-    keys = []
-    for k in range(OCTAVES):
-        octave = last - OCTAVES + 1 + k
-        for i in range(0, SAMPLES, BAND):
-            band = samples[k, i : i + BAND]
-            if octave >= BASE and (band > 0).all() or (last == BASE and i == 0 and k == OCTAVES - 1):
-                keys.append(f"{octave}-{i}-{band.tobytes().hex()}")
+    """Keys of the bands: of the family of the last octave and of the one before, so that texts on either side of an octave's border share one.
+
+    A band mostly beyond the text's end says nothing and is left out; texts of the first octave have their start for a band, whatever its length.
+    """
+    keys = [f"start-{samples[OCTAVES - 1, :BAND].tobytes().hex()}"] if last == BASE else []
+    for top in range(max(BASE, last - 1), last + 1):
+        octaves, places = band_places(top)
+        for i, band in enumerate(samples[octaves - last + OCTAVES - 1, places]):
+            if np.count_nonzero(band) >= WRITTEN:
+                keys.append(f"{top}-{i}-{band.tobytes().hex()}")
     return keys
 
 
@@ -209,9 +250,9 @@ def compared(pairs: list[tuple[tuple, tuple]], kind: pa.DataType) -> pa.RecordBa
     # The next text is mostly the next row, so each text walks once.
     distinct = {t: i for i, t in enumerate(dict.fromkeys(texts + nexts + edited))}
     order = sorted(distinct, key=len)
-    last, samples = fingerprints(order)
+    last, samples, early = fingerprints(order)
     place = {t: i for i, t in enumerate(order)}
-    of = lambda ts: [(int(last[place[t]]), samples[place[t]]) for t in ts]
+    of = lambda ts: [(int(last[place[t]]), samples[place[t]], early[place[t]]) for t in ts]
     mine, theirs, changed = of(texts), of(nexts), of(edited)
     columns = {
         "id": pa.array([a[2] for a, _ in pairs], kind),
@@ -219,45 +260,36 @@ def compared(pairs: list[tuple[tuple, tuple]], kind: pa.DataType) -> pa.RecordBa
         "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edited],
         "fingerprint": [as_text(*m) for m in mine],
         "edited_fingerprint": [as_text(*c) for c in changed],
-        "near_edited": [likeness(*m, *c) for m, c in zip(mine, changed, strict=True)],
-        "near_next": [likeness(*m, *t) for m, t in zip(mine, theirs, strict=True)],
-        "shared_bands": pa.array([len(set(bands(*m)) & set(bands(*c))) for m, c in zip(mine, changed, strict=True)], pa.int32()),
+        "near_edited": [likeness(m, c) for m, c in zip(mine, changed, strict=True)],
+        "near_next": [likeness(m, t) for m, t in zip(mine, theirs, strict=True)],
+        "shared_bands": pa.array([len(set(bands(*m[:2])) & set(bands(*c[:2]))) for m, c in zip(mine, changed, strict=True)], pa.int32()),
     }
     return pa.RecordBatch.from_pydict(columns)
 
 
-def likeness_to(last: int, samples: np.ndarray, lasts: np.ndarray, others: np.ndarray) -> np.ndarray:
-    """``likeness`` of one fingerprint to each of many."""
-    out = np.ones(len(lasts))
-    none = np.zeros(SAMPLES, np.uint8)
-    for other in np.unique(lasts).tolist():
-        mine = np.flatnonzero(lasts == other)
-        agree, total = np.zeros(len(mine)), np.zeros(len(mine))
-        top = max(last, other)
-        for octave in range(max(BASE, top - OCTAVES + 1), top + 1):
-            k, m = octave - last + OCTAVES - 1, octave - other + OCTAVES - 1
-            if k < 0 or m < 0:
-                continue
-            x = samples[k] if k < OCTAVES else none
-            y = others[mine, m] if m < OCTAVES else np.broadcast_to(none, (len(mine), SAMPLES))
-            weight = float(1 << max(octave - BASE - 1, 0))
-            agree += weight * np.count_nonzero((x == y) & (x > 0), axis=1)
-            total += weight * np.count_nonzero((x > 0) | (y > 0), axis=1)
-        out[mine] = np.where(total > 0, agree / np.maximum(total, 1), 1.0)
+def padded(earlies: list[np.ndarray]) -> np.ndarray:
+    """Early symbols of many fingerprints in one array."""
+    out = np.zeros((len(earlies), max(map(len, earlies)), EARLY), np.uint8)
+    for row, early in zip(out, earlies, strict=True):
+        row[: len(early)] = early
     return out
 
 
 def links_across(nodes: list[bytes], prints: list[bytes], parts: list[bytes], least: float) -> list[tuple[bytes, bytes]]:
-    """Pairs of nodes in different parts whose likeness is at least ``least``."""
-    places = [from_text(p.hex()) for p in prints]
-    lasts, samples = np.array([last for last, _ in places]), np.stack([s for _, s in places])
+    """Links of likeness ``least`` or more that join the parts as all such links would: one fewer than parts at most."""
+    lasts, samples, earlies = zip(*(from_text(p.hex()) for p in prints), strict=True)
+    lasts, samples, early = np.array(lasts), np.stack(samples), padded(earlies)
     part = np.unique(parts, return_inverse=True)[1]
     links = []
     for i in range(len(nodes) - 1):
         later = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
-        if len(later):
-            near = later[likeness_to(*places[i], lasts[later], samples[later]) >= least]
-            links += [(nodes[i], nodes[j]) for j in near.tolist()]
+        if not len(later):
+            continue
+        near = later[likeness_to(int(lasts[i]), samples[i], early[i], lasts[later], samples[later], early[later]) >= least]
+        for j in near.tolist():
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                links.append((nodes[i], nodes[j]))
     return links
 
 
@@ -265,13 +297,13 @@ def linked_prints(prints: DataFrame, least: float) -> DataFrame:
     """node (md5 of a fingerprint), component of the fingerprints that are near another, of stored rows (fingerprint).
 
     Pairs come in two rounds: all of a band with its smallest node, so a band of n rows gives n - 1 pairs; then, in bands that still hold several
-    components, all pairs of different ones. A band of more than ``SLICE`` rows is split, and each two of its slices meet in a task. A pair
+    components, a forest of the links between different ones. A band of more than ``SLICE`` rows is split, and each two of its slices meet in a task. A pair
     inside a component cannot change the classes. A bit set of the bands held twice leaves the others out before the shuffle.
     """
 
     def keys(batches: Iterator[pa.RecordBatch], bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = {p: np.array([xxhash.xxh3_64_intdigest(b) for b in bands(*from_text(p))], np.uint64) for p in set(batch.column(0).to_pylist())}
+            own = {p: np.array([xxhash.xxh3_64_intdigest(b) for b in bands(*from_text(p)[:2])], np.uint64) for p in set(batch.column(0).to_pylist())}
             if bits is not None:
                 own = {p: b[in_filter(bits, b)] for p, b in own.items()}
             nodes = [hashlib.md5(p.encode()).digest() for p, b in own.items() for _ in range(len(b))]
@@ -281,7 +313,7 @@ def linked_prints(prints: DataFrame, least: float) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            near = [likeness(*from_text(x.hex()), *from_text(y.hex())) >= least for x, y in both]
+            near = [likeness(from_text(x.hex()), from_text(y.hex())) >= least for x, y in both]
             yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
