@@ -65,6 +65,24 @@ def test_query(spark, sf):
     assert sorted(map(tuple, queries.QUERIES["op9_jaccard_join"](spark, sf).collect()), key=str) == brute_force(rows)
 
 
+def test_word_hashes(monkeypatch):
+    rng = random.Random(7)
+    words = [bytes(rng.choice(b"abcz\x00\xc3\xa9~") for _ in range(rng.randrange(1, 9))) for _ in range(3000)] + [b"w" * 40, b"a", b"aa"]
+    line = b" ".join(words)
+    whole = jaccard_join.word_hashes(line)
+    assert len(whole) == len(words) and len(set(whole.tolist())) == len(set(words))
+    by_word = {w: jaccard_join.word_hashes(w)[0] for w in words}
+    assert whole.tolist() == [by_word[w] for w in words]
+    jaccard_join.hash_tables.cache_clear()
+    monkeypatch.setattr(jaccard_join, "HASHED", 64)  # lines are cut between words
+    try:
+        assert jaccard_join.word_hashes(line).tolist() == whole.tolist()
+        assert len(jaccard_join.word_hashes(b"x " + b"y" * 200 + b" z")) == 3
+    finally:
+        jaccard_join.hash_tables.cache_clear()
+    assert len(jaccard_join.word_hashes(b"")) == 0
+
+
 @pytest.mark.parametrize("edges, parts", [([], {}), ([(i + 1, i) for i in range(40)], {0: 41}), ([(1, 2), (3, 2), (9, 8), (5, 5)], {1: 3, 8: 2})])
 def test_components(spark, edges, parts):
     found = graph.components(spark.createDataFrame(edges, "u long, v long")).collect()

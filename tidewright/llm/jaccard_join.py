@@ -19,15 +19,17 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHashes, ascii_lower, bit_filter, byte_texts, gram_hashes, in_filter, pieces_of, whole_text
+from tidewright.llm.common import ascii_lower, bit_filter, byte_texts, gram_hashes, in_filter, mix, multipliers, pieces_of, whole_text
 from tidewright.llm.graph import components
 from tidewright.session import cut_lineage
 
@@ -38,42 +40,74 @@ LOG2_COUNTERS = 21
 BLOCK = 1 << 16
 #: Documents compared with one leader in a task.
 SLICE = 2000
-
-
-def shingles(hashes: WordHashes, words: list[bytes], n: int = N) -> np.ndarray:
-    """Sorted distinct n-gram hashes; one for all words if there are fewer than n, none without words."""
-    if not words:
+#: Bytes that are hashed at once.
+HASHED = 1 << 18
+
+
+@functools.cache
+def hash_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for each byte, the powers of an odd factor by place, and those of its inverse, all modulo 2**64."""
+    factor = int(multipliers(1)[0])
+    powers = np.cumprod(np.full(HASHED, factor, np.uint64)), np.cumprod(np.full(HASHED, pow(factor, -1, 1 << 64), np.uint64))
+    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), *powers
+
+
+def word_hashes(line: bytes) -> np.ndarray:
+    """64-bit hash of each word of a line of words one blank apart: the sum of its bytes' values, each times a power by place, from sums over the whole line."""
+    of_byte, powers, inverse = hash_tables()
+    out = []
+    at = 0
+    while at < len(line):
+        end = len(line) if len(line) - at <= HASHED else line.rfind(b" ", at, at + HASHED + 1)
+        if end < 0:  # one word longer than the tables
+            end = line.find(b" ", at)
+            end = len(line) if end < 0 else end
+            out.append(np.array([xxhash.xxh3_64_intdigest(line[at:end])], np.uint64))
+        else:
+            block = np.frombuffer(line, np.uint8, end - at, at)
+            stops = np.flatnonzero(block == 32)
+            starts = np.concatenate([[0], stops + 1])
+            sums = np.zeros(len(block) + 1, np.uint64)
+            np.cumsum(of_byte[block] * powers[: len(block)], out=sums[1:])
+            out.append(mix((sums[np.append(stops, len(block))] - sums[starts]) * inverse[starts]))
+        at = end + 1
+    return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+
+def shingles(line: bytes, n: int = N) -> np.ndarray:
+    """Sorted distinct n-gram hashes of a line of words; one for all words if there are fewer than n, none without words."""
+    if not line:
         return np.empty(0, np.uint64)
-    of_words = hashes.of(words)
-    return np.unique(gram_hashes(of_words, n) if len(words) >= n else gram_hashes(of_words, len(words)) + np.uint64(len(words)))
+    words = word_hashes(line)
+    return np.unique(gram_hashes(words, n) if len(words) >= n else gram_hashes(words, len(words)) + np.uint64(len(words)))
 
 
 def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
 
-def word_lists(texts: list[bytes]) -> list[list[bytes]]:
-    """bytes.lower and bytes.split know ASCII only: A-Z are lowered, blank and \\t to \\r separate."""
-    return [t.lower().split() for t in texts]
+def lines(texts: list[bytes]) -> list[bytes]:
+    """The words of each text one blank apart. bytes.lower and bytes.split know ASCII only: A-Z are lowered, blank and \\t to \\r separate."""
+    return [b" ".join(t.lower().split()) for t in texts]
 
 
-def class_of(words: list[bytes]) -> bytes:
-    return hashlib.md5(b" ".join(words)).digest()
+def class_of(line: bytes) -> bytes:
+    return hashlib.md5(line).digest()
 
 
 def classes(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """Rows of two kinds: block null: id, cid (class), n_shingles of a document; else counts of a block of n-gram counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counters = WordHashes(), np.zeros(1 << LOG2_COUNTERS, np.uint32)
+        counters = np.zeros(1 << LOG2_COUNTERS, np.uint32)
         mask, kind = np.uint64((1 << LOG2_COUNTERS) - 1), pa.null()
         for batch in batches:
             kind, texts = batch.column(0).type, byte_texts(batch)
             for part in pieces_of(texts, len, 2_000_000):
                 cids, sizes, grams = [], [], []
-                for words in word_lists(texts[part]):
-                    own = shingles(hashes, words, n)
-                    cids.append(class_of(words))
+                for line in lines(texts[part]):
+                    own = shingles(line, n)
+                    cids.append(class_of(line))
                     sizes.append(len(own))
                     grams.append(own)
                 counters += np.bincount((np.concatenate(grams) & mask).astype(np.int64), minlength=len(counters)).astype(np.uint32)
@@ -118,20 +152,20 @@ def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def each_class(batches: Iterator[pa.RecordBatch], counts: np.ndarray, n: int, percent: int):
-    """class, words, size and prefix of each text of a task, equal texts mostly once (the last 100,000 classes are remembered)."""
-    hashes, seen = WordHashes(), set()
+    """class, line of words, size and prefix of each text of a task, equal texts mostly once (the last 100,000 classes are remembered)."""
+    seen: set[bytes] = set()
     for batch in batches:
         texts = byte_texts(batch)
         for part in pieces_of(texts, len, 2_000_000):
-            for words in word_lists(texts[part]):
-                cid = class_of(words)
-                if not words or cid in seen:
+            for line in lines(texts[part]):
+                cid = class_of(line)
+                if not line or cid in seen:
                     continue
                 if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(cid)
-                grams = shingles(hashes, words, n)
-                yield cid, words, len(grams), rare_first(grams, counts)[: prefix_length(len(grams), percent)]
+                grams = shingles(line, n)
+                yield cid, line, len(grams), rare_first(grams, counts)[: prefix_length(len(grams), percent)]
 
 
 def overlap_needed(a: Column, b: Column, percent: int) -> Column:
@@ -155,11 +189,11 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     rows = with_text.unionByName(leaders).repartition("a", "slice").sortWithinPartitions("a", "slice", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, own = WordHashes(), np.empty(0, np.uint64)
+        own = np.empty(0, np.uint64)
         for batch in batches:
             links = []
             for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                grams = shingles(hashes, text.split(b" "), n)
+                grams = shingles(text, n)
                 if b is None:
                     own = grams
                 elif links_sets(own, grams, percent):
@@ -207,10 +241,10 @@ def linked_classes(df: DataFrame, counts: np.ndarray, text_col: str = "text", n:
         names = ["cid", "size", "share", "text", "grams", "places"]
         kinds = [pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         rows: list[tuple] = []
-        for cid, words, size, prefix in each_class(batches, shared_counts.value, n, percent):
+        for cid, line, size, prefix in each_class(batches, shared_counts.value, n, percent):
             places = np.flatnonzero(in_filter(bits, prefix))
             if len(places):
-                rows.append((cid, size, len(places) / len(prefix), b" ".join(words), prefix[places].view(np.int64), places.astype(np.int32)))
+                rows.append((cid, size, len(places) / len(prefix), line, prefix[places].view(np.int64), places.astype(np.int32)))
             if len(rows) >= 2000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
