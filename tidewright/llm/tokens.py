@@ -64,8 +64,9 @@ class Encoder:
         self.model, self.alphabet = self.tokenizer.model, byte_characters()
         self.blank = chr(self.alphabet[32])
         self.words = Remembered(self.word, limit)
-        self.pieces = Remembered(self.piece, limit)
-        self.after_blank = Remembered(lambda piece: self.piece(" " + piece), limit)
+        # Pieces are looked up most, and each holds a few words, so more of them are remembered.
+        self.pieces = Remembered(self.piece, 2 * limit)
+        self.after_blank = Remembered(lambda piece: self.piece(" " + piece), 2 * limit)
 
     def packed(self, ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{self.letter}", *ids)
