@@ -212,8 +212,9 @@ def word_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFram
     blocks = -(-docs.agg(F.approx_count_distinct("chunk")).first()[0] // LISTED_CHUNKS) or 1
     listed = found.groupBy("word", F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("block")).agg(F.collect_set("chunk").alias("chunks"))
     folded = listed.select("word", fold(bytes_of(F.col("word")), ranks).alias("ids"), "chunks")
-    decoded = joined_pieces("ids", ranks)
-    return folded.select("word", "ids", F.when(decoded != F.col("word"), decoded).alias("decoded"), "chunks")
+    # A column of its own first: used twice in one expression it would be made twice.
+    decoded = folded.withColumn("decoded", joined_pieces("ids", ranks))
+    return decoded.select("word", "ids", F.when(F.col("decoded") != F.col("word"), F.col("decoded")).alias("decoded"), "chunks")
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
