@@ -146,16 +146,20 @@ def octave_of(last: int, samples: np.ndarray, early: np.ndarray, octave: int, wh
     return samples[..., k, :: 1 if whole else SAMPLES // EARLY]
 
 
-def likeness_to(last: int, samples: np.ndarray, early: np.ndarray, lasts: np.ndarray, others: np.ndarray, earlies: np.ndarray) -> np.ndarray:
-    """Share of agreeing samples, 0 to 1, weighed by the steps they stand for, of one fingerprint and each of many."""
-    out = np.ones(len(lasts))
-    for other in np.unique(lasts).tolist():
-        mine = np.flatnonzero(lasts == other)
-        theirs, before = others[mine], earlies[mine]
+def likenesses(a: tuple, b: tuple) -> np.ndarray:
+    """Share of agreeing samples, 0 to 1, weighed by the steps they stand for, of the fingerprints of ``a`` and ``b``, place by place.
+
+    Both are (last octaves, samples, early samples), one row for each.
+    """
+    out = np.ones(len(a[0]))
+    kinds, which = np.unique(np.stack([a[0], b[0]], axis=1), axis=0, return_inverse=True)
+    for kind, (last, other) in enumerate(kinds.tolist()):
+        mine = np.flatnonzero(which.reshape(-1) == kind)
+        x_of, y_of = (a[1][mine], a[2][mine]), (b[1][mine], b[2][mine])
         agree, total = np.zeros(len(mine)), np.zeros(len(mine))
         for octave in range(BASE, max(last, other) + 1):
             whole = octave > max(last, other) - OCTAVES
-            x, y = octave_of(last, samples, early, octave, whole), octave_of(other, theirs, before, octave, whole)
+            x, y = octave_of(last, *x_of, octave, whole), octave_of(other, *y_of, octave, whole)
             weight = float(1 << max(octave - BASE - 1, 0)) * (1 if whole else SAMPLES // EARLY)
             agree += weight * np.count_nonzero((x == y) & (x > 0), axis=1)
             total += weight * np.count_nonzero((x > 0) | (y > 0), axis=1)
@@ -163,11 +167,31 @@ def likeness_to(last: int, samples: np.ndarray, early: np.ndarray, lasts: np.nda
     return out
 
 
+def likeness_to(last: int, samples: np.ndarray, early: np.ndarray, lasts: np.ndarray, others: np.ndarray, earlies: np.ndarray) -> np.ndarray:
+    """``likenesses`` of one fingerprint to each of many."""
+    n = len(lasts)
+    return likenesses((np.full(n, last), np.broadcast_to(samples, (n, *samples.shape)), np.broadcast_to(early, (n, *early.shape))), (lasts, others, earlies))
+
+
 def likeness(a: tuple, b: tuple) -> float:
     last, samples, early = b
     return float(likeness_to(*a, np.array([last]), samples[None], early[None])[0])
 
 
+def padded(earlies: list[np.ndarray]) -> np.ndarray:
+    """Early symbols of many fingerprints in one array."""
+    out = np.zeros((len(earlies), max(map(len, earlies)), EARLY), np.uint8)
+    for row, early in zip(out, earlies, strict=True):
+        row[: len(early)] = early
+    return out
+
+
+def many(prints: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints as arrays, one row for each."""
+    lasts, samples, earlies = zip(*prints, strict=True)
+    return np.array(lasts, np.int64), np.stack(samples), padded(list(earlies))
+
+
 @functools.cache
 def band_places(top: int) -> np.ndarray:
     """Octave and sample of each symbol of the family's bands: drawn from the octaves top - 2 to top."""
@@ -184,9 +208,9 @@ def bands(last: int, samples: np.ndarray) -> list[str]:
     keys = [f"start-{samples[OCTAVES - 1, :BAND].tobytes().hex()}"] if last == BASE else []
     for top in range(max(BASE, last - 1), last + 1):
         octaves, places = band_places(top)
-        for i, band in enumerate(samples[octaves - last + OCTAVES - 1, places]):
-            if np.count_nonzero(band) >= WRITTEN:
-                keys.append(f"{top}-{i}-{band.tobytes().hex()}")
+        found = samples[octaves - last + OCTAVES - 1, places]
+        for i in np.flatnonzero(np.count_nonzero(found, axis=1) >= WRITTEN).tolist():
+            keys.append(f"{top}-{i}-{found[i].tobytes().hex()}")
     return keys
 
 
@@ -254,31 +278,24 @@ def compared(pairs: list[tuple[tuple, tuple]], kind: pa.DataType) -> pa.RecordBa
     place = {t: i for i, t in enumerate(order)}
     of = lambda ts: [(int(last[place[t]]), samples[place[t]], early[place[t]]) for t in ts]
     mine, theirs, changed = of(texts), of(nexts), of(edited)
+    own = many(mine)
+    keys = {t: frozenset(bands(int(last[i]), samples[i])) for t, i in place.items()}
     columns = {
         "id": pa.array([a[2] for a, _ in pairs], kind),
         "n_chars": pa.array(list(map(len, texts)), pa.int64()),
         "edited_sha256": [hashlib.sha256(e.encode()).hexdigest() for e in edited],
         "fingerprint": [as_text(*m) for m in mine],
         "edited_fingerprint": [as_text(*c) for c in changed],
-        "near_edited": [likeness(m, c) for m, c in zip(mine, changed, strict=True)],
-        "near_next": [likeness(m, t) for m, t in zip(mine, theirs, strict=True)],
-        "shared_bands": pa.array([len(set(bands(*m[:2])) & set(bands(*c[:2]))) for m, c in zip(mine, changed, strict=True)], pa.int32()),
+        "near_edited": likenesses(own, many(changed)),
+        "near_next": likenesses(own, many(theirs)),
+        "shared_bands": pa.array([len(keys[t] & keys[e]) for t, e in zip(texts, edited, strict=True)], pa.int32()),
     }
     return pa.RecordBatch.from_pydict(columns)
 
 
-def padded(earlies: list[np.ndarray]) -> np.ndarray:
-    """Early symbols of many fingerprints in one array."""
-    out = np.zeros((len(earlies), max(map(len, earlies)), EARLY), np.uint8)
-    for row, early in zip(out, earlies, strict=True):
-        row[: len(early)] = early
-    return out
-
-
 def links_across(nodes: list[bytes], prints: list[bytes], parts: list[bytes], least: float) -> list[tuple[bytes, bytes]]:
     """Links of likeness ``least`` or more that join the parts as all such links would: one fewer than parts at most."""
-    lasts, samples, earlies = zip(*(from_text(p.hex()) for p in prints), strict=True)
-    lasts, samples, early = np.array(lasts), np.stack(samples), padded(earlies)
+    lasts, samples, early = many([from_text(p.hex()) for p in prints])
     part = np.unique(parts, return_inverse=True)[1]
     links = []
     for i in range(len(nodes) - 1):
@@ -312,9 +329,10 @@ def linked_prints(prints: DataFrame, least: float) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-            near = [likeness(from_text(x.hex()), from_text(y.hex())) >= least for x, y in both]
-            yield batch.select(["u", "v"]).filter(pa.array(near, pa.bool_()))
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                x, y = (many([from_text(p.hex()) for p in part.column(c).to_pylist()]) for c in ("x", "y"))
+                yield part.select(["u", "v"]).filter(pa.array(likenesses(x, y) >= least))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> pa.RecordBatch:
