@@ -1,5 +1,7 @@
 """Joins, row changes, trees and ranking helpers."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -23,6 +25,18 @@ def test_salted_join_equals_plain(skewed, how):
     assert rows(joins.salted_join(big, small, "k", ["id"], 4, how).select("id")) == rows(big.join(small, "k", how).select("id"))
 
 
+def test_repeated_rows_are_never_broadcast(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 10 AS k").write.parquet(f"{tmp_path}/big")
+    spark.range(10).selectExpr("id AS k", "id AS v").write.parquet(f"{tmp_path}/small")
+    big, small = spark.read.parquet(f"{tmp_path}/big"), spark.read.parquet(f"{tmp_path}/small")
+    plain = big.join(small, "k")
+    assert "BroadcastHashJoin" in plain._jdf.queryExecution().executedPlan().toString()
+    for joined in (joins.salted_join(big, small, "k", ["id"], 1000), joins.hot_key_join(big, small, "k", ["id"], 50)):
+        assert joined.count() == plain.count()
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and not re.search(r"Broadcast(HashJoin|NestedLoopJoin)[^\n]*_salt", plan)
+
+
 def test_salting_refuses_outer_joins(skewed):
     with pytest.raises(ValueError):
         joins.salted_join(*skewed, "k", ["id"], 4, "full")

@@ -43,13 +43,14 @@ def salted_join(
 
     The salt is a hash of the row's own id, so a retried task produces the same parts.
     ``other`` is repeated once per salt; only inner, left and semi/anti joins keep their
-    meaning under that repetition.
+    meaning under that repetition. The join is always a shuffle join: the optimizer estimates
+    ``other`` by its files, without the repetition, and would broadcast all copies.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting does not preserve a {how} join")
     left = big.withColumn("_salt", F.pmod(F.xxhash64(*row_id), F.lit(salts)).cast("int"))
     right = other.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.hint("merge").join(right, [key, "_salt"], how).drop("_salt")
 
 
 def hot_keys(df: DataFrame, key: str, limit: int, most: int = HOT_KEYS) -> DataFrame:
@@ -68,7 +69,7 @@ def hot_key_join(big: DataFrame, other: DataFrame, key: str, row_id: list[str],
     """Join on ``key`` in which only the keys with more than ``limit`` rows on the big side are salted.
 
     Each gets as many salts as its count asks for, so its rows come in parts of about ``limit``, and only its rows of ``other`` are repeated, once per salt. All other rows
-    are joined as they are. Meant for hot keys that ``other`` holds few rows of; inner, left, semi and anti joins only.
+    are joined as they are. Meant for hot keys that ``other`` holds few rows of; inner, left, semi and anti joins only. A shuffle join, as in ``salted_join``.
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"salting does not preserve a {how} join")
@@ -78,7 +79,7 @@ def hot_key_join(big: DataFrame, other: DataFrame, key: str, row_id: list[str],
     left = big.join(salts, key, "left").withColumn("_salt", F.coalesce(drawn, F.lit(0))).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
     right = other.join(salts, key, "left").withColumn("_salt", copies).drop("_salts")
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    return left.hint("merge").join(right, [key, "_salt"], how).drop("_salt")
 
 
 def null_guarded_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
