@@ -3,9 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tidewright import session
 from tidewright.functions import fixed_values as fv
 from tidewright.functions import rules
 from tidewright.operators import scripts as sc
+from tidewright.plans import corpus
 
 HIVE = "SELECT route, halt, minutes FROM timetable LATERAL VIEW OUTER EXPLODE(halts) hs AS halt CLUSTER BY route"
 PLSQL = "BEGIN UPDATE boilers SET pressure = 0 WHERE pressure < 0; DBMS_LOCK.SLEEP(5); DELETE FROM boiler_alarms WHERE cleared = 1; END;"
@@ -142,3 +144,25 @@ def test_nested_window_arguments_and_built_ins(spark):
     odd = "SELECT my_score(a) FROM s.t NATURAL JOIN u"
     row = sc.with_features(spark.createDataFrame([(1, odd)], "script_id int, source string")).first()
     assert row.has_udf and [(j["type"], j["table"]) for j in row.joins] == [("NATURAL", "u")]
+
+
+def test_required_words_stand_in_every_match():
+    assert rules.required(r"\bCREATE\s+(OR\s+REPLACE\s+)?(FUNCTION|TRIGGER)\b") == ("CREATE",)
+    assert rules.required(r"(UPDATE\s+\w+\s+SET\s+.+?(?:WHERE\s+.+?)?);") == ("UPDATE", "SET", ";")
+    assert rules.required(r"a(bc)+d(ef)?g{0,3}hi{2}[^]x)]\.k(?=never)") == ("a", "bc", "d", "h", ".k")
+    assert rules.required(r"left|right") == rules.required(r"[ab]c?\w") == ()
+
+
+def test_guarded_patterns_find_what_plain_ones_find(spark):
+    patterns = [*fv.PROCEDURE_PATTERNS, *fv.PLSQL_PATTERNS, *fv.HIVEQL_PATTERNS, *fv.PLSQL_BLOCKS, *fv.TSQL_BLOCKS, sc.JOIN_PATTERN, sc.CTE_PATTERN, sc.SELECT_LIST, sc.WINDOW_PATTERN]
+    texts = [*corpus.SCRIPTS, *map(str.lower, corpus.SCRIPTS), "", None, "ſelect ß from ıN", "exec\tX"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    same = [rules.matches(F.col("t"), p).eqNullSafe(F.col("t").rlike(rules.ANYWHERE + p)) for p in patterns]
+    same += [rules.all_matches(F.col("t"), p).eqNullSafe(F.regexp_extract_all("t", F.lit(rules.ANYWHERE + p), F.lit(1))) for p in patterns if "(" in p and "(?i" not in p and "(OR" not in p and "ROW" not in p and p not in fv.PLSQL_PATTERNS and p not in fv.HIVEQL_PATTERNS]
+    assert df.select(*[F.min(s).alias(str(i)) for i, s in enumerate(same)]).first() == tuple([True] * len(same))
+
+
+def test_a_stored_table_has_files_of_bounded_rows(spark, monkeypatch):
+    monkeypatch.setattr(session, "ROWS_PER_FILE", 10)
+    stored = session.stored_once(lambda: spark.range(100).coalesce(1), spark, "bounded-files", "test")
+    assert len(stored.inputFiles()) == 10 and stored.count() == 100

@@ -2,12 +2,13 @@
 
 Every rule is one ``rlike`` with a literal pattern: the regex is compiled once per task and
 the row never leaves the JVM. Joining texts with a rule table instead would multiply the
-rows by the number of rules.
+rows by the number of rules. Words that every match of a pattern holds are looked for first,
+by a plain substring search, so most texts never meet most patterns.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,76 @@ DOTALL = "(?s)"
 AS_WRITTEN = ""
 
 
+@cache
+def required(pattern: str) -> tuple[str, ...]:
+    """Literal pieces that every match of ``pattern`` holds; none where that isn't plain to see.
+
+    Classes, optional groups and looks ahead or behind are passed over, as is the last character
+    before a quantifier; a choice requires nothing.
+    """
+    pieces, run, i = [], "", 0
+
+    def end():
+        nonlocal run
+        if run:
+            pieces.append(run)
+        run = ""
+
+    while i < len(pattern):
+        c, width, literal = pattern[i], _width(pattern, i), ""
+        if c == "|":
+            return ()
+        if c == "(":
+            end()
+            inner, after = pattern[i + 1 : i + width - 1], pattern[i + width : i + width + 1]
+            if inner[:1] != "?" or inner[:2] == "?:":
+                pieces.extend(required(inner.removeprefix("?:")) if after not in ("?", "*", "{") else ())
+        elif c in "?*{":
+            run = run[:-1]
+        elif c == "\\":
+            literal = "" if pattern[i + 1].isalnum() else pattern[i + 1]
+        elif c.isalnum() or c in "_@;:=,#`'\" /":
+            literal = c
+        if literal and literal.isascii():
+            run += literal
+        else:
+            end()
+        i += width
+    end()
+    return tuple(dict.fromkeys(pieces))
+
+
+def _width(pattern: str, i: int) -> int:
+    """Length of the escape, class, group, count or character that starts at ``i``."""
+    c, j = pattern[i], i + 1
+    if c == "\\":
+        return 2
+    if c == "[":
+        j += pattern.startswith("^", j)
+        j += pattern.startswith("]", j)  # a bracket in front is a member
+        while pattern[j] != "]":
+            j += 2 if pattern[j] == "\\" else 1
+        return j + 1 - i
+    if c == "(":
+        while pattern[j] != ")":
+            j += _width(pattern, j)
+        return j + 1 - i
+    return pattern.index("}", i) + 1 - i if c == "{" else 1
+
+
+def _holds(text: Column, pattern: str, flags: str) -> Column | None:
+    """Cheap test that a text without the pattern's required pieces fails; None without such pieces."""
+    words = required(pattern)
+    if not words or "x" in flags:
+        return None
+    if "i" in flags:  # only ASCII letters are matched in either case
+        text, words = F.upper(text), [w.upper() for w in words]
+    return reduce(lambda a, b: a & b, [F.contains(text, F.lit(w)) for w in words])
+
+
 def matches(text: Column, pattern: str, flags: str = ANYWHERE) -> Column:
-    return text.rlike(flags + pattern)
+    found, holds = text.rlike(flags + pattern), _holds(text, pattern, flags)
+    return found if holds is None else holds & found
 
 
 def any_match(text: Column, patterns, flags: str = ANYWHERE) -> Column:
@@ -44,7 +113,8 @@ def keyword_hits(text: Column, rules) -> Column:
 
 
 def all_matches(text: Column, pattern: str, group: int = 1, flags: str = ANYWHERE) -> Column:
-    return F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group))
+    found, holds = F.regexp_extract_all(text, F.lit(flags + pattern), F.lit(group)), _holds(text, pattern, flags)
+    return found if holds is None else F.when(~holds, F.array().cast("array<string>")).otherwise(found)
 
 
 def strip(text: Column) -> Column:

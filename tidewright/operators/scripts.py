@@ -182,15 +182,15 @@ def subquery_depth(text: Column) -> Column:
         return F.struct(now.alias("open"), F.greatest(state["deepest"], depth).alias("deepest"))
 
     start = F.struct(F.lit("").alias("open"), F.lit(0).alias("deepest"))
-    return F.aggregate(tokens, start, step, lambda s: s["deepest"])
+    # Most texts have no subquery at all.
+    return F.when(rules.matches(text, r"\(\s*SELECT"), F.aggregate(tokens, start, step, lambda s: s["deepest"])).otherwise(0)
 
 
 def calls_unknown(text: Column) -> Column:
     """True if a function that is neither built in nor a keyword is called."""
     bare = F.regexp_replace(text, r"(?i)\b(?:INTO|TABLE|PROCEDURE|FUNCTION)\s+\w+\s*\(|\)\s*\w+\s*\(", " ")
     names = F.transform(rules.all_matches(bare, CALL_PATTERN), F.lower)
-    known = F.array(*[F.lit(n) for n in fv.KNOWN_FUNCTIONS + NOT_CALLS + BUILT_IN])
-    return F.size(F.array_except(names, known)) > 0
+    return F.exists(names, lambda n: ~n.isin(*fv.KNOWN_FUNCTIONS, *NOT_CALLS, *BUILT_IN))
 
 
 def joins(text: Column) -> Column:

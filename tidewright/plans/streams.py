@@ -11,7 +11,7 @@ from tidewright.operators import scripts as sc
 from tidewright.plans import corpus
 from tidewright.plans.registry import ORACLES, query
 from tidewright.plans.review import j35  # noqa: F401  registers the report this job continues
-from tidewright.session import scratch_path, table
+from tidewright.session import ROWS_PER_FILE, scratch_path, table
 from tidewright.streaming import jobs
 from tidewright.streaming import metrics as m
 from tidewright.streaming import totals
@@ -200,7 +200,7 @@ def scored(pairs):
 def j81(spark, sf):
     arrivals = scratch_path(spark, "arrivals")
     incoming = corpus.pairs(spark, sf).select("pair_id", "source_code", "pyspark_code")
-    incoming.write.parquet(arrivals)
+    incoming.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(arrivals)
     out = jobs.score_arrivals(spark, arrivals, incoming.schema, scored)
     return spark.read.parquet(out)
 

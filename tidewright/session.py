@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
+#: Rows of a file of texts that work heavy per row reads.
+ROWS_PER_FILE = 50_000
 
 
 def local_session(cpus: str = "*", app: str = "tidewright") -> SparkSession:
@@ -94,10 +96,13 @@ _stored: dict[tuple[str, ...], str] = {}
 
 
 def stored_once(df_of, spark: SparkSession, *key: str) -> DataFrame:
-    """A derived table written once per application and read by every query that needs it."""
+    """A derived table written once per application and read by every query that needs it.
+
+    Files hold a bounded number of rows: Spark packs files into a task by their bytes, and texts that compress well would come millions to a task.
+    """
     full_key = (spark.sparkContext.applicationId, *key)
     if full_key not in _stored:
         path = scratch_path(spark, key[0])
-        df_of().write.parquet(path)
+        df_of().write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
         _stored[full_key] = path
     return spark.read.parquet(_stored[full_key])
