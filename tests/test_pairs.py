@@ -134,3 +134,11 @@ def test_answers(spark):
     got = rows(pr.parse_answer(df).select("id", "features", "source_code", "pyspark_code"))
     expected = (["a", "b"], "SELECT id FROM t", "df = spark.table('t')")
     assert got == [(1, *expected), (2, *expected)]
+
+
+def test_an_answer_is_read_once(spark):
+    answers = spark.createDataFrame([(1, "#### Source Code:\nSELECT 1 FROM t\n### PySpark_Code:\nspark.table('t')\n### END")], "id int, raw string")
+    parsed = pr.parse_answer(answers.select("id", F.concat("raw", F.lit(" ")).alias("raw")))
+    assert parsed.select("source_code", "pyspark_code").first() == ("SELECT 1 FROM t", "spark.table('t')")
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?i)#{1,4}\s*FEATURES") == 1

@@ -137,3 +137,11 @@ def unnest(rows: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
     expensive array expression a second time; the outer form does not.
     """
     return rows.select(*keep, F.explode_outer(array).alias(name)).filter(F.col(name).isNotNull())
+
+
+def evaluated(rows: DataFrame, column: Column, name: str) -> DataFrame:
+    """``rows`` with a column that is evaluated once a row.
+
+    A filter on a projected column is moved below the projection and evaluates the expression again; it stays above a generator.
+    """
+    return rows.select("*", F.explode_outer(F.array(column)).alias(name))

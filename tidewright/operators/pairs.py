@@ -253,9 +253,10 @@ def prompt_notes(flags: Column, context: Column) -> Column:
 def parse_answer(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """Features, source and code out of delimited answers; incomplete or too short ones are dropped."""
     text = rules.strip(F.col(raw))
+    headed = text
     for pattern, marker in fv.ANSWER_HEADINGS:
-        text = F.regexp_replace(text, pattern, marker)
-    marked = rows.withColumn("_text", text)
+        headed = F.regexp_replace(headed, pattern, marker)
+    marked = rules.evaluated(rows, F.when(F.contains(F.col(raw), F.lit("#")), headed).otherwise(text), "_text")
 
     any_marker = "===(?:" + "|".join(fv.ANSWER_SECTIONS) + ")==="
 
@@ -269,13 +270,13 @@ def parse_answer(rows: DataFrame, raw: str = "raw") -> DataFrame:
     complete = marked.filter(F.contains("_text", F.lit("===SOURCE_CODE===")) & F.contains("_text", F.lit("===PYSPARK_CODE===")))
     listed = F.regexp_replace(section("FEATURES"), r"(?m)^\s*[-*]\s*`?", "")
     features = F.transform(F.split(F.replace(listed, F.lit("`"), F.lit("")), r"[,\n]"), rules.strip)
-    out = complete.withColumns(
-        {
-            "source_code": unfenced(section("SOURCE_CODE")),
-            "pyspark_code": unfenced(section("PYSPARK_CODE")),
-            "features": F.filter(features, lambda f: f != ""),
-        }
+    parts = F.struct(
+        unfenced(section("SOURCE_CODE")).alias("source_code"),
+        unfenced(section("PYSPARK_CODE")).alias("pyspark_code"),
+        F.filter(features, lambda f: f != "").alias("features"),
     )
+    found = rules.evaluated(complete, parts, "_parts")
+    out = found.withColumns({name: F.col(f"_parts.{name}") for name in ("source_code", "pyspark_code", "features")}).drop("_parts")
     long_enough = (F.length("source_code") >= fv.MIN_SECTION_CHARS) & (F.length("pyspark_code") >= fv.MIN_SECTION_CHARS)
     return out.filter(long_enough).drop("_text")
 
