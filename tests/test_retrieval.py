@@ -95,3 +95,15 @@ def test_chunks_and_tokens(spark):
     assert rows(rt.chunks(df, ["id"])) == [(1, 0, "a" * 31), (1, 1, "c" * 40)]
     words = df.select(rt.tokens(F.lit("df.groupBy(x1).withColumn A")).alias("t")).first()[0]
     assert words == ["df", "group", "by", "x1", "with", "column"]
+
+
+@pytest.mark.parametrize("kind", ["int", "string"])
+def test_postings_are_scored_in_blocks_of_queries_without_rows_of_pairs(spark, texts, monkeypatch, kind):
+    docs, queries = texts
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    q = spark.createDataFrame(queries, "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    whole = rt.keyword_top_k(rt.keyword_index(d, "doc_id"), "doc_id", q, "item_id", 7)
+    assert "MapInArrow" in whole._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(rt, "KEYWORD_QUERY_BLOCK", 2)
+    got = rt.keyword_top_k(rt.keyword_index(d, "doc_id"), "doc_id", q, "item_id", 7)
+    assert sorted((int(r[0]), *r[1:]) for r in got.collect()) == sorted((int(r[0]), *r[1:]) for r in whole.collect()) == brute_bm25(docs, queries, 7)

@@ -18,7 +18,9 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ from tidewright.functions import fixed_values as fv
 from tidewright.functions import rules
 from tidewright.operators.joins import broadcast_if_small
 from tidewright.operators.ranking import top_n_per_group
-from tidewright.operators.retrieval import postings, tokens
+from tidewright.operators.retrieval import postings, postings_top_k, tokens
 from tidewright.session import cut_lineage
 from tidewright.sources.writers import read_version, write_version
 
@@ -99,33 +101,25 @@ def block_schema(kind: str) -> str:
 
 
 def blocked(ordered: DataFrame, size: int) -> DataFrame:
-    """Postings in term order as rows of at most ``size`` postings of one term."""
+    """Postings in term order as rows of at most ``size`` postings of one term; a block ends with an Arrow batch, too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, own = TaskContext.get().partitionId(), None
+        number = TaskContext.get().partitionId()
         for batch in batches:
-            rows = []
-            for term, doc, tf, length, gain in zip(*(batch.column(c).to_pylist() for c in ("term", "doc", "tf", "length", "gain")), strict=True):
-                if own is None or own[0] != term or len(own[2]) >= size:
-                    if own is not None:
-                        rows.append(own)
-                    own = [term, gain, [], [], []]
-                own[1] = max(own[1], gain)
-                own[2].append(doc)
-                own[3].append(tf)
-                own[4].append(length)
-            if rows:
-                yield as_batch(rows, number, batch.schema.field("doc").type)
-            kind = batch.schema.field("doc").type
-        if own is not None:
-            yield as_batch([own], number, kind)
-
-    def as_batch(rows: list[list], number: int, kind: pa.DataType) -> pa.RecordBatch:
-        terms, best, docs, tfs, lengths = zip(*rows, strict=True)
-        columns = [pa.array(terms), pa.array(best, pa.float64()), pa.array(docs, pa.list_(kind)), pa.array(tfs, pa.list_(pa.int64())), pa.array(lengths, pa.list_(pa.int32())), pa.array([number] * len(rows), pa.int32())]
-        return pa.RecordBatch.from_arrays(columns, names=["term", "best", "docs", "tfs", "lengths", "part"])
+            n = batch.num_rows
+            if not n:
+                continue
+            terms, docs, tfs, lengths, gains = (batch.column(c) for c in ("term", "doc", "tf", "length", "gain"))
+            firsts = np.flatnonzero(np.append(True, pc.not_equal(terms[1:], terms[:-1]).to_numpy(zero_copy_only=False)))
+            place = np.arange(n) - np.repeat(firsts, np.diff(np.append(firsts, n)))
+            starts = np.flatnonzero(place % size == 0)
+            offsets = pa.array(np.append(starts, n), pa.int32())
+            best = pa.array(np.maximum.reduceat(gains.to_numpy(zero_copy_only=False), starts))
+            lists = [pa.ListArray.from_arrays(offsets, column) for column in (docs, tfs, lengths)]
+            columns = [terms.take(pa.array(starts)), best, *lists, pa.array(np.full(len(starts), number), pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "best", "docs", "tfs", "lengths", "part"])
 
     schema = block_schema(ordered.schema["doc"].dataType.simpleString())
     return ordered.select("term", "doc", "tf", "length", "gain").mapInArrow(run, schema)
@@ -184,13 +178,12 @@ def indexed_top_k(index: TermIndex, doc_id: str, queries: DataFrame, query_id: s
 
 
 def scored_top_k(index: TermIndex, blocks: DataFrame, plan: DataFrame, doc_id: str, query_id: str, k: int) -> DataFrame:
-    bringing = broadcast_if_small(plan.filter("brings").select("query", "term", "weight", "reached", "others"))
-    reaching = F.greatest(F.col("weight") * F.col("best"), F.lit(0.0)) + F.col("others") >= F.col("reached") - SLACK
-    candidates = entries(blocks.join(bringing, "term").filter(reaching), "query").select("query", "doc").distinct()
-    found = entries(blocks.join(broadcast_if_small(plan.select("query", "term", "weight")), "term"), "query", "weight")
-    added = found.select("query", "doc", (F.col("weight") * saturated(F.col("tf"), F.col("length"), index.mean_length)).alias("part"))
-    scored = added.join(candidates, ["query", "doc"], "left_semi").groupBy("query", "doc").agg(F.sum("part").alias("score"))
-    # Equal texts must tie: sums that differ only by the order of their addends are levelled.
-    scored = scored.withColumn("score", F.round("score", 9)).filter(F.col("score") > 0)
-    best = top_n_per_group(scored, ["query"], [F.desc("score"), F.asc("doc")], k, spread_by=["doc"], rank_name="rank")
-    return best.select(F.col("query").alias(query_id), F.col("doc").alias(doc_id), F.round("score", 4).alias("score"), "rank")
+    # The least ``best`` with which a block of a term can bring a document to any query; one row per term, so a block is met once.
+    gap = F.col("reached") - SLACK - F.col("others")
+    least = F.when(gap <= 0, 0.0).when(F.col("weight") > 0, gap / F.col("weight") * (1 - SLACK)).otherwise(float("inf"))
+    bringing = broadcast_if_small(plan.filter("brings").groupBy("term").agg(F.min(least).alias("least")))
+    candidates = entries(blocks.join(bringing, "term").filter(F.col("best") >= F.col("least"))).select("doc").distinct()
+    found = entries(blocks.join(broadcast_if_small(plan.select("term").distinct()), "term", "left_semi"), "term")
+    part = saturated(F.col("tf"), F.col("length"), index.mean_length)
+    parts = found.join(candidates, "doc", "left_semi").select(F.col("doc").alias(doc_id), "term", part.alias("part"))
+    return postings_top_k(parts, doc_id, plan.select(F.col("query").alias(query_id), "term", "weight"), query_id, k)
