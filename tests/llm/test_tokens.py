@@ -133,3 +133,26 @@ def test_records_query(spark, sf):
         ids = library("word_bpe_49k.json", d.text) + [1]
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (d.doc_id, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         at += len(ids)
+
+
+def test_records_are_read_in_pieces_of_bounded_size(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, "some words " * 50) for i in range(40)], "doc_id long, text string").coalesce(1)
+    root = token_records.write_records(docs, queries.tokenizer_file("word_bpe_49k.json"), root=str(tmp_path / "records"))
+    monkeypatch.setattr(token_records, "BYTES_AT_ONCE", 1_000)
+    sizes = []
+
+    class Watched:
+        @staticmethod
+        def mapInArrow(read, schema):
+            import pyarrow.parquet as pq
+
+            sizes.extend(b.num_rows for b in read(iter(pq.read_table(f"{root}/index").to_batches())))
+
+    class Reader:
+        class read:
+            @staticmethod
+            def parquet(path):
+                return Watched
+
+    token_records.read_records(Reader, root)
+    assert sum(sizes) == 40 and max(sizes) <= 5

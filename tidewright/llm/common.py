@@ -89,6 +89,11 @@ def pieces_of(texts: list, size_of, limit: int):
         yield slice(start, len(texts))
 
 
+def slices_of(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """Views of a batch of at most ``rows`` rows, so that few of its texts are Python objects at a time."""
+    return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
+
+
 def bit_filter(hashes: DataFrame, column: str, log2_bits: int = 26) -> np.ndarray:
     """A bit set of fixed size (8 MB for 26) with the bit of every hash in ``column`` set.
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import pieces_of
+from tidewright.llm.common import pieces_of, slices_of
 from tidewright.llm.tokens import encoder
 from tidewright.session import scratch_path
 
@@ -34,6 +34,8 @@ from tidewright.session import scratch_path
 MASK_DELTA = 0xA282EAD8
 FILE_BYTES = 64 << 20
 DOCS_PER_PART = 5000
+#: Texts turned into Python strings at a time; bytes of records that a reader holds.
+ROWS_AT_ONCE, BYTES_AT_ONCE = 500, 2_000_000
 HEAD, PREFIX, TAIL = "<QI", "<BBq", "<I"
 
 
@@ -85,7 +87,7 @@ def write_records(df: DataFrame, tokenizer: str, end_id: int = 1, id_col: str =
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             return pa.RecordBatch.from_pydict({n: pa.array(c, k) for n, k, c in zip(names, kinds, columns, strict=True)})
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole, ROWS_AT_ONCE)):
             ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for piece in pieces_of(texts, len, 2_000_000):
                 for doc, packed in zip(ids[piece], enc.encode(texts[piece]), strict=True):
@@ -117,9 +119,11 @@ def read_records(spark, root: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_fs, own_path = file_system(root)
         source, opened = None, None
-        for batch in batches:
+        # The ids of a batch of index rows may be any number of bytes, so they go out in pieces.
+        listed = (batch.to_pylist() for batch in batches)
+        for rows in (rows[piece] for rows in listed for piece in pieces_of(rows, lambda row: row["size"], BYTES_AT_ONCE)):
             docs, parts, before, counts, sequences = [], [], [], [], []
-            for row in batch.to_pylist():
+            for row in rows:
                 if row["file"] != opened:
                     source, opened = own_fs.open_input_file(f"{own_path}/{row['file']}"), row["file"]
                 source.seek(row["offset"])
