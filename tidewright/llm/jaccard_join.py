@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import ascii_lower, bit_filter, byte_texts, gram_hashes, in_filter, mix, multipliers, pieces_of, whole_text
+from tidewright.llm.common import ascii_lower, bit_filter, byte_texts, gram_hashes, in_filter, mix, multipliers, pieces_of, slices_of, whole_text
 from tidewright.llm.graph import components
 from tidewright.session import cut_lineage
 
@@ -101,7 +101,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << LOG2_COUNTERS, np.uint32)
         mask, kind = np.uint64((1 << LOG2_COUNTERS) - 1), pa.null()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole, 500)):
             kind, texts = batch.column(0).type, byte_texts(batch)
             for part in pieces_of(texts, len, 2_000_000):
                 cids, sizes, grams = [], [], []
@@ -154,7 +154,7 @@ def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
 def each_class(batches: Iterator[pa.RecordBatch], counts: np.ndarray, n: int, percent: int):
     """class, line of words, size and prefix of each text of a task, equal texts mostly once (the last 100,000 classes are remembered)."""
     seen: set[bytes] = set()
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices_of(whole, 500)):
         texts = byte_texts(batch)
         for part in pieces_of(texts, len, 2_000_000):
             for line in lines(texts[part]):
@@ -190,7 +190,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.uint64)
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices_of(whole, 500)):
             links = []
             for a, b, text in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 grams = shingles(text, n)
@@ -245,7 +245,7 @@ def linked_classes(df: DataFrame, counts: np.ndarray, text_col: str = "text", n:
             places = np.flatnonzero(in_filter(bits, prefix))
             if len(places):
                 rows.append((cid, size, len(places) / len(prefix), line, prefix[places].view(np.int64), places.astype(np.int32)))
-            if len(rows) >= 2000:
+            if len(rows) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
         if rows:
