@@ -90,3 +90,38 @@ def test_components(spark, edges, parts):
     for r in found:
         sizes[r.component] = sizes.get(r.component, 0) + 1
     assert sizes == parts
+
+
+def test_chance_meetings_are_not_listed(spark, monkeypatch):
+    """Documents that share a few n-grams by chance make no entries and no texts; those near each other are all found."""
+    rng, written = random.Random(11), {}
+    common = [" ".join(f"c{rng.randrange(10**6)}" for _ in range(6)) for _ in range(40)]
+    chance = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(120)] + [rng.choice(common)] + [f"w{rng.randrange(10**6)}" for _ in range(120)]) for _ in range(200)]
+    near = family(12, 12, 100, 2)
+    rows = list(enumerate(chance + near))
+    cut = jaccard_join.cut_lineage
+
+    def kept(df, label="cut"):
+        written.setdefault(label, []).append(cut(df, label))
+        return written[label][-1]
+
+    monkeypatch.setattr(jaccard_join, "cut_lineage", kept)
+    found = sorted(map(tuple, jaccard_join.near_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert found == brute_force(rows)
+    assert written["prefixes"][0].select("cid").distinct().count() <= len(near) + 5
+    assert all(texts.count() <= 4 * len(near) for texts in written["texts"])
+
+
+@pytest.mark.parametrize("percent", [5, 50, 80, 95])
+def test_linked_sets_share_enough(percent):
+    """Sets that reach the threshold share the needed n-grams in their counted prefixes."""
+    rng, linked = random.Random(percent), 0
+    for _ in range(3000):
+        n = rng.randrange(1, 80)
+        a = set(rng.sample(range(1000), n))
+        b = set(rng.sample(sorted(a), rng.randrange(n * percent // 100, n + 1))) | set(rng.sample(range(1000), rng.randrange(1 + n // 5)))
+        if b and 100 * len(a & b) >= percent * len(a | b):
+            linked += 1
+            first = [set(sorted(x)[: jaccard_join.prefix_length(len(x), percent) + jaccard_join.more(len(x), percent)]) for x in (a, b)]
+            assert len(first[0] & first[1]) >= max(jaccard_join.shared_needed(len(x), percent) for x in (a, b))
+    assert linked > 100

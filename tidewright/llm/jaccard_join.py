@@ -5,12 +5,14 @@
    right results; this one keeps frequent n-grams out of the prefixes. Two sets that reach the threshold share an n-gram of
    their prefixes, the first ``n - ceil(t * n) + 1`` of each.
 3. Prefix n-grams that stand in one prefix only join nothing. A bit set of those counted twice or more leaves the others out before the
-   wide shuffle.
+   wide shuffle. The prefixes counted are longer by a tenth of the set: sets that reach the threshold share as many more n-grams there, so
+   a set with fewer shared ones (that meets others by chance) is left out as a whole.
 4. Candidates that meet in an n-gram pass the length filter and the positional filter; verification applies the suffix filter
    and counts the rest exactly, once per pair.
 5. Pairs come in two rounds. First each document with the leader of its lists, the one with the largest share of its prefix
    in common with others (the original that a family was copied from). Then pairs of different components only. A pair inside
    a component cannot change the components, so no group emits all of its pairs.
+6. Texts travel only for verification: those of the classes in a pair are read from the documents again, by a bit set of the classes.
 
 Defined results: a null text counts as empty; a set without words is linked with nothing; fewer words than n are one shingle; ids may repeat
 (rows with one id are separate documents with that id) and be null (never the smallest id of a component; null if all are). Other columns are ignored. An
@@ -42,6 +44,8 @@ BLOCK = 1 << 16
 SLICE = 2000
 #: Bytes that are hashed at once.
 HASHED = 1 << 18
+#: Bits of the set of n-grams that several prefixes share (32 MB).
+LOG2_SHARED = 28
 
 
 @functools.cache
@@ -86,6 +90,19 @@ def prefix_length(size: int, percent: int = PERCENT) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+def more(size: int, percent: int = PERCENT) -> int:
+    """N-grams by which the counted prefix is longer; it never shrinks with the size."""
+    return max(min(size // 10, -(-percent * size // 100) - 1), 0)
+
+
+def shared_needed(size: int, percent: int = PERCENT) -> int:
+    """Shared n-grams in the counted prefix without which no set of any size links.
+
+    The first ``1 + more`` common n-grams of two such sets stand in the counted prefixes of both, by the smaller ``more`` of the two sizes.
+    """
+    return 1 + more(-(-percent * size // 100), percent)
+
+
 def lines(texts: list[bytes]) -> list[bytes]:
     """The words of each text one blank apart. bytes.lower and bytes.split know ASCII only: A-Z are lowered, blank and \\t to \\r separate."""
     return [b" ".join(t.lower().split()) for t in texts]
@@ -100,7 +117,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << LOG2_COUNTERS, np.uint32)
-        mask, kind = np.uint64((1 << LOG2_COUNTERS) - 1), pa.null()
+        top, kind = np.uint64(64 - LOG2_COUNTERS), pa.null()
         for batch in (part for whole in batches for part in slices_of(whole, 500)):
             kind, texts = batch.column(0).type, byte_texts(batch)
             for part in pieces_of(texts, len, 2_000_000):
@@ -110,7 +127,7 @@ def classes(df: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
                     cids.append(class_of(line))
                     sizes.append(len(own))
                     grams.append(own)
-                counters += np.bincount((np.concatenate(grams) & mask).astype(np.int64), minlength=len(counters)).astype(np.uint32)
+                counters += np.bincount((np.concatenate(grams) >> top).astype(np.int64), minlength=len(counters)).astype(np.uint32)
                 rows = len(cids)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0)[part], pa.array(cids, pa.binary()), pa.array(sizes, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
@@ -147,12 +164,12 @@ def gram_counts(blocks: DataFrame) -> np.ndarray:
 
 
 def rare_first(grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """grams (sorted by hash) in the common order: by counter, then by hash."""
-    return grams[np.argsort(counts[(grams & np.uint64(len(counts) - 1)).astype(np.int64)], kind="stable")]
+    """grams (sorted by hash) in the common order: by counter, then by hash. The counter is named by the highest bits, as bit sets go by the lowest."""
+    return grams[np.argsort(counts[(grams >> np.uint64(65 - len(counts).bit_length())).astype(np.int64)], kind="stable")]
 
 
 def each_class(batches: Iterator[pa.RecordBatch], counts: np.ndarray, n: int, percent: int):
-    """class, line of words, size and prefix of each text of a task, equal texts mostly once (the last 100,000 classes are remembered)."""
+    """class, size and counted prefix of each text of a task, equal texts mostly once (the last 100,000 classes are remembered)."""
     seen: set[bytes] = set()
     for batch in (part for whole in batches for part in slices_of(whole, 500)):
         texts = byte_texts(batch)
@@ -165,7 +182,7 @@ def each_class(batches: Iterator[pa.RecordBatch], counts: np.ndarray, n: int, pe
                     seen.clear()
                 seen.add(cid)
                 grams = shingles(line, n)
-                yield cid, line, len(grams), rare_first(grams, counts)[: prefix_length(len(grams), percent)]
+                yield cid, len(grams), rare_first(grams, counts)[: prefix_length(len(grams), percent) + more(len(grams), percent)]
 
 
 def overlap_needed(a: Column, b: Column, percent: int) -> Column:
@@ -182,6 +199,7 @@ def may_link(a: str, b: str, percent: int) -> Column:
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
     """a, b of the pairs that link. Documents paired with one ``a`` are split into slices, each with a copy of a's text."""
+    texts = texts_of(pairs, texts)
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
     members = pairs.join(slices, "a").select("a", F.pmod(F.xxhash64("b"), "slices").cast("int").alias("slice"), "b")
     with_text = members.join(texts.withColumnRenamed("cid", "b"), "b").select("a", "slice", "b", "text")
@@ -203,6 +221,36 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
     return rows.mapInArrow(run, "a binary, b binary")
 
 
+def starts(cids: list[bytes]) -> np.ndarray:
+    """The first eight bytes of each class as a number."""
+    return np.frombuffer(b"".join(c[:8] for c in cids), "<u8")
+
+
+def texts_of(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """cid, text (its line of words) of the classes in ``pairs``, once each. Other texts are not shuffled."""
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(starts(batch.column(0).to_pylist()).view(np.int64))], names=["start"])
+
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("cid")).mapInArrow(numbered, "start long")
+    shared_bits = pairs.sparkSession.sparkContext.broadcast(bit_filter(asked, "start"))  # of fixed size
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = shared_bits.value, set()
+        for batch in (part for whole in batches for part in slices_of(whole, 500)):
+            own = {class_of(line): line for line in lines(byte_texts(batch)) if line}
+            cids = list(own)
+            wanted = [c for c, w in zip(cids, in_filter(bits, starts(cids)).tolist(), strict=True) if w and c not in seen]
+            if len(seen) >= 100_000:
+                seen.clear()
+            seen.update(wanted)
+            if wanted:
+                yield pa.RecordBatch.from_pydict({"cid": pa.array(wanted, pa.binary()), "text": pa.array([own[c] for c in wanted], pa.binary())})
+
+    return cut_lineage(texts.mapInArrow(found, "cid binary, text binary"), "texts").dropDuplicates(["cid"])
+
+
 def links_sets(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets reach the threshold. Suffix filter first: cut at three elements of one, the sets differ at least by
     the differences of their parts' sizes."""
@@ -234,38 +282,39 @@ def linked_classes(df: DataFrame, counts: np.ndarray, text_col: str = "text", n:
             yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(kept).view(np.int64))})
 
     often = texts.mapInArrow(prefixes, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    shared_bits = df.sparkSession.sparkContext.broadcast(bit_filter(often, "gram"))  # of fixed size
+    shared_bits = df.sparkSession.sparkContext.broadcast(bit_filter(often, "gram", LOG2_SHARED))  # of fixed size
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared_bits.value
-        names = ["cid", "size", "share", "text", "grams", "places"]
-        kinds = [pa.binary(), pa.int32(), pa.float64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        names = ["cid", "size", "share", "grams", "places"]
+        kinds = [pa.binary(), pa.int32(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32())]
         rows: list[tuple] = []
-        for cid, line, size, prefix in each_class(batches, shared_counts.value, n, percent):
-            places = np.flatnonzero(in_filter(bits, prefix))
-            if len(places):
-                rows.append((cid, size, len(places) / len(prefix), line, prefix[places].view(np.int64), places.astype(np.int32)))
+        for cid, size, prefix in each_class(batches, shared_counts.value, n, percent):
+            shared = np.flatnonzero(in_filter(bits, prefix))
+            places = shared[shared < prefix_length(size, percent)]
+            if len(shared) >= shared_needed(size, percent) and len(places):
+                rows.append((cid, size, len(shared) / len(prefix), prefix[places].view(np.int64), places.astype(np.int32)))
             if len(rows) >= 500:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    found = cut_lineage(texts.mapInArrow(entries, "cid binary, size int, share double, text binary, grams array<long>, places array<int>"), "prefixes")
+    found = cut_lineage(texts.mapInArrow(entries, "cid binary, size int, share double, grams array<long>, places array<int>"), "prefixes")
     # Equal classes of different tasks have equal entries.
     listed = found.select("cid", "size", "share", F.explode(F.arrays_zip("grams", "places")).alias("e"))
     listed = listed.select(F.col("e.grams").alias("gram"), F.struct("share", "cid", "size", F.col("e.places").alias("pos")).alias("x"))
     leaders = listed.groupBy("gram").agg(F.max("x").alias("y"), F.min("x.cid").alias("low"), F.max("x.cid").alias("high"))
-    met = listed.join(leaders.filter(F.col("low") != F.col("high")).select("gram", "y"), "gram")
-    texts_of = found.select("cid", "text").dropDuplicates(["cid"])
+    several = leaders.filter(F.col("low") != F.col("high")).select("gram", F.struct("y.cid", "y.size", "y.pos").alias("y"))
+    met = cut_lineage(listed.select("gram", F.struct("x.cid", "x.size", "x.pos").alias("x")).join(several, "gram"), "met")
 
     first = met.filter((F.col("x.cid") != F.col("y.cid")) & may_link("x", "y", percent)).select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b"))
     first = cut_lineage(first.distinct(), "pairs")
-    links = cut_lineage(verified(first, texts_of, n, percent), "links")
+    links = cut_lineage(verified(first, texts, n, percent), "links")
     parts = cut_lineage(components(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "parts")
 
     # Entries of lists that still hold more than one component.
-    entry = met.select("gram", F.col("x.cid").alias("node"), F.struct("x.cid", "x.size", "x.pos").alias("x"))
+    entry = met.select("gram", F.col("x.cid").alias("node"), "x")
     labelled = entry.join(parts, "node", "left").select("gram", "x", F.coalesce("component", "node").alias("c"))
     open_grams = labelled.groupBy("gram").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter(F.col("low") != F.col("high")).select("gram")
     left = cut_lineage(labelled.join(open_grams, "gram", "left_semi").distinct(), "open")
@@ -273,7 +322,7 @@ def linked_classes(df: DataFrame, counts: np.ndarray, text_col: str = "text", n:
     second = left.join(right, "gram").filter((F.col("c") < F.col("d")) & may_link("x", "y", percent))
     second = second.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
     done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(cut_lineage(second.join(done, ["a", "b"], "left_anti"), "pairs"), texts_of, n, percent)
+    more = verified(cut_lineage(second.join(done, ["a", "b"], "left_anti"), "pairs"), texts, n, percent)
     return components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
