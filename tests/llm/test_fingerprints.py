@@ -207,3 +207,26 @@ def test_query_classes(spark, sf):
         first = alone.setdefault(r.fingerprint, i)
         wanted[i] = min(wanted[i], wanted[first])
     assert [r.class_id for r in got] == [got[wanted[i]].doc_id for i in range(len(got))]
+
+
+def test_large_family_gives_an_edge_a_member(spark, monkeypatch):
+    """The edges handed on grow with the members of a family, not with the bands they share; groups compared together give the links of each alone."""
+    rng, edges = random.Random(31), []
+    base = [f"w{rng.randrange(10**5)}" for _ in range(250)]
+    texts = [" ".join(base)] + [" ".join(f"n{rng.randrange(10**5)}" if rng.random() < 0.004 else w for w in base) for _ in range(250)]
+    last, samples, early = fingerprints.fingerprints(texts)
+    rows = [(i, fingerprints.as_text(int(k), s, e)) for i, (k, s, e) in enumerate(zip(last, samples, early, strict=True))]
+    joined = fingerprints.components
+
+    def counted(links):
+        edges.append(links.count())
+        return joined(links)
+
+    monkeypatch.setattr(fingerprints, "components", counted)
+    fingerprints.near_classes(spark.createDataFrame(rows, "doc_id long, fingerprint string")).collect()
+    assert edges and max(edges) <= 2 * len({p for _, p in rows})
+    prints = [bytes.fromhex(p) for _, p in rows[:90]]
+    nodes = [bytes([i]) for i in range(90)]
+    parts = [bytes([i % 25]) for i in range(90)]
+    apart = [fingerprints.links_across(nodes[a:b], prints[a:b], parts[a:b], 0.8) for a, b in ((0, 2), (2, 50), (50, 90))]
+    assert fingerprints.links_across(nodes, prints, parts, 0.8, [2, 48, 40]) == sum(apart, [])

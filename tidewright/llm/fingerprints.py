@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewright.llm.common import bit_filter, in_filter, pieces_of, whole_text
@@ -43,6 +43,10 @@ RANGE_ROWS = 2000
 MAX_RANGES = 1024
 #: Rows of a band that are compared with as many in a task.
 SLICE = 1000
+#: Characters of the texts that walk at once: the last steps of a walk, which only the longest text makes, cost much the same for few texts.
+WALKED = 12_000_000
+#: Pairs whose likeness is taken at once.
+PAIRS = 4000
 
 
 @functools.cache
@@ -251,7 +255,7 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "
         for batch in batches:
             kind = batch.column("id").type
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("range", "tail", "id", "text")), strict=True))
-            for part in pieces_of(rows, lambda r: len(r[3]), 3_000_000):
+            for part in pieces_of(rows, lambda r: len(r[3]), WALKED):
                 own = ([pending] if pending else []) + rows[part]
                 pairs = [(a, b) for a, b in zip(own[:-1], own[1:], strict=True) if a[0] == b[0] and not a[1]]
                 pending = own[-1]
@@ -293,20 +297,44 @@ def compared(pairs: list[tuple[tuple, tuple]], kind: pa.DataType) -> pa.RecordBa
     return pa.RecordBatch.from_pydict(columns)
 
 
-def links_across(nodes: list[bytes], prints: list[bytes], parts: list[bytes], least: float) -> list[tuple[bytes, bytes]]:
-    """Links of likeness ``least`` or more that join the parts as all such links would: one fewer than parts at most."""
-    lasts, samples, early = many([from_text(p.hex()) for p in prints])
-    part = np.unique(parts, return_inverse=True)[1]
+def links_across(nodes: list[bytes], prints: list[bytes], parts: list[bytes], least: float, sizes: list[int] | None = None) -> list[tuple[bytes, bytes]]:
+    """Links of likeness ``least`` or more that join the parts as all such links would: one fewer than parts at most.
+
+    With ``sizes`` the members are those of several groups, one after another, and links stay inside a group; the pairs of many groups are compared together.
+    """
+    kinds: dict[bytes, int] = {}
+    which = np.array([kinds.setdefault(p, len(kinds)) for p in prints])
+    lasts, samples, early = many([from_text(p.hex()) for p in kinds])
+    sizes = np.array(sizes or [len(nodes)])
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    part = np.unique(np.array([f"{g}-".encode() + p for g, p in zip(group.tolist(), parts, strict=True)], object), return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum(sizes)[group]
     links = []
-    for i in range(len(nodes) - 1):
-        later = i + 1 + np.flatnonzero(part[i + 1 :] != part[i])
-        if not len(later):
-            continue
-        near = later[likeness_to(int(lasts[i]), samples[i], early[i], lasts[later], samples[later], early[later]) >= least]
-        for j in near.tolist():
-            if part[j] != part[i]:
-                part[part == part[j]] = part[i]
-                links.append((nodes[i], nodes[j]))
+
+    def compared(rows: list[int], others: list[np.ndarray]) -> None:
+        x, y = which[np.repeat(rows, [len(o) for o in others])], which[np.concatenate(others)]
+        near = likenesses((lasts[x], samples[x], early[x]), (lasts[y], samples[y], early[y])) >= least
+        at = 0
+        for i, own in zip(rows, others, strict=True):
+            for j in own[near[at : at + len(own)]].tolist():
+                if part[j] != part[i]:
+                    low, high = ends[i] - sizes[group[i]], ends[i]
+                    part[low:high][part[low:high] == part[j]] = part[i]
+                    links.append((nodes[i], nodes[j]))
+            at += len(own)
+
+    rows, others, waiting = [], [], 0
+    for i in range(len(nodes)):
+        later = i + 1 + np.flatnonzero(part[i + 1 : ends[i]] != part[i])
+        if len(later):
+            rows.append(i)
+            others.append(later)
+            waiting += len(later)
+        if waiting >= PAIRS:
+            compared(rows, others)
+            rows, others, waiting = [], [], 0
+    if rows:
+        compared(rows, others)
     return links
 
 
@@ -314,7 +342,8 @@ def linked_prints(prints: DataFrame, least: float) -> DataFrame:
     """node (md5 of a fingerprint), component of the fingerprints that are near another, of stored rows (fingerprint).
 
     Pairs come in two rounds: all of a band with its smallest node, so a band of n rows gives n - 1 pairs; then, in bands that still hold several
-    components, a forest of the links between different ones. A band of more than ``SLICE`` rows is split, and each two of its slices meet in a task. A pair
+    components, a forest of the links between different ones. Of the links of a node to several smallest ones its own smallest is kept, and these are linked
+    with each other instead. A band of more than ``SLICE`` rows is split, and each two of its slices meet in a task. A pair
     inside a component cannot change the classes. A bit set of the bands held twice leaves the others out before the shuffle.
     """
 
@@ -336,31 +365,36 @@ def linked_prints(prints: DataFrame, least: float) -> DataFrame:
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links() -> pa.RecordBatch:
-            found = links_across(*map(list, zip(*own, strict=True)), least)
+            found = links_across(*map(list, zip(*members, strict=True)), least, sizes)
             return pa.RecordBatch.from_pydict({"u": pa.array([u for u, _ in found], pa.binary()), "v": pa.array([v for _, v in found], pa.binary())})
 
-        group, own = None, []
+        group, members, sizes = None, [], []
         for batch in batches:
             for band, i, j, *member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (band, i, j) != group:
-                    if own:
+                    if len(members) >= 2 * SLICE:
                         yield links()
-                    group, own = (band, i, j), []
-                own.append(member)
-        if own:
+                        members, sizes = [], []
+                    group = (band, i, j)
+                    sizes.append(0)
+                members.append(member)
+                sizes[-1] += 1
+        if members:
             yield links()
 
     texts = prints.select("fingerprint")
-    by_band = texts.mapInArrow(lambda batches: keys(batches, None), "node binary, band long").groupBy("band")
-    shared = cut_lineage(by_band.agg(F.min("node").alias("leader"), F.max("node").alias("high")).filter(F.col("leader") != F.col("high")).select("band", "leader"), "bands")
-    bits = prints.sparkSession.sparkContext.broadcast(bit_filter(shared, "band"))  # of fixed size
-    held = texts.mapInArrow(lambda batches: keys(batches, bits.value), "node binary, band long").distinct()
+    often = texts.mapInArrow(lambda batches: keys(batches, None), "node binary, band long").groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    bits = prints.sparkSession.sparkContext.broadcast(bit_filter(often, "band"))  # of fixed size
+    held = cut_lineage(texts.mapInArrow(lambda batches: keys(batches, bits.value), "node binary, band long").distinct(), "held")
+    shared = held.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("high")).filter(F.col("leader") != F.col("high")).select("band", "leader")
     entries = cut_lineage(held.join(shared, "band"), "entries")
     print_of = texts.select(node_of().alias("node"), F.unhex("fingerprint").alias("print")).dropDuplicates(["node"])
 
     pairs = entries.filter(F.col("node") != F.col("leader")).select(F.col("node").alias("u"), F.col("leader").alias("v")).distinct()
     pairs = pairs.join(print_of.select(F.col("node").alias("u"), F.col("print").alias("x")), "u").join(print_of.select(F.col("node").alias("v"), F.col("print").alias("y")), "v")
-    first = cut_lineage(pairs.mapInArrow(verify, "u binary, v binary"), "links")
+    own_least = F.min("v").over(Window.partitionBy("u"))  # a node has some forty bands at most
+    kept = pairs.mapInArrow(verify, "u binary, v binary").withColumn("own", own_least)
+    first = cut_lineage(kept.select(F.when(F.col("v") == F.col("own"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("own").alias("v")).distinct(), "links")
     labelled = entries.select("band", "node").join(components(first), "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
     labelled = cut_lineage(labelled, "labelled")
     still_open = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
