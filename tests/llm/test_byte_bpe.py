@@ -53,3 +53,16 @@ def test_decode(spark):
     pieces = {rank: token for token, rank in byte_bpe.rank_table(PATH).items()}
     got = [r.decoded and bytes(r.decoded) for r in byte_bpe.decode(ids, PATH).collect()]
     assert got == [pieces[0] + pieces[50] + pieces[200], b"", None] or got == [pieces[0] + pieces[50] + pieces[200], bytearray(b""), None]
+
+
+def test_known_words_are_not_split_again(monkeypatch, tmp_path):
+    """A piece that is a known word takes its ids from the table; other decoded bytes reach the text."""
+    ranks = byte_bpe.rank_table(PATH)
+    words = byte_bpe.WordIds(str(tmp_path), "none", ranks, {rank: token for token, rank in ranks.items()})
+    words.update({" cat": ("1 2", None), " dog": ("3", b" cow")})
+    between = byte_bpe.PieceIds(words)
+    assert between.joined(["", "cat", "cat"], " cat cat") == ("1 2 1 2", None)
+    assert between.joined(["", "cat", "dog"], " cat dog") == ("1 2 3", b" cat cow")
+    assert between.joined(["", "cat"], " cat") == ("1 2", None)
+    monkeypatch.setattr(byte_bpe, "BYTE_LEVEL", None)
+    assert byte_bpe.PieceIds(words)["dog"] == "3"

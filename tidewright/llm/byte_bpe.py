@@ -25,6 +25,7 @@ import base64
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -188,8 +189,8 @@ def word_ids(docs: DataFrame, ranks: dict[bytes, int], pattern: str) -> DataFram
         splitter, seen, pieces, current = Splitter(pattern), set(), set(), None
 
         def out() -> pa.RecordBatch:
-            for piece in pieces:
-                seen.update(BYTE_LEVEL.findall(" " + piece))
+            if pieces:
+                seen.update(BYTE_LEVEL.findall(" " + " ".join(pieces)))
             words = [w for w in (w.encode() for w in seen) if len(w) <= LONG_WORD]
             return pa.RecordBatch.from_pydict({"chunk": pa.array([current] * len(words), pa.string()), "word": pa.array(words, pa.binary())})
 
@@ -242,8 +243,7 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
                     if own is None:
                         found = known.joined(splitter.words(text), text)
                     else:
-                        first = known.joined(BYTE_LEVEL.findall(own[0]), own[0])
-                        found = joined([first, *map(between.__getitem__, own[1:])], lambda k, own=own: " " * (k > 0) + own[k], text)
+                        found = between.joined(own, text)
                     decimal, decoded = found[0], text.encode() if found[1] is None else found[1]
                     counts.append(decimal.count(" ") + 1 if decimal else 0)
                     shas.append(hashlib.sha256(decimal.encode()).hexdigest())
@@ -280,8 +280,9 @@ class WordIds(dict):
         super().__init__()
         self.ranks, self.pieces = ranks, pieces
         for table in read_chunk(root, chunk):
-            ids, decoded = table.column("ids").to_pylist(), table.column("decoded").to_pylist()
-            self.update(zip(table.column("word").cast(pa.string()).to_pylist(), zip(ids, decoded, strict=True), strict=True))
+            decoded = table.column("decoded")
+            decoded = repeat(None) if decoded.null_count == len(decoded) else decoded.to_pylist()
+            self.update(zip(table.column("word").cast(pa.string()).to_pylist(), zip(table.column("ids").to_pylist(), decoded)))
 
     def __missing__(self, word: str) -> tuple[str, bytes | None]:
         merged = merge_long(word.encode(), self.ranks)
@@ -293,15 +294,32 @@ class WordIds(dict):
 
 
 class PieceIds(dict):
-    """What stands between two blanks -> ids and decoded bytes of its words, the blank in front among them."""
+    """What stands between two blanks -> ids of its words in decimal, the blank in front among them. ``other`` has the decoded bytes of those that are not
+    decoded to themselves."""
 
     def __init__(self, words: WordIds):
         super().__init__()
-        self.words = words
-
-    def __missing__(self, piece: str) -> tuple[str, bytes | None]:
-        found = self[piece] = self.words.joined(BYTE_LEVEL.findall(" " + piece), " " + piece)
-        return found
+        self.words, self.other = words, {}
+
+    def __missing__(self, piece: str) -> str:
+        spelled = " " + piece
+        # Most are one word, which is known as such.
+        ids, decoded = self.words[spelled] if spelled in self.words else self.words.joined(BYTE_LEVEL.findall(spelled), spelled)
+        if decoded is not None:
+            self.other[piece] = decoded
+        self[piece] = ids
+        return ids
+
+    def joined(self, own: list[str], text: str) -> tuple[str, bytes | None]:
+        """ids and decoded bytes (None: those of the text) of a text in pieces."""
+        first, decoded = self.words.joined(BYTE_LEVEL.findall(own[0]), own[0])
+        after = map(self.__getitem__, own[1:])
+        decimal = " ".join([first, *after] if first else after)
+        if decoded is None and not self.other:
+            return decimal, None
+        spelled = [own[0].encode() if decoded is None else decoded, *((" " + p).encode() if (o := self.other.get(p)) is None else o for p in own[1:])]
+        whole = b"".join(spelled)
+        return decimal, None if whole == text.encode() else whole
 
 
 def joined_pieces(ids_col: str, ranks: dict[bytes, int]) -> Column:
