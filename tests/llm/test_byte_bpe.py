@@ -48,6 +48,13 @@ def test_fold_and_long_merge_agree(spark, library):
         assert got[w] == byte_bpe.merge_long(w.encode(), ranks) == library.encode_ordinary(w)
 
 
+def test_fold_evaluates_a_merge_once(spark):
+    """The lowest pair and its place are looked for once a step: an expression of a lambda that is written twice is evaluated twice."""
+    df = spark.createDataFrame([(b" thinonat",)], "word binary").select(byte_bpe.fold(byte_bpe.bytes_of(F.col("word")), byte_bpe.rank_table(PATH)).alias("ids"))
+    plan = df._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_position(") == 1 and plan.count("array_min(") == 1
+
+
 def test_decode(spark):
     ids = spark.createDataFrame([([0, 50, 200],), ([],), (None,)], "ids array<int>")
     pieces = {rank: token for token, rank in byte_bpe.rank_table(PATH).items()}

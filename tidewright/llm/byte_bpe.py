@@ -39,6 +39,8 @@ LONG_WORD = 64
 CHUNK_ROWS = 10_000
 #: Names of chunks in one row, about.
 LISTED_CHUNKS = 50_000
+#: An empty place of the table of pairs: no left << 20 is like it in all but the lowest 20 bits.
+EMPTY = (1 << 60) - 1
 
 
 def rank_table(path: str) -> dict[bytes, int]:
@@ -58,7 +60,7 @@ def rank_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 
 
 def displaced_pairs(pairs: dict[tuple[int, int], int], ids: int) -> tuple[list[int], list[int]]:
-    """The pairs in one table without collisions: pair (left, right) is at shift[left] + right, as left << 20 | rank; -1 is empty.
+    """The pairs in one table without collisions: pair (left, right) is at shift[left] + right, as left << 20 | rank; an empty place holds ``EMPTY``.
 
     Each left takes a random shift at which all of its rights fall on empty places, those with most rights first, while the table is
     emptiest.
@@ -67,7 +69,7 @@ def displaced_pairs(pairs: dict[tuple[int, int], int], ids: int) -> tuple[list[i
     for left, right in pairs:
         rights.setdefault(left, []).append(right)
     rng, size = np.random.default_rng(8), 4 * max(len(pairs), 1) + ids
-    taken, slots, shift = np.zeros(size, bool), np.full(size, -1), [0] * ids
+    taken, slots, shift = np.zeros(size, bool), np.full(size, EMPTY), [0] * ids
     for left, own in sorted(rights.items(), key=lambda x: (-len(x[1]), x[0])):
         places = np.array(own)
         fits = np.empty(0, np.int64)
@@ -87,44 +89,45 @@ def numbers(values: list[int], kind: str = "int") -> Column:
 
 def fold(word_bytes: Column, ranks: dict[bytes, int]) -> Column:
     """ids (array<int>) of a word given as the array of its bytes (0 to 255)."""
-    shift, slots = displaced_pairs(rank_pairs(ranks), max(ranks.values()) + 1)
-    tables = F.struct(numbers(shift).alias("shift"), numbers(slots, "bigint").alias("slots"))
-    of_byte = numbers([ranks[bytes([b])] for b in range(256)])
-    none = F.lit(1 << 20)
+    edge = max(ranks.values()) + 1  # stands before the first byte and after the last, and merges with nothing
+    shift, slots = displaced_pairs(rank_pairs(ranks), edge)
+    tables = F.struct(numbers([*shift, 0], "bigint").alias("shift"), numbers(slots, "bigint").alias("slots"))
+    of_byte = numbers([ranks[bytes([b])] for b in range(256)], "bigint")
+    none, edges = F.lit(1 << 20), F.array(F.lit(edge).cast("bigint"))
+
+    # An expression that a lambda binds is evaluated once; written twice, it is evaluated twice.
+    def bound(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
 
     def merged(tables: Column, left: Column, right: Column) -> Column:
-        """Rank of the pair, or ``none``."""
-        slot = F.get(tables["slots"], F.get(tables["shift"], left) + right)
-        return F.when(F.shiftright(slot, 20) == left, slot.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")).otherwise(none)
+        """Rank of the pair, or ``none`` and more: what is left of a slot of ``left`` is its rank."""
+        return F.get(tables["slots"], F.get(tables["shift"], left) + right).bitwiseXOR(F.shiftleft(left, 20))
 
-    def between(slots: Column, parts: Column) -> Column:
+    def between(tables: Column, parts: Column) -> Column:
         """Rank of each neighbouring pair; there are at least two parts."""
-        return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: merged(slots, F.element_at(parts, i), F.element_at(parts, i + 1)))
+        return F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: merged(tables, F.element_at(parts, i), F.element_at(parts, i + 1)))
 
-    def merge_at(slots: Column, parts: Column, low: Column, at: Column, pairs: Column) -> Column:
+    def merge_at(tables: Column, parts: Column, low: Column, at: Column, pairs: Column) -> Column:
+        around = F.array(merged(tables, F.element_at(parts, at - 1), low), merged(tables, low, F.element_at(parts, at + 2)))
         n = F.size(parts)
-        before = F.when(at > 1, F.array(merged(slots, F.element_at(parts, at - 1), low))).otherwise(F.array().cast("array<int>"))
-        after = F.when(at + 2 <= n, F.array(merged(slots, low, F.element_at(parts, at + 2)))).otherwise(F.array().cast("array<int>"))
         return F.struct(
             F.concat(F.slice(parts, 1, at - 1), F.array(low), F.slice(parts, at + 2, n)).alias("parts"),
-            F.concat(F.slice(pairs, 1, F.greatest(at - 2, F.lit(0))), before, after, F.slice(pairs, at + 2, n)).alias("pairs"),
+            F.concat(F.slice(pairs, 1, at - 2), around, F.slice(pairs, at + 2, n)).alias("pairs"),
         )
 
-    def step(slots: Column, state: Column) -> Column:
-        low = F.array_min(state["pairs"])
-        merging = F.element_at(
-            F.transform(F.array(low), lambda m: merge_at(slots, state["parts"], m, F.array_position(state["pairs"], m).cast("int"), state["pairs"])), 1
-        )
-        return F.when(low < none, merging).otherwise(state)
+    def step(tables: Column, state: Column) -> Column:
+        parts, pairs = state["parts"], state["pairs"]
+        merging = lambda low: bound(F.array_position(pairs, low).cast("int"), lambda at: merge_at(tables, parts, low, at, pairs))
+        return bound(F.array_min(pairs), lambda low: F.when(low < none, merging(low)).otherwise(state))
 
-    def word(slots: Column) -> Column:
-        start = F.transform(word_bytes, lambda b: F.get(of_byte, b))
-        begun = F.transform(F.array(start), lambda p: F.struct(p.alias("parts"), between(slots, p).alias("pairs")))
+    def word(tables: Column) -> Column:
+        start = F.concat(edges, F.transform(word_bytes, lambda b: F.get(of_byte, b)), edges)
+        begun = bound(start, lambda p: F.struct(p.alias("parts"), between(tables, p).alias("pairs")))
         steps = F.sequence(F.lit(2), F.size(word_bytes))
-        return F.aggregate(steps, F.element_at(begun, 1), lambda state, _: step(slots, state), lambda state: state["parts"])
+        return F.aggregate(steps, begun, lambda state, _: step(tables, state), lambda state: F.slice(state["parts"], 2, F.size(state["parts"]) - 2))
 
     # Bound once by a lambda, the table is in the plan once.
-    many = F.element_at(F.transform(F.array(tables), word), 1)
+    many = bound(tables, word)
     return F.when(F.size(word_bytes) > 1, many).otherwise(F.transform(word_bytes, lambda b: F.get(of_byte, b))).cast("array<int>")
 
 
@@ -222,7 +225,9 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id",
     """One row per row of ``df``: id_col, n_tokens, ids_sha256, decoded_sha256; with ``keep`` also ids (array) and decoded (binary)."""
     spark, ranks = df.sparkSession, rank_table(ranks_path)
     docs = chunked(df, {"id": F.col(id_col), "text": F.col(text_col)}, CHUNK_ROWS)
-    root = write_by_chunk(word_ids(docs, ranks, pattern).select(F.explode("chunks").alias("chunk"), "word", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"), "decoded"), "words")
+    # In one projection with the explode, the ids would be joined for each chunk of a word.
+    spelled = word_ids(docs, ranks, pattern).withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), " "))
+    root = write_by_chunk(spelled.select(F.explode("chunks").alias("chunk"), "word", "ids", "decoded"), "words")
     schema = f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded binary" * keep
     shared = spark.sparkContext.broadcast(ranks)  # a fixed file of 50,000 ranks
 
