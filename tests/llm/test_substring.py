@@ -6,10 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewright.llm import minimisers, queries, substring_dedup
+from tidewright.llm import common, minimisers, queries, substring_dedup
 
 
 def brute_force(rows, k=35):
@@ -56,6 +57,25 @@ def test_query(spark, sf):
     assert sorted(map(tuple, queries.QUERIES["op10_substring_dedup"](spark, sf).collect()), key=str) == brute_force(rows)
 
 
+def test_few_texts_are_objects_at_a_time(monkeypatch):
+    """A batch of any size becomes Python objects in parts of some 2 MB of text; its rows keep their order."""
+    seen = []
+    monkeypatch.setattr(minimisers, "byte_texts", lambda batch: seen.append(batch.num_rows) or common.byte_texts(batch))
+    texts = ["word " * 100_000, None, "", "é " * 1_200_000, "a b", *["x " * 50_000] * 40]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts), "row": pa.array(range(len(texts)))})
+    rows = [r for (own,), words, _ in minimisers.documents(iter([batch]), ["row"]) for r in own if len(words) == len(own)]
+    assert rows == list(range(len(texts))) and max(seen) <= 20 and len(seen) >= 4
+
+
+def test_texts_travel_once(spark, tmp_path):
+    """A task of ``without_repeats`` gets each column once, the text too, whatever its name."""
+    spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, body string").write.parquet(f"{tmp_path}/docs")
+    got = substring_dedup.without_repeats(spark.read.parquet(f"{tmp_path}/docs"), text_col="body")
+    assert sorted(map(tuple, got.collect())) == [(1, "a b"), (2, None)]
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert re.search(r"Project \[doc_id#\d+L AS c0#\d+L, body#\d+ AS c1#\d+, concat_ws", plan)
+
+
 def test_window_runs():
     rng = np.random.default_rng(3)
     hashes = [rng.integers(0, 9, n).astype(np.uint64) for n in (0, 4, 5, 80, 6, 200)]

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import xxhash
 from pyarrow import fs
@@ -94,6 +95,14 @@ def slices_of(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, rows) for i in range(0, batch.num_rows, rows))
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], column: int | str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """All batches of a task in views whose ``column`` has about ``limit`` bytes; one long text makes a view of its own."""
+    for batch in batches:
+        sizes = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+        for part in pieces_of(sizes, int, limit):
+            yield batch.slice(part.start, part.stop - part.start)
+
+
 def bit_filter(hashes: DataFrame, column: str, log2_bits: int = 26) -> np.ndarray:
     """A bit set of fixed size (8 MB for 26) with the bit of every hash in ``column`` set.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import WordHashes, bit_filter, byte_texts, gram_hashes, pieces_of
+from tidewright.llm.common import WordHashes, bit_filter, byte_texts, gram_hashes, in_parts
 from tidewright.session import cut_lineage
 
 
@@ -59,11 +59,9 @@ def window_runs(hashes: list[np.ndarray], window: int, gram: int) -> Runs:
 def documents(batches: Iterator[pa.RecordBatch], keys: list[str]):
     """Of each small part of a task's rows: the values of ``keys``, the words of the texts, their hashes; texts as bytes split at ASCII white space."""
     hashes = WordHashes()
-    for batch in batches:
-        texts = byte_texts(batch)
-        for part in pieces_of(texts, len, 2_000_000):
-            words = [t.split() for t in texts[part]]
-            yield [batch.column(k)[part].to_pylist() for k in keys], words, [hashes.of(w) for w in words]
+    for batch in in_parts(batches):
+        words = [t.split() for t in byte_texts(batch)]
+        yield [batch.column(k).to_pylist() for k in keys], words, [hashes.of(w) for w in words]
 
 
 def repeated_minimisers(docs: DataFrame, window: int, gram: int) -> tuple[np.ndarray, DataFrame]:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import pieces_of
+from tidewright.llm.common import in_parts, pieces_of
 from tidewright.llm.tokens import encoder
 
 LENGTH = 1024
@@ -95,7 +95,7 @@ def pack(df: DataFrame, tokenizer: str, end_id: int = 0, length: int = LENGTH, i
             tails.clear()
             return rows
 
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             arrow_id = batch.column(0).type
             docs = batch.column(0).to_pylist()
             texts = [t or "" for t in batch.column(1).to_pylist()]

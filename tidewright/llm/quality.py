@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import pieces_of
+from tidewright.llm.common import in_parts, pieces_of
 
 BUCKETS = 1 << 17
 DIM = 8
@@ -188,7 +188,7 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = start()
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             yield pa.RecordBatch.from_pydict({"id": batch.column(0), "score": pa.array(of(batch.column(1).to_pylist()), pa.float64())})
 
     scored = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, score double")
@@ -201,7 +201,7 @@ def keep_good(df: DataFrame, model: Model, text_col: str = "text", least: float
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = start()
-        for batch in batches:
+        for batch in in_parts(batches, at):
             yield batch.filter(pa.array([s >= least for s in of(batch.column(at).to_pylist())], pa.bool_()))
 
     return df.mapInArrow(run, df.schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import byte_texts, chunked, in_filter, read_chunk, write_by_chunk
+from tidewright.llm.common import byte_texts, chunked, in_filter, in_parts, read_chunk, write_by_chunk
 from tidewright.llm.minimisers import documents, repeated_minimisers, window_runs
 from tidewright.session import cut_lineage
 
@@ -139,7 +139,7 @@ def count_buckets(kmers: DataFrame, window: int, limit: int) -> DataFrame:
                 w = b" ".join(words[i : i + window])
                 out.append((at[0], at[1], [s + i for s in at[2]], 0, window, as_long(w), w))
 
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             columns = [batch.column(i).to_pylist() for i in range(5)]
             for b, packed, *at in zip(*columns, strict=True):
                 if b != bucket:
@@ -211,19 +211,19 @@ class Spans:
         return stays
 
 
-def prepared(df: DataFrame, columns: dict, window: int, gram: int, limit: int) -> tuple[DataFrame, str]:
-    """Rows with chunk and row, and the folder of their spans."""
+def prepared(df: DataFrame, columns: dict, text: str, window: int, gram: int, limit: int) -> tuple[DataFrame, str]:
+    """Rows with chunk and row, and the folder of the spans of their column ``text``."""
     docs = chunked(df, columns, CHUNK_ROWS)
-    return docs, write_by_chunk(repeated_spans(docs, window, gram, limit), "removed")
+    return docs, write_by_chunk(repeated_spans(docs.select("chunk", "row", F.col(text).alias("text")), window, gram, limit), "removed")
 
 
 def removal_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM, limit: int = HOT) -> DataFrame:
     """One row per row of ``df``: id_col, n_words, n_removed, kept_sha256."""
-    docs, root = prepared(df, {"id": F.col(id_col), "text": F.col(text_col)}, window, gram, limit)
+    docs, root = prepared(df, {"id": F.col(id_col), "text": F.col(text_col)}, "text", window, gram, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans(root)
-        for batch in batches:
+        for batch in in_parts(batches):
             counts, removed, shas = [], [], []
             for chunk, row, text in zip(batch.column("chunk").to_pylist(), batch.column("row").to_pylist(), byte_texts(batch), strict=True):
                 words = text.split()
@@ -243,13 +243,13 @@ def without_repeats(df: DataFrame, text_col: str = "text", window: int = WINDOW,
     names = [f"c{i}" for i in range(len(df.columns))]
     at = names[df.columns.index(text_col)]
     columns = dict(zip(names, map(F.col, df.columns), strict=True))
-    docs, root = prepared(df, {**columns, "text": F.col(text_col)}, window, gram, limit)
+    docs, root = prepared(df, columns, at, window, gram, limit)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans(root)
-        for batch in batches:
-            new = batch.column("text").to_pylist()
-            for i, (chunk, row, text) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("row").to_pylist(), byte_texts(batch), strict=True)):
+        for batch in in_parts(batches, at):
+            new = batch.column(at).to_pylist()
+            for i, (chunk, row, text) in enumerate(zip(batch.column("chunk").to_pylist(), batch.column("row").to_pylist(), byte_texts(batch, at), strict=True)):
                 words = text.split()
                 stays = spans.keep(chunk, row, len(words))
                 if stays is not None:
