@@ -1,15 +1,19 @@
 """Sources and sinks."""
 
+import glob
 import os
+import re
 import tempfile
+import time
 
+import pyarrow as pa
 import pytest
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tests.conftest import rows
-from tidewright.session import scratch_path
+from tidewright.session import application_scratch, scratch_path
 from tidewright.sources import readers, writers
 
 
@@ -74,6 +78,29 @@ def test_split_and_multi_insert(spark):
     assert counts == {"all": 3, "none": 0, "two": 1}
 
 
+def test_split_writes_rows_as_they_come(spark):
+    """A task has both files open before its last row is made: it holds no rows to sort them by branch."""
+    root = application_scratch(spark).removeprefix("file://")
+
+    def watched(batches):
+        known = set(glob.glob(f"{root}/split-*"))
+        for batch in batches:
+            yield batch
+        for _ in range(100):
+            opened = {re.search("_verdict=([a-z]+)", f)[1] for f in glob.glob(f"{root}/split-*/_temporary/**/*.parquet", recursive=True) if f.split("/_temporary")[0] in known}
+            if len(opened) == 2:
+                break
+            time.sleep(0.1)
+        yield pa.RecordBatch.from_arrays([pa.array([-len(opened)], pa.int64())], schema=batch.schema)
+
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    df = spark.range(0, 400_000, 1, 1).mapInArrow(watched, "id long")
+    good, bad = writers.split_rows(df, F.col("id") % 2 == 0)
+    assert spark.read.parquet(good).count() + spark.read.parquet(bad).count() == 400_001
+    assert spark.read.parquet(good).union(spark.read.parquet(bad)).agg(F.min("id")).first()[0] == -2
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+
+
 def test_dynamic_overwrite_touches_one_partition(spark):
     path = scratch_path(spark, "dyn")
     df = spark.range(10).withColumn("p", F.col("id") % 2)

@@ -34,6 +34,20 @@ def overwrite_partitions(df: DataFrame, path: str, columns: list[str]) -> None:
     writer.parquet(path)
 
 
+def write_branches(df: DataFrame, path: str, column: str, branches: int) -> None:
+    """Write a folder for each of the few values of ``column``, as rows come.
+
+    With one open file a branch a task need not sort its rows by branch first, which would hold all of them.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(key)
+    conf.set(key, str(max(branches, int(before))))
+    try:
+        df.write.partitionBy(column).parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def multi_insert(source: DataFrame, targets: dict[str, tuple[Column, list[str]]]) -> dict[str, str]:
     """One scan feeding several filtered writes; returns the path of each target.
 
@@ -42,7 +56,7 @@ def multi_insert(source: DataFrame, targets: dict[str, tuple[Column, list[str]]]
     """
     labels = F.array_compact(F.array(*[F.when(p, F.lit(label)) for label, (p, _) in targets.items()]))
     path = scratch_path(source.sparkSession, "multi-insert")
-    source.withColumn("_target", F.explode(labels)).write.partitionBy("_target").parquet(path)
+    write_branches(source.withColumn("_target", F.explode(labels)), path, "_target", len(targets))
     return {label: f"{path}/_target={label}" for label in targets}
 
 
@@ -50,7 +64,7 @@ def split_rows(df: DataFrame, accepted: Column) -> tuple[str, str]:
     """Two sinks from one evaluation: accepted and rejected rows. NULL counts as rejected."""
     verdict = F.when(accepted, "accepted").otherwise("rejected")
     path = scratch_path(df.sparkSession, "split")
-    df.withColumn("_verdict", verdict).write.partitionBy("_verdict").parquet(path)
+    write_branches(df.withColumn("_verdict", verdict), path, "_verdict", 2)
     return f"{path}/_verdict=accepted", f"{path}/_verdict=rejected"
 
 
