@@ -47,6 +47,13 @@ def test_openings_tell_texts_apart():
     assert len(set(prints)) == 80
 
 
+def test_bands_of_two_are_compared_once(spark):
+    """The first round compares both nodes of a band of two; only a larger band may hold other links between its components."""
+    rows = [("two", "a", "a"), ("two", "b", "b"), ("three", "a", "a"), ("three", "b", "b"), ("three", "c", "c"), ("done", "a", "a"), ("done", "d", "a"), ("done", "e", "a")]
+    labelled = spark.createDataFrame(rows, "band string, node string, c string")
+    assert [tuple(r) for r in fingerprints.open_bands(labelled).collect()] == [("three", 1)]
+
+
 def test_near_prints_share_a_band():
     """Of the pairs that reach the threshold nearly all are candidates, on either side of an octave's border too; of texts with an edit for 200 characters
     some seven in ten reach it."""

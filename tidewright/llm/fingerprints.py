@@ -342,7 +342,7 @@ def linked_prints(prints: DataFrame, least: float) -> DataFrame:
     """node (md5 of a fingerprint), component of the fingerprints that are near another, of stored rows (fingerprint).
 
     Pairs come in two rounds: all of a band with its smallest node, so a band of n rows gives n - 1 pairs; then, in bands that still hold several
-    components, a forest of the links between different ones. Of the links of a node to several smallest ones its own smallest is kept, and these are linked
+    components and more than the two nodes that the first round compared, a forest of the links between different ones. Of the links of a node to several smallest ones its own smallest is kept, and these are linked
     with each other instead. A band of more than ``SLICE`` rows is split, and each two of its slices meet in a task. A pair
     inside a component cannot change the classes. A bit set of the bands held twice leaves the others out before the shuffle.
     """
@@ -397,8 +397,7 @@ def linked_prints(prints: DataFrame, least: float) -> DataFrame:
     first = cut_lineage(kept.select(F.when(F.col("v") == F.col("own"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("own").alias("v")).distinct(), "links")
     labelled = entries.select("band", "node").join(components(first), "node", "left").select("band", "node", F.coalesce("component", "node").alias("c"))
     labelled = cut_lineage(labelled, "labelled")
-    still_open = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    members = labelled.join(still_open.filter(F.col("low") != F.col("high")).select("band", "slices"), "band").join(print_of, "node")
+    members = labelled.join(open_bands(labelled), "band").join(print_of, "node")
     mine = F.pmod(F.xxhash64("node"), "slices").cast("int")
     met = members.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     met = met.select("band", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "node", "print", "c")
@@ -406,6 +405,13 @@ def linked_prints(prints: DataFrame, least: float) -> DataFrame:
     return components(first.unionByName(second))
 
 
+def open_bands(labelled: DataFrame) -> DataFrame:
+    """band, slices of the bands of ``labelled`` (band, node, c) that may hold a link between components that the first round didn't look at: it compared
+    both nodes of a band of two."""
+    counted = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("n"))
+    return counted.filter((F.col("low") != F.col("high")) & (F.col("n") > 2)).select("band", F.ceil(F.col("n") / SLICE).cast("int").alias("slices"))
+
+
 def node_of() -> Column:
     return F.unhex(F.md5("fingerprint"))
 
