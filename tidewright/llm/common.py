@@ -127,6 +127,80 @@ def in_filter(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (filled[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1) == 1
 
 
+#: Hashes are counted in ranges, named by their highest bits, so that a range's share of a task is a row of some KB.
+RANGE_BITS = 14
+#: Hashes that a task holds before it counts them and passes them on; rows of a batch that it passes on.
+HASHES, PASSED = 1_500_000, 100_000
+
+
+def summed(hashes: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct hashes, ascending, and the sums of their counts (one each without)."""
+    if counts is None:
+        hashes = np.sort(hashes)
+    else:
+        order = np.argsort(hashes)
+        hashes, counts = hashes[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.empty(0, np.int64)
+    sums = np.diff(np.append(starts, len(hashes))) if counts is None else np.add.reduceat(counts, starts) if len(starts) else counts
+    return hashes[starts], sums
+
+
+def count_blocks(hashes: Iterator[np.ndarray], limit: int) -> Iterator[pa.RecordBatch]:
+    """range, hashes, counts: a row for each range of the 64-bit hashes (evenly spread) that a task has in ``limit`` of them. Counts have four bytes."""
+
+    def block(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        everything = np.concatenate(held)
+        held.clear()
+        found, counts = summed(everything)
+        del everything
+        ranges = (found >> np.uint64(64 - RANGE_BITS)).astype(np.int32)
+        starts = np.flatnonzero(np.concatenate([[True], ranges[1:] != ranges[:-1]]))
+        for at in range(0, len(starts), 1000):
+            cuts = np.append(starts, len(found))[at : at + 1001]
+            columns = [pa.array(ranges[cuts[:-1]])]
+            for values in (found[cuts[0] : cuts[-1]].astype("<u8"), counts[cuts[0] : cuts[-1]].astype("<u4")):
+                offsets = ((cuts - cuts[0]) * values.itemsize).astype(np.int32)
+                columns.append(pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(values)]))
+            yield pa.RecordBatch.from_arrays(columns, names=["range", "hashes", "counts"])
+
+    held, size = [], 0
+    for some in hashes:
+        if len(some):
+            held.append(some)
+            size += len(some)
+        if size > limit:
+            yield from block(held)
+            size = 0
+    if size:
+        yield from block(held)
+
+
+def often_hashes(df: DataFrame, hashes_of, least: int, limit: int = HASHES) -> DataFrame:
+    """hash (a signed long) of the 64-bit hashes that are there ``least`` times or more. ``hashes_of`` gives those of a task's batches as arrays.
+
+    Hashes travel as blocks of a range, a row for thousands, and the ranges are added up one after another; no task holds a table of its hashes in the JVM.
+    """
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+
+        def passed(hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            found, sums = summed(hashes, counts)
+            found = found[sums >= least].view(np.int64)
+            return (pa.RecordBatch.from_arrays([pa.array(found[i : i + PASSED])], names=["hash"]) for i in range(0, len(found), PASSED))
+
+        for batch in (part for whole in batches for part in slices_of(whole, 2000)):
+            hashes = np.concatenate([hashes, np.frombuffer(b"".join(batch.column(1).to_pylist()), "<u8")])
+            counts = np.concatenate([counts, np.frombuffer(b"".join(batch.column(2).to_pylist()), "<u4").astype(np.int64)])
+            ended = hashes >> np.uint64(64 - RANGE_BITS) < np.uint64(batch.column(0)[-1].as_py())  # the last range may go on in another batch
+            yield from passed(hashes[ended], counts[ended])
+            hashes, counts = hashes[~ended], counts[~ended]
+        yield from passed(hashes, counts)
+
+    blocks = df.mapInArrow(lambda batches: count_blocks(hashes_of(batches), limit), "range int, hashes binary, counts binary")
+    return blocks.repartition("range").sortWithinPartitions("range").mapInArrow(add, "hash long")
+
+
 def chunked(df: DataFrame, columns: dict[str, Column], rows: int) -> DataFrame:
     """``columns`` of ``df``, chunk (a name for at most ``rows`` rows of one input file) and row (the place in that file).
 

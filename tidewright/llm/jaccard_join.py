@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import ascii_lower, bit_filter, byte_texts, gram_hashes, in_filter, mix, multipliers, pieces_of, slices_of, whole_text
+from tidewright.llm.common import ascii_lower, bit_filter, byte_texts, gram_hashes, in_filter, mix, multipliers, often_hashes, pieces_of, slices_of, whole_text
 from tidewright.llm.graph import components
 from tidewright.session import cut_lineage
 
@@ -270,19 +270,19 @@ def linked_classes(df: DataFrame, counts: np.ndarray, text_col: str = "text", n:
     texts = df.select(F.col(text_col).alias("text"))
     shared_counts = df.sparkSession.sparkContext.broadcast(counts)  # of fixed size
 
-    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         kept, size = [], 0
         for *_, prefix in each_class(batches, shared_counts.value, n, percent):
             kept.append(prefix)
             size += len(prefix)
             if size > 200_000:
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(kept).view(np.int64))})
+                yield np.concatenate(kept)
                 kept, size = [], 0
         if kept:
-            yield pa.RecordBatch.from_pydict({"gram": pa.array(np.concatenate(kept).view(np.int64))})
+            yield np.concatenate(kept)
 
-    often = texts.mapInArrow(prefixes, "gram long").groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-    shared_bits = df.sparkSession.sparkContext.broadcast(bit_filter(often, "gram", LOG2_SHARED))  # of fixed size
+    often = often_hashes(texts, prefixes, 2)
+    shared_bits = df.sparkSession.sparkContext.broadcast(bit_filter(often, "hash", LOG2_SHARED))  # of fixed size
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared_bits.value
