@@ -134,3 +134,12 @@ def test_texts_and_edges(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     assert sorted(map(tuple, queries.QUERIES["op12_simhash_dedup"](spark, sf).collect()), key=str) == brute_force(rows)
+
+
+def test_table_rows_are_made_by_number_of_fingerprints(spark):
+    """Some 80 rows are made of a fingerprint, so tasks follow from their number, not from the bytes of a small file."""
+    prints = spark.range(1001).selectExpr("xxhash64(id) AS print").coalesce(1)
+    spread = simhash_dedup.spread_prints(prints, 100)
+    assert spread.rdd.getNumPartitions() == 11
+    assert sorted(spread.collect()) == sorted(prints.collect())
+    assert simhash_dedup.spread_prints(prints.limit(0)).count() == 0

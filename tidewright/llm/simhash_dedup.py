@@ -49,6 +49,8 @@ WIDTHS = (22, 21, 21)
 MOST_KEYS = 6
 #: Members of a number that meet in one task; more are cut into slices of about this size.
 SLICE = 8192
+#: Fingerprints whose table rows one task makes and counts, some 80 to a fingerprint. A task by the bytes of a file would make millions of rows.
+PRINTS = 10_000
 
 
 # --- fingerprints
@@ -185,6 +187,11 @@ def forest(prints: np.ndarray, near: int = NEAR) -> tuple[np.ndarray, np.ndarray
     return (np.concatenate(us), np.concatenate(vs)) if us else (empty, empty)
 
 
+def spread_prints(prints: DataFrame, rows: int = PRINTS) -> DataFrame:
+    """print of the distinct ``prints``, about ``rows`` to a task."""
+    return prints.select("print").repartition(1 + prints.count() // rows, "print")
+
+
 def table_rows(prints: DataFrame, kept=None) -> DataFrame:
     """number, print of each table row of the distinct ``prints`` that ``kept`` (a broadcast bit set) may hold."""
 
@@ -212,7 +219,7 @@ FOLDED = "number ^ shiftrightunsigned(number, 26) ^ shiftrightunsigned(number, 5
 
 def links(prints: DataFrame, near: int = NEAR, slice_rows: int = SLICE) -> DataFrame:
     """u, v: a forest of links for each number that several of the distinct ``prints`` share."""
-    spark = prints.sparkSession
+    spark, prints = prints.sparkSession, spread_prints(prints)
     often = cut_lineage(table_rows(prints).groupBy("number").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1), "numbers")
     kept = spark.sparkContext.broadcast(bit_filter(often.selectExpr(f"{FOLDED} AS hash"), "hash"))  # of fixed size
     rows = table_rows(prints, kept)
