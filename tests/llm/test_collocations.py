@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tidewright.llm import collocations as co
+from tidewright.llm import common
 
 
 def brute_force(rows, least, top):
@@ -106,3 +107,31 @@ def test_automata():
     for r, d in parts.items():
         assert all(co.bisect_right(bounds, k) == r for k, _ in co.Automaton(d).paths())
     assert list(co.Automaton(co.automaton_of({})).paths()) == []
+
+
+def test_word_codes_are_stored_by_text(spark):
+    """A row per text: rows of many texts made batches of some 60 MB, in the JVM and in Python."""
+    rows = [(f"word{i} of text, {i} " * 20, "en") for i in range(400)] + [(None, "de"), ("", None)]
+    stored = co.coded(co.named(spark.createDataFrame(rows, "text string, lang string").coalesce(1), "text", "lang"))
+    assert stored.count() == len(rows)
+    assert stored.selectExpr("max(length(codes)) AS most").first().most <= 4 * 20 * 6
+    assert stored.groupBy("name").sum("words").filter("name = CAST('en' AS BINARY)").first()[1] == 400 * 20 * 4
+
+
+@pytest.mark.parametrize("limit", [50, 10**6])
+def test_often_hashes_are_counted_in_blocks(spark, limit):
+    """Hashes are shuffled in rows of many, not one each, and counted as grouping would."""
+    rng = random.Random(limit)
+    values = [rng.getrandbits(63) - rng.getrandbits(63) for _ in range(300)]
+    drawn = [rng.choice(values[: rng.choice([5, 300])]) for _ in range(4000)]
+    df = spark.createDataFrame([(v,) for v in drawn], "hash long").repartition(5)
+
+    def hashes_of(batches):
+        return (batch.column(0).to_numpy().view(np.uint64) for batch in batches)
+
+    counted = Counter(drawn)
+    for least in (1, 2, 9):
+        found = common.often_hashes(df, hashes_of, least, limit)
+        assert sorted(r.hash for r in found.collect()) == sorted(v for v, n in counted.items() if n >= least)
+    assert "HashAggregate" not in found._jdf.queryExecution().executedPlan().toString()
+    assert common.often_hashes(df.limit(0), hashes_of, 1).count() == 0

@@ -2,7 +2,7 @@
 
 Texts are lowered (A-Z), split into pieces at punctuation and line ends, and pieces into words. All counts are by group (a language).
 
-0. Texts are split into words once and stored as 32-bit word codes; a code that two words share lets more through in the next step, never less.
+0. Texts are split into words once and stored as 32-bit word codes, a row per text, so that no batch of rows is large; a code that two words share lets more through in the next step, never less.
 1. Length by length, 1 to ``MOST_WORDS``, 64-bit hashes of phrases (made of the codes) are counted. A phrase can reach ``least`` occurrences only if the phrases without its last and without its
    first word do, so only such are counted. The hashes that reach ``least`` go into a bit set of fixed size for each length (it lets too much through, never too little).
 2. Then each task spells out and counts, exactly, the phrases that the bit sets let through, sorts them and adds them, in order, to acyclic automata over words (:class:`Builder`): a path is
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewright.llm.common import LOWER, UPPER, bit_filter, byte_texts, in_filter, mix, multipliers, pieces_of
+from tidewright.llm.common import LOWER, UPPER, bit_filter, byte_texts, in_filter, in_parts, mix, multipliers, often_hashes
 from tidewright.session import cut_lineage
 
 MOST_WORDS = 5
@@ -167,6 +167,11 @@ def by_range(weights: dict[tuple, int], bounds: list[tuple]) -> Iterator[tuple[i
 # --- words
 
 
+def word_code(word: bytes) -> int:
+    """A 32-bit code of a word, 2 or more."""
+    return max(xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF, 2)
+
+
 class WordCodes(dict):
     """word -> 32-bit code: 0 for nothing, 1 for a break, else of the word's hash; remembered for up to ``limit`` words at a time."""
 
@@ -178,7 +183,7 @@ class WordCodes(dict):
         if len(self) >= self.limit:
             self.clear()
             self.update({b"": 0, BREAK: 1})
-        code = self[word] = max(xxhash.xxh3_64_intdigest(word) & 0xFFFFFFFF, 2)
+        code = self[word] = word_code(word)
         return code
 
 
@@ -200,12 +205,11 @@ def split_words(text: bytes) -> list[bytes]:
     return text.translate(LOWERED).replace(BREAK, b" \n ").split(b" ")
 
 
-def grouped_texts(batch: pa.RecordBatch, limit: int = 4_000_000) -> Iterator[tuple[bytes, list[bytes]]]:
-    """(group, texts) in pieces of about ``limit`` bytes."""
-    groups, texts = byte_texts(batch, "name"), byte_texts(batch, "text")
-    for part in pieces_of(texts, len, limit):
+def grouped_texts(batch: pa.RecordBatch, limit: int = 2_000_000, column: str = "text") -> Iterator[tuple[bytes, list[bytes]]]:
+    """(group, texts) in pieces of about ``limit`` bytes; only a piece's texts are Python objects."""
+    for part in in_parts(iter([batch]), column, limit):
         own: dict[bytes, list[bytes]] = {}
-        for group, text in zip(groups[part], texts[part], strict=True):
+        for group, text in zip(byte_texts(part, "name"), byte_texts(part, column), strict=True):
             own.setdefault(group, []).append(text)
         yield from own.items()
 
@@ -226,20 +230,20 @@ class Words:
     """The words of texts as numbers, remembered from piece to piece up to a limit, and their codes."""
 
     def __init__(self, limit: int = 400_000):
-        self.limit, self.codes = limit, WordCodes()
-        self.numbers, self.of_number = WordNumbers(), np.zeros(0, np.uint32)
+        self.limit = limit
+        self.numbers, self.of_number = WordNumbers(), np.arange(2, dtype=np.uint32)  # nothing and a break are their own codes
 
     def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of all texts, with breaks between texts, and their codes."""
         if len(self.numbers) > self.limit:
-            self.numbers, self.of_number = WordNumbers(), np.zeros(0, np.uint32)
+            self.numbers, self.of_number = WordNumbers(), np.arange(2, dtype=np.uint32)
         words = split_words(BREAK.join(texts))
         found = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         found = found[found > 0]
         names = self.numbers.names
         if len(self.of_number) < len(names):
             fresh = names[len(self.of_number) :]
-            self.of_number = np.concatenate([self.of_number, np.fromiter(map(self.codes.__getitem__, fresh), np.uint32, len(fresh))])
+            self.of_number = np.concatenate([self.of_number, np.fromiter(map(word_code, fresh), np.uint32, len(fresh))])
         return found, self.of_number[found]
 
 
@@ -302,46 +306,35 @@ def range_bounds(texts: DataFrame, ranges: int) -> list[tuple]:
 
 
 def coded(texts: DataFrame) -> DataFrame:
-    """name, codes (of the words of some texts of the group, with breaks, four bytes a word) and their number of words."""
+    """name, codes (of the words of a text of the group, with breaks, one at the end; four bytes a word) and their number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordCodes()
         for batch in batches:
             for group, own in grouped_texts(batch, 1_000_000):
-                words = split_words(BREAK.join(own))
-                codes = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
-                codes = codes[codes > 0]
-                yield pa.RecordBatch.from_pydict({"name": pa.array([group], pa.binary()), "codes": pa.array([codes.astype("<u4").tobytes()], pa.binary()), "words": pa.array([int((codes > 1).sum())], pa.int64())})
+                lines, sizes = [], []
+                for text in own:
+                    words = split_words(text + BREAK)
+                    codes = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
+                    codes = codes[codes > 0]
+                    lines.append(codes.astype("<u4").tobytes())
+                    sizes.append(int((codes > 1).sum()))
+                yield pa.RecordBatch.from_pydict({"name": pa.array([group] * len(own), pa.binary()), "codes": pa.array(lines, pa.binary()), "words": pa.array(sizes, pa.int64())})
 
     return cut_lineage(texts.mapInArrow(run, "name binary, codes binary, words long"), "words")
 
 
-def often_hashes(words: DataFrame, k: int, kept, least: int) -> DataFrame:
+def often_runs(words: DataFrame, k: int, kept, least: int) -> DataFrame:
     """hash of the phrases of k words with ``least`` occurrences or more (and of any that share a hash); ``kept`` is the bit set of k - 1 words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-
-        def flush() -> pa.RecordBatch:
-            found = np.sort(np.concatenate(held))
-            starts = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-            return pa.RecordBatch.from_pydict({"hash": pa.array(found[starts].view(np.int64)), "n": pa.array(np.diff(np.append(starts, len(found))))})
-
+    def hashes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for batch in batches:
-            for group, data in zip(batch.column(0), batch.column(1), strict=True):
-                code, codes = group_hash(group.as_py()), np.frombuffer(data.as_buffer(), "<u4")
+            for group, own in grouped_texts(batch, 1_000_000, "codes"):
+                code, codes = group_hash(group), np.frombuffer(b"".join(own), "<u4")
                 at = likely_runs(codes, k, code, None if k == 1 else kept.value)
-                if len(at):
-                    held.append(phrase_hashes([codes[at + j] for j in range(k)], code))
-                    size += len(at)
-                if size > HASHES:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
+                yield phrase_hashes([codes[at + j] for j in range(k)], code)
 
-    counted = words.select("name", "codes").mapInArrow(run, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    return cut_lineage(counted.filter(F.col("n") >= least).select("hash"), f"often-{k}")
+    return cut_lineage(often_hashes(words.select("name", "codes"), hashes_of, least, HASHES), f"often-{k}")
 
 
 def shard_automata(texts: DataFrame, kept: list, bounds: list[tuple]) -> DataFrame:
@@ -461,7 +454,7 @@ def collocations(df: DataFrame, text_col: str = "text", group_col: str = "lang",
     spark, texts = df.sparkSession, named(df, text_col, group_col)
     words, kept = coded(texts), []
     for k in range(1, MOST_WORDS + 1):
-        often = often_hashes(words, k, kept[-1] if kept else None, least)
+        often = often_runs(words, k, kept[-1] if kept else None, least)
         if often.isEmpty():
             break
         kept.append(spark.sparkContext.broadcast(bit_filter(often, "hash")))  # of fixed size
